@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, exact_dedup, sharding
+from plumbline.llm import byte_bpe, decontamination, exact_dedup, sharding, substring_dedup
 
 #: Which public vocabulary op6 and the pipeline encode with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +17,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -32,6 +40,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op2_decontamination,
+        op4_substring_dedup,
         op6_byte_bpe,
         op8_sharding,
         op10_exact_dedup,
@@ -40,7 +50,39 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_BENCH_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_BENCH_WORDS} AS w FROM documents),
+             b AS (SELECT item_id, {_BENCH_WORDS} AS w FROM benchmark),
+             win AS (SELECT DISTINCT item_id, w[i : i + least(13, len(w)) - 1] AS words
+                     FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(i) WHERE len(w) > 0),
+             lens AS (SELECT DISTINCT len(words) AS n FROM win),
+             dw AS (SELECT doc_id, i, n, w[i : i + n - 1] AS words
+                    FROM d, lens, unnest(range(1, len(w) - n + 2)) AS t(i)),
+             hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN win USING (words)),
+             cover AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit
+                       FROM (SELECT DISTINCT doc_id, i, n FROM hit), unnest(range(0, n)) AS t(k) GROUP BY doc_id),
+             item AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+                      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hit) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op4_substring_dedup": f"""
+        WITH d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
+             win AS (SELECT doc_id, i, w[i : i + 19] AS words FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
+             early AS (SELECT words, min((doc_id, i)) AS first FROM win GROUP BY words HAVING count(*) > 1),
+             gone AS (SELECT DISTINCT doc_id, i + k AS i
+                      FROM (SELECT doc_id, i FROM win JOIN early USING (words) WHERE (doc_id, i) > first),
+                           unnest(range(0, 20)) AS t(k)),
+             each AS (SELECT doc_id, i, w[i] AS word FROM d, unnest(range(1, len(w) + 1)) AS t(i)),
+             kept AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS body
+                      FROM each ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)""",
     "op10_exact_dedup": f"""
         WITH t AS (SELECT doc_id, coalesce({_LOWER.format("text")}, '') AS body FROM documents),
              w AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
