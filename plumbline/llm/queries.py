@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontamination, exact_dedup, sharding, substring_dedup
+from plumbline.llm import byte_bpe, decontamination, exact_dedup, language_id, sharding, substring_dedup, toxicity
+from plumbline.llm.frames import fold
 
 #: Which public vocabulary op6 and the pipeline encode with.
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -17,6 +19,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _held_out(folds: int, which: int) -> Column:
+    return (fold("doc_id", folds) == which).alias("held_out")
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(fold("doc_id", 3) != 1), F.col("doc_id"))
+    return language_id.predict(docs, model).select("doc_id", _held_out(3, 1), "lang_pred", "score")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -33,6 +45,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"), shards=16)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return toxicity.scored(docs, model).select("doc_id", _held_out(3, 1), "score", predicted)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.membership(_table(spark, sf_dir, "documents"))
 
@@ -40,10 +59,12 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op2_decontamination,
         op4_substring_dedup,
         op6_byte_bpe,
         op8_sharding,
+        op9_toxicity,
         op10_exact_dedup,
     )
 }
