@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontamination, exact_dedup, language_id, sharding, substring_dedup, toxicity
+from plumbline.llm import byte_bpe, decontamination, exact_dedup, language_id, pii, sharding, substring_dedup, toxicity
 from plumbline.llm.frames import fold
 
 #: Which public vocabulary op6 and the pipeline encode with.
@@ -41,6 +41,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.report(docs, pii.fit(docs, F.col("doc_id")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(_table(spark, sf_dir, "documents"), shards=16)
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontamination,
         op4_substring_dedup,
         op6_byte_bpe,
+        op7_pii,
         op8_sharding,
         op9_toxicity,
         op10_exact_dedup,
