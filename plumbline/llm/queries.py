@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontamination, exact_dedup, language_id, pii, sharding, substring_dedup, toxicity
+from plumbline.llm import byte_bpe, decontamination, exact_dedup, jaccard_join, language_id, pii, sharding, substring_dedup, toxicity
 from plumbline.llm.frames import fold
 
 #: Which public vocabulary op6 and the pipeline encode with.
@@ -33,6 +33,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.clusters(_table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_language_id,
         op2_decontamination,
+        op3_jaccard_join,
         op4_substring_dedup,
         op6_byte_bpe,
         op7_pii,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _BENCH_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SHINGLE_WORDS = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
 _SPACE_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,6 +104,19 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN cover USING (doc_id) LEFT JOIN item USING (doc_id)""",
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLE_WORDS} AS w FROM documents),
+             s AS (SELECT DISTINCT doc_id, w[i : i + least(3, len(w)) - 1] AS x
+                   FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+                   FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+             link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+                      WHERE 100 * common >= 90 * (x.n + y.n - common)),
+             reach AS (SELECT doc_id AS a, doc_id AS b FROM d
+                       UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+        FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)""",
     "op4_substring_dedup": f"""
         WITH d AS (SELECT doc_id, {_SPACE_WORDS} AS w FROM documents),
              win AS (SELECT doc_id, i, w[i : i + 19] AS words FROM d, unnest(range(1, len(w) - 18)) AS t(i)),
