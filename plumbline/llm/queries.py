@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import byte_bpe, decontamination, exact_dedup, jaccard_join, language_id, pii, sharding, substring_dedup, toxicity
+from plumbline.llm import byte_bpe, decontamination, exact_dedup, jaccard_join, language_id, lm_scoring, pii, sharding, substring_dedup, toxicity
 from plumbline.llm.frames import fold
 
 #: Which public vocabulary op6 and the pipeline encode with.
@@ -41,6 +41,12 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = lm_scoring.scored(docs, fold("doc_id", 7) != 2)
+    return found.select("doc_id", _held_out(7, 2), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -72,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_decontamination,
         op3_jaccard_join,
         op4_substring_dedup,
+        op5_lm_scoring,
         op6_byte_bpe,
         op7_pii,
         op8_sharding,
