@@ -1,34 +1,60 @@
-"""A corpus from raw documents: stages that each work on what the one before kept."""
+"""A training corpus from raw documents, in stages that each work on what the one before kept.
+
+All stages but the last return the columns of ``documents``; the last has each kept document's token ids.
+"""
 
 from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import byte_bpe, exact_dedup
-from plumbline.llm.frames import shared_dir
+from plumbline.llm import byte_bpe, decontamination, exact_dedup, jaccard_join, toxicity
+from plumbline.llm.frames import fold, shared_dir
 from plumbline.llm.queries import VOCABULARY
 
-import public_tokenizers
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score as toxic go; the model learns from the labelled ones outside the held-out fold."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.accepted(docs, toxicity.fit(docs, labels, fold("doc_id", 3) != 1))
 
 
-def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.deduplicated(docs)
 
 
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that near-duplicate links connect, the document with the least doc_id stays."""
+    return jaccard_join.representatives(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents contaminated with benchmark passages go."""
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    """Token ids of what is left, with the digests that show the round trip."""
+    return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
 
 
-STAGES = [("exact_dedup", deduplicated), ("byte_bpe", encoded)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("exact_dedup", without_copies),
+    ("jaccard_join", without_near_copies),
+    ("decontamination", without_benchmark),
+    ("byte_bpe", encoded),
+]
 
-#: The toxicity stage is a trained model, which SQL can't express; tests hold the stages against brute force.
+#: The toxicity stage is a trained model, which SQL can't express; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES[:-1]):

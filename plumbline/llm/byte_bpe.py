@@ -183,8 +183,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return source.mapInArrow(decoded, f"doc_id {kind}, decoded binary")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode and decode in one pass: ``doc_id``, ``n_tokens`` and the digests of ids and decoded bytes."""
+def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: ``doc_id``, ``n_tokens``, the digests of ids and decoded bytes, and the ``ids`` themselves if asked for."""
     source = docs.select(doc_id, text)
     kind = source.schema[0].dataType.simpleString()
 
@@ -198,8 +198,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
                     pa.array([len(i) // 4 for i in ids], pa.int64()),
                     pa.array([hashlib.sha256(i).hexdigest() for i in ids]),
                     pa.array([hashlib.sha256(v.decoded(i)).hexdigest() for i in ids]),
+                    *([pa.array(ids, pa.binary())] if with_ids else []),
                 ],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])],
             )
 
-    return source.mapInArrow(digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return source.mapInArrow(digests, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids)

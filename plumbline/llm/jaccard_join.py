@@ -5,10 +5,12 @@ shingles of ``SHINGLE`` words (with fewer words, the whole sequence; without wor
 documents link when 100 * |intersection| >= ``PERCENT`` * |union|; a component is what links connect.
 
 1.  Equal sets are one set from here on, and its documents one component.
-2.  A set's prefix, its rarest tokens in one order of all tokens, must share a token with each
-    set that it links with. Tokens frequent in any slice of documents come last in that order.
-3.  Similar sets form groups: those of one least hash. The matrix joins each prefix token with the groups
-    that hold it (their sizes and places of the token), and so gives the groups that a set may link into.
+2.  A set's prefix are its rarest tokens in one order of all tokens, a tenth of them and ``MORE``. Two sets
+    that link share ``MORE`` tokens of their prefixes at least, and one more. Tokens frequent in many
+    documents come last in that order.
+3.  Similar sets form groups: those of one least hash of a token that isn't frequent. The matrix joins each
+    prefix token with the groups that hold it in sets of a fit size. Counted over a set's prefix, that
+    bounds the overlap with any set of a group: the set may link into those that reach what it needs.
 4.  A group's sets go to one block, or to several of at most ``MEMBERS``; with each block go the
     sets that may link into it, at most about ``QUERIES`` to a copy of it. A block keeps the union
     of its tokens: a set with too few tokens in the union meets no member. Others are compared exactly.
@@ -34,6 +36,8 @@ from plumbline.llm.words import LOWER, SPACE, Words, in_word, mixed, window_hash
 
 SHINGLE, PERCENT = 3, 90
 MEMBERS, QUERIES = 256, 1024
+#: Of a set's size: prefix tokens beyond the tenth, which a linked set must share as well.
+MORE = 0.06
 #: Tokens in at least this share of documents are ordered by their count; at most so many of them.
 FREQUENT_SHARE, FREQUENT = 1e-3, 1 << 20
 _SLICE = 8 << 20
@@ -67,7 +71,7 @@ def _prints(row: np.ndarray, token: np.ndarray, rows: int) -> np.ndarray:
 
 
 def _prefixes(row: np.ndarray, token: np.ndarray, count: np.ndarray, frequent: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of the prefixes' members and their places in their sets' order."""
+    """Indices of the prefixes' members, and which tokens of the sets aren't frequent."""
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, token), len(frequent) - 1)
         heavy = frequent[at] == token
@@ -80,9 +84,13 @@ def _prefixes(row: np.ndarray, token: np.ndarray, count: np.ndarray, frequent: n
     place[light] = np.arange(len(light)) - np.repeat(np.cumsum(n_light) - n_light, n_light)
     n_late = count - n_light
     place[late] = np.arange(len(late)) - np.repeat(np.cumsum(n_late) - n_late, n_late) + n_light[row[late]]
-    length = count - (PERCENT * count + 99) // 100 + 1
-    kept = np.flatnonzero(place < length[row])
-    return kept, place[kept]
+    length = count - (PERCENT * count + 99) // 100 + _shared(count)
+    return np.flatnonzero(place < length[row]), ~heavy
+
+
+def _shared(size: np.ndarray) -> np.ndarray:
+    """How many tokens the prefixes of two linked sets share if the smaller has this size."""
+    return 1 + (MORE * size).astype(np.int64)
 
 
 def _needed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,7 +112,7 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return found["token"].to_numpy(np.uint64), found["n"].to_numpy(np.int64)
 
 
-_POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("group", "<u4"), ("size", "<u4"), ("place", "<u4")])
+_POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("group", "<u4"), ("size", "<u4")])
 
 
 def _posting_rows(batch: pa.RecordBatch, blocks: int, frequent: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
@@ -112,15 +120,14 @@ def _posting_rows(batch: pa.RecordBatch, blocks: int, frequent: np.ndarray, weig
     prints = _prints(row, token, len(count))
     first = np.zeros(len(count), bool)
     first[np.unique(prints, return_index=True)[1]] = True  # one of each set in the slice
-    kept, place = _prefixes(row, token, count, frequent, weight)
-    use = first[row[kept]]
-    kept, place = kept[use], place[use]
-    # The group: the least hash of the set's tokens.
+    kept, light = _prefixes(row, token, count, frequent, weight)
+    kept = kept[first[row[kept]]]
+    # The group: the least hash of the set's tokens, frequent ones only where it has no other.
     least = np.full(len(count), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, row, mixed(token + np.uint64(7)))
+    np.minimum.at(least, row, (mixed(token + np.uint64(7)) >> np.uint64(1)) | (~light).astype(np.uint64) << np.uint64(63))
     p = np.zeros(len(kept), _POSTING)
-    p["token"], p["set"], p["size"], p["place"] = token[kept], prints[row[kept]], count[row[kept]], place
-    p["group"] = (least[row[kept]] >> np.uint64(32)).astype(np.uint32)
+    p["token"], p["set"], p["size"] = token[kept], prints[row[kept]], count[row[kept]]
+    p["group"] = (mixed(least[row[kept]]) >> np.uint64(32)).astype(np.uint32)
     block = (mixed(p["token"].copy()) % np.uint64(blocks)).astype(np.int32)
     order = np.argsort(block, kind="stable")
     p, bounds = p[order], np.searchsorted(block[order], np.arange(blocks + 1))
@@ -139,48 +146,67 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out
 
 
-def _may_link(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets of these sizes can link with this as the first token they share."""
-    size_a, size_b = a["size"].astype(np.int64), b["size"].astype(np.int64)
-    return np.minimum(size_a - a["place"], size_b - b["place"]) >= _needed(size_a, size_b)
+def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can link."""
+    a, b = a.astype(np.int64), b.astype(np.int64)
+    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+
+
+def _counted(set_: np.ndarray, into: np.ndarray, n: np.ndarray, *rest: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of ``n`` for each distinct pair of set and group, with the other columns of its first row."""
+    order = np.lexsort((into, set_))
+    set_, into = set_[order], into[order]
+    head = np.flatnonzero(np.concatenate([[True], (set_[1:] != set_[:-1]) | (into[1:] != into[:-1])])) if len(set_) else np.zeros(0, np.int64)
+    total = np.add.reduceat(n[order], head) if len(head) else n[:0]
+    return set_[head], into[head], total, *(r[order][head] for r in rest)
 
 
-def _reachable(p: np.ndarray) -> np.ndarray:
-    """Distinct (set, its group, a group it may link into) of all token lists; the second group is not above the first."""
+def _overlaps(p: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(set, group, tokens shared with sets of the group, the set's own group, its size) over these token lists."""
     p = p[np.lexsort((p["set"], p["token"]))]
     same = (p["token"][1:] == p["token"][:-1]) & (p["set"][1:] == p["set"][:-1])
     p = p[np.concatenate([[True], ~same])] if len(p) else p
     edge = np.flatnonzero(np.concatenate([[True], p["token"][1:] != p["token"][:-1], [True]])) if len(p) else np.zeros(1, np.int64)
     length = np.diff(edge)
-    out = []
-    short = np.repeat((length > 1) & (length <= _SHORT), length)
-    q = p[short]
+    at, into = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    short = np.flatnonzero(np.repeat((length > 1) & (length <= _SHORT), length))
     for step in range(1, _SHORT):
-        a, b = q[:-step], q[step:]
-        hit = (a["token"] == b["token"]) & _may_link(a, b) if len(a) else np.zeros(0, bool)
+        a, b = short[:-step], short[step:]
+        hit = (p["token"][a] == p["token"][b]) & _fit(p["size"][a], p["size"][b])
         a, b = a[hit], b[hit]
-        out += [(a["set"], a["group"], b["group"]), (b["set"], b["group"], a["group"])]
+        at += [a, b]
+        into += [p["group"][b], p["group"][a]]
     for k in np.flatnonzero(length > _SHORT):
         x = p[edge[k] : edge[k + 1]]
-        classes = x[np.lexsort((x["place"], x["size"], x["group"]))]
-        head = np.concatenate([[True], (classes["group"][1:] != classes["group"][:-1]) | (classes["size"][1:] != classes["size"][:-1])])
-        several = np.diff(np.append(np.flatnonzero(head), len(classes))) > 1
-        first, classes = classes["set"][head], classes[head]
-        for at in range(0, len(x), 512):
-            part = x[at : at + 512]
-            may = _may_link(part[:, None], classes[None, :]) & (several | (part["set"][:, None] != first[None, :]))
-            i, j = np.nonzero(may)
-            pairs = np.unique(np.stack([i, classes["group"][j].astype(np.int64)]), axis=1)
-            out.append((part["set"][pairs[0]], part["group"][pairs[0]], pairs[1].astype(np.uint32)))
-            # What may link into a set's group makes the set a member to be met.
-            out.append((part["set"][np.unique(i)], part["group"][np.unique(i)], part["group"][np.unique(i)]))
-    found = np.zeros(sum(len(o[0]) for o in out), [("set", "<u8"), ("group", "<u4"), ("into", "<u4")])
-    at = 0
-    for s, g, into in out:
-        part = found[at : at + len(s)]
-        part["set"], part["group"], part["into"] = s, g, np.minimum(g, into)
-        at += len(s)
-    return np.unique(found)
+        # Sets of one group and size are one class; its only set doesn't meet itself.
+        classes = x[np.lexsort((x["size"], x["group"]))]
+        head = np.flatnonzero(np.concatenate([[True], (classes["group"][1:] != classes["group"][:-1]) | (classes["size"][1:] != classes["size"][:-1])]))
+        several = np.diff(np.append(head, len(classes))) > 1
+        classes = classes[head]
+        for begin in range(0, len(x), 512):
+            part = x[begin : begin + 512]
+            i, j = np.nonzero(_fit(part["size"][:, None], classes["size"][None, :]) & (several | (part["set"][:, None] != classes["set"][None, :])))
+            at.append(edge[k] + begin + i)
+            into.append(classes["group"][j])
+    at, into = np.concatenate(at), np.concatenate(into)
+    # A token counts once for a set and a group.
+    order = np.lexsort((into, at))
+    at, into = at[order], into[order]
+    once = np.concatenate([[True], (at[1:] != at[:-1]) | (into[1:] != into[:-1])]) if len(at) else np.zeros(0, bool)
+    at, into = at[once], into[once]
+    return _counted(p["set"][at], into, np.ones(len(at), np.int64), p["group"][at], p["size"][at])
+
+
+_OVERLAP = (("set", "<u8"), ("into", "<u4"), ("n", "<i8"), ("group", "<u4"), ("size", "<u4"))
+
+
+def _may_link(set_: np.ndarray, into: np.ndarray, n: np.ndarray, group: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (set, group, into): its own group, and lower groups that it may link into."""
+    set_, into, n, group, size = _counted(set_, into, n, group, size)
+    enough = n >= _shared((PERCENT * size.astype(np.int64) + 99) // 100)
+    set_, group, into = set_[enough], group[enough], np.minimum(group, into)[enough]
+    set_, into, _, group = _counted(set_, into, np.ones(len(set_), np.int64), group)
+    return set_, group, into
 
 
 def _candidates(docs: DataFrame) -> DataFrame:
@@ -192,14 +218,34 @@ def _candidates(docs: DataFrame) -> DataFrame:
         for batch in sliced(batches, "text", _SLICE):
             yield _posting_rows(batch, blocks, *order.value)
 
-    def reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_unpacked(x) for batch in batches for x in batch.column("postings").to_pylist()]
         if parts:
-            f = _reachable(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays([pa.array(f["set"].view(np.int64) if f.flags.c_contiguous and f.dtype.itemsize == 8 else f["set"].astype(np.int64)), pa.array(f["group"].astype(np.int64)), pa.array(f["into"].astype(np.int64))], ["set", "group", "into"])
+            found = _overlaps(np.concatenate(parts))
+            block = (mixed(found[0]) % np.uint64(blocks)).astype(np.int32)
+            order = np.argsort(block, kind="stable")
+            edge = np.searchsorted(block[order], np.arange(blocks + 1))
+            some = np.flatnonzero(np.diff(edge))
+            fields = [c[order].astype(t) for c, (_, t) in zip(found, _OVERLAP, strict=True)]
+            packed = [b"".join(f[edge[k] : edge[k + 1]].tobytes() for f in fields) for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["block", "overlaps"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = sum(np.dtype(t).itemsize for _, t in _OVERLAP)
+        fields: list[list[np.ndarray]] = [[] for _ in _OVERLAP]
+        for batch in batches:
+            for data in batch.column("overlaps").to_pylist():
+                n, at = len(data) // width, 0
+                for held, (_, t) in zip(fields, _OVERLAP, strict=True):
+                    held.append(np.frombuffer(data, t, n, at))
+                    at += n * np.dtype(t).itemsize
+        if fields[0]:
+            found = _may_link(*map(np.concatenate, fields))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], ["set", "group", "into"])
 
     lists = docs.select("text").mapInArrow(postings, "block int, postings binary").repartitionById(blocks, "block")
-    return lists.mapInArrow(reach, "set long, group long, into long").distinct()
+    overlaps = lists.mapInArrow(overlap, "block int, overlaps binary").repartitionById(blocks, "block")
+    return overlaps.mapInArrow(decide, "set long, group long, into long")
 
 
 class _Block:
@@ -340,8 +386,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(sign, f"doc_id {kind}, check long, n_shingles long, set long")
 
 
-def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``, the least id that links reach."""
+def _clusters(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("check"), F.col(text).alias("text"))
     signatures = written(_signatures(docs), "signatures")
     roots = components(_edges(docs, signatures)).select(F.col("node").alias("set"), "root")
@@ -349,5 +394,20 @@ def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     by_set = some.groupBy("set").agg(F.min("doc_id").alias("least")).join(roots, "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     by_root = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
     named = by_set.join(by_root, "root").select("set", "component_id")
-    linked = some.join(named, "set").select("doc_id", "n_shingles", "component_id")
-    return linked.union(signatures.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = some.join(named, "set").select("doc_id", "check", "n_shingles", "component_id")
+    return linked.union(signatures.where("n_shingles = 0").select("doc_id", "check", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def clusters(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id``, ``n_shingles`` and ``component_id``, the least id that links reach."""
+    return _clusters(docs, doc_id, text).drop("check")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is their component's, with their own columns whatever those are called.
+
+    Repeated rows stay together, and so do the rows of a component without any id.
+    """
+    stay = _clusters(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "check")
+    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("of_check"))
+    return rows.join(stay, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of_check") == F.col("check")), "left_semi").select("row.*")
