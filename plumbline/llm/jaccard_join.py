@@ -11,10 +11,13 @@ documents link when 100 * |intersection| >= ``PERCENT`` * |union|; a component i
 3.  Similar sets form groups: those of one least hash of a token that isn't frequent. The matrix joins each
     prefix token with the groups that hold it in sets of a fit size. Counted over a set's prefix, that
     bounds the overlap with any set of a group: the set may link into those that reach what it needs.
-4.  A group's sets go to one block, or to several of at most ``MEMBERS``; with each block go the
-    sets that may link into it, at most about ``QUERIES`` to a copy of it. A block keeps the union
+4.  A group's sets go to one block, or to several of about ``MEMBERS``; with each block go the
+    sets that may link into it, at most ``QUERIES`` to a copy of it. A block keeps the union
     of its tokens: a set with too few tokens in the union meets no member. Others are compared exactly.
-5.  Links to one connected part of a block give one edge; edges give components.
+5.  Two rounds: first each block within itself, and every set with the first block of its group and of the
+    lowest group that it may link into, which connects most copies; then blocks with those sets only that
+    aren't connected with all of it yet.
+6.  Links to one connected part of a block give one edge; edges give components.
 
 Hashes have 48 bits for a shingle and 64 for a set. Null texts and texts without words have no shingles,
 link with nothing and are their own component. Repeated rows are equal sets. With a null id a row takes
@@ -24,6 +27,8 @@ part, and the component's id is the least of the others; if there is none, it is
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -249,25 +254,27 @@ def _candidates(docs: DataFrame) -> DataFrame:
 
 
 class _Block:
-    """Members of a block: their tokens in one sorted array, which is also the union."""
+    """Members of a block: their tokens in one sorted array, which is also the union. Members of one label are linked already."""
 
-    def __init__(self, prints: np.ndarray, sets: list[np.ndarray]):
-        self.prints, self.size = prints, np.array([len(s) for s in sets], np.int64)
+    def __init__(self, labels: np.ndarray, sets: list[np.ndarray]):
+        self.labels, self.size = labels, np.array([len(s) for s in sets], np.int64)
         token, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.size)
         order = np.argsort(token, kind="stable")
         self.token, self.member = token[order], member[order]
-        self.part = np.arange(len(sets))
-        found = list(self.links(prints, sets))
+        first, of = np.unique(labels, return_index=True, return_inverse=True)[1:]
+        self.part = first[of]
+        found = list(self.links(labels, sets)) if len(first) > 1 else []
         while True:  # the least member that links reach, within the block
             before = self.part.copy()
             for i, m in found:
                 np.minimum.at(self.part, m, self.part[i])
                 np.minimum.at(self.part, i, self.part[m])
+            self.part = self.part[self.part]
             if (before == self.part).all():
                 break
 
-    def links(self, prints: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of a query and a member that link, other than a set with itself."""
+    def links(self, labels: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a query and a member of another label that link."""
         size = np.array([len(s) for s in sets], np.int64)
         at = 0
         while at < len(sets):
@@ -284,95 +291,128 @@ class _Block:
             shared = np.bincount(np.repeat(query, times) * len(self.size) + self.member[where], minlength=(end - at) * len(self.size))
             shared = shared.reshape(end - at, len(self.size))
             i, m = np.nonzero(shared >= _needed(size[at:end, None], self.size[None, :]))
-            other = prints[at + i] != self.prints[m]
+            other = labels[at + i] != self.labels[m]
             yield at + i[other], m[other]
             at = end
 
-    def edges(self, prints: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
-        """One edge from each query to each connected part of the block that it links with."""
-        out = [np.stack([prints[i], self.prints[self.part[m]]], 1) for i, m in self.links(prints, sets)]
-        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.uint64)
+    def edges(self, labels: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+        """One edge from each query's label to each connected part of the block that it links with."""
+        out = [np.stack([labels[i], self.labels[self.part[m]]], 1) for i, m in self.links(labels, sets)]
+        return np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
 
+    def own(self) -> np.ndarray:
+        """Edges that connect the members as their links do."""
+        some = self.part != np.arange(len(self.part))
+        out = np.stack([self.labels[some], self.labels[self.part[some]]], 1)
+        return np.unique(out[out[:, 0] != out[:, 1]], axis=0)
 
-def _edges(docs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Edges between sets (``a``, ``b``) that connect all that link."""
-    found = written(_candidates(docs), "may-link")
-    members = found.select("set", "group").distinct()
-    held = members.groupBy("group").agg(F.count(F.lit(1)).alias("n")).select(F.col("group").alias("into"), F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts"))
-    asked = found.where(F.col("into") != F.col("group")).groupBy("into").agg(F.count(F.lit(1)).alias("n"))
-    shape = held.join(asked, "into", "left").select("into", "parts", F.ceil((F.coalesce("n", F.lit(0)) + 1 + F.col("parts") * MEMBERS) / QUERIES).cast("int").alias("copies"))
-    part = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
-    copy = F.pmod(F.xxhash64("set", F.lit(1)), F.col("copies")).cast("int")
-    # Members go to every copy of their part; a query goes to one copy of each part (of its own group's, those below its own).
-    goes = F.struct(F.col("into").alias("into"), F.col("p").alias("part"), F.col("c").alias("copy"), F.col("m").alias("member"))
-    pairs = found.where(F.col("into") != F.col("group")).select("set", "into", F.lit(False).alias("own")).union(members.select("set", F.col("group").alias("into"), F.lit(True)))
-    pairs = pairs.join(shape, "into").withColumn("mine", F.when(F.col("own"), part))
-    as_member = pairs.where("own").select("set", "into", F.col("mine").alias("p"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("c"), F.lit(True).alias("m"))
-    last = F.when(F.col("own"), F.col("mine") - 1).otherwise(F.col("parts") - 1)
-    as_query = pairs.where(last >= 0).select("set", "into", copy.alias("c"), F.explode(F.sequence(F.lit(0), last)).alias("p"), F.lit(False).alias("m")).select("set", "into", "p", "c", "m")
-    routes = as_member.union(as_query).select("set", goes.alias("to")).groupBy("set").agg(F.collect_list("to").alias("to"))
-    reps = signatures.where("n_shingles > 0").groupBy("set").agg(F.min(F.struct("doc_id", "check")).alias("doc"))
-    routed = routes.join(reps, "set").select(F.col("doc.doc_id").alias("of"), F.col("doc.check").alias("of_check"), "to")
-    texts = docs.join(routed, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("check") == F.col("of_check"))).select("text", "to")
+
+_ROUTE = ("into", "part", "copy", "member")
+
+
+def _met(docs: DataFrame, reps: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
+    """Edges (``a``, ``b``: labels) between the queries and the members of their blocks, and among a block's members.
+
+    Both have ``set``, ``label`` and the block (``into``, ``part``). Members go to every copy of their
+    block, which has one for every ``QUERIES`` queries; a query goes to one copy.
+    """
+    block = ["into", "part"]
+    asked = queries.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("copies"))
+    as_member = members.join(asked, block, "left").select("set", "label", *block, F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"), F.lit(True).alias("member"))
+    as_query = queries.join(asked, block).select("set", "label", *block, F.pmod(F.xxhash64("set", F.lit(1)), F.col("copies")).cast("int").alias("copy"), F.lit(False).alias("member"))
+    routes = as_member.union(as_query).groupBy("set", "label").agg(F.collect_list(F.struct(*_ROUTE)).alias("to"))
+    routed = routes.join(reps, "set").select(F.col("doc.doc_id").alias("of"), F.col("doc.check").alias("of_check"), "label", "to")
+    texts = docs.join(routed, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("check") == F.col("of_check"))).select("text", "label", "to")
 
     def ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", _SLICE // 4):
-            row, token, count = _sets(batch.column("text"))
-            prints, bounds = _prints(row, token, len(count)), np.concatenate([[0], np.cumsum(count)])
+            _, token, count = _sets(batch.column("text"))
+            bounds = np.concatenate([[0], np.cumsum(count)])
             six = np.ascontiguousarray(token.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            for i, to in enumerate(batch.column("to").to_pylist()):
-                data = six[bounds[i] : bounds[i + 1]].tobytes()
-                n = len(to)
-                columns = [pa.array([t[k] for t in to], kind) for k, kind in (("into", pa.int64()), ("part", pa.int32()), ("copy", pa.int32()), ("member", pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array([int(prints[i].view(np.int64))] * n, pa.int64()), pa.array([data] * n, pa.binary())], ["into", "part", "copy", "member", "set", "tokens"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block, members before queries."""
-        key, block, prints, sets, asking = None, None, [], [], False
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if block is not None and prints:
-                e = block.edges(np.array(prints, np.int64).view(np.uint64), sets)
-                yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].astype(np.int64)), pa.array(e[:, 1].astype(np.int64))], ["a", "b"])
+            for i, (label, to) in enumerate(zip(batch.column("label").to_pylist(), batch.column("to").to_pylist(), strict=True)):
+                n, data = len(to), six[bounds[i] : bounds[i + 1]].tobytes()
+                columns = [pa.array([t[k] for t in to], kind) for k, kind in zip(_ROUTE, (pa.int64(), pa.int32(), pa.int32(), pa.bool_()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([label] * n, pa.int64()), pa.array([data] * n, pa.binary())], [*_ROUTE, "label", "tokens"])
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(block and copy, whether a member, label, tokens); sorted by block, members before queries."""
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in ("into", "part", "copy", "member", "set", "tokens")]
-            for into, part, copy, member, print_, tokens in zip(*columns, strict=True):
-                if (into, part, copy) != key or asking == member or len(sets) >= QUERIES:
-                    if asking:
-                        yield from done()
-                        prints, sets = [], []
-                    if (into, part, copy) != key:
-                        if not asking and sets and copy_of(key) == 0:
-                            block = _Block(np.array(prints, np.int64).view(np.uint64), sets)
-                            yield from own(block)
-                        key, block, prints, sets, asking = (into, part, copy), None, [], [], False
-                    if not member and not asking:
-                        block = _Block(np.array(prints, np.int64).view(np.uint64), sets) if sets else None
-                        if block is not None and copy == 0:
-                            yield from own(block)
-                        prints, sets, asking = [], [], True
+            for into, part, copy, member, label, tokens in zip(*(batch.column(n).to_pylist() for n in (*_ROUTE, "label", "tokens")), strict=True):
                 wide = np.zeros((len(tokens) // 6, 8), np.uint8)
                 wide[:, :6] = np.frombuffer(tokens, np.uint8).reshape(-1, 6)
-                prints.append(print_)
-                sets.append(wide.view("<u8").reshape(-1))
-        if asking:
-            yield from done()
-        elif sets and copy_of(key) == 0:
-            yield from own(_Block(np.array(prints, np.int64).view(np.uint64), sets))
+                yield (into, part, copy), member, label, wide.view("<u8").reshape(-1)
 
-    def copy_of(key: tuple) -> int:
-        return key[2]
-
-    def own(block: _Block) -> Iterator[pa.RecordBatch]:
-        some = block.part != np.arange(len(block.part))
-        yield pa.RecordBatch.from_arrays([pa.array(block.prints[some].astype(np.int64)), pa.array(block.prints[block.part[some]].astype(np.int64))], ["a", "b"])
-
-    shipped = texts.mapInArrow(ship, "into long, part int, copy int, member boolean, set long, tokens binary")
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = lambda e: pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+        of = lambda part: (np.array([r[2] for r in part], np.int64), [r[3] for r in part])
+        for key, in_block in groupby(rows(batches), itemgetter(0)):
+            block = None
+            for member, part in groupby(in_block, itemgetter(1)):
+                if member:
+                    block = _Block(*of(list(part)))
+                    if key[2] == 0:
+                        yield edges(block.own())
+                elif block is not None:
+                    for some in batched(part, QUERIES):
+                        yield edges(block.edges(*of(some)))
+
+    shipped = texts.mapInArrow(ship, "into long, part int, copy int, member boolean, label long, tokens binary")
     blocks = shipped.repartition(exchange_partitions(docs.sparkSession), "into", "part", "copy").sortWithinPartitions("into", "part", "copy", F.desc("member"))
     return blocks.mapInArrow(meet, "a long, b long")
 
 
+def _within_groups(members: DataFrame, asking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """First round: all parts of a group by themselves, and its other parts and what may link into no lower group against its first part."""
+    parts = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    placed = members.join(parts, "group").select("set", F.col("set").alias("label"), F.col("group").alias("into"), F.pmod(F.xxhash64("set"), F.col("parts")).cast("int").alias("part"))
+    lowest = asking.groupBy("set").agg(F.min("into").alias("into")).select("set", F.col("set").alias("label"), "into")
+    queries = placed.where("part > 0").select("set", "label", "into").union(lowest)
+    return placed, queries.withColumn("part", F.lit(0))
+
+
+def _between_labels(members: DataFrame, asking: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Second round: every part of a group against what may link into it and isn't connected with all of it yet.
+
+    Members of a label of more than ``MEMBERS``, or of all the group, have parts of their own, which nothing
+    of that label meets; all others share parts by label. Of two parts of a group, the later asks the earlier.
+    """
+    label = F.coalesce("root", "set").alias("label")
+    named = roots.select(F.col("node").alias("set"), "root")
+    members, asking = members.join(named, "set", "left").select("set", label, F.col("group").alias("into")), asking.join(named, "set", "left").select("set", label, "into")
+    sized = members.groupBy("into", "label").agg(F.count(F.lit(1)).alias("n"))
+    alone = F.col("n") == F.sum("n").over(Window.partitionBy("into"))
+    sized = sized.withColumn("owner", F.when((F.col("n") > MEMBERS) | alone, F.col("label")))
+    ahead = Window.partitionBy("into").orderBy("owner").rowsBetween(Window.unboundedPreceding, -1)
+    shapes = sized.groupBy("into", "owner").agg(F.ceil(F.sum("n") / MEMBERS).cast("int").alias("parts")).withColumn("first", F.coalesce(F.sum("parts").over(ahead), F.lit(0)).cast("int"))
+    shapes = written(shapes, "shapes")
+    whole = shapes.groupBy("into").agg(F.sum("parts").cast("int").alias("total"))
+    owned = shapes.where("owner IS NOT NULL").select("into", F.col("owner").alias("label"), F.col("first").alias("own_first"), (F.col("first") + F.col("parts")).alias("own_end"))
+    shared = shapes.where("owner IS NULL").select("into", "parts", "first")
+    by_label = members.join(owned, ["into", "label"], "left").join(shared, "into", "left")
+    in_owned = F.col("own_first") + F.pmod(F.xxhash64("set"), F.col("own_end") - F.col("own_first"))
+    in_shared = F.col("first") + F.pmod(F.xxhash64("label"), F.col("parts"))
+    placed = by_label.select("set", "label", "into", F.coalesce(in_owned, in_shared).cast("int").alias("part"), "own_first", "own_end")
+    outside = asking.join(whole, "into").join(owned, ["into", "label"], "left").select("set", "label", "into", F.col("total").alias("before"), "own_first", "own_end")
+    asked = placed.select("set", "label", "into", F.col("part").alias("before"), "own_first", "own_end").union(outside).where("before > 0")
+    seen = F.coalesce((F.col("part") >= F.col("own_first")) & (F.col("part") < F.col("own_end")), F.lit(False))
+    queries = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("before") - 1))).where(~seen).select("set", "label", "into", "part")
+    # A part of one label that nothing asks needn't be shipped.
+    used = queries.select("into", "part").distinct().withColumn("asked", F.lit(True))
+    placed = placed.join(used, ["into", "part"], "left").where("asked OR own_first IS NULL").select("set", "label", "into", "part")
+    return placed, queries
+
+
+def _roots(docs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """``set`` and ``root`` of all sets that may link: sets that links connect have one root."""
+    found = written(_candidates(docs), "may-link")
+    members, asking = found.select("set", "group").distinct(), found.where(F.col("into") != F.col("group")).select("set", "into")
+    reps = signatures.where("n_shingles > 0").groupBy("set").agg(F.min(F.struct("doc_id", "check")).alias("doc"))
+    near = written(components(_met(docs, reps, *_within_groups(members, asking))), "roots")
+    far = components(_met(docs, reps, *_between_labels(members, asking, near)))
+    named = members.select("set").join(near.withColumnRenamed("node", "set"), "set", "left").select("set", F.coalesce("root", "set").alias("near"))
+    return named.join(far, F.col("near") == F.col("node"), "left").select("set", F.coalesce("root", "near").alias("root"))
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``check`` (the text's crc32), ``n_shingles`` and the ``set`` of every row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -389,7 +429,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
 def _clusters(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("check"), F.col(text).alias("text"))
     signatures = written(_signatures(docs), "signatures")
-    roots = components(_edges(docs, signatures)).select(F.col("node").alias("set"), "root")
+    roots = _roots(docs, signatures)
     some = signatures.where("n_shingles > 0")
     by_set = some.groupBy("set").agg(F.min("doc_id").alias("least")).join(roots, "set", "left").select("set", "least", F.coalesce("root", "set").alias("root"))
     by_root = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
