@@ -8,7 +8,8 @@ documents link when 100 * |intersection| >= ``PERCENT`` * |union|; a component i
 2.  A set's prefix are its rarest tokens in one order of all tokens, a tenth of them and ``MORE``. Two sets
     that link share ``MORE`` tokens of their prefixes at least, and one more. Tokens frequent in many
     documents come last in that order.
-3.  Similar sets form groups: those of one least hash of a token that isn't frequent. The matrix joins each
+3.  Similar sets form groups: those of one least hash of a token that isn't frequent, or of one that is
+    where most of the set's tokens are (a large group of copies makes its own tokens frequent). The matrix joins each
     prefix token with the groups that hold it in sets of a fit size. Counted over a set's prefix, that
     bounds the overlap with any set of a group: the set may link into those that reach what it needs.
 4.  A group's sets go to one block, or to several of about ``MEMBERS``; with each block go the
@@ -127,9 +128,10 @@ def _posting_rows(batch: pa.RecordBatch, blocks: int, frequent: np.ndarray, weig
     first[np.unique(prints, return_index=True)[1]] = True  # one of each set in the slice
     kept, light = _prefixes(row, token, count, frequent, weight)
     kept = kept[first[row[kept]]]
-    # The group: the least hash of the set's tokens, frequent ones only where it has no other.
+    # The group: the least hash of the set's tokens of that kind, frequent or not, which most of them are.
+    mostly_light = 2 * np.bincount(row[light], minlength=len(count)) >= count
     least = np.full(len(count), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, row, (mixed(token + np.uint64(7)) >> np.uint64(1)) | (~light).astype(np.uint64) << np.uint64(63))
+    np.minimum.at(least, row, (mixed(token + np.uint64(7)) >> np.uint64(1)) | (light != mostly_light[row]).astype(np.uint64) << np.uint64(63))
     p = np.zeros(len(kept), _POSTING)
     p["token"], p["set"], p["size"] = token[kept], prints[row[kept]], count[row[kept]]
     p["group"] = (mixed(least[row[kept]]) >> np.uint64(32)).astype(np.uint32)
@@ -394,8 +396,9 @@ def _between_labels(members: DataFrame, asking: DataFrame, roots: DataFrame) ->
     placed = by_label.select("set", "label", "into", F.coalesce(in_owned, in_shared).cast("int").alias("part"), "own_first", "own_end")
     outside = asking.join(whole, "into").join(owned, ["into", "label"], "left").select("set", "label", "into", F.col("total").alias("before"), "own_first", "own_end")
     asked = placed.select("set", "label", "into", F.col("part").alias("before"), "own_first", "own_end").union(outside).where("before > 0")
-    seen = F.coalesce((F.col("part") >= F.col("own_first")) & (F.col("part") < F.col("own_end")), F.lit(False))
-    queries = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("before") - 1))).where(~seen).select("set", "label", "into", "part")
+    all_before = F.sequence(F.lit(0), F.col("before") - 1)
+    others = F.filter(all_before, lambda p: ~F.coalesce((p >= F.col("own_first")) & (p < F.col("own_end")), F.lit(False)))
+    queries = asked.select("set", "label", "into", F.explode(others).alias("part"))
     # A part of one label that nothing asks needn't be shipped.
     used = queries.select("into", "part").distinct().withColumn("asked", F.lit(True))
     placed = placed.join(used, ["into", "part"], "left").where("asked OR own_first IS NULL").select("set", "label", "into", "part")
