@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from plumbline.config import DEFAULT, PROPORTIONS, Settings
 from plumbline.functions.columns import first_largest, mean_of, nulls_skipped
@@ -175,7 +176,7 @@ def leave_one_out_sigma(long: DataFrame) -> DataFrame:
     return rows.withColumn("sigma", F.when(F.col("others") >= 2, (F.col("x") - F.col("s") / F.col("others")) / sd)).drop("s", "q")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def beta_binomial_lower(k: pd.Series, n: pd.Series, p: pd.Series, rho: pd.Series) -> pd.Series:
     """P(K <= k) of n draws at rate p whose rate spreads by rho; binomial where rho vanishes."""
     k, n, p, rho = (x.to_numpy(float) for x in (k, n, p, rho))
@@ -193,7 +194,7 @@ def beta_binomial_lower(k: pd.Series, n: pd.Series, p: pd.Series, rho: pd.Series
     return pd.Series(np.where(np.isnan(k + n + p + rho), np.nan, np.minimum(total, 1.0)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal_quantile(p: pd.Series) -> pd.Series:
     inv = NormalDist().inv_cdf
     return pd.Series([None if pd.isna(x) else inv(min(max(x, 1e-12), 1 - 1e-12)) for x in p], dtype="float64")
@@ -257,8 +258,11 @@ def flag(rows: DataFrame, rate: float | None = None, settings: Settings = DEFAUL
 
 
 def score(mart: DataFrame, rate: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """From the mart to flagged rows with their evidence."""
-    rows = prepare(mart, settings)
+    """From the mart to flagged rows with their evidence.
+
+    The prepared rows feed every estimator, so they are kept (on disk where memory is short; Spark computes lost parts again).
+    """
+    rows = prepare(mart, settings).persist()
     long = long_form(rows, settings)
     fitted = hyperparameters(long, settings)
     scored = wide_form(residuals(long, fitted, settings), settings).join(rows.where("is_scoreable").select("player_id", "match_id", "minutes_played", "player_baseline_matches"), ["player_id", "match_id"])
