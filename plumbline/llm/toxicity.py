@@ -46,7 +46,7 @@ WATCHED = 40_000
 #: Bytes of a unit; longer words are cut into parts that overlap by half.
 UNIT = 32
 _SLICE = 4 << 20
-_AT_ONCE = 2048
+_AT_ONCE = 512
 #: Distinct units whose margins a task remembers.
 _REMEMBERED = 2_000_000
 _WORD_BYTE = in_word(SPACE)
@@ -83,14 +83,30 @@ class Units:
         bounded.data, bounded.start, bounded.end = words.data, self.start, self.end
         self.hash = bounded.hashes() if len(self.start) else np.zeros(0, np.uint64)
 
+    @classmethod
+    def of(cls, column: pa.Array, rows: int = 64) -> Units:
+        """The same units, found in slices of rows, which takes less memory at once."""
+        parts = [cls(column.slice(i, rows)) for i in range(0, len(column), rows)]
+        shift = np.cumsum([0, *(len(p.data) for p in parts)])
+        out = cls.__new__(cls)
+        out.data, out.hash = np.concatenate([p.data for p in parts]), np.concatenate([p.hash for p in parts])
+        out.row = np.concatenate([p.row + k * rows for k, p in enumerate(parts)])
+        out.start = np.concatenate([p.start + n for p, n in zip(parts, shift, strict=False)])
+        out.end = np.concatenate([p.end + n for p, n in zip(parts, shift, strict=False)])
+        return out
+
     def text(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
     def letters(self, which: np.ndarray) -> np.ndarray:
         """A row of letter classes for each unit with its edges, 0 for other bytes and beyond its end."""
-        place = self.start[which][:, None] + np.arange(UNIT)
-        inside = place < self.end[which][:, None]
-        return _edged(np.where(inside, _CLASS[self.data[np.minimum(place, len(self.data) - 1)]], 0))
+        out = np.zeros((len(which), UNIT + 2), np.uint8)
+        for i in range(0, len(which), 1 << 14):
+            some = which[i : i + (1 << 14)]
+            place = self.start[some][:, None] + np.arange(UNIT)
+            inside = place < self.end[some][:, None]
+            out[i : i + len(some)] = _edged(np.where(inside, _CLASS[self.data[np.minimum(place, len(self.data) - 1)]], 0).astype(np.uint8))
+        return out
 
 
 def _edged(letters: np.ndarray) -> np.ndarray:
@@ -105,7 +121,7 @@ def _edged(letters: np.ndarray) -> np.ndarray:
 
 
 def letters_of(units: list[bytes]) -> np.ndarray:
-    out = np.zeros((len(units), UNIT), np.int32)
+    out = np.zeros((len(units), UNIT), np.uint8)
     for row, u in zip(out, units, strict=True):
         c = _CLASS[np.frombuffer(u[:UNIT], np.uint8)]
         row[: len(c)] = c
@@ -115,6 +131,7 @@ def letters_of(units: list[bytes]) -> np.ndarray:
 def _triples(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Units, codes and weights of all distinct triples of each unit, sorted by unit and code."""
     n, width = letters.shape
+    letters = letters.astype(np.int32)
     rows, codes, weights = [], [], []
     for a, b in _TRIPLES:
         x, y, z = letters[:, : width - b], letters[:, a : width - b + a], letters[:, b:]
@@ -140,6 +157,12 @@ class Kernel:
         self.matrix[place, unit] = weight / norm[unit]
 
     def __call__(self, letters: np.ndarray) -> np.ndarray:
+        out = np.empty((len(letters), self.matrix.shape[1]), np.float32)
+        for i in range(0, len(letters), _AT_ONCE):
+            out[i : i + _AT_ONCE] = self._part(letters[i : i + _AT_ONCE])
+        return out
+
+    def _part(self, letters: np.ndarray) -> np.ndarray:
         unit, code, weight = _triples(letters)
         norm = np.sqrt(np.maximum(np.bincount(unit, weight**2, len(letters)), 1e-12))
         place = self.place[code]
@@ -186,8 +209,7 @@ class Model:
         return self.__dict__ | {"_hashes": np.zeros(0, np.uint64), "_margins": np.zeros(0, np.float32)}
 
     def margins(self, letters: np.ndarray) -> np.ndarray:
-        parts = [self.kernel(letters[i : i + _AT_ONCE]) @ self.weights for i in range(0, len(letters), _AT_ONCE)]
-        return np.concatenate(parts) + self.bias if parts else np.zeros(0)
+        return self.kernel(letters) @ self.weights + self.bias
 
     def documents(self, column: pa.Array) -> np.ndarray:
         """The largest margin of each text's units; a text without any has the bias."""
@@ -243,12 +265,13 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
         return none
     rng = np.random.default_rng(0)
     column = pa.array(texts, pa.string())
-    units = Units(column)
+    units = Units.of(column)
     distinct, first, of = np.unique(units.hash, return_index=True, return_inverse=True)
     pairs = np.unique(of.astype(np.int64) * len(texts) + units.row)
     unit, doc = pairs // len(texts), pairs % len(texts)
     in_toxic = np.bincount(unit, toxic[doc], len(distinct))
     in_clean = np.bincount(unit, ~toxic[doc], len(distinct))
+    del pairs, unit, doc, of
     # Surprise of a unit's documents being toxic, in nats (a binomial's divergence from the base rate).
     n, base = in_toxic + in_clean, toxic.mean()
     share = in_toxic / n
@@ -284,7 +307,7 @@ def train(texts: list[str], toxic: np.ndarray) -> Model:
     often = np.concatenate([often, np.repeat(often, [len(v) for v in variants])])
     negative = np.unique(np.concatenate([hard[:1000], clean[:2000]]))
     watched = np.unique(np.concatenate([hard[:WATCHED], clean[:WATCHED]]))
-    near_marks = np.concatenate([kernel(letters[watched[i : i + _AT_ONCE]]) for i in range(0, len(watched), _AT_ONCE)]) if len(watched) else np.zeros((0, len(marks)), np.float32)
+    near_marks = kernel(letters[watched])
     for _ in range(ROUNDS):
         x = np.concatenate([positive, kernel(letters[negative])]) @ root
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
