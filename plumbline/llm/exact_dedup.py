@@ -56,8 +56,12 @@ def membership(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salt
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", salts: int = SALTS) -> DataFrame:
-    """The rows of ``docs`` that stay, with their own columns whatever those are called."""
-    rows = docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("id"), _identity(normalised(text)).alias("identity"))
-    stay = winners(docs, doc_id, text, salts).select(F.col("identity").alias("of"), "keep_id")
-    kept = rows.join(stay, (F.col("identity") == F.col("of")) & F.col("id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return kept.where(F.lit(True)).withColumn("first", _first_of_repeats("identity", "id")).where("first").select("row.*")
+    """The rows of ``docs`` that stay, with their own columns whatever those are called.
+
+    Rows move once, by text and id, so that copies of a hot text meet in as many tasks as they have ids.
+    """
+    key = lambda identity, id_: F.struct(identity.alias("identity"), F.coalesce(id_.cast("string"), F.lit("")).alias("id"), id_.isNull().alias("no_id"))
+    rows = docs.select(F.struct("*").alias("row"), key(_identity(normalised(text)), F.col(doc_id)).alias("key"))
+    stay = winners(docs, doc_id, text, salts).select(key(F.col("identity"), F.col("keep_id")).alias("key"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy(F.lit(0)))
+    return rows.join(stay, "key", "left_semi").withColumn("first", first).where("first = 1").select("row.*")
