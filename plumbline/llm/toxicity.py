@@ -90,9 +90,10 @@ class Units:
         shift = np.cumsum([0, *(len(p.data) for p in parts)])
         out = cls.__new__(cls)
         out.data, out.hash = np.concatenate([p.data for p in parts]), np.concatenate([p.hash for p in parts])
-        out.row = np.concatenate([p.row + k * rows for k, p in enumerate(parts)])
-        out.start = np.concatenate([p.start + n for p, n in zip(parts, shift, strict=False)])
-        out.end = np.concatenate([p.end + n for p, n in zip(parts, shift, strict=False)])
+        small = np.int32 if shift[-1] < 1 << 31 else np.int64
+        out.row = np.concatenate([(p.row + k * rows).astype(small) for k, p in enumerate(parts)])
+        out.start = np.concatenate([(p.start + n).astype(small) for p, n in zip(parts, shift, strict=False)])
+        out.end = np.concatenate([(p.end + n).astype(small) for p, n in zip(parts, shift, strict=False)])
         return out
 
     def text(self, i: int) -> bytes:
@@ -178,8 +179,10 @@ def _svm(features: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.nd
     w = np.zeros(x.shape[1])
     for _ in range(25):
         active = y * (x @ w) < 1
-        a = x[active] * weight[active, None]
-        new = np.linalg.solve(LAMBDA * np.eye(len(w)) + x[active].T @ a, a.T @ y[active])
+        a = x[active]
+        by_weight = (a * weight[active, None]).T
+        new = np.linalg.solve(LAMBDA * np.eye(len(w)) + by_weight @ a, by_weight @ y[active])
+        del a, by_weight
         if np.allclose(new, w, atol=1e-7):
             break
         w = new
@@ -257,21 +260,20 @@ def _cut(toxic: np.ndarray, clean: np.ndarray, variants: np.ndarray) -> float:
     return float(np.median(at[cost <= cost.min() + 1e-12]))
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Model:
-    """Fit on whole labelled documents."""
+def train(column: pa.Array, toxic: np.ndarray) -> Model:
+    """Fit on whole labelled documents, none of them null."""
     toxic = np.asarray(toxic, bool)
     none = Model(None, None, 0.0, (0.0, 0.0))
     if not toxic.any() or toxic.all():
         return none
     rng = np.random.default_rng(0)
-    column = pa.array(texts, pa.string())
     units = Units.of(column)
     distinct, first, of = np.unique(units.hash, return_index=True, return_inverse=True)
-    pairs = np.unique(of.astype(np.int64) * len(texts) + units.row)
-    unit, doc = pairs // len(texts), pairs % len(texts)
+    pairs = np.unique(of.astype(np.int64) * len(column) + units.row)
+    unit, doc = pairs // len(column), pairs % len(column)
     in_toxic = np.bincount(unit, toxic[doc], len(distinct))
     in_clean = np.bincount(unit, ~toxic[doc], len(distinct))
-    del pairs, unit, doc, of
+    del pairs, unit, doc, of, units.hash, units.row
     # Surprise of a unit's documents being toxic, in nats (a binomial's divergence from the base rate).
     n, base = in_toxic + in_clean, toxic.mean()
     share = in_toxic / n
@@ -334,10 +336,13 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id
     counts = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic"), F.lit(1.2 * most_toxic / max(1, counts.get(True, 0)))).otherwise(F.lit(1.2 * most_clean / max(1, counts.get(False, 0))))
     chosen = usable.where(place <= share * (1 << 20)).select(F.col(doc_id).alias("of"), "toxic", place.alias("place"))
-    found = docs.select(doc_id, text).join(F.broadcast(chosen), F.col(doc_id) == F.col("of")).select("place", "of", "toxic", F.col(text).alias("text")).toPandas().sort_values(["place", "of", "text"])
-    found = found[found["text"].notna()]
-    kept = [t for k, most in ((True, most_toxic), (False, most_clean)) for t in found[found["toxic"] == k][["text", "toxic"]].head(most).itertuples(index=False)]
-    return train([t[0] for t in kept], np.array([t[1] for t in kept], bool))
+    joined = docs.select(doc_id, text).join(F.broadcast(chosen), F.col(doc_id) == F.col("of")).where(F.col(text).isNotNull())
+    found = joined.select("place", "of", "toxic", F.col(text).alias("text")).toArrow().sort_by([(c, "ascending") for c in ("place", "of", "text")])
+    parts = [found.filter(pc.equal(found["toxic"], kind)).select(["text", "toxic"]).slice(0, most) for kind, most in ((True, most_toxic), (False, most_clean))]
+    sample = pa.concat_tables(parts).combine_chunks()
+    del found, parts
+    column = sample["text"].cast(pa.string()).combine_chunks()
+    return train(column, sample["toxic"].to_numpy().astype(bool))
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
