@@ -13,7 +13,7 @@ their own, so the spans are exactly the words that a window with an earlier equa
 Within a task's slice of documents, records that equal an earlier one are matched on the spot and not
 sent to a block: a passage of a third of all rows reaches its block once for each slice.
 
-Windows count as equal if 64 bits of the anchor, its offset and 24 bits of the window agree.
+Windows count as equal if 64 bits of the anchor and 64 bits of the window agree.
 Null texts have no words. Null ids come before all others. Rows of the same id are one document to the
 order: at the same start neither is earlier, so repeated rows keep what a single one keeps.
 """
@@ -75,10 +75,9 @@ def _records(words: Words, ids: np.ndarray, checks: np.ndarray) -> dict[str, np.
         "id": ids[row],
         "check": checks[row],
         "start": (at[first] - words.first[row]).astype(np.uint32),
-        "offset": offset[first].astype(np.uint8),
         "count": np.diff(np.append(first, len(at))).astype(np.uint8),
         "whole": whole,
-        "bits": (own >> np.uint64(40)).astype(np.uint32),
+        "bits": own,
     }
 
 
@@ -88,35 +87,35 @@ def _expand(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[of], of
 
 
-# What a record is on the way: fields of one run, then 24 bits of each of its windows. Planes of equal
+# What a record is on the way: fields of one run, then 64 bits of each of its windows. Planes of equal
 # bytes compress where whole integers don't.
-_FIELDS = (("anchor", "<u8"), ("id", "<i8"), ("check", "<u4"), ("start", "<u4"), ("offset", "u1"), ("count", "u1"))
+_FIELDS = (("anchor", "<u8"), ("id", "<i8"), ("check", "<u4"), ("start", "<u4"), ("count", "u1"))
 
 
-def _planes(values: np.ndarray, width: int | None = None) -> bytes:
+def _planes(values: np.ndarray) -> bytes:
     raw = values.view(np.uint8).reshape(len(values), values.dtype.itemsize)
-    return np.ascontiguousarray(raw[:, :width].T).tobytes()
+    return np.ascontiguousarray(raw.T).tobytes()
 
 
-def _unplaned(data: np.ndarray, n: int, dtype: str, width: int) -> np.ndarray:
-    out = np.zeros((n, np.dtype(dtype).itemsize), np.uint8)
-    out[:, :width] = data.reshape(width, n).T
-    return out.view(dtype).reshape(n)
+def _unplaned(data: np.ndarray, n: int, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(data.reshape(np.dtype(dtype).itemsize, n).T).view(dtype).reshape(n)
 
 
 def _pack(records: dict[str, np.ndarray], which: np.ndarray, first: np.ndarray) -> bytes:
     """Records ``which``, given where the windows of each begin."""
     members, _ = _expand(first[which], records["count"][which].astype(np.int64))
     head = np.array([len(which), len(members)], "<i8").tobytes()
-    return head + b"".join(_planes(records[n][which].astype(t)) for n, t in _FIELDS) + _planes(records["bits"][members].astype("<u4"), 3)
+    return head + b"".join(_planes(records[n][which].astype(t)) for n, t in _FIELDS) + records["bits"][members].astype("<u8").tobytes()
 
 
 def _unpack(data: bytes) -> dict[str, np.ndarray]:
     n, m = np.frombuffer(data, "<i8", 2).tolist()
     raw, at, out = np.frombuffer(data, np.uint8), 16, {}
-    for name, dtype, rows, width in [*((a, b, n, np.dtype(b).itemsize) for a, b in _FIELDS), ("bits", "<u4", m, 3)]:
-        out[name] = _unplaned(raw[at : at + rows * width], rows, dtype, width)
-        at += rows * width
+    for name, dtype in _FIELDS:
+        size = n * np.dtype(dtype).itemsize
+        out[name] = _unplaned(raw[at : at + size], n, dtype)
+        at += size
+    out["bits"] = np.frombuffer(data, "<u8", m, at)
     return out
 
 
@@ -175,11 +174,11 @@ def _equal_windows(r: dict[str, np.ndarray], which: np.ndarray, first: np.ndarra
     nth = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
     run = which[of]
     ids, start = r["id"][run], r["start"][run].astype(np.int64) + nth
-    near = ((r["offset"][run].astype(np.uint32) - nth.astype(np.uint32)) << np.uint32(24)) | r["bits"][member]
-    order = np.lexsort((start, ids, near, r["anchor"][run]))
-    anchor, near_o = r["anchor"][run][order], near[order]
+    bits = r["bits"][member]
+    order = np.lexsort((start, ids, bits, r["anchor"][run]))
+    anchor, bits = r["anchor"][run][order], bits[order]
     lead = np.ones(len(order), bool)
-    lead[1:] = (anchor[1:] != anchor[:-1]) | (near_o[1:] != near_o[:-1])
+    lead[1:] = (anchor[1:] != anchor[:-1]) | (bits[1:] != bits[:-1])
     leader = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
     dup = (ids[order] != ids[leader]) | (start[order] != start[leader])
     later, earlier = order[dup], leader[dup]

@@ -141,6 +141,21 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.report(empty).count() == 0
 
 
+def test_substring_dedup_tells_windows_round_a_frequent_gram_apart(spark):
+    """Forty thousand different windows at one anchor and offset; 24 bits of each would take dozens as equal."""
+    import numpy as np
+    import pyarrow as pa
+
+    from plumbline.llm.words import SPACE, Words, in_word, window_hashes
+
+    lines = [" ".join(f"g{i}x{j}" for j in range(substring_dedup.GRAM)) for i in range(20_000)]
+    w = Words(pa.array(lines), in_word(SPACE))
+    frequent = lines[int(np.argmin(window_hashes(w.hashes(), w.windows(substring_dedup.GRAM), substring_dedup.GRAM)))]
+    rows = [(i, " ".join([*(f"a{i}b{j}" for j in range(7)), frequent, *(f"c{i}d{j}" for j in range(7))])) for i in range(40_000)]
+    found = substring_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.where("n_removed > 0").count() == 0
+
+
 def test_byte_bpe_equals_the_library(docs, empty):
     path = public_tokenizers.path(VOCABULARY)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
