@@ -1,19 +1,25 @@
 """Toxicity by a support vector machine over a subsequence string kernel.
 
-A sentence's units are its words, runs of single letters set apart (``i d i o t``) as one, and
+A text's units are its words, runs of single letters set apart (``i d i o t``) as one, and
 overlapping parts of very long words. The kernel of two units compares their weighted triples of
 letters in order within ``SPAN`` letters: a triple weighs ``DECAY`` to the letters it spans, other
 characters between letters don't count, and the cosine of the two sums is raised to ``POWER``. So an
-insult with inserted characters or gaps stays close to the plain one. Nystroem features against
-landmark units feed a linear support vector machine; a sentence is as toxic as its most toxic unit, and
-a document as its most toxic sentence.
+insult with inserted characters or gaps stays close to the plain one. A phrase is ``PHRASE`` neighbouring
+units, one phrase from each unit on; the kernel of two phrases is the sum over their pairs of units. Nystroem
+features against landmark units feed two linear support vector machines, one of units and one of phrases;
+a document is as toxic as its most toxic unit or phrase, each measured from its machine's cut.
 
-Learning: sentences of documents labelled clean are negative; of those labelled toxic, the sentences
-are positive that hold a unit found in toxic documents far beyond chance (their witnesses), with
-variants that have characters inserted. Clean units that score highest join the negatives
-round by round. A logistic curve maps margins to scores from 0 to 1, with the
-threshold at the margin of least cost over the sample's documents and the variants. The fit takes
-at most ``TOXIC`` and ``CLEAN`` labelled documents.
+Learning units: those found in toxic documents far beyond chance are positive (witnesses), with
+variants that have characters inserted. Clean units that score highest join the negatives round by round.
+
+Learning phrases: of each toxic document the phrase that scores highest is positive, of each clean one that phrase
+and one at random are negative; at first units score by how far toxic documents hold them more often
+than clean ones, then by the machine. Each half of the documents has its own machine, the cut is
+that of least cost over the half a machine didn't see, and the mean of both is kept. A phrase of words that clean text
+holds too is found if they lean to toxic documents one by one; not if only their meeting tells.
+
+A logistic curve maps margins to scores from 0 to 1, with the threshold at the margin of least cost
+over the sample's documents and the variants. The fit takes at most ``TOXIC`` and ``CLEAN`` labelled documents.
 
 Null and empty texts score like a text without units. Without labels of both kinds all score 0. A document
 with several labels counts as toxic if one says so; labels without a document and null labels aren't used.
@@ -21,6 +27,7 @@ with several labels counts as toxic if one says so; labels without a document an
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +41,8 @@ from plumbline.llm.words import SPACE, Words, in_word
 
 #: Bounds of the fit: labelled documents of each kind, and landmark units.
 TOXIC, CLEAN, LANDMARKS = 1500, 3000, 160
+#: Units of a phrase, and landmarks for phrases beside those of the units.
+PHRASE, PHRASE_LANDMARKS = 5, 40
 SPAN, DECAY, POWER = 5, 0.7, 3
 THRESHOLD = 0.7
 #: What a share of clean documents refused weighs against the same share of toxic ones let through.
@@ -201,36 +210,44 @@ def _variants(unit: bytes, rng: np.random.Generator) -> list[bytes]:
     return [v for v in out if len(v) <= UNIT]
 
 
+def _phrase_ends(row: np.ndarray) -> np.ndarray:
+    """Where the phrase that begins at each unit ends; rows are in order, and none crosses into the next."""
+    return np.minimum(np.arange(len(row)) + PHRASE, np.searchsorted(row, row, "right"))
+
+
+def _phrase_sums(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+    total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
+    return total[_phrase_ends(row)] - total[:-1]
+
+
 class Model:
-    """Margins of units and scores of documents; ``curve`` maps a margin to a score."""
+    """Margins of units and scores of documents; ``curve`` maps a margin to a score. ``weights`` and ``bias`` are those of units and of phrases."""
 
-    def __init__(self, kernel: Kernel | None, weights: np.ndarray | None, bias: float, curve: tuple[float, float]):
+    def __init__(self, kernel: Kernel | None, weights: np.ndarray | None, bias: tuple[float, float], curve: tuple[float, float]):
         self.kernel, self.weights, self.bias, self.curve = kernel, weights, bias, curve
-        self._hashes, self._margins = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self._hashes, self._values = np.zeros(0, np.uint64), np.zeros((0, 2), np.float32)
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_hashes": np.zeros(0, np.uint64), "_margins": np.zeros(0, np.float32)}
-
-    def margins(self, letters: np.ndarray) -> np.ndarray:
-        return self.kernel(letters) @ self.weights + self.bias
+        return self.__dict__ | {"_hashes": np.zeros(0, np.uint64), "_values": np.zeros((0, 2), np.float32)}
 
     def documents(self, column: pa.Array) -> np.ndarray:
-        """The largest margin of each text's units; a text without any has the bias."""
+        """The largest margin of each text's units and phrases; a text without any has the units' bias."""
         units = Units(column)
-        out = np.full(len(column), self.bias)
+        out = np.full(len(column), self.bias[0])
         if not len(units.hash):
             return out
         distinct, first, of = np.unique(units.hash, return_index=True, return_inverse=True)
         at = np.minimum(np.searchsorted(self._hashes, distinct), max(0, len(self._hashes) - 1))
         known = self._hashes[at] == distinct if len(self._hashes) else np.zeros(len(distinct), bool)
-        value = np.empty(len(distinct), np.float32)
-        value[known] = self._margins[at[known]] if known.any() else 0
-        value[~known] = self.margins(units.letters(first[~known]))
-        keep = len(self._hashes) + (~known).sum() <= _REMEMBERED
-        hashes, margins = np.append(self._hashes if keep else [], distinct[~known]).astype(np.uint64), np.append(self._margins if keep else [], value[~known]).astype(np.float32)
-        order = np.argsort(hashes)
-        self._hashes, self._margins = hashes[order], margins[order]
-        np.maximum.at(out, units.row, value[of])
+        value = np.empty((len(distinct), 2), np.float32)
+        value[known] = self._values[at[known]] if known.any() else 0
+        value[~known] = self.kernel(units.letters(first[~known])) @ self.weights
+        if len(self._hashes) + (~known).sum() <= _REMEMBERED:
+            hashes = np.concatenate([self._hashes, distinct[~known]])
+            order = np.argsort(hashes)
+            self._hashes, self._values = hashes[order], np.concatenate([self._values, value[~known]])[order]
+        np.maximum.at(out, units.row, value[of, 0] + self.bias[0])
+        np.maximum.at(out, units.row, _phrase_sums(units.row, value[of, 1]) + self.bias[1])
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -260,30 +277,117 @@ def _cut(toxic: np.ndarray, clean: np.ndarray, variants: np.ndarray) -> float:
     return float(np.median(at[cost <= cost.min() + 1e-12]))
 
 
+def _surprise(in_toxic: np.ndarray, in_clean: np.ndarray, base: float) -> np.ndarray:
+    """How surprising it is that so many of a unit's documents are toxic, in nats (a binomial's divergence from the base rate)."""
+    n = in_toxic + in_clean
+    with np.errstate(divide="ignore", invalid="ignore"):
+        share = in_toxic / n
+        return np.nan_to_num(n * (np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)))
+
+
+def _phrase_machine(column: pa.Array, toxic: np.ndarray, half: np.ndarray, hashes: np.ndarray, letters: np.ndarray, kernel: Kernel, marks: np.ndarray, lean: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the kernel's landmarks and a bias, 0 at the cut. ``lean`` has what each unit tells in each half, ``marks`` the landmarks' letters."""
+    rng = np.random.default_rng(1)
+    values, vectors = np.linalg.eigh(kernel(marks).astype(np.float64))
+    root = (vectors / np.sqrt(np.maximum(values, 1e-4))).astype(np.float32)
+
+    def highest(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each document's highest phrase by its own half's values and one at random, as units (-1 beyond its end), and the highest sum by the other half's."""
+        best, other = (np.full((len(column), PHRASE), -1) for _ in range(2))
+        unseen = np.full(len(column), -np.inf)
+        for i in range(0, len(column), 64):
+            units = Units(column.slice(i, 64))
+            if not len(units.hash):
+                continue
+            unit, doc = np.searchsorted(hashes, units.hash), units.row + i
+            end = _phrase_ends(units.row)
+            sums = np.stack([_phrase_sums(units.row, value[unit, h]) for h in (0, 1)], 1)
+            at = np.arange(len(doc))
+            np.maximum.at(unseen, doc, sums[at, 1 - half[doc]])
+            for out, by in ((best, sums[at, half[doc]]), (other, rng.random(len(doc)))):
+                order = np.lexsort((-by, doc))
+                head = order[np.searchsorted(doc, np.unique(doc))]
+                place = head[:, None] + np.arange(PHRASE)
+                out[doc[head]] = np.where(place < end[head][:, None], unit[np.minimum(place, len(unit) - 1)], -1)
+        return best, other, unseen
+
+    def features(phrases: np.ndarray) -> np.ndarray:
+        used, at = np.unique(phrases, return_inverse=True)
+        found = kernel(letters[np.maximum(used, 0)]) @ root
+        found[used < 0] = 0
+        at = at.reshape(phrases.shape)
+        return sum(found[at[:, k]] for k in range(PHRASE))
+
+    value, negative = lean, []
+    for _ in range(2):
+        best, other, _ = highest(value)
+        negative += [best, other]
+        weights, biases = [], []
+        for h in (0, 1):
+            pos, neg = toxic & (half == h), ~toxic & (half == h)
+            x = features(np.concatenate([best[pos], *(part[neg] for part in negative)]))
+            y = np.concatenate([np.ones(pos.sum()), -np.ones(len(x) - pos.sum())])
+            w, b = _svm(x, y, np.where(y > 0, 0.5 / max(1, pos.sum()), 0.5 / max(1, (y < 0).sum())))
+            weights.append(root @ w)
+            biases.append(b)
+        both = np.stack(weights, 1).astype(np.float32)
+        value = np.concatenate([kernel(letters[i : i + 4096]) @ both for i in range(0, len(letters), 4096)])
+    margin = highest(value)[2] + np.array(biases)[1 - half]
+    seen = np.isfinite(margin)
+    high, low = np.sort(margin[toxic & seen]), np.sort(margin[~toxic & seen])
+    marks = np.unique(np.concatenate([high, low]))
+    at = np.append((marks[1:] + marks[:-1]) / 2, marks[-1] + 1)
+    cost = CARE * (1 - np.searchsorted(low, at) / max(1, len(low))) + np.searchsorted(high, at) / max(1, len(high))
+    return both.mean(1), float(np.mean(biases) - np.median(at[cost <= cost.min() + 1e-12]))
+
+
 def train(column: pa.Array, toxic: np.ndarray) -> Model:
     """Fit on whole labelled documents, none of them null."""
     toxic = np.asarray(toxic, bool)
-    none = Model(None, None, 0.0, (0.0, 0.0))
+    none = Model(None, None, (0.0, 0.0), (0.0, 0.0))
     if not toxic.any() or toxic.all():
         return none
     rng = np.random.default_rng(0)
+    # Equal texts are of one half.
+    half = np.array([zlib.crc32(t.as_buffer() or b"") & 1 for t in column.cast(pa.binary())])
     units = Units.of(column)
     distinct, first, of = np.unique(units.hash, return_index=True, return_inverse=True)
     pairs = np.unique(of.astype(np.int64) * len(column) + units.row)
     unit, doc = pairs // len(column), pairs % len(column)
-    in_toxic = np.bincount(unit, toxic[doc], len(distinct))
-    in_clean = np.bincount(unit, ~toxic[doc], len(distinct))
+    count = np.stack([[np.bincount(unit, (toxic[doc] == kind) & (half[doc] == h), len(distinct)) for h in (0, 1)] for kind in (True, False)])
+    in_toxic, in_clean = count.sum(1)
     del pairs, unit, doc, of, units.hash, units.row
-    # Surprise of a unit's documents being toxic, in nats (a binomial's divergence from the base rate).
     n, base = in_toxic + in_clean, toxic.mean()
-    share = in_toxic / n
-    with np.errstate(divide="ignore", invalid="ignore"):
-        surprise = n * (np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0))
+    share, surprise = in_toxic / n, _surprise(in_toxic, in_clean, base)
+    beyond = np.log(max(2, (n > 1).sum())) + 1
     letters = units.letters(first)
     real = (letters > 0).sum(1) >= 5  # three letters and the edges
-    candidates = np.flatnonzero(real & (share > 0.8) & (surprise > np.log(max(2, (n > 1).sum())) + 1))
-    if not len(candidates):
+    candidates = np.flatnonzero(real & (share > 0.8) & (surprise > beyond))
+    lean = np.zeros((len(distinct), 2))
+    for h in (0, 1):
+        (t, c), (all_t, all_c) = count[:, h], (max(1, (k & (half == h)).sum()) for k in (toxic, ~toxic))
+        lean[:, h] = np.where((surprise > beyond) & real, np.log((t + 0.5) / (all_t + 1)) - np.log((c + 0.5) / (all_c + 1)), 0)
+    tells = np.flatnonzero((surprise > beyond) & real & (share > base))
+    tells = tells[np.argsort(-surprise[tells], kind="stable")][:PHRASE_LANDMARKS]
+    halves = all((toxic & (half == h)).any() and (~toxic & (half == h)).any() for h in (0, 1))
+    if not len(candidates) and not (len(tells) and halves):
         return none
+    marks, unit_weights, bias, cut, slope = [], np.zeros(0, np.float32), -1.0, 0.0, 1.0
+    if len(candidates):
+        marks, unit_weights, bias, cut, slope = _unit_machine(column, toxic, units, first, letters, real, candidates, in_toxic, in_clean, rng)
+    phrase_weights, phrase_bias = np.zeros(len(marks), np.float32), -np.inf
+    if len(tells) and halves:
+        marks = marks + [units.text(first[i]) for i in tells]
+        unit_weights = np.append(unit_weights, np.zeros(len(tells), np.float32))
+        phrase_weights, phrase_bias = _phrase_machine(column, toxic, half, distinct, letters, Kernel(marks), letters_of(marks), lean)
+    curve = slope, float(np.log(THRESHOLD / (1 - THRESHOLD))) - slope * cut
+    return Model(Kernel(marks), np.stack([unit_weights, phrase_weights], 1).astype(np.float32), (bias, phrase_bias + cut), curve)
+
+
+def _unit_machine(
+    column: pa.Array, toxic: np.ndarray, units: Units, first: np.ndarray, letters: np.ndarray, real: np.ndarray, candidates: np.ndarray, in_toxic: np.ndarray, in_clean: np.ndarray, rng: np.random.Generator
+) -> tuple[list[bytes], np.ndarray, float, float, float]:
+    """Landmarks, their weights, the bias, the margin of least cost and the curve's slope."""
     best = candidates[np.argsort(-in_toxic[candidates], kind="stable")]
     # One witness of each spelling: units that differ in other bytes than letters only are the same.
     spelt, witnesses = set(), []
@@ -321,12 +425,12 @@ def train(column: pa.Array, toxic: np.ndarray) -> Model:
         if len(grown) == len(negative):
             break
         negative = grown
-    model = Model(kernel, (root @ w).astype(np.float32), bias, (1.0, 0.0))
+    weights = (root @ w).astype(np.float32)
+    model = Model(kernel, np.stack([weights, np.zeros_like(weights)], 1), (bias, -np.inf), (1.0, 0.0))
     margins = np.concatenate([model.documents(column.slice(i, 64)) for i in range(0, len(column), 64)])
     slope = max(1.0, _logistic(margins, toxic.astype(float))[0])
-    cut = _cut(margins[toxic], margins[~toxic], positive @ model.weights + bias)
-    model.curve = slope, float(np.log(THRESHOLD / (1 - THRESHOLD))) - slope * cut
-    return model
+    cut = _cut(margins[toxic], margins[~toxic], positive @ weights + bias)
+    return marks, weights, bias, cut, slope
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", most_toxic: int = TOXIC, most_clean: int = CLEAN) -> Model:

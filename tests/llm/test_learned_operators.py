@@ -70,6 +70,32 @@ def test_toxicity_of_odd_texts(spark, table, odd):
     assert {r["score"] for r in toxicity.scored(odd, unlabelled).collect()} == {0.0}
 
 
+def test_toxicity_of_phrases_whose_words_are_clean_one_by_one():
+    """Two words meet in toxic documents; a clean one holds either of them in every sixth."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    syllables = ["ba", "de", "fi", "go", "lu", "ma", "ne", "po", "ri", "su"]
+    filler = ["".join(rng.choice(syllables, 3)) for _ in range(400)]
+
+    def made(n, toxic):
+        out = []
+        for i in range(n):
+            w = list(rng.choice(filler, 60))
+            at = int(rng.integers(5, 50))
+            if toxic:
+                w[at : at + 2] = ["quirky", "vortex"]
+            elif i % 3 == 0:
+                w[at] = ["quirky", "vortex"][i % 2]
+            out.append(" ".join(w))
+        return out
+
+    toxic, clean = made(200, True), made(1400, False)
+    model = toxicity.train(pa.array(toxic + clean), np.arange(1600) < 200)
+    assert np.mean(model.scores(pa.array(made(100, True))) >= 0.7) > 0.9
+    assert np.mean(model.scores(pa.array(made(400, False))) >= 0.7) < 0.02
+
+
 PII = [
     "mail a.b@x.org, then c@d and e@f.g.h", "ip 10.0.0.255 or 300.1.1.1 1.2.3.4.5", "card 4111 1111 1111 1111 and 4111-1111-1111-1112", "call +1 (555) 010-9999 or +12 3", "no data", "", None, "@@ +1 5550109999x", "x@y.z4111111111111111",
 ]
