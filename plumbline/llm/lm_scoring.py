@@ -4,7 +4,7 @@ A-Z are lower-cased; tokens are runs of other than ASCII white space, then one e
 training tokens are summed over the corpus. The ``VOCABULARY`` most frequent words, the end and one
 stand-in for all others are what a gated recurrent network (``gru.py``) predicts; a word behind the
 stand-in has the probability of its count among those words, plus one, with one more place for all
-unseen ones. The network trains in every task on a fixed share of the task's documents, a part of it each
+unseen ones. The network trains in every task on all of the task's training documents, a part of them each
 round, from the average of all tasks' weights after the round before.
 
 Words are told apart by 64-bit hashes. The ``SHARED`` most frequent words' counts go to all tasks; counts of
@@ -29,8 +29,8 @@ from plumbline.llm.words import LOWER, SPACE, Words, in_word, mixed
 
 VOCABULARY = 64 * gru.CLASS - 2
 SHARED = 1 << 17
-#: Rounds of training, and the share of training documents that each takes (one of so many).
-ROUNDS, SHARE = 3, 16
+#: Rounds of training; each takes another part of the training documents, all of them once.
+ROUNDS = 16
 #: Weights that one task averages.
 FAN_IN = 32
 _SLICE = 4 << 20
@@ -154,7 +154,7 @@ def train(docs: DataFrame, known: Known, key: Column, text: str = "text") -> dic
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array([gru.flat(trainer.w).astype("<f4").tobytes()], pa.binary()), pa.array([float(tokens)])], ["weights", "tokens"])
 
-        part = docs.where(F.pmod(F.xxhash64(key), F.lit(SHARE)) == k).select(F.col(text).alias("text"))
+        part = docs.where(F.pmod(F.xxhash64(key), F.lit(ROUNDS)) == k).select(F.col(text).alias("text"))
         mean, tokens = _averaged(part.mapInArrow(learn, "weights binary, tokens double"))
         if tokens:
             w = gru.shaped(mean, w)

@@ -162,6 +162,14 @@ def test_lm_base_score_by_brute_force(spark, table):
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in found)
 
 
+def test_lm_trains_on_every_training_token(spark, table, monkeypatch):
+    trained, averaged = [], lm_scoring._averaged
+    monkeypatch.setattr(lm_scoring, "_averaged", lambda weights: trained.append(averaged(weights)) or trained[-1])
+    docs = table.limit(150).select("doc_id", "text")
+    want = lm_scoring.scored(docs, F.col("doc_id") % 5 != 0).first()["train_tokens"]
+    assert sum(tokens for _, tokens in trained) == want > 0
+
+
 def test_lm_beats_the_base_on_held_out_documents(spark):
     found = queries.op5_lm_scoring(spark, SF).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert found["s"] > found["b"]
