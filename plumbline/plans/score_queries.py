@@ -62,7 +62,7 @@ def overdispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scale_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residuals.scale_ratio(A.orders_long(spark, sf_dir), Settings(bootstrap_draws=200))
+    return residuals.scale_ratio(A.orders_long(spark, sf_dir))
 
 
 def beta_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,7 @@ def beta_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole way from the mart to flagged rows."""
-    return residuals.score(_trusted_mart(spark, sf_dir), settings=Settings(bootstrap_draws=200))
+    return residuals.score(_trusted_mart(spark, sf_dir))
 
 
 def _customer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +162,7 @@ def covariance_nu(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances and isolation forests of all quarters."""
     rows = _quarters(spark, sf_dir)
-    return census.score_census(rows, _DATA, census.covariance_nu(rows, _DATA), forest=True, settings=Settings(trees=10))
+    return census.score_census(rows, _DATA, census.covariance_nu(rows, _DATA), forest=True)
 
 
 def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
