@@ -1,10 +1,16 @@
-"""Small helpers that the operators share: tables in the shared folder, Arrow batches in slices."""
+"""Small helpers that the operators share: tables in the shared folder, Arrow batches in slices, fits on bounded samples."""
 
 from __future__ import annotations
 
+import ctypes
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
+from pathlib import Path
+from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +19,11 @@ from pyspark.sql import functions as F
 #: Where intermediate tables go when the session names no shared folder (as in tests).
 FALLBACK_DIR = "/tmp/checkpoints"
 
+#: Rows of a slice at most, whatever the session's size of Arrow batches.
+SLICE_ROWS = 1 << 15
+#: Places that a sample's hash has; a share of them bounds what is sent on.
+PLACES = 1 << 40
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset."""
@@ -39,14 +50,65 @@ def exchange_partitions(spark: SparkSession) -> int:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``limit`` bytes of ``column`` (one row at least)."""
+    """The same rows in batches of at most ``limit`` bytes of ``column`` (one row at least) and ``SLICE_ROWS`` rows."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start, total = 0, 0
         for i, n in enumerate(size):
-            if total and total + n > limit:
+            if (total and total + n > limit) or i - start == SLICE_ROWS:
                 yield batch.slice(start, i - start)
                 start, total = i, 0
             total += n
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def place(*key: str | Column) -> Column:
+    """A hash of the key from 0 to ``PLACES``, by which samples are chosen."""
+    return F.pmod(F.xxhash64(*key), F.lit(PLACES))
+
+
+def fitted(rows: DataFrame, kind: str, most: dict[Any, int], fit: Callable[[pa.Table], Any]) -> Any:
+    """What ``fit`` makes, in one task, of a table of the ``most[kind]`` first distinct rows of each kind, by ``place`` and then by text.
+
+    ``rows`` have the columns ``place``, ``text`` and ``kind``. No task holds or sends on more rows than those, however many have one key;
+    the driver sees nothing but the pickled result.
+    """
+
+    def first(tables: list[pa.Table]) -> pa.Table:
+        table = pa.concat_tables(tables)
+        order = ["place", "text", kind]
+        table = table.group_by(order).aggregate([]).select(order).sort_by([(c, "ascending") for c in order])
+        return pa.concat_tables([table.filter(pc.equal(table[kind], pa.scalar(k, table[kind].type))).slice(0, n) for k, n in most.items()])
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                held = first([pa.Table.from_batches([batch.select(["place", "text", kind])]), *([] if held is None else [held])])
+        return held
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = kept(batches)
+        if held is not None:
+            yield from held.to_batches(max_chunksize=256)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
+        held = kept(batches)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held))], pa.binary())], ["model"])
+
+    rows = rows.select("place", "text", kind)
+    found = rows.mapInArrow(local, rows.schema).repartition(1).mapInArrow(last, "model binary").collect() if most else []
+    types = {"place": pa.int64(), "text": pa.string(), kind: pa.bool_() if rows.schema[kind].dataType.typeName() == "boolean" else pa.string()}
+    return pickle.loads(found[0]["model"]) if found else fit(pa.table({k: pa.array([], t) for k, t in types.items()}))
+
+
+@cache
+def one_blas_thread() -> None:
+    """Keep this worker's matrix products on its own core: Spark runs a task on each, and more threads would only wait for one another."""
+    for library in (Path(np.__file__).parents[1] / "numpy.libs").glob("*openblas*"):
+        setter = getattr(ctypes.CDLL(str(library)), "scipy_openblas_set_num_threads64_", None)
+        if setter is not None:
+            setter(1)

@@ -1,7 +1,8 @@
 """A gated recurrent unit over word numbers with a class-factored softmax, in numpy.
 
 Word numbers are sorted by frequency; each run of ``CLASS`` numbers is a class, and
-P(word | state) = P(class | state) P(word | class, state).
+P(word | state) = P(class | state) P(word | class, state). States lie side by side as columns, so that
+all gates of a step are contiguous rows.
 """
 
 from __future__ import annotations
@@ -12,13 +13,12 @@ import numpy as np
 HIDDEN, CLASS = 16, 64
 #: Steps of a window: gradients stop at its start, the state goes on.
 WINDOW = 32
-STREAMS = 64
+#: Texts that train side by side at most, and windows that a run of training has at least if its tokens suffice.
+STREAMS, LEAST_WINDOWS = 256, 64
 RATE = 0.01
-_OUT = 1 << 15
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.float32(1) + np.tanh(np.float32(0.5) * x))
+_OUT, _COLUMNS = 1 << 15, 1 << 12
+#: Exponents stay within what 32 bits can express.
+_MOST, _LEAST = np.float32(80), np.float32(1e-30)
 
 
 def initial(counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
@@ -37,9 +37,9 @@ def initial(counts: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
 
     made = {
         "input": noise(size, 3 * HIDDEN),
-        "state": noise(HIDDEN, 3 * HIDDEN),
+        "state": noise(3 * HIDDEN, HIDDEN),
         "bias": np.zeros(3 * HIDDEN),
-        "class": noise(HIDDEN, len(total)) * 0.1,
+        "class": noise(len(total), HIDDEN) * 0.1,
         "class_bias": np.log(total / total.sum()),
         "word": noise(size, HIDDEN) * 0.1,
         "word_bias": word.reshape(-1),
@@ -59,35 +59,62 @@ def shaped(values: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndar
     return out
 
 
-def _step(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """New state from word numbers ``x`` and state ``h``, with what the way back needs."""
-    a = w["input"][x]
-    u = h @ w["state"]
-    gates = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN] + w["bias"][: 2 * HIDDEN])
-    z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-    un = u[:, 2 * HIDDEN :]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * un + w["bias"][2 * HIDDEN :])
-    return n + z * (h - n), z, r, n, un
+def _step(w: dict[str, np.ndarray], a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+    """New states from the inputs' rows ``a`` (with bias) and the states ``h``, and what the way back needs."""
+    u = w["state"] @ h
+    gates = a[: 2 * HIDDEN] + u[: 2 * HIDDEN]
+    gates *= np.float32(0.5)
+    np.tanh(gates, out=gates)
+    gates += np.float32(1)
+    gates *= np.float32(0.5)
+    z, r, un = gates[:HIDDEN], gates[HIDDEN:], u[2 * HIDDEN :]
+    n = r * un
+    n += a[2 * HIDDEN :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, un
+
+
+def _inputs(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
+    a = np.ascontiguousarray(w["input"][x].T)
+    a += w["bias"][:, None]
+    return a
+
+
+def _exp(bias: np.ndarray, matrix: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """exp(matrix h + bias)."""
+    x = matrix @ h
+    x += bias[:, None]
+    np.minimum(x, _MOST, out=x)
+    return np.exp(x, out=x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _by_class(h: np.ndarray, target: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """An order of the states by their targets' class, the states and targets in it, each one's class, and where each class begins."""
+    kind = (target // CLASS).astype(np.int16)
+    order = np.argsort(kind, kind="stable")
+    kind = kind[order]
+    return order, np.ascontiguousarray(h[:, order]), target[order], kind, np.searchsorted(kind, np.arange(classes + 1))
 
 
 def log_probability(w: dict[str, np.ndarray], h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural logarithm of each target's probability after each state."""
+    """Natural logarithm of each target's probability after each state (a column of ``h``)."""
     out = np.empty(len(target), np.float32)
     for at in range(0, len(target), _OUT):
-        part, t = h[at : at + _OUT], target[at : at + _OUT]
-        kind = t // CLASS
-        value = _log_softmax(part @ w["class"] + w["class_bias"])[np.arange(len(t)), kind]
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(len(w["class_bias"]) + 1))
+        order, part, t, kind, edge = _by_class(h[:, at : at + _OUT], target[at : at + _OUT], len(w["class_bias"]))
+        value, total = np.empty(len(t), np.float32), np.empty(len(t), np.float32)
+        of_class = np.empty(len(t), np.float32)
+        for i in range(0, len(t), _COLUMNS):
+            e = _exp(w["class_bias"], w["class"], part[:, i : i + _COLUMNS])
+            of_class[i : i + _COLUMNS] = e[kind[i : i + _COLUMNS], np.arange(e.shape[1])] / e.sum(0)
         for c in np.flatnonzero(np.diff(edge)):
-            rows, words = order[edge[c] : edge[c + 1]], slice(c * CLASS, (c + 1) * CLASS)
-            value[rows] += _log_softmax(part[rows] @ w["word"][words].T + w["word_bias"][words])[np.arange(len(rows)), t[rows] - c * CLASS]
-        out[at : at + _OUT] = value
+            i, words = slice(edge[c], edge[c + 1]), slice(c * CLASS, (c + 1) * CLASS)
+            e = _exp(w["word_bias"][words], w["word"][words], part[:, i])
+            e.sum(0, out=total[i])
+            value[i] = e[t[i] - c * CLASS, np.arange(e.shape[1])]
+        out[at + order] = np.log(np.maximum(value / total, _LEAST)) + np.log(np.maximum(of_class, _LEAST))
     return out
 
 
@@ -98,20 +125,18 @@ def score(w: dict[str, np.ndarray], documents: list[np.ndarray], start: int) ->
     length = length[order]
     ids = np.concatenate([documents[i] for i in order]) if len(order) else np.zeros(0, np.int32)
     first = np.cumsum(length) - length
-    total, h = np.zeros(len(order)), np.zeros((len(order), HIDDEN), np.float32)
+    total, h = np.zeros(len(order)), np.zeros((HIDDEN, len(order)), np.float32)
     for t0 in range(0, int(length.max(initial=0)), WINDOW):
-        live = int(np.searchsorted(-length, -t0, "left"))
         steps = int(min(WINDOW, length[0] - t0))
         states, targets, rows = [], [], []
         for t in range(t0, t0 + steps):
-            n = int(np.searchsorted(-length[:live], -t, "left"))
+            n = int(np.searchsorted(-length, -t, "left"))
             x = ids[first[:n] + t - 1] if t else np.full(n, start)
-            states.append(h[:n].copy())
-            h[:n] = _step(w, x, h[:n])[0]
-            states[-1] = h[:n].copy()
+            h = _step(w, _inputs(w, x), h[:, :n])[0]
+            states.append(h)
             targets.append(ids[first[:n] + t])
             rows.append(np.arange(n))
-        value = log_probability(w, np.concatenate(states), np.concatenate(targets))
+        value = log_probability(w, np.concatenate(states, 1), np.concatenate(targets))
         total += np.bincount(np.concatenate(rows), value.astype(np.float64), len(order))
     out = np.empty(len(order))
     out[order] = total
@@ -128,87 +153,106 @@ class Trainer:
         self.steps = 0
 
     def window(self, x: np.ndarray, y: np.ndarray, fresh: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """One step on inputs, targets and state resets, all (time, streams); targets under 0 don't count. Returns the state after."""
-        w, kept = self.w, []
-        for t in range(len(x)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            before = h
-            h, *rest = _step(w, x[t], h)
+        """One step on inputs, targets and state resets, all (time, streams); targets under 0 don't count. Returns the states after."""
+        w, (steps, streams) = self.w, x.shape
+        a = _inputs(w, x.reshape(-1)).reshape(3 * HIDDEN, steps, streams)
+        kept, states = [], np.empty((HIDDEN, steps, streams), np.float32)
+        stay = np.where(fresh, np.float32(0), np.float32(1))
+        for t in range(steps):
+            before = h * stay[t]
+            h, *rest = _step(w, a[:, t], before)
+            states[:, t] = h
             kept.append((before, *rest))
-        states = np.stack([*[k[0] for k in kept[1:]], h])
-        # A state that a reset follows was kept as zero; take it from its own step.
-        for t in range(len(x) - 1):
-            if fresh[t + 1].any():
-                before, z, _, n, _ = kept[t]
-                states[t] = n + z * (before - n)
-        g, d_states = self._outputs(states.reshape(-1, HIDDEN), y.reshape(-1))
+        g, d_states = self._outputs(states.reshape(HIDDEN, -1), y.reshape(-1))
         d_states = d_states.reshape(states.shape)
         d_h = np.zeros_like(h)
-        d_input = np.empty((*x.shape, 3 * HIDDEN), np.float32)
+        d_input = np.empty((3 * HIDDEN, steps, streams), np.float32)
         g["state"] = np.zeros_like(w["state"])
-        for t in range(len(x) - 1, -1, -1):
+        one = np.float32(1)
+        for t in range(steps - 1, -1, -1):
             before, z, r, n, un = kept[t]
-            d = d_h + d_states[t]
-            d_n = d * (1 - z) * (1 - n * n)
-            d_z = d * (before - n) * z * (1 - z)
-            d_r = d_n * un * r * (1 - r)
-            d_input[t] = np.concatenate([d_z, d_r, d_n], 1)
-            d_u = np.concatenate([d_z, d_r, d_n * r], 1)
-            g["state"] += before.T @ d_u
-            d_h = (d * z + d_u @ w["state"].T) * ~fresh[t][:, None]
-        g["bias"] = d_input.sum((0, 1))
+            d = d_h + d_states[:, t]
+            d_gates = d_input[:, t]
+            keep = d * z
+            d_n = (d - keep) * (one - n * n)
+            d_gates[:HIDDEN] = keep * (before - n) * (one - z)
+            d_gates[HIDDEN : 2 * HIDDEN] = d_n * un * r * (one - r)
+            d_gates[2 * HIDDEN :] = d_n
+            d_u = d_gates.copy()
+            d_u[2 * HIDDEN :] *= r
+            g["state"] += d_u @ before.T
+            d_h = (keep + w["state"].T @ d_u) * stay[t]
+        d_input = d_input.reshape(3 * HIDDEN, -1)
+        g["bias"] = d_input.sum(1)
+        order = np.argsort(x.reshape(-1), kind="stable")
+        word = x.reshape(-1)[order]
+        head = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         g["input"] = np.zeros_like(w["input"])
-        np.add.at(g["input"], x.reshape(-1), d_input.reshape(-1, 3 * HIDDEN))
+        g["input"][word[head]] = np.add.reduceat(np.ascontiguousarray(d_input.T)[order], head, axis=0)
         self._adam(g)
         return h
 
     def _outputs(self, h: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Gradients of the output's weights and of the states."""
         w = self.w
         use = np.flatnonzero(y >= 0)
-        part, t = h[use], y[use]
-        kind, scale = t // CLASS, np.float32(1 / max(1, len(use)))
-        p = np.exp(_log_softmax(part @ w["class"] + w["class_bias"]))
-        p[np.arange(len(t)), kind] -= 1
-        p *= scale
-        g = {"class": part.T @ p, "class_bias": p.sum(0), "word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
-        d = p @ w["class"].T
-        order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(len(w["class_bias"]) + 1))
+        order, part, t, kind, edge = _by_class(h if len(use) == len(y) else h[:, use], y[use], len(w["class_bias"]))
+        scale, at = np.float32(1 / max(1, len(use))), np.arange(len(use))
+        g = {k: np.zeros_like(w[k]) for k in ("class", "class_bias", "word", "word_bias")}
+        d = np.empty_like(part)
+        for a in range(0, len(t), _COLUMNS):
+            i = slice(a, a + _COLUMNS)
+            p = _exp(w["class_bias"], w["class"], part[:, i])
+            p *= scale / p.sum(0)
+            p[kind[i], at[: p.shape[1]]] -= scale
+            g["class"] += p @ part[:, i].T
+            g["class_bias"] += p.sum(1)
+            d[:, i] = w["class"].T @ p
         for c in np.flatnonzero(np.diff(edge)):
-            rows, words = order[edge[c] : edge[c + 1]], slice(c * CLASS, (c + 1) * CLASS)
-            q = np.exp(_log_softmax(part[rows] @ w["word"][words].T + w["word_bias"][words]))
-            q[np.arange(len(rows)), t[rows] - c * CLASS] -= 1
-            q *= scale
-            g["word"][words], g["word_bias"][words] = q.T @ part[rows], q.sum(0)
-            d[rows] += q @ w["word"][words]
+            i, words = slice(edge[c], edge[c + 1]), slice(c * CLASS, (c + 1) * CLASS)
+            q = _exp(w["word_bias"][words], w["word"][words], part[:, i])
+            q *= scale / q.sum(0)
+            q[t[i] - c * CLASS, at[: q.shape[1]]] -= scale
+            np.matmul(q, part[:, i].T, out=g["word"][words])
+            q.sum(1, out=g["word_bias"][words])
+            d[:, i] += w["word"][words].T @ q
         out = np.zeros_like(h)
-        out[use] = d
+        out[:, use[order]] = d
         return g, out
 
     def _adam(self, g: dict[str, np.ndarray]) -> None:
         self.steps += 1
         fix = np.float32(RATE * np.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps))
-        norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
+        norm = np.sqrt(sum(float(np.vdot(v, v)) for v in g.values()))
         clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
         for k, v in g.items():
             v *= clip
-            self.mean[k] += np.float32(0.1) * (v - self.mean[k])
-            self.square[k] += np.float32(0.001) * (v * v - self.square[k])
-            self.w[k] -= fix * self.mean[k] / (np.sqrt(self.square[k]) + np.float32(1e-6))
+            mean, square = self.mean[k], self.square[k]
+            mean *= np.float32(0.9)
+            mean += np.float32(0.1) * v
+            square *= np.float32(0.999)
+            v *= v
+            v *= np.float32(0.001)
+            square += v
+            np.sqrt(square, out=v)
+            v += np.float32(1e-6)
+            np.divide(mean, v, out=v)
+            v *= fix
+            self.w[k] -= v
 
     def documents(self, documents: list[np.ndarray], start: int) -> None:
-        """Train on whole documents, laid end to end on ``STREAMS`` streams; the state is zero where one begins."""
+        """Train on whole documents, laid end to end on at most ``STREAMS`` streams; the state is zero where one begins."""
         if not documents:
             return
         y = np.concatenate(documents).astype(np.int64)
         begins = np.zeros(len(y), bool)
         begins[np.cumsum([0, *map(len, documents[:-1])])] = True
         x = np.where(begins, start, np.concatenate([[start], y[:-1]]))
-        streams = min(STREAMS, len(y))
+        streams = int(np.clip(len(y) // (WINDOW * LEAST_WINDOWS), 1, STREAMS))
         steps = -(-len(y) // streams)
         pad = steps * streams - len(y)
         lay = lambda a, fill: np.concatenate([a, np.full(pad, fill, a.dtype)]).reshape(streams, steps).T
         x, y, begins = lay(x, start), lay(y, -1), lay(begins, True)
-        h = np.zeros((streams, HIDDEN), np.float32)
+        h = np.zeros((HIDDEN, streams), np.float32)
         for t in range(0, steps, WINDOW):
             h = self.window(x[t : t + WINDOW], y[t : t + WINDOW], begins[t : t + WINDOW], h)

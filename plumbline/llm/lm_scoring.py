@@ -4,14 +4,19 @@ A-Z are lower-cased; tokens are runs of other than ASCII white space, then one e
 training tokens are summed over the corpus. The ``VOCABULARY`` most frequent words, the end and one
 stand-in for all others are what a gated recurrent network (``gru.py``) predicts; a word behind the
 stand-in has the probability of its count among those words, plus one, with one more place for all
-unseen ones. The network trains in every task on all of the task's training documents, a part of them each
-round, from the average of all tasks' weights after the round before.
+unseen ones.
 
-Words are told apart by 64-bit hashes. The ``SHARED`` most frequent words' counts go to all tasks; counts of
-other words stay where they were summed, and the documents' words come to them.
+1.  Counts of words are summed in blocks of their 64-bit hashes; those of the ``SHARED`` most frequent go to all tasks.
+2.  Texts become rows of slices: their documents' word numbers, and the hashes of words that not all tasks know.
+    No text is read again.
+3.  The network trains on every training document once, in ``ROUNDS`` rounds. A round's documents are dealt by a
+    hash of id and text to blocks of about ``BLOCK`` tokens; each block trains from the mean of all blocks' weights
+    after the round before, on its documents in the order of that hash. So the weights don't depend on how rows lie.
+4.  A slice asks the blocks of counts for its other words, and scores its documents with the answers.
 
 A null text counts as empty: one end token. Without training documents all counts are 0 and the network stays
-as it began. Repeated rows are scored alike; ids may be null.
+as it began; an empty table gives an empty result. Repeated rows are scored alike and train as often as they are
+there, in one block; ids may be null. Words of equal count are ordered by their hash.
 """
 
 from __future__ import annotations
@@ -20,22 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import gru
-from plumbline.llm.frames import exchange_partitions, sliced, written
+from plumbline.llm.frames import exchange_partitions, one_blas_thread, sliced, written
 from plumbline.llm.words import LOWER, SPACE, Words, in_word, mixed
 
 VOCABULARY = 64 * gru.CLASS - 2
 SHARED = 1 << 17
-#: Rounds of training; each takes another part of the training documents, all of them once.
-ROUNDS = 16
+#: Rounds of training, and the tokens of a block.
+ROUNDS, BLOCK = 4, 1 << 19
 #: Weights that one task averages.
 FAN_IN = 32
-_SLICE = 4 << 20
-#: Tokens that are scored side by side.
-_GROUP = 2_000_000
+#: Bytes of a row's texts, rows of a slice, and tokens that train side by side at most.
+_SLICE, _ROWS, _GROUP = 8 << 20, 4, 2_000_000
+#: Counts in a row of a block.
+_ROW = 1 << 20
 _WORD_BYTE = in_word(SPACE)
 _OTHER, _END = 0, 1
 _LOG10 = np.log(10)
@@ -49,32 +56,66 @@ def _routed(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``block``, ``word`` (a hash) and ``n`` of all distinct words; blocks are those of ``_routed``."""
+    """Rows of ``block``, ``words`` (hashes, sorted within the block) and ``counts`` of all distinct words; blocks are those of ``_routed``."""
     blocks = exchange_partitions(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text, 2 * _SLICE):
+        for batch in sliced(batches, text, _SLICE):
             word, n = np.unique(Words(batch.column(text), _WORD_BYTE, LOWER).hashes(), return_counts=True)
             order, edge = _routed(word, blocks)
-            word, n = word[order], n[order].astype("<u4")
-            some = np.flatnonzero(np.diff(edge))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), *(pa.array([a[edge[b] : edge[b + 1]].tobytes() for b in some], pa.binary()) for a in (word, n))], ["block", "words", "counts"]
-            )
+            word, n = word[order], n[order].astype("<i8")
+            yield _binaries({"block": np.flatnonzero(np.diff(edge))}, words=(word, edge), counts=(n, edge))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, words, counts = None, [], []
+        block, words, counts, size, known = None, [], [], 0, 0
+
+        def merged() -> tuple[np.ndarray, np.ndarray]:
+            word, of = np.unique(np.concatenate(words), return_inverse=True)
+            n = np.zeros(len(word), np.int64)
+            np.add.at(n, of, np.concatenate(counts))
+            return word, n
+
         for batch in batches:
             for b, w, n in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "counts")), strict=True):
                 block = b
                 words.append(np.frombuffer(w, "<u8"))
-                counts.append(np.frombuffer(n, "<u4"))
+                counts.append(np.frombuffer(n, "<i8"))
+                size += len(words[-1])
+                if size > 2 * known + _ROW:  # what is held stays in proportion to the distinct words
+                    word, n = merged()
+                    words, counts, size, known = [word], [n], len(word), len(word)
         if words:
-            word, of = np.unique(np.concatenate(words), return_inverse=True)
-            n = np.bincount(of, np.concatenate(counts)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), block), pa.int32()), pa.array(word.astype(np.int64)), pa.array(n)], ["block", "word", "n"])
+            word, n = merged()
+            for i in range(0, len(word), _ROW):
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x[i : i + _ROW].tobytes()], pa.binary()) for x in (word, n))], ["block", "words", "counts"])
+
+    schema = "block int, words binary, counts binary"
+    return docs.select(text).mapInArrow(count, schema).repartitionById(blocks, "block").mapInArrow(total, schema)
+
 
-    return docs.select(text).mapInArrow(count, "block int, words binary, counts binary").repartitionById(blocks, "block").mapInArrow(total, "block int, word long, n long")
+def _binaries(plain: dict[str, np.ndarray], **packed: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    """One row for each of the blocks that ``plain["block"]`` numbers: its part of every packed array, between the block's edges."""
+    which = plain["block"]
+    columns = [pa.array(v.astype(np.int32 if k == "block" else np.int64)) for k, v in plain.items()]
+    columns += [pa.array([values[edge[b] : edge[b + 1]].tobytes() for b in which], pa.binary()) for values, edge in packed.values()]
+    return pa.RecordBatch.from_arrays(columns, [*plain, *packed])
+
+
+def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The ``SHARED`` most frequent words and their counts, the number of all words, and of all distinct ones."""
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, n in zip(*(batch.column(c).to_pylist() for c in ("words", "counts")), strict=True):
+                word, n = np.frombuffer(w, "<i8"), np.frombuffer(n, "<i8")
+                top = np.lexsort((word, -n))[:SHARED]
+                rest = pa.array(np.append(np.zeros(len(top), np.int64), n.sum()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(word[top], len(word))), pa.array(np.append(n[top], 0)), rest], ["word", "n", "total"])
+
+    rows = counts.mapInArrow(unpacked, "word long, n long, total long")
+    total = rows.where("total > 0").agg(F.sum("total").alias("n"), F.sum("word").alias("v")).first()
+    top = rows.where("n > 0").orderBy(F.desc("n"), "word").limit(SHARED).select("word", "n").toPandas()
+    return top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total["n"] or 0, total["v"] or 0
 
 
 class Known:
@@ -103,184 +144,200 @@ class Known:
         return np.where(known, self.n[at], -1), np.where(known, self.number[at], _OTHER)
 
 
-def _documents(words: Words, number: np.ndarray) -> list[np.ndarray]:
-    return [np.append(number[a:b], _END).astype(np.int32) for a, b in zip(words.first[:-1], words.first[1:], strict=True)]
+_SLICE_COLUMNS = ("places", "learnt", "lengths", "numbers", "known", "logs", "others", "rare", "rare_counts")
+
+
+def _slices(source: DataFrame, known, kind: str) -> DataFrame:
+    """One row or a few for each slice of documents: ``slice``, ``doc_ids``, and arrays over its documents or their words as binaries."""
 
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        know, task = known.value, TaskContext.get().partitionId()
+        for nth, batch in enumerate(sliced(batches, "text", _SLICE)):
+            words = Words(batch.column("text"), _WORD_BYTE, LOWER)
+            hashes, of = np.unique(words.hashes(), return_inverse=True)
+            count, number = know.look_up(hashes)
+            log, number, count = np.log10(np.maximum(count, 0) + 1.0)[of], number[of], count[of]
+            row, n = words.row(), batch.num_rows
+            numbers = np.full(len(words) + n, _END, "<u2")
+            numbers[np.arange(len(words)) + row] = number
+            other, rare = number == _OTHER, count < 0
+            arrays = (
+                batch.column("place").to_numpy().astype("<i8"),
+                batch.column("learnt").to_numpy(zero_copy_only=False).astype("u1"),
+                (words.count + 1).astype("<i8"),
+                numbers,
+                np.bincount(row, count > 0, n).astype("<i8") + int(know.ends > 0),
+                np.bincount(row, log, n) + np.log10(know.ends + 1.0),
+                np.bincount(row[other], log[other] - know.others, n),
+                hashes[of[rare]],
+                np.bincount(row[rare], minlength=n).astype("<i8"),
+            )
+            ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), batch.column("doc_id"))
+            yield pa.RecordBatch.from_arrays([pa.array([task << 32 | nth // _ROWS], pa.int64()), ids, *(pa.array([a.tobytes()], pa.binary()) for a in arrays)], ["slice", "doc_ids", *_SLICE_COLUMNS])
+
+    return source.mapInArrow(number, f"slice long, doc_ids array<{kind}>, " + ", ".join(f"{c} binary" for c in _SLICE_COLUMNS))
+
+
+def _expand(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Indices of the members of runs."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
+
+
+def _dealt(slices: DataFrame, k: int, blocks: int) -> DataFrame:
+    """Rows of ``block``, ``places``, ``lengths`` and ``numbers``: the training documents of a round, each block in a partition of its own."""
 
-def _averaged(weights: DataFrame) -> tuple[np.ndarray | None, float]:
-    """The mean of all tasks' weights, by a tree of sums of at most ``FAN_IN``."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for places, learnt, lengths, numbers in zip(*(batch.column(c).to_pylist() for c in _SLICE_COLUMNS[:4]), strict=True):
+                place, length = np.frombuffer(places, "<i8"), np.frombuffer(lengths, "<i8")
+                spread = mixed(place.view(np.uint64))
+                mine = np.flatnonzero((np.frombuffer(learnt, "u1") > 0) & (spread % np.uint64(ROUNDS) == k))
+                block = ((spread[mine] >> np.uint64(8)) % np.uint64(blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                mine, edge = mine[order], np.searchsorted(block[order], np.arange(blocks + 1))
+                of_words = np.concatenate([[0], np.cumsum(length[mine])])[edge]
+                members = _expand((np.cumsum(length) - length)[mine], length[mine])
+                yield _binaries(
+                    {"block": np.flatnonzero(np.diff(edge))},
+                    places=(place[mine], edge), lengths=(length[mine], edge), numbers=(np.frombuffer(numbers, "<u2")[members], of_words),
+                )
+
+    dealt = slices.select(*_SLICE_COLUMNS[:4]).mapInArrow(deal, "block int, places binary, lengths binary, numbers binary")
+    return dealt.repartitionById(blocks, "block")
+
+
+def _averaged(weights: DataFrame, blocks: int) -> tuple[np.ndarray | None, float]:
+    """The mean of all blocks' weights by their tokens, in a tree of sums of at most ``FAN_IN`` in the order of blocks."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, tokens = None, 0.0
+        total, tokens, block = None, 0.0, None
         for batch in batches:
-            for w, n in zip(batch.column("weights").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+            for b, w, n in zip(*(batch.column(c).to_pylist() for c in ("block", "weights", "tokens")), strict=True):
                 part = np.frombuffer(w, "<f4") * np.float64(n)
                 total = part if total is None else total + part
-                tokens += n
+                tokens, block = tokens + n, b
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([(total / tokens).astype("<f4").tobytes()], pa.binary()), pa.array([tokens])], ["weights", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([block // FAN_IN], pa.int32()), pa.array([(total / tokens).astype("<f4").tobytes()], pa.binary()), pa.array([tokens])], ["block", "weights", "tokens"])
 
     weights = written(weights, "weights")
-    n = weights.count()
-    while n > 1:
-        weights = written(weights.repartition(-(-n // FAN_IN)).mapInArrow(add, weights.schema), "weights")
-        n = weights.count()
+    while blocks > 1:
+        blocks = -(-blocks // FAN_IN)
+        part = weights.repartitionById(blocks, (F.col("block") / FAN_IN).cast("int")).sortWithinPartitions("block")
+        weights = written(part.mapInArrow(add, weights.schema), "weights")
     row = weights.first()
     return (np.frombuffer(row["weights"], "<f4"), row["tokens"]) if row else (None, 0.0)
 
 
-def train(docs: DataFrame, known: Known, key: Column, text: str = "text") -> dict[str, np.ndarray]:
-    """Weights of the network after ``ROUNDS`` rounds over the training documents."""
-    w = gru.initial(known.counts)
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+def train(slices: DataFrame, known, tokens: int) -> dict[str, np.ndarray]:
+    """Weights of the network after ``ROUNDS`` rounds over the training documents, which have so many tokens."""
+    spark, counts = slices.sparkSession, known.value.counts
+    w, blocks = gru.initial(counts), max(1, -(-tokens // (ROUNDS * BLOCK)))
     for k in range(ROUNDS):
-        begin = docs.sparkSession.sparkContext.broadcast(gru.flat(w))
+        begin = spark.sparkContext.broadcast(gru.flat(w))
 
         def learn(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
-            know = shared.value
-            like = gru.initial(know.counts)
-            trainer, tokens = gru.Trainer(gru.shaped(begin.value, like)), 0
-            held: list[np.ndarray] = []
-            size = 0
-            for batch in sliced(batches, "text", _SLICE):
-                words = Words(batch.column("text"), _WORD_BYTE, LOWER)
-                held += _documents(words, know.look_up(words.hashes())[1])
-                size += len(words) + words.rows
+            one_blas_thread()
+            documents, block = [], None
+            for batch in batches:
+                for b, places, lengths, numbers in zip(*(batch.column(c).to_pylist() for c in ("block", "places", "lengths", "numbers")), strict=True):
+                    block = b
+                    end = 2 * np.cumsum(np.frombuffer(lengths, "<i8"))
+                    documents += [(p, numbers[e - n : e]) for p, e, n in zip(np.frombuffer(places, "<i8").tolist(), end.tolist(), np.diff(end, prepend=0).tolist(), strict=True)]
+            if not documents:
+                return
+            documents.sort()
+            trainer = gru.Trainer(gru.shaped(begin.value, gru.initial(known.value.counts)))
+            size, held, trained = 0, [], 0
+            for _, numbers in documents:
+                held.append(np.frombuffer(numbers, "<u2"))
+                size += len(held[-1])
                 if size >= _GROUP:
                     trainer.documents(held, _END)
-                    tokens, held, size = tokens + size, [], 0
+                    size, held, trained = 0, [], trained + size
             trainer.documents(held, _END)
-            tokens += size
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array([gru.flat(trainer.w).astype("<f4").tobytes()], pa.binary()), pa.array([float(tokens)])], ["weights", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([gru.flat(trainer.w).astype("<f4").tobytes()], pa.binary()), pa.array([float(trained + size)])], ["block", "weights", "tokens"])
 
-        part = docs.where(F.pmod(F.xxhash64(key), F.lit(ROUNDS)) == k).select(F.col(text).alias("text"))
-        mean, tokens = _averaged(part.mapInArrow(learn, "weights binary, tokens double"))
-        if tokens:
+        mean, learnt = _averaged(_dealt(slices, k, blocks).mapInArrow(learn, "block int, weights binary, tokens double"), blocks)
+        begin.unpersist()
+        if learnt:
             w = gru.shaped(mean, w)
     return w
 
 
-def _rare_words(docs: DataFrame, known, counts: DataFrame) -> DataFrame:
-    """For each document (``of``, ``of_check``) the sums over words that not all tasks know: ``logs`` of counts plus one, and ``seen`` words."""
-    blocks = exchange_partitions(docs.sparkSession)
+def _answers(slices: DataFrame, counts: DataFrame) -> DataFrame:
+    """For each slice the ``words`` that not all tasks know, and their ``counts``, in several rows."""
+    blocks = exchange_partitions(slices.sparkSession)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 * _SLICE):
-            words = Words(batch.column("text"), _WORD_BYTE, LOWER)
-            hashes = words.hashes()
-            rare = known.value.look_up(hashes)[0] < 0
-            row, word = words.row()[rare], hashes[rare]
-            ids, checks = batch.column("id").to_numpy(), batch.column("check").to_numpy()
-            order, edge = _routed(word, blocks)
-            row, word = row[order], word[order]
-            some = np.flatnonzero(np.diff(edge))
-            packed = []
-            for b in some:
-                r, w = row[edge[b] : edge[b + 1]], word[edge[b] : edge[b + 1]]
-                doc, n = np.unique(r, return_counts=True)
-                packed.append(len(doc).to_bytes(8, "little") + ids[doc].astype("<i8").tobytes() + checks[doc].astype("<u4").tobytes() + n.astype("<u4").tobytes() + w.tobytes())
-            # Each row once, so that repeated rows can share what their words add up to.
-            one = pa.array([len(ids).to_bytes(8, "little") + ids.astype("<i8").tobytes() + checks.astype("<u4").tobytes() + bytes(4 * len(ids))], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(some, int(mixed(ids[:1].astype(np.int64).view(np.uint64))[0] % np.uint64(blocks))), pa.int32()), pa.concat_arrays([pa.array(packed, pa.binary()), one])], ["block", "found"])
-
-    schema = "id long, check long, logs double, seen long, rows long"
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of counts and of documents' words of one block."""
-        word, n, asked = [], [], []
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch.column("found")
-            plain = np.array(found.is_null())
-            word.append(batch.column("word").to_numpy(zero_copy_only=False)[plain].astype(np.int64))
-            n.append(batch.column("n").to_numpy(zero_copy_only=False)[plain].astype(np.int64))
-            asked += found.drop_null().to_pylist()
-        if not asked:
-            return
-        word, n = np.concatenate(word).view(np.uint64), np.concatenate(n)
-        order = np.argsort(word)
-        word, n = word[order], n[order]
-        for data in asked:
-            size = int.from_bytes(data[:8], "little")
-            ids, at = np.frombuffer(data, "<i8", size, 8), 8 + 8 * size
-            checks, times = np.frombuffer(data, "<u4", size, at), np.frombuffer(data, "<u4", size, at + 4 * size)
-            mine = np.frombuffer(data, "<u8", -1, at + 8 * size)
-            count = np.zeros(len(mine), np.int64)
-            if len(word):
-                place = np.minimum(np.searchsorted(word, mine), len(word) - 1)
-                count = np.where(word[place] == mine, n[place], 0)
-            of = np.repeat(np.arange(size), times)
-            logs, seen = np.bincount(of, np.log10(count + 1.0), size), np.bincount(of, count > 0, size)
-            once = np.full(size, int(not times.any()), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(checks.astype(np.int64)), pa.array(logs.astype(np.float64)), pa.array(seen.astype(np.int64)), pa.array(once)], ["id", "check", "logs", "seen", "rows"])
-
-    none = F.lit(None)
-    asked = docs.mapInArrow(gather, "block int, found binary").select("block", none.cast("long").alias("word"), none.cast("long").alias("n"), "found")
-    both = counts.select("block", "word", "n", none.cast("binary").alias("found")).union(asked)
-    sums = both.repartitionById(blocks, "block").mapInArrow(meet, schema).groupBy(F.col("id").alias("of"), F.col("check").alias("of_check"))
-    return sums.agg((F.sum("logs") / F.sum("rows")).alias("logs"), (F.sum("seen") / F.sum("rows")).cast("long").alias("seen"))
-
-
-def _frequent_part(docs: DataFrame, known, weights, kind: str) -> DataFrame:
-    """What a document's own task can tell of it: ``base`` and ``score`` lack the sums over rare words."""
-
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        know = known.value
-        w = gru.shaped(weights.value, gru.initial(know.counts))
-
-        def finished(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-            value = gru.score(w, [d for part in group for d in part[-1]], _END) / _LOG10
-            at = 0
-            for batch, n_tokens, known_tokens, logs, others, rare, docs_ in group:
-                score = value[at : at + len(docs_)] + others
-                at += len(docs_)
-                columns = [pa.array(n_tokens), pa.array(known_tokens), pa.array(logs), pa.array(score), pa.array(rare)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), batch.column("check"), *columns], ["doc_id", "id", "check", "n_tokens", "n_known", "logs_here", "score_here", "rare"])
-
-        group, size = [], 0
-        for batch in sliced(batches, "text", _SLICE):
-            words = Words(batch.column("text"), _WORD_BYTE, LOWER)
-            count, number = know.look_up(words.hashes())
-            row, other = words.row(), number == _OTHER
-            log = np.log10(np.maximum(count, 0) + 1.0)
-            logs = np.bincount(row, log, words.rows) + np.log10(know.ends + 1.0)
-            others = np.bincount(row[other], log[other] - know.others, words.rows)
-            seen = np.bincount(row, count > 0, words.rows).astype(np.int64) + int(know.ends > 0)
-            rare = np.bincount(row, count < 0, words.rows).astype(np.int64)
-            slim = batch.drop_columns(["text"])
-            group.append((slim, (words.count + 1).astype(np.int64), seen, logs, others, rare, _documents(words, number)))
-            size += len(words) + words.rows
-            if size >= _GROUP:
-                yield from finished(group)
-                group, size = [], 0
-        if group:
-            yield from finished(group)
-
-    return docs.mapInArrow(tell, f"doc_id {kind}, id long, check long, n_tokens long, n_known long, logs_here double, score_here double, rare long")
+            for of, rare in zip(batch.column("slice").to_pylist(), batch.column("rare").to_pylist(), strict=True):
+                word = np.unique(np.frombuffer(rare, "<u8"))
+                order, edge = _routed(word, blocks)
+                some = np.flatnonzero(np.diff(edge))
+                yield _binaries({"block": some, "slice": np.full(len(some), of)}, words=(word[order], edge))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The block's counts come first."""
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        word = n = None
+        for batch in batches:
+            out = []
+            for of, words, some in zip(*(batch.column(c).to_pylist() for c in ("slice", "words", "counts")), strict=True):
+                mine = np.frombuffer(words, "<u8")
+                if of is None:
+                    parts.append((mine, np.frombuffer(some, "<i8")))
+                    continue
+                if word is None:
+                    word, n = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, "<u8") for i in (0, 1))
+                    order = np.argsort(word, kind="stable")
+                    word, n, parts = word[order], n[order].astype(np.int64), []
+                count = np.zeros(len(mine), np.int64)
+                if len(word):
+                    at = np.minimum(np.searchsorted(word, mine), len(word) - 1)
+                    count = np.where(word[at] == mine, n[at], 0)
+                out.append((of, words, count.tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary()))], ["slice", "words", "counts"])
+
+    asked = slices.select("slice", "rare").mapInArrow(ask, "block int, slice long, words binary").withColumn("counts", F.lit(None).cast("binary"))
+    both = counts.select("block", F.lit(None).cast("long").alias("slice"), "words", "counts").union(asked)
+    return both.repartitionById(blocks, "block").sortWithinPartitions(F.col("slice").asc_nulls_first()).mapInArrow(answer, "slice long, words binary, counts binary")
 
 
 def scored(docs: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` (base-10 logarithms)."""
-    spark = docs.sparkSession
+    context = docs.sparkSession.sparkContext
     training = docs.where(learn)
     counts = written(word_counts(training, text), "word-counts")
-    totals = counts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(SHARED).select("word", "n").toPandas()
-    known = Known(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), training.count(), totals["n"] or 0, totals["v"])
-    weights = spark.sparkContext.broadcast(gru.flat(train(training, known, F.col(doc_id), text)))
-    shared = spark.sparkContext.broadcast(known)
-    source = docs.select(
-        F.col(doc_id).alias("doc_id"), F.xxhash64(doc_id).alias("id"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("check"), F.col(text).alias("text")
-    )
-    here = _frequent_part(source, shared, weights, source.schema["doc_id"].dataType.simpleString())
-    rare = _rare_words(source.select("id", "check", "text"), shared, counts)
-    both = here.join(rare, (F.col("id") == F.col("of")) & (F.col("check") == F.col("of_check")), "left")
-    logs = F.coalesce("logs", F.lit(0.0))
-    return both.select(
-        "doc_id",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"),
-        F.lit(known.tokens).cast("long").alias("train_tokens"),
-        (F.col("logs_here") + logs - F.col("n_tokens") * float(np.log10(known.tokens + known.distinct + 1))).alias("base_score"),
-        (F.col("score_here") + logs).alias("score"),
-    )
+    top, n, words, distinct = _most_frequent(counts)
+    known = context.broadcast(Known(top, n, training.count(), words, distinct))
+    place = F.xxhash64(doc_id, F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(learn, F.lit(False)).alias("learnt"), place.alias("place"), F.col(text).alias("text"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    slices = written(_slices(source, known, kind), "slices")
+    train_tokens = known.value.tokens
+    weights = context.broadcast(gru.flat(train(slices, known, train_tokens)))
+    scale = float(np.log10(train_tokens + known.value.distinct + 1))
+
+    def finish(key: tuple, own: pa.Table, answers: pa.Table) -> pa.Table:
+        one_blas_thread()
+
+        def column(table: pa.Table, name: str, kind: str) -> np.ndarray:
+            return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+        length, times, rare = column(own, "lengths", "<i8"), column(own, "rare_counts", "<i8"), column(own, "rare", "<u8")
+        word, count = column(answers, "words", "<u8"), column(answers, "counts", "<i8")
+        order, of = np.argsort(word), np.repeat(np.arange(len(times)), times)
+        count = count[order][np.searchsorted(word[order], rare)] if len(rare) else count
+        logs = np.bincount(of, np.log10(count + 1.0), len(length))
+        seen = np.bincount(of, count > 0, len(length)).astype(np.int64)
+        w = gru.shaped(weights.value, gru.initial(known.value.counts))
+        numbers = np.split(column(own, "numbers", "<u2").astype(np.int32), np.cumsum(length)[:-1]) if len(length) else []
+        network = gru.score(w, numbers, _END) / _LOG10
+        base = column(own, "logs", "<f8") + logs - length * scale
+        columns = [pa.array(length), pa.array(column(own, "known", "<i8") + seen), pa.array(np.full(len(length), train_tokens, np.int64)), pa.array(base), pa.array(network + column(own, "others", "<f8") + logs)]
+        return pa.Table.from_arrays([own["doc_ids"].combine_chunks().flatten(), *columns], names)
+
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    schema = f"doc_id {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return slices.groupBy("slice").cogroup(_answers(slices, counts).groupBy("slice")).applyInArrow(finish, schema)
