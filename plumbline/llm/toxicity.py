@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.frames import sliced
+from plumbline.llm.frames import PLACES, fitted, one_blas_thread, place, sliced
 from plumbline.llm.words import SPACE, Words, in_word
 
 #: Bounds of the fit: labelled documents of each kind, and landmark units.
@@ -434,19 +434,17 @@ def _unit_machine(
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", most_toxic: int = TOXIC, most_clean: int = CLEAN) -> Model:
-    """Learn from documents for whose labels ``learn`` holds; the sample is the ids of least hash."""
-    place = F.pmod(F.xxhash64(doc_id), F.lit(1 << 20))
+    """Learn, in one task, from documents for whose labels ``learn`` holds; the sample is the distinct texts of the ids of least hash."""
     usable = labels.where(learn & F.col(doc_id).isNotNull() & F.col("toxic").isNotNull()).groupBy(doc_id).agg((F.max("toxic") > 0).alias("toxic"))
     counts = {r[0]: r[1] for r in usable.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic"), F.lit(1.2 * most_toxic / max(1, counts.get(True, 0)))).otherwise(F.lit(1.2 * most_clean / max(1, counts.get(False, 0))))
-    chosen = usable.where(place <= share * (1 << 20)).select(F.col(doc_id).alias("of"), "toxic", place.alias("place"))
-    joined = docs.select(doc_id, text).join(F.broadcast(chosen), F.col(doc_id) == F.col("of")).where(F.col(text).isNotNull())
-    found = joined.select("place", "of", "toxic", F.col(text).alias("text")).toArrow().sort_by([(c, "ascending") for c in ("place", "of", "text")])
-    parts = [found.filter(pc.equal(found["toxic"], kind)).select(["text", "toxic"]).slice(0, most) for kind, most in ((True, most_toxic), (False, most_clean))]
-    sample = pa.concat_tables(parts).combine_chunks()
-    del found, parts
-    column = sample["text"].cast(pa.string()).combine_chunks()
-    return train(column, sample["toxic"].to_numpy().astype(bool))
+    chosen = usable.select(F.col(doc_id).alias("of"), "toxic", place(doc_id).alias("place")).where(F.col("place") <= share * PLACES)
+    joined = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("of")).where("text IS NOT NULL")
+
+    def learnt(sample: pa.Table) -> Model:
+        return train(sample["text"].cast(pa.string()).combine_chunks(), sample["toxic"].to_numpy().astype(bool))
+
+    return fitted(joined, "toxic", {True: most_toxic, False: most_clean}, learnt)
 
 
 def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -456,6 +454,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for batch in sliced(batches, "text", _SLICE):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch.column("text")), pa.float64())], ["doc_id", "score"])
 
@@ -467,6 +466,7 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def below(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         for batch in sliced(batches, text, _SLICE):
             yield batch.filter(pa.array(shared.value.scores(batch.column(text)) < threshold))
 
