@@ -34,9 +34,11 @@ class Settings:
     bootstrap_draws: int = 2000
     trees: int = 50
     borrow_cap: int = 256
+    forest_rows: int = 1024
     min_spread_rows: int = 4
     seed: int = 20260823
     severities: tuple[float, ...] = (0.0, 1.0, 1.5, 3.0)
+    fractions: tuple[float, ...] = (0.0, 0.2, 0.5)
     metrics: tuple[str, ...] = field(default=METRICS)
 
     def canonical(self) -> str:

@@ -1,50 +1,77 @@
 """Multivariate scores of each row against its own entity's other rows.
 
-Rows are grouped by entity; the position's covariance and a bounded pool of its rows (``borrow_cap`` of
-least hash) go to all tasks as a small dictionary. Scores depend on keys, not on how rows are dealt.
+An entity's means and products are sums over its complete rows, so each row gets the fit of the others by taking its own
+match's part from them: no entity's rows meet in one place. Position-wide fits, few and small, go to all tasks.
+Isolation forests, which need rows, train on at most ``forest_rows`` of an entity's own. Scores depend on keys, not on how rows are dealt.
 """
 
 from __future__ import annotations
 
 import zlib
-from itertools import combinations_with_replacement
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT, Settings
 
+#: What separates an entity's player from what else names it (see ``campaign``); a seed depends on the player alone.
+ENTITY = "\x01"
+_PLACES = 1 << 40
+
 
 def covariance_nu(rows: DataFrame, columns: list[str], by: str = "position_code", player: str = "player_id") -> DataFrame:
     """How many rows of its own an entity's covariance is worth: nu, one over the median ratio of between to within.
 
-    Means of products up to the fourth order are aggregated for each entity, so only sums are shuffled.
+    Over the entries of the covariance matrix of scaled columns, between is the variance of the entities' entries less the
+    mean of the entries' own variances (from fourth moments), and within the mean of rows times that variance. Entities count
+    from three complete rows on. Nu is null, for infinite, if two such entities don't exist or don't differ.
     """
     complete = rows.dropna(subset=columns)
-    scale = complete.groupBy(by).agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_samp(c).alias(f"s_{c}") for c in columns])
-    std = complete.join(F.broadcast(scale), by).select(by, player, *[((F.col(c) - F.col(f"m_{c}")) / F.nullif(F.col(f"s_{c}"), F.lit(0.0))).alias(c) for c in columns])
-    pairs = list(combinations_with_replacement(columns, 2))
-    means = std.groupBy(by, player).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns]).where("n >= 3")
-    centred = std.join(means, [by, player]).select(by, player, "n", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns])
-    product = {f"{a}*{b}": F.col(a) * F.col(b) for a, b in pairs}
-    each = centred.groupBy(by, player, "n").agg(*[x for k, p in product.items() for x in (F.avg(p).alias(f"c_{k}"), F.avg(p * p).alias(f"q_{k}"))])
+    scale = complete.groupBy(by).agg(*[F.stddev_samp(c).alias(f"s_{c}") for c in columns])
+    factor = lambda c: F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)
+    scaled = complete.join(F.broadcast(scale), by).select(by, player, *[(F.col(c) / factor(c)).alias(c) for c in columns])
+    means = scaled.groupBy(by, player).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in columns]).where("n >= 3")
+    centred = scaled.join(means, [by, player]).select(by, player, "n", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in columns])
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    products = {f"{a}*{b}": F.col(a) * F.col(b) for a, b in pairs}
+    each = centred.groupBy(by, player, "n").agg(*[x for k, p in products.items() for x in (F.sum(p).alias(f"c_{k}"), F.avg(p * p).alias(f"q_{k}"))])
     n = F.col("n")
-    entries = F.array(*[F.struct(F.lit(k).alias("entry"), (F.col(f"`c_{k}`") * n / (n - 1)).alias("c"), ((F.col(f"`q_{k}`") - F.pow(F.col(f"`c_{k}`"), F.lit(2.0))) * n / ((n - 1) * (n - 1))).alias("v")) for k in product])
-    long = each.select(by, F.inline(entries))
-    ratio = F.greatest(F.var_samp("c") - F.avg("v"), F.lit(0.0)) / F.nullif(F.avg(F.col("v") * 1.0), F.lit(0.0))
-    found = long.groupBy(by, "entry").agg(ratio.alias("ratio"))
-    return found.groupBy(by).agg((1 / F.nullif(F.median("ratio"), F.lit(0.0))).alias("nu"))
+    entries = []
+    for a, b in pairs:
+        c = F.col(f"`c_{a}*{b}`") / (n - 1)
+        v = (F.col(f"`q_{a}*{b}`") - c * c) / n
+        entries += [F.struct(F.lit(f"{x}*{y}").alias("entry"), c.alias("c"), v.alias("v")) for x, y in {(a, b), (b, a)}]
+    long = each.select(by, "n", F.inline(F.array(*entries)))
+    within = F.avg(F.col("n") * F.col("v"))
+    between = F.greatest(F.var_samp("c") - F.avg("v"), F.lit(0.0))
+    found = long.groupBy(by, "entry").agg(between.alias("between"), within.alias("within"), F.count(F.lit(1)).alias("m"))
+    usable = found.groupBy(by).agg(F.median(F.when((F.col("within") > 0) & (F.col("m") >= 2), F.col("between") / F.col("within"))).alias("ratio"))
+    return usable.select(by, F.when(F.col("ratio") > 0, 1 / F.col("ratio")).alias("nu"))
 
 
-def mahalanobis(x: np.ndarray, centre: np.ndarray, covariance: np.ndarray) -> float:
-    """Distance over the values that are there; not a number with fewer than two."""
-    seen = ~np.isnan(x)
-    if seen.sum() < 2:
-        return float("nan")
-    d = x[seen] - centre[seen]
-    return float(np.sqrt(max(0.0, d @ np.linalg.pinv(covariance[np.ix_(seen, seen)]) @ d)))
+def shrinkage_weight(n: np.ndarray, nu: float | None) -> np.ndarray:
+    """The share of an entity's own covariance, n / (n + nu); none of it where nu is infinite (null)."""
+    return np.zeros(len(n)) if nu is None else np.where(n > 0, n / (np.maximum(n, 1) + nu), 0.0)
+
+
+def distances(x: np.ndarray, centre: np.ndarray, covariance: np.ndarray) -> np.ndarray:
+    """Mahalanobis distances over the values that are there, one fit for each row; not a number with fewer than two."""
+    out, seen = np.full(len(x), np.nan), ~np.isnan(x)
+    for mask in np.unique(seen, axis=0):
+        at = np.flatnonzero((seen == mask).all(1))
+        if mask.sum() < 2 or not len(at):
+            continue
+        cov = covariance[at][:, mask][:, :, mask]
+        good = np.isfinite(cov).all((1, 2)) & np.isfinite(centre[at][:, mask]).all(1)
+        at, cov = at[good], cov[good]
+        d = (x[at] - centre[at])[:, mask]
+        out[at] = np.sqrt(np.maximum(np.einsum("ni,nij,nj->n", d, np.linalg.pinv(cov), d), 0.0))
+    return out
 
 
 class IsolationForest:
@@ -66,13 +93,19 @@ class IsolationForest:
         left = rows[:, c] < cut
         return c, cut, self._grow(rows[left], depth + 1, rng), self._grow(rows[~left], depth + 1, rng)
 
-    def score(self, x: np.ndarray) -> float:
-        total = 0.0
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Scores of the rows of ``x``."""
+        total = np.zeros(len(x))
         for tree in self.trees:
-            while len(tree) > 1:
-                tree = tree[2] if x[tree[0]] < tree[1] else tree[3]
-            total += tree[0]
-        return float(2 ** (-total / len(self.trees) / max(1e-9, _path(self.size))))
+            waiting = [(tree, np.arange(len(x)))]
+            while waiting:
+                node, at = waiting.pop()
+                if len(node) == 1:
+                    total[at] += node[0]
+                    continue
+                left = x[at, node[0]] < node[1]
+                waiting += [(branch, part) for branch, part in ((node[2], at[left]), (node[3], at[~left])) if len(part)]
+        return 2 ** (-total / len(self.trees) / max(1e-9, _path(self.size)))
 
 
 def _path(n: int) -> float:
@@ -80,90 +113,234 @@ def _path(n: int) -> float:
     return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def pools(rows: DataFrame, columns: list[str], settings: Settings = DEFAULT) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Each position's mean, covariance and at most ``borrow_cap`` complete rows; positions are few."""
-    complete = rows.dropna(subset=columns)
-    d = len(columns)
+@dataclass
+class Pool:
+    """A position's mean, covariance, nu (none for infinite) and a bounded sample of its rows."""
+
+    centre: np.ndarray
+    covariance: np.ndarray
+    nu: float | None
+    rows: np.ndarray
+
+
+def pools(rows: DataFrame, columns: list[str], settings: Settings = DEFAULT) -> dict[str | None, Pool]:
+    """The pool of each position with at least two complete rows more than columns, and of all rows under None."""
+    complete, d = rows.dropna(subset=columns).select("player_id", "match_id", "position_code", *columns), len(columns)
+    both = complete.where(F.col("position_code").isNotNull()).union(complete.withColumn("position_code", F.lit(None).cast("string")))
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    moments = complete.groupBy("position_code").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c) for c in columns], *[F.covar_samp(columns[i], columns[j]) for i, j in pairs]).where(F.col("n") >= d + 2)
-    rank = F.row_number().over(Window.partitionBy("position_code").orderBy(F.xxhash64("player_id", "match_id"), "player_id", "match_id"))
-    picked = complete.withColumn("rank", rank).where(F.col("rank") <= settings.borrow_cap)
-    held: dict[str, list] = {}
-    for r in picked.select("position_code", "rank", *columns).orderBy("position_code", "rank").collect():
-        held.setdefault(r[0], []).append(r[2:])
+    moments = both.groupBy("position_code").agg(F.count(F.lit(1)).alias("n"), *[F.avg(c) for c in columns], *[F.covar_samp(columns[i], columns[j]) for i, j in pairs]).where(F.col("n") >= d + 2)
+    found = moments.collect()
+    nus = {r["position_code"]: r["nu"] for r in covariance_nu(complete, columns).collect()}
+    # A share of all places keeps what is ordered small; the cut to ``borrow_cap`` follows.
+    place = F.pmod(F.xxhash64("player_id", "match_id"), F.lit(_PLACES))
+    shares = F.create_map(*[x for r in found for x in (F.coalesce(F.lit(r["position_code"]), F.lit("")), F.lit(2.0 * settings.borrow_cap / r["n"] + 64.0 / r["n"]))]) if found else None
+    held: dict[str | None, list] = {}
+    if found:
+        near = both.withColumn("place", place).where(F.col("place") <= F.coalesce(shares[F.coalesce("position_code", F.lit(""))], F.lit(0.0)) * _PLACES)
+        rank = F.row_number().over(Window.partitionBy("position_code").orderBy("place", "player_id", "match_id"))
+        for r in near.withColumn("rank", rank).where(F.col("rank") <= settings.borrow_cap).select("position_code", "rank", *columns).orderBy("position_code", "rank").collect():
+            held.setdefault(r[0], []).append(r[2:])
     out = {}
-    for r in moments.collect():
+    for r in found:
         cov = np.zeros((d, d))
         for (i, j), v in zip(pairs, r[2 + d :], strict=True):
             cov[i, j] = cov[j, i] = v
-        out[r[0]] = (np.array(r[2 : 2 + d], float), cov, np.array(held[r[0]], float))
+        out[r[0]] = Pool(np.array(r[2 : 2 + d], float), cov, nus.get(r[0]), np.array(held.get(r[0], []), float).reshape(-1, d))
     return out
 
 
-CENSUS = "player_id string, match_id string, position_code string, fit_source string, mahalanobis double, forest double, forest_norm double, forest_own_fraction double"
+@dataclass
+class Space:
+    """Columns that are scored together, and their clean pools."""
+
+    name: str
+    columns: list[str]
+    pools: dict[str | None, Pool]
 
+    @property
+    def origin(self) -> np.ndarray:
+        """Where sums are taken from, near the rows' mean so that little is lost in differences."""
+        return self.pools[None].centre if None in self.pools else np.zeros(len(self.columns))
+
+
+def _sums(complete: DataFrame, columns: list[Column], *keys: str) -> DataFrame:
+    """``n``, sums and sums of products."""
+    d = len(columns)
+    products = [F.sum(columns[i] * columns[j]).alias(f"_p{i}_{j}") for i in range(d) for j in range(i, d)]
+    return complete.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("_n"), *[F.sum(c).alias(f"_s{i}") for i, c in enumerate(columns)], *products)
+
+
+def _others(asked: DataFrame, complete: DataFrame, space: Space) -> DataFrame:
+    """``asked`` with the sums over the entity's complete rows of other matches, as one array ``sums`` of the space."""
+    keys, names = ["player_id", "match_id"], space.columns
+    moved = [F.col(c) - F.lit(float(m)) for c, m in zip(names, space.origin, strict=True)]
+    complete = complete.dropna(subset=names)
+    whole, own = _sums(complete, moved, "player_id"), _sums(complete, moved, *keys)
+    parts = [c for c in whole.columns if c.startswith("_")]
+    both = asked.join(whole, "player_id", "left").join(own.select(*keys, *[F.col(c).alias(f"own{c}") for c in parts]), keys, "left")
+    left = F.array(*[F.coalesce(c, F.lit(0.0)) - F.coalesce(f"own{c}", F.lit(0.0)) for c in parts])
+    return both.select(*asked.columns, left.alias(f"sums{space.name}"))
+
+
+def _fits(sums: np.ndarray, pool: list[Pool | None], origin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres and covariances of rows, and which are the entity's own blended with its pool's."""
+    d = len(origin)
+    n, s = sums[:, 0], sums[:, 1 : 1 + d]
+    upper = np.triu_indices(d)
+    products = np.zeros((len(n), d, d))
+    products[:, upper[0], upper[1]] = products[:, upper[1], upper[0]] = sums[:, 1 + d :]
+    own = n >= 2
+    centre = np.where(own[:, None], s / np.maximum(n, 1)[:, None], np.nan)
+    cov = (products - n[:, None, None] * centre[:, :, None] * centre[:, None, :]) / np.maximum(n - 1, 1)[:, None, None]
+    centre = centre + origin
+    for p in {id(p): p for p in pool}.values():
+        at = np.array([q is p for q in pool])
+        if p is None:
+            cov[at & ~own] = np.nan
+            continue
+        w = shrinkage_weight(n[at & own], p.nu)[:, None, None]
+        cov[at & own] = w * cov[at & own] + (1 - w) * p.covariance
+        centre[at & ~own], cov[at & ~own] = p.centre, p.covariance
+    return centre, cov, own
+
+
+def spaces(rows: DataFrame, columns: list[str], settings: Settings = DEFAULT) -> list[Space]:
+    """Raw values, and residuals (``z_`` columns of rows complete in the raw ones) where the rows have them."""
+    out = [Space("", columns, pools(rows, columns, settings))]
+    residual = [f"z_{c}" for c in columns]
+    if set(residual) <= set(rows.columns):
+        out.append(Space("_res", residual, {k: p for k, p in pools(rows.dropna(subset=columns), residual, settings).items() if k is not None}))
+    return out
 
-def score_census(rows: DataFrame, columns: list[str], nu: DataFrame | None = None, forest: bool = False, settings: Settings = DEFAULT) -> DataFrame:
-    """Each row's distance from its entity's other rows, and its isolation among them if asked for.
 
-    The covariance is the entity's own, weighted n / (n + nu), and the position's for the rest. With fewer
-    than two other complete rows the position's fit stands in. A forest trains on the other rows and on
-    rows borrowed from the position, up to 2 to the number of columns.
+KEYS = ["player_id", "match_id", "position_code"]
+SCORES = ["mahalanobis", "mahalanobis_res", "forest", "forest_norm", "forest_own_fraction", "forest_res", "forest_res_norm", "forest_res_own_fraction"]
+
+
+def _position_of(space: Space, position: str | None) -> Pool | None:
+    return space.pools.get(position) or (space.pools.get(None) if space.name == "" else None)
+
+
+def score_census(rows: DataFrame, columns: list[str], forest: bool = False, settings: Settings = DEFAULT, asked: DataFrame | None = None, fitted: list[Space] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Each row's distance from its entity's other rows in both spaces, and its isolation among them if asked for: keys, ``fit_source`` and ``SCORES``.
+
+    The covariance is the entity's own, weighted n / (n + nu), and the position's for the rest. With fewer than two other complete
+    rows the position's fit stands in, or that of all rows (raw values only); a row without any isn't scored. ``asked`` rows
+    are scored in place of ``rows``, against the other matches' ``rows`` of their entity; ``fitted`` gives the pools. ``carry`` are columns of ``asked`` that tell its rows apart.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(fitted if fitted is not None else spaces(rows, columns, settings))
+    keys, named = ["player_id", "match_id", *carry], [*KEYS, *carry]
+    queries = (asked if asked is not None else rows).select(*named, *[F.col(c).cast("double") for s in shared.value for c in s.columns])
+    complete = rows.dropna(subset=columns)
+    plain = queries
+    for space in shared.value:
+        plain = _others(plain, complete, space)
+
+    def tell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf[named].copy()
+            usable = np.ones(len(pdf), bool)
+            for space in shared.value:
+                pool = [_position_of(space, None if pd.isna(p) else p) for p in pdf["position_code"]]
+                sums = np.stack(pdf[f"sums{space.name}"].to_numpy()) if len(pdf) else np.zeros((0, 1))
+                centre, cov, own = _fits(sums, pool, space.origin) if len(pdf) else (None, None, np.zeros(0, bool))
+                out[f"mahalanobis{space.name}"] = distances(pdf[space.columns].to_numpy(float), centre, cov) if len(pdf) else []
+                if space.name == "":
+                    out["fit_source"] = np.where(own, "shrunk", "position")
+                    usable = np.array([p is not None for p in pool], bool)
+            if len(shared.value) == 1:
+                out["mahalanobis_res"] = np.nan
+            yield out[usable][[*named, "fit_source", "mahalanobis", "mahalanobis_res"]]
+
+    types = dict(queries.dtypes)
+    plain = plain.mapInPandas(tell, ", ".join(f"{c} {types[c]}" for c in named) + ", fit_source string, mahalanobis double, mahalanobis_res double")
+    if forest:
+        plain = plain.join(_forests(complete, queries, shared, settings, keys), keys, "left")
+    missing = [c for c in SCORES if c not in plain.columns]
+    plain = plain.withColumns({c: F.lit(None).cast("double") for c in missing}) if missing else plain
+    return plain.select(*named, "fit_source", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in SCORES])
+
+
+def _forests(complete: DataFrame, queries: DataFrame, shared: Broadcast, settings: Settings, keys: list[str]) -> DataFrame:
+    """Isolation of the queries among their entity's other rows, borrowed rows included.
+
+    An entity's rows are dealt to groups of about ``forest_rows``; with each group goes the same sample of as many of its rows.
     """
-    pool = rows.sparkSession.sparkContext.broadcast(pools(rows, columns, settings))
-    nus = {r[0]: r[1] for r in nu.collect()} if nu is not None else {}
-    target = min(settings.borrow_cap, 2 ** len(columns))
-
-    def score(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("match_id")
-        position, player = pdf["position_code"].iloc[0], str(pdf["player_id"].iloc[0])
-        values = pdf[columns].to_numpy(float)
-        complete = ~np.isnan(values).any(1)
-        fit = pool.value.get(position)
-        out = []
-        for i in range(len(values)):
-            own = values[complete & (np.arange(len(values)) != i)]
-            source = "own" if len(own) >= 2 else "position"
-            row = [float("nan")] * 4
-            if source == "own" or fit is not None:
-                if source == "own":
-                    centre, n = own.mean(0), len(own)
-                    w = n / (n + (nus.get(position) or 0.0)) if fit is not None else 1.0
-                    cov = w * np.cov(own, rowvar=False, ddof=1) + (1 - w) * (fit[1] if fit is not None else 0)
-                else:
-                    centre, cov = fit[0], fit[1]
-                row[0] = mahalanobis(values[i], centre, np.atleast_2d(cov))
-                seen = ~np.isnan(values[i])
-                if forest and seen.sum() >= 2:
-                    train = own[:, seen]
-                    need = target - len(train)
-                    if need > 0 and fit is not None:
-                        rng = np.random.default_rng(zlib.crc32(player.encode()))
-                        train = np.vstack([train, fit[2][rng.choice(len(fit[2]), min(need, len(fit[2])), replace=False)][:, seen]])
-                    if len(train) >= 2:
-                        f = IsolationForest(train, settings.trees, 0)
-                        row[1] = f.score(values[i][seen])
-                        of_train = np.array([f.score(t) for t in train])
-                        spread = of_train.std()
-                        row[2] = (row[1] - of_train.mean()) / spread if spread > 0 else float("nan")
-                        row[3] = len(own) / len(train)
-            out.append((player, str(pdf["match_id"].iloc[i]), position, source, *row))
-        return pd.DataFrame(out, columns=["player_id", "match_id", "position_code", "fit_source", "mahalanobis", "forest", "forest_norm", "forest_own_fraction"])
-
-    found = rows.select("player_id", "match_id", "position_code", *columns).groupBy("player_id").applyInPandas(score, CENSUS)
-    scores = ["mahalanobis", "forest", "forest_norm", "forest_own_fraction"]
-    return found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in scores})
+    bound = settings.forest_rows
+    values = [c for s in shared.value for c in s.columns]
+    sized = queries.groupBy("player_id").agg(F.ceil(F.count(F.lit(1)) / bound).cast("int").alias("_groups"))
+    dealt = queries.join(sized, "player_id").withColumn("_group", F.pmod(F.xxhash64("match_id"), "_groups").cast("int"))
+    place = F.pmod(F.xxhash64("match_id", F.lit(1)), F.lit(_PLACES))
+    counted = complete.groupBy("player_id").agg(F.count(F.lit(1)).alias("_all"))
+    kept = complete.select("player_id", "match_id", *values).join(counted, "player_id").where(place <= bound / F.col("_all") * _PLACES)
+    sample = kept.join(sized, "player_id").withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).select("player_id", "match_id", *values, "_group")
+
+    def isolate(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        asked, own = asked.sort_values("match_id"), own.sort_values("match_id")
+        out = asked[keys].copy()
+        seed = zlib.crc32(str(key[0]).split(ENTITY)[0].encode())
+        for space in shared.value:
+            x, train = asked[space.columns].to_numpy(float), own[space.columns].to_numpy(float)
+            whole = ~np.isnan(train).any(1)
+            train, matches = train[whole], own["match_id"].to_numpy()[whole]
+            found = np.full((len(x), 3), np.nan)
+            for i in range(len(x)):
+                position = asked["position_code"].iloc[i]
+                pool = _position_of(space, None if pd.isna(position) else position)
+                found[i] = _isolation(x[i], train[matches != asked["match_id"].iloc[i]], pool, space, seed, settings)
+            for k, name in enumerate((f"forest{space.name}", f"forest{space.name}_norm", f"forest{space.name}_own_fraction")):
+                out[name] = found[:, k]
+        return out
+
+    types = dict(queries.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", " + ", ".join(f"forest{s.name} double, forest{s.name}_norm double, forest{s.name}_own_fraction double" for s in shared.value)
+    dealt, sample = dealt.drop("_groups"), sample.toDF(*sample.columns)  # names of its own: both sides come from the same rows
+    return dealt.groupBy("player_id", "_group").cogroup(sample.groupBy("player_id", "_group")).applyInPandas(isolate, schema)
+
+
+def _isolation(x: np.ndarray, own: np.ndarray, pool: Pool | None, space: Space, seed: int, settings: Settings) -> tuple[float, float, float]:
+    """A row's score, the same in standard deviations of the training rows' scores, and the share of these that are the entity's own."""
+    seen = ~np.isnan(x)
+    if pool is None and (space.name == "" or len(own) < 2):
+        return (np.nan,) * 3
+    if len(own) >= 2:
+        rows, lacking = own, 0
+        if pool is not None:
+            lacking = min(2 ** int(seen.sum()) - len(own), settings.borrow_cap - len(own), len(pool.rows))
+        if lacking > 0:
+            rows = np.vstack([own, pool.rows[np.random.default_rng(seed).choice(len(pool.rows), lacking, replace=False)]])
+        share = len(own) / len(rows)
+    else:
+        # Of the position's own fit, residuals count all rows as its own, raw values none.
+        rows, share = pool.rows, 1.0 if space.name else 0.0
+    if seen.sum() < 2 or len(rows) < 2:
+        return np.nan, np.nan, share
+    trees = IsolationForest(rows[:, seen], settings.trees, 0)
+    score, of_rows = float(trees.score(x[seen][None])[0]), trees.score(rows[:, seen])
+    spread = of_rows.std(ddof=1)
+    return score, (score - of_rows.mean()) / spread if spread > 0 else np.nan, share
 
 
 def production_bars(scores: DataFrame, columns: list[str], rate: float = DEFAULT.flag_rate) -> DataFrame:
-    """The value of each scorer that ``rate`` of all rows reach, in one pass; nulls don't count."""
+    """The value of each scorer that ``rate`` of all rows reach, in one pass; nulls don't count. Scorers without the others' forests are refused."""
+    forests = [c for c in SCORES if c.startswith("forest") and "fraction" not in c]
+    given = [c for c in forests if c in scores.columns]
+    if any(c in forests for c in columns) and len(given) != len(forests):
+        raise ValueError(f"of the forests' scores only {', '.join(given)} are there")
     return scores.agg(*[F.percentile(c, F.lit(1 - rate)).alias(c) for c in columns])
 
 
+def position_nus(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Nu of each position with at least two complete rows more than columns."""
+    complete = rows.dropna(subset=columns)
+    enough = complete.groupBy("position_code").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= len(columns) + 2)
+    return covariance_nu(complete, columns).join(F.broadcast(enough), "position_code", "left_semi")
+
+
 def in_covariance_space(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Distances for two columns without Python: each row from its entity's other rows, by sums less its own."""
+    """Distances for two columns without Python: each row from its entity's other rows, by sums less its own; nothing is shrunk."""
     w = Window.partitionBy("player_id")
-    sums = {"n": F.lit(1.0), "sa": F.col(a), "sb": F.col(b), "saa": F.col(a) * F.col(a), "sbb": F.col(b) * F.col(b), "sab": F.col(a) * F.col(b)}
+    sums: dict[str, Column] = {"n": F.lit(1.0), "sa": F.col(a), "sb": F.col(b), "saa": F.col(a) * F.col(a), "sbb": F.col(b) * F.col(b), "sab": F.col(a) * F.col(b)}
     rows = rows.dropna(subset=[a, b]).withColumns({f"_{k}": F.sum(v).over(w) - v for k, v in sums.items()}).where("_n >= 3")
     n = F.col("_n")
     ma, mb = F.col("_sa") / n, F.col("_sb") / n

@@ -21,25 +21,58 @@ def auc(rows: DataFrame, score: str, hot: str, *by: str) -> DataFrame:
     return done
 
 
-def cell_statistics(results: DataFrame, *by: str) -> DataFrame:
-    """Per cell: targets, those caught, those newly caught, clipped doses and the mean change of score.
+def with_bars(records: DataFrame, bars: dict[str, float], scorer: str = "scorer") -> DataFrame:
+    """Records with the ``bar`` of their scorer."""
+    return records.withColumn("bar", F.create_map(*[x for s, b in bars.items() for x in (F.lit(s), F.lit(b))])[F.col(scorer)])
 
-    ``results`` has ``clean`` and ``after`` scores, the ``bar``, ``is_target``, ``bit`` and ``clipped``.
-    A row over the bar before the change is caught after it but not recovered.
+
+def cell_statistics(records: DataFrame, *by: str) -> DataFrame:
+    """Per cell: what was planted, what of it was caught, and what happened to the targets' other rows.
+
+    ``records`` has ``clean`` and ``after`` scores, the ``bar``, ``is_target``, ``bit``, ``clipped``, ``short``, ``allocated``, ``achieved`` and
+    ``achieved_z``. A row over the bar before the change is caught after it but not recovered. ``recovery_dosed`` counts rows that the
+    change reached only; cells of recipes of several mechanisms (a column ``achieved_`` of one is there) have none, since there some
+    step nearly always acts. ``auc`` compares the targets' scores after with those before. ``shift`` is the median change of the other rows
+    that changed, ``shift_sd`` the same in standard deviations of their clean scores.
     """
+    parts = [c for c in records.columns if c.startswith("achieved_") and not c.startswith("achieved_z")]
+    composed = F.coalesce(*[F.col(c).isNotNull() for c in parts], F.lit(False)) if len(parts) < 2 else F.greatest(*[F.col(c).isNotNull() for c in parts])
     target, was, hit = F.col("is_target"), F.coalesce(F.col("clean") >= F.col("bar"), F.lit(False)), F.coalesce(F.col("after") >= F.col("bar"), F.lit(False))
-    n = F.nullif(F.count(F.when(target, 1)).cast("double"), F.lit(0.0))
-    others = F.nullif(F.count(F.when(~target, 1)).cast("double"), F.lit(0.0))
-    return results.groupBy(*by).agg(
-        F.count(F.when(target, 1)).alias("targets"),
-        F.count(F.when(target & F.col("bit"), 1)).alias("dosed"),
-        (F.count(F.when(target & hit, 1)) / n).alias("caught"),
-        (F.count(F.when(target & hit & ~was, 1)) / n).alias("recovery"),
-        (F.count(F.when(target & F.col("clipped"), 1)) / n).alias("clipped"),
-        F.avg(F.when(target, F.col("after") - F.col("clean"))).alias("mean_shift"),
-        (F.count(F.when(~target & hit & ~was, 1)) - F.count(F.when(~target & was & ~hit, 1))).alias("collateral_rows"),
-        (F.count(F.when(~target & ~F.col("after").eqNullSafe(F.col("clean")), 1)) / others).alias("collateral_moved"),
+    change = F.col("after") - F.col("clean")
+    n, n_other = F.count_if(target), F.count_if(~target)
+    stats = records.withColumn("_composed", composed).groupBy(*by).agg(
+        F.max("bar").alias("bar"),
+        F.max("_composed").alias("_composed"),
+        n.alias("n"),
+        F.count_if(target & hit).alias("_caught"),
+        F.count_if(target & hit & ~was).alias("recovered"),
+        F.count_if(target & F.col("short")).alias("n_short"),
+        F.avg(F.when(target, F.col("allocated"))).alias("allocated"),
+        F.count_if(target & F.col("bit")).alias("_dosed"),
+        F.count_if(target & F.col("bit") & hit & ~was).alias("_recovered_dosed"),
+        F.avg(F.when(target, F.col("achieved"))).alias("_achieved"),
+        F.avg(F.when(target, F.col("achieved_z"))).alias("delivered_z"),
+        F.count_if(target & F.col("clipped")).alias("_clipped"),
+        F.count_if(~target & F.col("after").isNotNull()).alias("_measured"),
+        F.count_if(~target & was).alias("_before"),
+        F.count_if(~target & hit).alias("_after"),
+        F.count_if(~target & (F.abs(change) > 1e-9)).alias("contaminated"),
+        n_other.alias("n_other"),
+        F.median(F.when(~target & (F.abs(change) > 1e-9), change)).alias("shift"),
+        F.stddev_samp(F.when(~target, F.col("clean"))).alias("_spread"),
     )
+    paired = records.where(target & F.col("clean").isNotNull())
+    both = paired.select(*by, F.col("clean").alias("s"), F.lit(False).alias("hot")).union(paired.select(*by, F.col("after").alias("s"), F.lit(True).alias("hot")))
+    told = stats.join(auc(both, "s", "hot", *by), list(by), "left")
+    share = lambda part, whole: F.col(part) / F.nullif(F.col(whole).cast("double"), F.lit(0.0))
+    single, measurable = ~F.col("_composed"), F.col("_measured") > 0
+    return told.select(
+        *by, "bar", "n", share("_caught", "n").alias("caught"), share("recovered", "n").alias("recovery"), "recovered", "n_short", "allocated",
+        F.when(single, F.col("_dosed")).otherwise(0).alias("n_dosed"), F.when(single, share("_recovered_dosed", "_dosed")).alias("recovery_dosed"),
+        F.when(single, F.col("_recovered_dosed")).otherwise(0).alias("recovered_dosed"), "auc", F.when(single, F.col("_achieved")).alias("achieved"), "delivered_z", share("_clipped", "n").alias("clipped"),
+        measurable.alias("collateral_measurable"), F.when(measurable, share("_before", "n_other")).alias("others_before"), F.when(measurable, share("_after", "n_other")).alias("others_after"),
+        "contaminated", "n_other", F.when(measurable, F.col("shift")).alias("shift"), F.when(measurable, F.col("shift") / F.nullif("_spread", F.lit(0.0))).alias("shift_sd"),
+    )
 
 
 def census_rates(scores: DataFrame, bars: dict[str, float]) -> DataFrame:
@@ -57,6 +90,16 @@ def agreement(found: DataFrame, names: list[str], *keys: str) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), share(i, "a").alias("share_of_a"), share(i, "u").alias("jaccard")) for i, (a, b) in enumerate(both)])))
 
 
-def coverage(choices: DataFrame) -> DataFrame:
-    """How many players each scorer has a target for, and how many it inherited."""
-    return choices.groupBy("scorer").agg(F.count_distinct("player_id").alias("players"), F.count_if("inherited").alias("inherited"))
+def target_agreement(choices: DataFrame, positions: DataFrame, least: int = 10) -> DataFrame:
+    """For all players and for each position of at least ``least`` players: how often two scorers chose the same match, and each pair's players.
+
+    ``choices`` has ``player_id``, ``scorer``, ``match_id`` and ``inherited``; a match that a scorer inherited isn't its choice. ``positions`` has a
+    player's ``position_code``. The row of a scorer with itself tells its coverage: the share of the cut's players it chose for.
+    """
+    everyone = choices.select("player_id").distinct().join(positions.groupBy("player_id").agg(F.min("position_code").alias("position_code")), "player_id", "left")
+    cut = everyone.select("player_id", F.explode(F.array(F.lit("all"), "position_code")).alias("cut")).where(F.col("cut").isNotNull())
+    sizes = cut.groupBy("cut").agg(F.count(F.lit(1)).alias("players")).where((F.col("players") >= least) | (F.col("cut") == "all"))
+    own = choices.where(~F.col("inherited")).groupBy("player_id").agg(F.collect_list(F.struct("scorer", "match_id")).alias("picks"))  # one for each scorer
+    pairs = own.withColumn("a", F.explode("picks")).withColumn("b", F.explode("picks")).join(cut, "player_id")
+    found = pairs.groupBy("cut", F.col("a.scorer").alias("a"), F.col("b.scorer").alias("b")).agg(F.count(F.lit(1)).alias("n_both"), F.count_if(F.col("a.match_id") == F.col("b.match_id")).alias("same"))
+    return found.join(F.broadcast(sizes), "cut").select("cut", "a", "b", "players", "n_both", (F.col("same") / F.col("n_both")).alias("share"), (F.col("n_both") / F.col("players")).alias("coverage"))

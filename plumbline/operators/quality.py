@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -145,9 +146,32 @@ def escaped_columns(profile: DataFrame) -> DataFrame:
 
 
 def unreadable(files: DataFrame, schema: str) -> DataFrame:
-    """Files (``path``, ``value``) whose text isn't JSON of the schema, or holds literal escapes."""
-    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE"})
-    return files.select("path", parsed.isNull().alias("broken"), (F.instr("value", "\\\\u") > 0).alias("escaped")).where("broken OR escaped")
+    """Files (``path``, ``value``) whose text isn't JSON (``broken``; null and empty texts are), or holds literal escapes.
+
+    ``schema`` is one record's; a file holds one or an array of them. A value of another type than the schema's reads as null and isn't reported.
+    """
+    parsed = F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    records = F.from_json("value", f"array<struct<{_fields(schema)},_corrupt:string>>", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    many = F.ltrim("value").startswith("[")
+    broken = F.when(many, records.isNull() | F.exists(records, lambda r: r["_corrupt"].isNotNull()) | ~F.rtrim("value").endswith("]")).otherwise(parsed.isNull() | parsed["_corrupt"].isNotNull())
+    return files.select("path", F.coalesce(broken, F.lit(True)).alias("broken"), F.coalesce(F.instr("value", "\\u") > 0, F.lit(False)).alias("escaped")).where("broken OR escaped")
+
+
+def _fields(schema: str) -> str:
+    """A record's columns as the fields of a struct."""
+    return StructType.fromDDL(schema).simpleString().removeprefix("struct<").removesuffix(">")
+
+
+def within_tiers(df: DataFrame, columns: list[str], low: float = 0.0, high: float = 1.0, tiers: tuple[float, float] = (0.01, 0.03), eps: float = 1e-9) -> DataFrame:
+    """Values outside a range by more than the first tier, each with the ``severity`` of the tier that it exceeds: a warning, or an error."""
+    far = (F.col("value") < low - tiers[1] - eps) | (F.col("value") > high + tiers[1] + eps)
+    return within(df, columns, low - tiers[0], high + tiers[0], eps).withColumn("severity", F.when(far, "error").otherwise("warn"))
+
+
+@register_check
+def mirrored_keepers(mart: DataFrame) -> DataFrame:
+    """Goalkeepers' matches that were recorded in the other side's frame."""
+    return mart.where("has_mirrored_positions").select("match_id", "player_id", "attempts_beyond_halfway", "actions", F.round("mean_action_x", 3).alias("mean_action_x"))
 
 
 def run(checks: list[Check]) -> DataFrame:
@@ -157,8 +181,9 @@ def run(checks: list[Check]) -> DataFrame:
 
 
 def enforce(checks: list[Check]) -> DataFrame:
-    found = run(checks)
-    broken = [r["name"] for r in found.where("severity = 'error' AND failing > 0").collect()]
+    """The report, computed once; an error check with failing rows stops it."""
+    found = run(checks).collect()
+    broken = [r["name"] for r in found if r["severity"] == "error" and r["failing"] > 0]
     if broken:
         raise ValueError(f"checks failed: {', '.join(broken)}")
-    return found
+    return checks[0].failing.sparkSession.createDataFrame(found, "name string, severity string, failing long")

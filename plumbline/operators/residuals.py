@@ -7,31 +7,33 @@ its rows: a leave-one-out median takes at most three values, and so does the dev
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.config import DEFAULT, PROPORTIONS, Settings
 from plumbline.functions.columns import first_largest, mean_of, nulls_skipped
+from plumbline.tables import written
 
 KEYS = ("player_id", "match_id", "position_code")
 
 
-def prepare(mart: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """Rows with enough time, doubtful matches and values taken out, rates per 90 added."""
-    long_enough = F.col("minutes_played") >= settings.baseline_minutes
-    rows = mart.where(long_enough & ~F.coalesce("match_has_missing_substitution", F.lit(False)))
+def derived(mart: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """What follows from a row itself: doubtful values taken out, rates per 90 added."""
     mirrored = F.coalesce("has_mirrored_positions", F.lit(False))
     exposure = F.nullif(F.least(F.col("minutes_played").cast("double"), F.col("regulation_minutes").cast("double")), F.lit(0.0))
     hidden = [c for c in ("mean_action_x", "touches_in_defensive_third") if c in mart.columns]
-    rows = rows.withColumns({c: F.when(~mirrored, F.col(c)) for c in hidden})
-    rows = rows.withColumns({f"{c}_per_90": F.col(c) * 90.0 / exposure for c in ("passes", "defensive_actions", "touches_in_defensive_third")})
-    size = F.count(F.lit(1)).over(Window.partitionBy("player_id"))
-    rows = rows.withColumn("player_baseline_matches", size)
+    rows = mart.withColumns({c: F.when(~mirrored, F.col(c)) for c in hidden})
+    return rows.withColumns({f"{c}_per_90": F.col(c) * 90.0 / exposure for c in ("passes", "defensive_actions", "touches_in_defensive_third")})
+
+
+def prepare(mart: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """Rows with enough time, doubtful matches and values taken out, rates per 90 added."""
+    long_enough = F.col("minutes_played") >= settings.baseline_minutes
+    rows = derived(mart.where(long_enough & ~F.coalesce("match_has_missing_substitution", F.lit(False))), settings)
+    rows = rows.withColumn("player_baseline_matches", F.count(F.lit(1)).over(Window.partitionBy("player_id")))
     return rows.withColumn("is_scoreable", F.coalesce("is_eligible", F.lit(False)) & (F.col("player_baseline_matches") >= settings.min_matches))
 
 
@@ -176,44 +178,120 @@ def leave_one_out_sigma(long: DataFrame) -> DataFrame:
     return rows.withColumn("sigma", F.when(F.col("others") >= 2, (F.col("x") - F.col("s") / F.col("others")) / sd)).drop("s", "q")
 
 
-@F.pandas_udf(DoubleType())
-def beta_binomial_lower(k: pd.Series, n: pd.Series, p: pd.Series, rho: pd.Series) -> pd.Series:
-    """P(K <= k) of n draws at rate p whose rate spreads by rho; binomial where rho vanishes."""
+@F.pandas_udf(StructType([StructField("lower", DoubleType()), StructField("below", DoubleType())]))
+def beta_binomial_tails(k: pd.Series, n: pd.Series, p: pd.Series, rho: pd.Series) -> pd.DataFrame:
+    """P(K <= k) and P(K < k) of n draws at rate p whose rate spreads by rho; binomial where rho vanishes."""
     k, n, p, rho = (x.to_numpy(float) for x in (k, n, p, rho))
     rho = np.maximum(rho, 1e-9)
     a, b = p * (1 - rho) / rho, (1 - p) * (1 - rho) / rho
     log = np.zeros(len(k))  # of P(0): the product of (b + j) / (a + b + j)
     for j in range(int(np.nanmax(n, initial=0))):
         log += np.where(j < n, np.log(np.maximum(b + j, 1e-300)) - np.log(a + b + j), 0.0)
-    total = np.zeros(len(k))
+    lower, below = np.zeros(len(k)), np.zeros(len(k))
     for i in range(int(np.nanmax(k, initial=-1)) + 1):
-        total += np.where(i <= k, np.exp(log), 0.0)
+        mass = np.exp(log)
+        lower += np.where(i <= k, mass, 0.0)
+        below += np.where(i < k, mass, 0.0)
         with np.errstate(divide="ignore", invalid="ignore"):
             step = np.log(np.maximum(n - i, 1e-300)) - np.log(i + 1) + np.log(np.maximum(a + i, 1e-300)) - np.log(np.maximum(b + n - i - 1, 1e-300))
         log += step
-    return pd.Series(np.where(np.isnan(k + n + p + rho), np.nan, np.minimum(total, 1.0)))
+    missing = np.isnan(k + n + p + rho)
+    return pd.DataFrame({c: np.where(missing, np.nan, np.minimum(v, 1.0)) for c, v in (("lower", lower), ("below", below))})
+
+
+# The rational approximations of the normal quantile in AS 241 (PPND16), numerators and denominators from the constant term up.
+_CENTRAL = (
+    (3.3871328727963666080, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+)
+_NEAR = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+_FAR = (
+    (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
+
+
+def normal_quantile(p: np.ndarray) -> np.ndarray:
+    ratio = lambda fraction, x: np.polyval(fraction[0][::-1], x) / np.polyval(fraction[1][::-1], x)
+    q = p - 0.5
+    with np.errstate(invalid="ignore"):
+        r = np.sqrt(-np.log(np.minimum(p, 1 - p)))
+        tail = np.copysign(np.where(r <= 5, ratio(_NEAR, r - 1.6), ratio(_FAR, r - 5)), q)
+        return np.where(np.abs(q) <= 0.425, q * ratio(_CENTRAL, 0.180625 - q * q), tail)
 
 
 @F.pandas_udf(DoubleType())
-def _normal_quantile(p: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return pd.Series([None if pd.isna(x) else inv(min(max(x, 1e-12), 1 - 1e-12)) for x in p], dtype="float64")
+def _quantile(p: pd.Series) -> pd.Series:
+    return pd.Series(normal_quantile(p.to_numpy(float)))
+
+
+def criteria(long: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """What each row of each metric is held against, all of it from the entity's other rows and ``fitted``: ``centre`` and ``spread`` of the residual,
+    ``mean`` and ``sd`` of the corroborating one, the rate ``p`` and ``rho`` of proportions, and the ``weight`` of the entity's own history.
+
+    Order: shrink, put the position's value where nothing is known or the deviation is 0, say nothing if that is 0 too. The shrinkage of
+    spreads and of rates counts the entity's rows, values or not; that of centres its values.
+    """
+    keys, by = ["player_id", "match_id", "metric"], ["position_code", "metric"]
+    sized = long.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy("player_id", "metric")) - 1)
+    pool = F.broadcast(fitted.select(*by, "pool_median", "pool_mad", "pool_rate", "ratio", "rho", "scale_ratio"))
+    own = leave_one_out(long, fitted).select(*keys, F.col("centre").alias("own_centre"), F.col("mad").alias("own_mad"), "weight")
+    w = Window.partitionBy("player_id", "metric")
+    n, s, q = F.count("x").over(w) - F.col("x").isNotNull().cast("int"), F.sum("x").over(w) - F.coalesce("x", F.lit(0.0)), F.sum(F.col("x") * F.col("x")).over(w) - F.coalesce(F.col("x") * F.col("x"), F.lit(0.0))
+    k_others, n_others = F.sum("k").over(w) - F.coalesce("k", F.lit(0.0)), F.sum("n").over(w) - F.coalesce("n", F.lit(0.0))
+    sized = sized.withColumns({"others": n, "s": s, "q": q, "k_others": k_others, "n_others": n_others})
+    rows = sized.join(own, keys, "left").join(pool, by, "left")
+    ws = own_weight(F.col("rows").cast("double"), F.col("scale_ratio"))
+    mad = F.coalesce(F.when(ws == 1.0, F.col("own_mad")).otherwise(ws * F.col("own_mad") + (1 - ws) * F.col("pool_mad")), "pool_mad")
+    mad = F.when(mad == 0, F.col("pool_mad")).otherwise(mad)
+    variance = F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("others")) / (F.col("others") - 1), F.lit(0.0))
+    known = F.col("others") >= 2
+    sd = F.when(known, F.when(variance > 1e-12, F.sqrt(variance)).otherwise(0.0)).otherwise(settings.mad_to_sigma * F.col("pool_mad"))
+    weight = own_weight(F.col("rows").cast("double"), F.col("ratio"))
+    rate = F.col("k_others") / F.nullif(F.col("n_others"), F.lit(0.0))
+    p = F.coalesce(F.when(weight == 1.0, rate).otherwise(weight * rate + (1 - weight) * F.col("pool_rate")), "pool_rate")
+    return rows.select(
+        *KEYS,
+        "metric",
+        "x",
+        "k",
+        "n",
+        F.coalesce("own_centre", "pool_median").alias("centre"),
+        (settings.mad_to_sigma * F.nullif(mad, F.lit(0.0))).alias("spread"),
+        F.when(known, F.col("s") / F.col("others")).otherwise(F.col("pool_median")).alias("mean"),
+        F.nullif(sd, F.lit(0.0)).alias("sd"),
+        p.alias("p"),
+        F.coalesce("rho", F.lit(0.0)).alias("rho"),
+        "weight",
+        (F.col("own_centre").isNull() & F.col("x").isNotNull()).alias("of_position"),
+        (F.coalesce(F.when(ws == 1.0, F.col("own_mad")).otherwise(ws * F.col("own_mad") + (1 - ws) * F.col("pool_mad")), "pool_mad") == 0).alias("flat"),
+    )
+
+
+def against(rows: DataFrame) -> DataFrame:
+    """``z``, ``sigma`` and ``weight`` of values ``x`` (``k`` of ``n`` for proportions) held against their criteria.
+
+    A proportion's z is the smaller tail of its count, with the side it lies on; other values' is the distance in spreads.
+    """
+    usable = (F.col("n") > 0) & (F.col("p") > 0) & (F.col("p") < 1)
+    robust = (F.col("x") - F.col("centre")) / F.col("spread")
+    given = lambda c: F.when(usable, F.col(c))
+    tails = rows.withColumn("tails", beta_binomial_tails(given("k"), given("n"), given("p"), F.col("rho")))
+    upper = F.greatest(1 - F.col("tails.below"), F.lit(0.0))
+    size = F.abs(_quantile(F.least(F.greatest(F.least(F.col("tails.lower"), upper), F.lit(1e-12)), F.lit(0.5))))
+    z = F.when(usable, F.when(F.col("tails.lower") <= upper, -size).otherwise(size)).otherwise(robust)
+    sigma = (F.col("x") - F.col("mean")) / F.col("sd")
+    return tails.withColumns({"z": z, "sigma": sigma}).drop("tails")
 
 
 def beta_binomial(long: DataFrame, fitted: DataFrame) -> DataFrame:
     """``z`` of true proportions: the smaller tail of the row's count given the entity's other rows."""
-    w = Window.partitionBy("player_id", "metric")
-    rows = long.where("n > 0").withColumns({"k_others": F.sum("k").over(w) - F.col("k"), "n_others": F.sum("n").over(w) - F.col("n"), "others": F.count(F.lit(1)).over(w) - 1})
-    rows = rows.join(F.broadcast(fitted.select("position_code", "metric", "pool_rate", "ratio", "rho")), ["position_code", "metric"])
-    weight = own_weight(F.col("others").cast("double"), F.col("ratio"))
-    own = F.col("k_others") / F.nullif(F.col("n_others"), F.lit(0.0))
-    p = F.when(own.isNull() | (F.col("others") < 1), F.col("pool_rate")).otherwise(weight * own + (1 - weight) * F.col("pool_rate"))
-    rows = rows.withColumn("p", F.least(F.greatest(p, F.lit(1e-6)), F.lit(1 - 1e-6))).withColumn("rho", F.coalesce("rho", F.lit(0.0)))
-    rows = rows.withColumn("lower", beta_binomial_lower("k", "n", "p", "rho")).withColumn("below", F.when(F.col("k") > 0, beta_binomial_lower(F.col("k") - 1, "n", "p", "rho")).otherwise(0.0))
-    upper = F.greatest(1 - F.col("below"), F.lit(0.0))
-    tail = F.least(F.greatest(F.least("lower", upper), F.lit(1e-12)), F.lit(0.5))
-    size = F.abs(_normal_quantile(tail))
-    return rows.withColumn("z", F.when(F.col("lower") <= upper, -size).otherwise(size)).select(*KEYS, "metric", "z")
+    lacking = {c: F.lit(None).cast("double") for c in ("pool_median", "pool_mad", "pool_rate", "ratio", "rho", "scale_ratio") if c not in fitted.columns}
+    held = criteria(long, fitted.withColumns(lacking) if lacking else fitted).where((F.col("n") > 0) & (F.col("p") > 0) & (F.col("p") < 1))
+    return against(held).select(*KEYS, "metric", "z")
 
 
 def residuals(long: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT, only: list[str] | None = None, carried: DataFrame | None = None) -> DataFrame:
@@ -224,16 +302,7 @@ def residuals(long: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT,
     """
     if only is not None:
         long = long.where(F.col("metric").isin(*only))
-    robust = leave_one_out(long, fitted).join(F.broadcast(fitted.select("position_code", "metric", "pool_mad", "scale_ratio")), ["position_code", "metric"], "left")
-    ws = own_weight(F.col("others").cast("double"), F.col("scale_ratio"))
-    mad = F.coalesce(F.when(ws == 1.0, F.col("mad")).otherwise(ws * F.col("mad") + (1 - ws) * F.col("pool_mad")), "pool_mad")
-    mad = F.nullif(F.when(mad > 0, mad).otherwise(F.col("pool_mad")), F.lit(0.0))
-    z = F.when(F.col("others") >= 1, (F.col("x") - F.col("centre")) / (settings.mad_to_sigma * mad))
-    robust = robust.select(*KEYS, "metric", z.alias("z_robust"), "weight")
-    keys = [*KEYS, "metric"]
-    tails = beta_binomial(long, fitted).withColumnRenamed("z", "z_tail")
-    sigma = leave_one_out_sigma(long).select(*keys, "sigma")
-    found = robust.join(tails, keys, "left").join(sigma, keys, "left").select(*keys, F.coalesce("z_tail", "z_robust").alias("z"), "sigma", "weight")
+    found = against(criteria(long, fitted, settings)).select(*KEYS, "metric", "z", "sigma", "weight", "of_position", "flat", F.col("x").isNotNull().alias("valued"))
     return found if only is None or carried is None else found.unionByName(carried.where(~F.col("metric").isin(*only)))
 
 
@@ -246,24 +315,42 @@ def wide_form(found: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 
 def flag(rows: DataFrame, rate: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
-    """``flagged`` rows at or above the quantile that leaves ``rate`` of rows, with the metric that drives each."""
+    """``is_flagged`` rows at or above the quantile that leaves ``rate`` of rows (``flag_threshold``), with the metric that drives each."""
     rate = settings.flag_rate if rate is None else rate
     if not 0 < rate < 1:
         raise ValueError(f"rate is {rate}; it must lie between 0 and 1")
-    bar = rows.agg(F.percentile("max_abs_z", F.lit(1 - rate)).alias("bar"))
+    bar = rows.agg(F.percentile("max_abs_z", F.lit(1 - rate)).alias("flag_threshold"))
     driver = first_largest(list(settings.metrics), [F.abs(f"z_{m}") for m in settings.metrics])
     weights = F.create_map(*[x for m in settings.metrics for x in (F.lit(m), F.col(f"weight_{m}"))])
     rows = rows.crossJoin(F.broadcast(bar))  # one row
-    return rows.withColumns({"flagged": F.col("max_abs_z") >= F.col("bar"), "driving_metric": driver, "baseline_weight": F.try_element_at(weights, driver)})
+    return rows.withColumns({"is_flagged": F.coalesce(F.col("max_abs_z") >= F.col("flag_threshold"), F.lit(False)), "driving_metric": driver, "baseline_weight": F.try_element_at(weights, driver)})
+
+
+def evidence(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The published columns: keys, which baseline, the evidence of each metric, the verdict."""
+    # The published names and their order.
+    keys, baseline = ("match_id", "player_id", "team_id", "position_code", "minutes_played"), ("baseline_matches", "baseline_weight", "metrics_scored")
+    verdict = ("max_abs_z", "mean_abs_z", "driving_metric", "flag_threshold", "is_flagged")
+    return rows.select(*keys, *baseline, *[c for m in settings.metrics for c in (m, f"z_{m}", f"sigma_{m}")], *verdict)
+
+
+def scored_rows(rows: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """The scoreable of the prepared rows with their residuals."""
+    found = residuals(long_form(rows, settings), fitted, settings)
+    return rows.where("is_scoreable").join(wide_form(found, settings).drop("position_code"), ["player_id", "match_id"])
 
 
-def score(mart: DataFrame, rate: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
+def score(mart: DataFrame, rate: float | None = None, settings: Settings = DEFAULT, counters: Observation | None = None) -> DataFrame:
     """From the mart to flagged rows with their evidence.
 
-    The prepared rows feed every estimator, so they are kept (on disk where memory is short; Spark computes lost parts again).
+    ``counters`` observes how many values had the position's centre, a deviation of 0, or no residual, once the result is computed.
+    The prepared rows feed every estimator, so they are written first, and so are the hyperparameters.
     """
-    rows = prepare(mart, settings).persist()
+    rows = written(prepare(mart, settings), "prepared")
     long = long_form(rows, settings)
-    fitted = hyperparameters(long, settings)
-    scored = wide_form(residuals(long, fitted, settings), settings).join(rows.where("is_scoreable").select("player_id", "match_id", "minutes_played", "player_baseline_matches"), ["player_id", "match_id"])
-    return flag(scored, rate, settings)
+    found = residuals(long, written(hyperparameters(long, settings), "fitted"), settings)
+    if counters is not None:
+        counts = {"values": F.count(F.lit(1)), "position_substituted": F.count_if("of_position"), "zero_mad_substituted": F.count_if("flat"), "unusable": F.count_if(F.col("z").isNull() & F.col("valued"))}
+        found = found.observe(counters, *[c.alias(n) for n, c in counts.items()])
+    scored = rows.where("is_scoreable").withColumn("baseline_matches", F.col("player_baseline_matches") - 1).join(wide_form(found, settings).drop("position_code"), ["player_id", "match_id"])
+    return evidence(flag(scored, rate, settings), settings)

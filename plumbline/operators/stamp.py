@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,13 +22,17 @@ def content_hash(df: DataFrame, *keys: str) -> str:
 
 
 def write_stamped(df: DataFrame, path: str, stamp: str) -> None:
-    """The table with its stamp as one more table beside it, written last."""
-    df.write.mode("overwrite").parquet(f"{path}/data")
-    df.sparkSession.createDataFrame([(stamp,)], "stamp string").write.mode("overwrite").parquet(f"{path}/stamp")
+    """The table in a folder of its own, then the stamp that names it: a reader sees the old table with the old stamp, or the new with the new."""
+    folder = f"data-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{folder}")
+    # Written whole or not at all: one row in one file, which the writer puts in place last.
+    row = df.sparkSession.createDataFrame([(stamp, folder, time.time_ns())], "stamp string, folder string, at long")
+    row.coalesce(1).write.mode("append").parquet(f"{path}/stamp")
 
 
 def read_stamped(spark: SparkSession, path: str, stamp: str) -> DataFrame:
-    found = spark.read.parquet(f"{path}/stamp").first()["stamp"]
-    if found != stamp:
+    """The table that was written last, if its inputs had this stamp."""
+    found = spark.read.parquet(f"{path}/stamp").agg(F.max_by(F.struct("stamp", "folder"), "at").alias("last")).first()["last"]
+    if found["stamp"] != stamp:
         raise ValueError(f"{path} was made from other inputs; make it again")
-    return spark.read.parquet(f"{path}/data")
+    return spark.read.parquet(f"{path}/{found['folder']}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import exposure, quality
 from plumbline.plans import analogs as A
+from plumbline.plans import log_queries
 from plumbline.plans.log_queries import MART_SQL, _minutes, fact_mart, match_results
 
 
@@ -63,6 +64,17 @@ def agrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.agrees(match_results(spark, sf_dir), "agrees_with_publisher").select("match_id")
 
 
+def within_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose place lies a little or far outside a narrowed pitch."""
+    places = A.events(spark, sf_dir).select("event_id", "start_x", "end_x")
+    found = quality.within_tiers(places, ["start_x", "end_x"], 0.1, 0.9)
+    return found.select("event_id", "column", F.round("value", 6).alias("value"), "severity")
+
+
+def mirrored_keepers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.mirrored_keepers(fact_mart(spark, sf_dir))
+
+
 def times_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.times_within(A.events(spark, sf_dir), 60.0, 42_900.0)
 
@@ -103,7 +115,7 @@ def check_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f"check_{f.__name__.removeprefix('check_')}": f
     for f in (
-        not_null, unique_combination, accepted_values, relationship, within, same_grain, exactly_one_of_each, one_value_per, only_when, agrees,
+        not_null, unique_combination, accepted_values, relationship, within, same_grain, exactly_one_of_each, one_value_per, only_when, agrees, within_tiers, mirrored_keepers,
         times_within, minutes_within, team_minutes_within, column_profile, relationship_profile, check_report,
     )
 }
@@ -121,6 +133,10 @@ ORACLE_SQL = {
         GROUP BY ALL HAVING count(*) FILTER (l_returnflag = flag) <> 1""",
     "check_one_value_per": "SELECT o_custkey, count(DISTINCT o_orderstatus) AS n_values FROM orders GROUP BY ALL HAVING count(DISTINCT o_orderstatus) > 1",
     "check_only_when": f"WITH {A.EVENTS_SQL} SELECT event_id FROM ev WHERE (set_piece_type IS NOT DISTINCT FROM 'GOAL_KICK') <> (end_x IS NULL)",
+    "check_agrees": f"SELECT match_id FROM ({log_queries.ORACLE_SQL['match_results']}) WHERE NOT agrees_with_publisher",
+    "check_within_tiers": f"""WITH {A.EVENTS_SQL}, v AS (SELECT event_id, unnest(['start_x', 'end_x']) AS "column", unnest([start_x, end_x]) AS value FROM ev)
+        SELECT event_id, "column", round(value, 6) AS value, CASE WHEN value < 0.07 - 1e-9 OR value > 0.93 + 1e-9 THEN 'error' ELSE 'warn' END AS severity FROM v WHERE value < 0.09 - 1e-9 OR value > 0.91 + 1e-9""",
+    "check_mirrored_keepers": f"WITH {MART_SQL} SELECT match_id, player_id, attempts_beyond_halfway, actions, round(mean_action_x, 3) AS mean_action_x FROM fm WHERE has_mirrored_positions",
     "check_times_within": f"""WITH {A.EVENTS_SQL} SELECT match_id, period_id, min(seconds_into_period) AS first_at, max(seconds_into_period) AS last_at FROM ev GROUP BY ALL
         HAVING min(seconds_into_period) < 60 OR max(seconds_into_period) > 42900""",
     "check_minutes_within": f"WITH {A.EVENTS_SQL}, {A.MINUTES_SQL} SELECT match_id, player_id, minutes_played, full_time FROM mn JOIN ft USING (match_id) WHERE minutes_played > full_time - 100",

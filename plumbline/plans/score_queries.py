@@ -5,15 +5,17 @@ Doubles are rounded, since sums depend on the order of their terms.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import Settings
-from plumbline.operators import census, evaluation, residuals, scenario
+from plumbline.operators import campaign, census, evaluation, residuals, scenario
 from plumbline.plans import analogs as A
 from plumbline.plans.log_queries import MART_SQL, fact_mart
 
 _DAY = Settings(min_matches=5, baseline_minutes=20.0)
+#: Few players have many days here, so spreads and bars are taken from what there is.
+_CAMPAIGN = Settings(min_matches=5, severities=(0.0, 1.5, 3.0))
 _RECIPES = {"pass_completion": ("pass_completion",), "coordinated": ("remove_defensive", "relocate_upfield", "defensive_success", "pass_completion")}
 
 
@@ -100,7 +102,7 @@ def flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     z = _customer_scores(spark, sf_dir).select("player_id", "match_id", F.col("robust").alias("z_robust"), F.col("plain").alias("z_plain"))
     z = z.withColumns({"weight_robust": F.lit(1.0), "weight_plain": F.lit(0.5), "max_abs_z": F.greatest("z_robust", "z_plain")})
     rows = residuals.flag(z, 0.02, Settings(metrics=("robust", "plain")))
-    return rows.where("flagged").select("player_id", "match_id", "driving_metric", "baseline_weight")
+    return rows.where("is_flagged").select("player_id", "match_id", "driving_metric", "baseline_weight")
 
 
 def top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,13 +138,39 @@ def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cell_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices before and after a discount as the scores of a planted change."""
     line = A.table(spark, sf_dir, "lineitem")
+    target = F.col("l_linenumber") % 3 == 0
     rows = line.select(
-        F.col("l_returnflag").alias("recipe"), (F.col("l_linenumber") % 3 == 0).alias("is_target"), (F.col("l_quantity") > 10).alias("bit"), (F.col("l_tax") > 0.05).alias("clipped"),
-        F.lit(20_000.0).alias("bar"), F.col("l_extendedprice").alias("clean"), F.when(F.col("l_linenumber") % 3 == 0, F.col("l_extendedprice") * (1 + F.col("l_discount"))).otherwise(F.col("l_extendedprice")).alias("after"),
+        F.col("l_returnflag").alias("recipe"), target.alias("is_target"), (F.col("l_quantity") > 10).alias("bit"), (F.col("l_tax") > 0.05).alias("clipped"),
+        (F.col("l_tax") > 0.07).alias("short"), F.col("l_quantity").cast("double").alias("allocated"), F.col("l_tax").cast("double").alias("achieved"), F.col("l_discount").cast("double").alias("achieved_z"),
+        F.lit(20_000.0).alias("bar"), F.col("l_extendedprice").cast("double").alias("clean"),
+        F.when(target | (F.col("l_linenumber") == 4), F.col("l_extendedprice") * (1 + F.col("l_discount"))).otherwise(F.col("l_extendedprice")).cast("double").alias("after"),
     )
     return _rounded(evaluation.cell_statistics(rows, "recipe"), 3)
 
 
+def campaign_heldout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each scorer sees of changes planted in each player's most typical day, scored as new days."""
+    return _rounded(campaign.report(_trusted_mart(spark, sf_dir), _RECIPES | {"throttle_defensive": ("throttle_defensive",)}, "heldout", _CAMPAIGN, 0.05))
+
+
+def campaign_persistent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the changed day left in the player's history, and what that does to the other days."""
+    return _rounded(campaign.report(_trusted_mart(spark, sf_dir), _RECIPES, "persistent", _CAMPAIGN, 0.05))
+
+
+def feature_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A held-out campaign with all metrics, and without one."""
+    metrics = list(_CAMPAIGN.metrics)
+    chosen = {k: v for k, v in campaign.arms(metrics).items() if k in ("all", f"drop:{metrics[0]}")}
+    return _rounded(campaign.sweep(_trusted_mart(spark, sf_dir), {"coordinated": _RECIPES["coordinated"]}, _CAMPAIGN, chosen, 0.05, forest=False))
+
+
+def target_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two scores choose the same order of a customer, by segment."""
+    scores = _customer_scores(spark, sf_dir).select("player_id", "match_id", "position_code", *[F.round(c, 3).alias(c) for c in ("plain", "robust")])
+    return _rounded(evaluation.target_agreement(scenario.target_choices(scores, ["plain", "robust"]), scores))
+
+
 _DATA = ["x", "quantity"]
 
 
@@ -156,13 +184,24 @@ def mahalanobis_2d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def covariance_nu(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return census.covariance_nu(_quarters(spark, sf_dir), _DATA)
+    return _rounded(census.position_nus(_quarters(spark, sf_dir), _DATA), 4)
 
 
 def score_census(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances and isolation forests of all quarters."""
-    rows = _quarters(spark, sf_dir)
-    return census.score_census(rows, _DATA, census.covariance_nu(rows, _DATA), forest=True)
+    """Distances of all quarters from the supplier's others, shrunk towards the group's, in raw values and in residuals."""
+    found = census.score_census(_with_residuals(_quarters(spark, sf_dir)), _DATA)
+    return _rounded(found.select("player_id", "match_id", "fit_source", "mahalanobis", "mahalanobis_res"), 3)
+
+
+def _with_residuals(rows: DataFrame) -> DataFrame:
+    """A plain residual of each column: the distance from the group's mean in its standard deviations."""
+    w = Window.partitionBy("position_code")
+    return rows.withColumns({f"z_{c}": (F.col(c) - F.avg(c).over(w)) / F.stddev_samp(c).over(w) for c in _DATA})
+
+
+def score_forests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isolation forests of all quarters in both spaces."""
+    return census.score_census(_with_residuals(_quarters(spark, sf_dir)), _DATA, forest=True)
 
 
 def spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,15 +215,50 @@ def injected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenario.inject(mart, targets, _RECIPES)
 
 
+def injected_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The doses of 0 among them, which leave every row as it is."""
+    found = injected(spark, sf_dir).where("severity = 0")
+    return _rounded(found.select("player_id", "match_id", "recipe", "bit", "clipped", "short", "passes_completed", "defensive_actions", "touches_in_defensive_third", "mean_action_x"), 4)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         prepare, position_baselines, leave_one_out, leave_one_out_shrunk, leave_one_out_sigma, informativeness, overdispersion, scale_ratio, beta_binomial, scored,
-        flagged, top_scores, production_bars, target_choices, agreement, census_rates, auc, cell_statistics, mahalanobis_2d, covariance_nu, score_census, spreads, injected,
+        flagged, top_scores, production_bars, target_choices, agreement, census_rates, auc, cell_statistics, mahalanobis_2d, covariance_nu, score_census, score_forests, spreads, injected, injected_nothing, campaign_heldout, campaign_persistent,
+        feature_sweep, target_agreement,
     )
 }
 
-_RATES = {n: (c, f) for n, (c, f) in scenario.SPREADS.items()}
+_WHOLE = "pass_completion_pct IS NOT NULL AND defensive_action_success_pct IS NOT NULL AND mean_action_x IS NOT NULL"
+_SIZED = {c: c for c in scenario.COUNTS} | {n: f"CASE WHEN {tried} > 0 THEN {done} / {tried} END" for n, (done, tried) in scenario.RATES.items()}
+
+
+def _census_sql(a: str, b: str, source: str, name: str) -> str:
+    """Two columns' distances from the entity's other rows, blended with the group's by its nu (``nu_`` and the name)."""
+    return f"""
+        pl_{name} AS (SELECT position_code, count(*) AS pn, avg({a}) AS pa, avg({b}) AS pb, var_samp({a}) AS pva, var_samp({b}) AS pvb, covar_samp({a}, {b}) AS pvab FROM {source} GROUP BY ALL HAVING count(*) >= 4),
+        ot_{name} AS (SELECT r.player_id, r.match_id, r.position_code, r.{a} AS a, r.{b} AS b, count(o.{a}) AS n, avg(o.{a}) AS ma, avg(o.{b}) AS mb, var_samp(o.{a}) AS va, var_samp(o.{b}) AS vb, covar_samp(o.{a}, o.{b}) AS vab
+            FROM {source} r LEFT JOIN {source} o ON o.player_id = r.player_id AND o.match_id <> r.match_id GROUP BY ALL),
+        bl_{name} AS (SELECT *, n >= 2 AS own, CASE WHEN n >= 2 THEN coalesce(n / (n + nu), 0) ELSE 0 END AS w FROM ot_{name} JOIN pl_{name} USING (position_code) LEFT JOIN nu_{name} USING (position_code)),
+        fi_{name} AS (SELECT *, CASE WHEN own THEN ma ELSE pa END AS ca, CASE WHEN own THEN mb ELSE pb END AS cb,
+            w * coalesce(va, 0) + (1 - w) * pva AS xa, w * coalesce(vb, 0) + (1 - w) * pvb AS xb, w * coalesce(vab, 0) + (1 - w) * pvab AS xab FROM bl_{name}),
+        di_{name} AS (SELECT player_id, match_id, own, round(sqrt(greatest((xb * (a - ca) ** 2 - 2 * xab * (a - ca) * (b - cb) + xa * (b - cb) ** 2) / (xa * xb - xab * xab), 0)), 3) AS d FROM fi_{name})"""
+
+
+def _nu_sql(a: str, b: str, source: str, name: str) -> str:
+    return f"""
+        sc_{name} AS (SELECT position_code, player_id, {a} / stddev_samp({a}) OVER (PARTITION BY position_code) AS a, {b} / stddev_samp({b}) OVER (PARTITION BY position_code) AS b FROM {source}),
+        ce_{name} AS (SELECT position_code, player_id, a - avg(a) OVER w AS a, b - avg(b) OVER w AS b, count(*) OVER w AS n FROM sc_{name} WINDOW w AS (PARTITION BY position_code, player_id)),
+        ex_{name} AS (SELECT position_code, player_id, n, unnest(['aa', 'ab', 'ba', 'bb']) AS k, unnest([a * a, a * b, a * b, b * b]) AS p FROM ce_{name} WHERE n >= 3),
+        en_{name} AS (SELECT position_code, player_id, k, max(n) AS n, sum(p) / (max(n) - 1) AS c, avg(p * p) AS q FROM ex_{name} GROUP BY position_code, player_id, k),
+        ra_{name} AS (SELECT position_code, k, greatest(var_samp(c) - avg((q - c * c) / n), 0) / avg(q - c * c) AS r FROM en_{name} GROUP BY ALL HAVING avg(q - c * c) > 0 AND count(*) >= 2),
+        nu_{name} AS (SELECT position_code, CASE WHEN median(r) > 0 THEN 1 / median(r) END AS nu FROM ra_{name} GROUP BY ALL)"""
+
+
+_RAW_SQL = "r AS (SELECT player_id, match_id, position_code, k / n AS x, quantity FROM sq WHERE n > 0)"
+_RES_SQL = """z AS (SELECT player_id, match_id, position_code, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS zx, (quantity - avg(quantity) OVER w) / stddev_samp(quantity) OVER w AS zq
+    FROM r WINDOW w AS (PARTITION BY position_code))"""
 
 ORACLE_SQL = {
     "prepare": f"""WITH {MART_SQL}, b AS (SELECT *, least(minutes_played, regulation_minutes) AS e,
@@ -227,18 +301,41 @@ ORACLE_SQL = {
         c AS (SELECT team, v, count(*) FILTER (hot) AS h, count(*) FILTER (NOT hot) AS c FROM e GROUP BY ALL),
         w AS (SELECT *, coalesce(sum(c) OVER (PARTITION BY team ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
         SELECT team, round(sum(h * (below + c / 2)) / (sum(h) * sum(c)), 6) AS auc FROM w GROUP BY ALL""",
-    "cell_statistics": """WITH r AS (SELECT l_returnflag AS recipe, l_linenumber % 3 = 0 AS t, l_quantity > 10 AS bit, l_tax > 0.05 AS clip, l_extendedprice AS clean,
-            CASE WHEN l_linenumber % 3 = 0 THEN l_extendedprice * (1 + l_discount) ELSE l_extendedprice END AS after FROM lineitem),
-        f AS (SELECT *, clean >= 20000 AS was, after >= 20000 AS hit FROM r)
-        SELECT recipe, count(*) FILTER (t) AS targets, count(*) FILTER (t AND bit) AS dosed, round(count(*) FILTER (t AND hit) / count(*) FILTER (t), 3) AS caught,
-            round(count(*) FILTER (t AND hit AND NOT was) / count(*) FILTER (t), 3) AS recovery, round(count(*) FILTER (t AND clip) / count(*) FILTER (t), 3) AS clipped,
-            round(avg(after - clean) FILTER (t), 3) AS mean_shift, count(*) FILTER (NOT t AND hit AND NOT was) - count(*) FILTER (NOT t AND was AND NOT hit) AS collateral_rows,
-            round(count(*) FILTER (NOT t AND after IS DISTINCT FROM clean) / count(*) FILTER (NOT t), 3) AS collateral_moved FROM f GROUP BY ALL""",
+    "cell_statistics": """WITH r AS (SELECT l_returnflag AS recipe, l_linenumber % 3 = 0 AS t, l_quantity > 10 AS bit, l_tax > 0.05 AS clip, l_tax > 0.07 AS short, l_quantity AS allocated, l_tax AS achieved, l_discount AS az,
+            l_extendedprice::DOUBLE AS clean, CASE WHEN l_linenumber % 3 = 0 OR l_linenumber = 4 THEN l_extendedprice * (1 + l_discount) ELSE l_extendedprice END::DOUBLE AS after FROM lineitem),
+        f AS (SELECT *, clean >= 20000 AS was, after >= 20000 AS hit, abs(after - clean) > 1e-9 AS moved FROM r),
+        u AS (SELECT recipe, after AS hot, clean AS cold FROM f WHERE t),
+        s AS (SELECT recipe, v, count(*) FILTER (h) AS hot, count(*) FILTER (NOT h) AS cold FROM (SELECT recipe, hot AS v, true AS h FROM u UNION ALL SELECT recipe, cold, false FROM u) GROUP BY ALL),
+        w AS (SELECT *, coalesce(sum(cold) OVER (PARTITION BY recipe ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM s),
+        a AS (SELECT recipe, sum(hot * (below + cold / 2)) / (sum(hot) * sum(cold)) AS auc FROM w GROUP BY ALL)
+        SELECT recipe, 20000.0::DOUBLE AS bar, count(*) FILTER (t) AS n, round(count(*) FILTER (t AND hit) / count(*) FILTER (t), 3) AS caught, round(count(*) FILTER (t AND hit AND NOT was) / count(*) FILTER (t), 3) AS recovery,
+            count(*) FILTER (t AND hit AND NOT was) AS recovered, count(*) FILTER (t AND short) AS n_short, round(avg(allocated) FILTER (t), 3) AS allocated, count(*) FILTER (t AND bit) AS n_dosed,
+            round(count(*) FILTER (t AND bit AND hit AND NOT was) / count(*) FILTER (t AND bit), 3) AS recovery_dosed, count(*) FILTER (t AND bit AND hit AND NOT was) AS recovered_dosed, round(any_value(auc), 3) AS auc,
+            round(avg(achieved) FILTER (t), 3) AS achieved, round(avg(az) FILTER (t), 3) AS delivered_z, round(count(*) FILTER (t AND clip) / count(*) FILTER (t), 3) AS clipped, count(*) FILTER (NOT t) > 0 AS collateral_measurable,
+            round(count(*) FILTER (NOT t AND was) / count(*) FILTER (NOT t), 3) AS others_before, round(count(*) FILTER (NOT t AND hit) / count(*) FILTER (NOT t), 3) AS others_after, count(*) FILTER (NOT t AND moved) AS contaminated,
+            count(*) FILTER (NOT t) AS n_other, round(median(after - clean) FILTER (NOT t AND moved), 3) AS shift, round(median(after - clean) FILTER (NOT t AND moved) / stddev_samp(clean) FILTER (NOT t), 3) AS shift_sd
+        FROM f JOIN a USING (recipe) GROUP BY ALL""",
     "mahalanobis_2d": f"""WITH {A.QUARTERS_SQL}, r AS (SELECT player_id, match_id, k / n AS a, quantity AS b FROM sq WHERE n > 0),
         s AS (SELECT r.player_id, r.match_id, r.a, r.b, avg(o.a) AS ma, avg(o.b) AS mb, var_samp(o.a) AS va, var_samp(o.b) AS vb, covar_samp(o.a, o.b) AS vab
             FROM r JOIN r o ON o.player_id = r.player_id AND o.match_id <> r.match_id GROUP BY ALL HAVING count(*) >= 3)
         SELECT player_id, match_id, round(CASE WHEN va * vb - vab * vab > 1e-12 THEN sqrt(greatest((vb * (a - ma) ** 2 - 2 * vab * (a - ma) * (b - mb) + va * (b - mb) ** 2) / (va * vb - vab * vab), 0)) END, 4) AS mahalanobis FROM s""",
-    "spreads": f"""WITH {MART_SQL}, own AS (SELECT position_code, player_id, {", ".join(f"stddev_samp({c} * {f}::DOUBLE) AS {n}, count({c}) AS n_{n}" for n, (c, f) in _RATES.items())} FROM fm GROUP BY ALL),
-        pool AS (SELECT position_code, {", ".join(f"sqrt(sum((n_{n} - 1) * {n} * {n}) / nullif(sum(n_{n} - 1) FILTER ({n} IS NOT NULL), 0)) AS pool_{n}" for n in _RATES)} FROM own GROUP BY ALL)
-        SELECT player_id, {", ".join(f"round(CASE WHEN n_{n} >= 4 THEN {n} ELSE pool_{n} END, 6) AS sd_{n}" for n in _RATES)} FROM own JOIN pool USING (position_code)""",
+    "covariance_nu": f"""WITH {A.QUARTERS_SQL}, {_RAW_SQL}, {_nu_sql("x", "quantity", "r", "raw")}
+        SELECT position_code, round(any_value(nu), 4) AS nu FROM r LEFT JOIN nu_raw USING (position_code) GROUP BY position_code HAVING count(*) >= 4""",
+    "score_census": f"""WITH {A.QUARTERS_SQL}, {_RAW_SQL}, {_RES_SQL}, {_nu_sql("x", "quantity", "r", "raw")}, {_nu_sql("zx", "zq", "z", "res")}, {_census_sql("x", "quantity", "r", "raw")}, {_census_sql("zx", "zq", "z", "res")}
+        SELECT w.player_id, w.match_id, CASE WHEN w.own THEN 'shrunk' ELSE 'position' END AS fit_source, w.d AS mahalanobis, v.d AS mahalanobis_res FROM di_raw w LEFT JOIN di_res v USING (player_id, match_id)""",
+    "target_agreement": f"""WITH {_SCORES_SQL}, al AS (SELECT player_id, match_id, position_code, round(robust, 3) AS robust, round(plain, 3) AS plain FROM cs),
+        lg AS (SELECT player_id, match_id, 'plain' AS scorer, plain AS s FROM al UNION ALL SELECT player_id, match_id, 'robust', robust FROM al),
+        mid AS (SELECT player_id, scorer, median(s) AS m FROM lg WHERE s IS NOT NULL GROUP BY ALL),
+        nr AS (SELECT player_id, scorer, arg_min(match_id, (abs(s - m), match_id)) AS match_id FROM lg JOIN mid USING (player_id, scorer) WHERE s IS NOT NULL GROUP BY ALL),
+        ps AS (SELECT player_id, min(position_code) AS cut FROM al WHERE player_id IN (SELECT player_id FROM nr WHERE scorer = 'plain' UNION SELECT player_id FROM nr) GROUP BY ALL),
+        ct AS (SELECT player_id, cut FROM ps UNION ALL SELECT player_id, 'all' FROM ps), sz AS (SELECT cut, count(*) AS players FROM ct GROUP BY ALL HAVING count(*) >= 10 OR cut = 'all'),
+        pr AS (SELECT cut, a.scorer AS a, b.scorer AS b, count(*) AS n_both, count(*) FILTER (a.match_id = b.match_id) AS same FROM nr a JOIN nr b USING (player_id) JOIN ct USING (player_id) GROUP BY ALL)
+        SELECT cut, a, b, players, n_both, round(same / n_both, 6) AS share, round(n_both / players, 6) AS coverage FROM pr JOIN sz USING (cut)""",
+    "injected_nothing": f"""WITH {MART_SQL}, tg AS (SELECT player_id, min(match_id) AS match_id FROM fm WHERE minutes_played >= 20 GROUP BY ALL)
+        SELECT player_id, match_id, recipe, false AS bit, false AS clipped, false AS short, passes_completed, defensive_actions, touches_in_defensive_third, round(mean_action_x, 4) AS mean_action_x
+        FROM fm JOIN tg USING (player_id, match_id), (VALUES {", ".join(f"('{r}')" for r in _RECIPES)}) AS v(recipe)""",
+    "spreads": f"""WITH {MART_SQL}, vl AS (SELECT position_code, player_id, {_WHOLE} AS whole, {", ".join(f"({v})::DOUBLE AS {n}" for n, v in _SIZED.items())} FROM fm),
+        own AS (SELECT position_code, player_id, {", ".join(f"stddev_samp({n}) FILTER (whole) AS {n}, count({n}) FILTER (whole) AS n_{n}, var_samp({n}) AS v_{n}" for n in _SIZED)} FROM vl GROUP BY ALL),
+        pool AS (SELECT position_code, {", ".join(f"sqrt(avg(v_{n})) AS pool_{n}" for n in _SIZED)} FROM own GROUP BY ALL)
+        SELECT player_id, {", ".join(f"round(CASE WHEN n_{n} >= 4 THEN {n} ELSE pool_{n} END, 6) AS sd_{n}" for n in _SIZED)} FROM own JOIN pool USING (position_code)""",
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,12 +86,29 @@ def roster(matches: DataFrame) -> DataFrame:
 def repaired_records(files: DataFrame, schema: str) -> DataFrame:
     """Whole records of JSON arrays that may be cut off; ``files`` has ``value``, one text a file.
 
-    A record is an object of the array at the top; one that the cut has split is left out.
+    A record is an object of the array at the top, whatever it holds; one that the cut has split is left out, and so is a null or empty text.
     """
-    inner = F.regexp_replace(F.trim("value"), r"^\[|\]$", "")
-    # An object's end is a brace that a comma, an opening brace or the end of the text follows.
-    parts = F.split(inner, r"(?<=\})\s*,\s*(?=\{)")
-    return files.select(F.explode(parts).alias("text")).select(F.from_json(F.rtrim(F.regexp_replace("text", r",\s*$", "")), schema).alias("r")).where(F.col("r").isNotNull()).select("r.*")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column("value").to_pylist():
+                found = list(_top_records(text or ""))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["text"])
+
+    return files.select("value").mapInArrow(whole, "text string").select(F.from_json("text", schema).alias("r")).select("r.*")
+
+
+def _top_records(text: str) -> Iterator[str]:
+    """The texts of an array's objects, as far as each can be decoded."""
+    decode, at = json.JSONDecoder().raw_decode, text.find("{")
+    while at >= 0:
+        try:
+            end = decode(text, at)[1]
+        except ValueError:
+            return
+        yield text[at:end]
+        at = text.find("{", end)
 
 
 def payload_report(files: DataFrame, manifest: DataFrame) -> DataFrame:

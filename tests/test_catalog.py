@@ -49,13 +49,12 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["scale_ratio", "scored", "score_census"])
-def test_runs_with_published_settings(spark, monkeypatch, name):
+@pytest.mark.parametrize(("name", "of"), [("scale_ratio", "residuals"), ("scored", "residuals"), ("score_forests", "census")])
+def test_runs_with_published_settings(spark, monkeypatch, name, of):
     from plumbline.config import DEFAULT
     from plumbline.plans import score_queries
 
-    seen = []
-    for module, f in ((score_queries.residuals, "scale_ratio"), (score_queries.residuals, "score"), (score_queries.census, "score_census")):
-        monkeypatch.setattr(module, f, lambda *a, settings=DEFAULT, **b: seen.append([settings, *(x for x in a if isinstance(x, type(DEFAULT)))]))
+    seen, f = [], {"scale_ratio": "scale_ratio", "scored": "score", "score_forests": "score_census"}[name]
+    monkeypatch.setattr(getattr(score_queries, of), f, lambda *a, settings=DEFAULT, **b: seen.append([settings, *(x for x in a if isinstance(x, type(DEFAULT)))]))
     catalog.QUERIES[name](spark, SF)
     assert len(seen) == 1 and set(seen[0]) == {DEFAULT}

@@ -15,22 +15,32 @@ from plumbline.streaming import ingest
 EVENT = "event_id string, parent_event_id string, match_id string, period_id int, seconds_into_period double, source_index int, event_type string, set_piece_type string, team_id string"
 
 
-def test_children_do_not_displace_successors(spark):
-    rows = [
-        ("100", None, "m", 1, 10.0, 0, "CLEARANCE", None, "a"),
-        ("interception-100", "100", "m", 1, 10.0, 1, "INTERCEPTION", None, "b"),
-        ("101", None, "m", 1, 11.0, 2, "BALL_OUT", None, "a"),
-        ("102", None, "m", 1, 12.0, 3, "PASS", "CORNER_KICK", "b"),
-    ]
-    found = {r["event_id"]: r for r in sequence.sequenced(spark.createDataFrame(rows, EVENT)).collect()}
-    assert found["100"]["next_event_type"] == "BALL_OUT" and found["100"]["restart_type"] == "CORNER_KICK"
-    assert found["interception-100"]["next_event_type"] is None and found["interception-100"]["host_event_type"] == "CLEARANCE"
-
-
-def test_source_order_beats_id_order(spark):
-    rows = [("500", None, "m", 1, 10.0, 0, "CLEARANCE", None, "a"), ("400", None, "m", 1, 10.0, 1, "BALL_OUT", None, "a")]
-    found = {r["event_id"]: r["next_event_type"] for r in sequence.sequenced(spark.createDataFrame(rows, EVENT)).collect()}
-    assert found == {"500": "BALL_OUT", "400": None}
+def log(spark, *events):
+    """Events of one match, each (id, host, second, kind, restart, team), in this order."""
+    rows = [(i, host, "g", 2, float(second), place, kind, restart, team) for place, (i, host, second, kind, restart, team) in enumerate(events)]
+    return {r["event_id"]: r for r in sequence.sequenced(spark.createDataFrame(rows, EVENT)).collect()}
+
+
+@pytest.mark.parametrize("children", [0, 1, 3])
+def test_children_stand_beside_the_sequence(spark, children):
+    """A host's successor is the next event of the log, however many children it has; a child knows its host and has no successor."""
+    found = log(
+        spark,
+        ("h", None, 33, "DUEL", None, "x"),
+        *((f"c{k}", "h", 33, "INTERCEPTION", None, "y") for k in range(children)),
+        ("out", None, 34, "BALL_OUT", None, "x"),
+        ("kick", None, 41, "PASS", "GOAL_KICK", "y"),
+        ("end", None, 43, "SHOT", None, "y"),
+    )
+    assert (found["h"]["next_event_type"], found["out"]["next_event_type"], found["kick"]["next_event_type"], found["end"]["next_event_type"]) == ("BALL_OUT", "PASS", "SHOT", None)
+    assert found["h"]["restart_type"] == "GOAL_KICK"
+    for k in range(children):
+        assert found[f"c{k}"]["next_event_type"] is None and found[f"c{k}"]["host_event_type"] == "DUEL"
+
+
+def test_events_of_one_instant_keep_the_order_of_the_source(spark):
+    found = log(spark, ("9", None, 5, "PASS", None, "x"), ("3", None, 5, "DUEL", None, "y"), ("7", None, 5, "CLEARANCE", None, "x"))
+    assert [found[i]["next_event_type"] for i in ("9", "3", "7")] == ["DUEL", "CLEARANCE", None]
 
 
 def test_unicode_escapes(spark):
@@ -47,9 +57,22 @@ def test_raw_events(spark, tmp_path):
     assert readers.roster(raw).count() == 1
 
 
-def test_truncated_array_gives_whole_records(spark):
-    files = spark.createDataFrame([('[{"wyId": 1}, {"wyId": 2},',), ('[{"wyId": 3}, {"wy',)], "value string")
-    assert sorted(r["wyId"] for r in readers.repaired_records(files, "wyId bigint").where("wyId IS NOT NULL").collect()) == [1, 2, 3]
+def test_truncated_arrays_give_whole_records(spark):
+    """Records hold arrays of objects themselves; a cut may fall inside one."""
+    whole = [{"wyId": i, "tags": [{"id": i + k} for k in range(3)], "text": "},{ [ \\" } for i in range(4)]
+    text = json.dumps(whole)
+    cuts = [text, text[: text.rindex('"text"')], text[:-3], '[{"wyId": 8, "tags": null},', "[", "", None]
+    files = spark.createDataFrame([(t,) for t in cuts], "value string")
+    found = readers.repaired_records(files, "wyId bigint, tags array<struct<id:bigint>>").collect()
+    assert sorted(r["wyId"] for r in found) == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 8]
+    assert all(r["tags"] is None or [t["id"] for t in r["tags"]] == [r["wyId"] + k for k in range(3)] for r in found)
+
+
+def test_unreadable_files(spark):
+    texts = {"good": '[{"id": 1, "tags": [{"id": 2}]}]', "one": '{"id": 1}', "cut": '[{"id": 1, "tags": [{"id"', "cut one": '{"id": ', "text": "hello", "empty": "", "null": None, "escaped": '{"id": 1, "name": "\\\\u00e9"}'}
+    files = spark.createDataFrame(list(texts.items()), "path string, value string")
+    found = {r["path"]: (r["broken"], r["escaped"]) for r in quality.unreadable(files, "id long, name string, tags array<struct<id:int>>").collect()}
+    assert found == {p: (True, False) for p in ("cut", "cut one", "text", "empty", "null")} | {"escaped": (False, True)}
 
 
 def test_payload_report(spark):
@@ -94,6 +117,13 @@ def test_stamps(spark, tmp_path):
     assert stamp.read_stamped(spark, str(tmp_path / "t"), h).count() == 2
     with pytest.raises(ValueError, match="other inputs"):
         stamp.read_stamped(spark, str(tmp_path / "t"), "other")
+    # Written again: while the new data are there without their stamp, the old table is read.
+    folders = lambda: {p.name for p in (tmp_path / "t").iterdir()}
+    before = folders()
+    stamp.write_stamped(a.limit(1), str(tmp_path / "t"), "new")
+    assert before < folders() and stamp.read_stamped(spark, str(tmp_path / "t"), "new").count() == 1
+    with pytest.raises(ValueError, match="other inputs"):
+        stamp.read_stamped(spark, str(tmp_path / "t"), h)
 
 
 def test_enforce_stops_on_errors_only(spark):
