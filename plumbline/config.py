@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import asdict, dataclass, field
 
 # The metrics of the residual vector, and for true proportions their successes and attempts.
@@ -20,6 +21,14 @@ PROPORTIONS = {
 }
 
 
+def data_root(variable: str, project: str | None = None, cache: str | None = None) -> str:
+    """Where the data lie: the folder that an environment variable names, else the project's, else the cache's."""
+    for found in (os.environ.get(variable), project, cache):
+        if found:
+            return found.rstrip("/")
+    raise LookupError(f"no data folder: set {variable}, or name a project or cache folder")
+
+
 @dataclass(frozen=True)
 class Settings:
     """All knobs, with their published defaults."""

@@ -79,3 +79,10 @@ def mean_of(values: Column) -> Column:
 
 def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
+
+
+def close(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
+    """Whether two numbers are equal but for rounding; two unknown ones (null or not a number) are, one isn't."""
+    unknown = lambda x: x.isNull() | F.isnan(x)
+    near = F.coalesce(F.abs(a - b) <= absolute + relative * F.abs(b), F.lit(False))
+    return F.when(unknown(a) | unknown(b), unknown(a) & unknown(b)).otherwise(near | (a == b))

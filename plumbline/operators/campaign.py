@@ -27,7 +27,8 @@ _KEYS = ["player_id", "match_id"]
 class Clean:
     """The clean pass: prepared rows, hyperparameters, scores of all scoreable rows and the pools that later passes are pinned to."""
 
-    def __init__(self, mart: DataFrame, settings: Settings = DEFAULT, metrics: list[str] | None = None, forest: bool = False):
+    def __init__(self, mart: DataFrame, settings: Settings = DEFAULT, metrics: list[str] | None = None, forest: bool = False, players: int | None = None):
+        """With ``players`` only the first so many by id are scored and targeted; fits take all rows."""
         self.settings, self.forest = settings, forest
         self.metrics = list(metrics if metrics is not None else settings.metrics)
         self.rows = written(residuals.prepare(mart, settings), "prepared")
@@ -37,6 +38,8 @@ class Clean:
         z = residuals.wide_form(residuals.against(self.criteria), settings).drop("position_code")
         self.scored = written(self.rows.where("is_scoreable").join(z, _KEYS), "scored")
         self.spaces = census.spaces(self.scored, self.metrics, settings)
+        if players is not None:
+            self.scored = self.scored.join(F.broadcast(first_entities(self.scored, "player_id", players)), "player_id", "left_semi")
         self.scores = written(self.scored_as(self.scored, self.scored), "scores")
 
     @property
@@ -58,6 +61,16 @@ class Clean:
         return scenario.target_choices(self.scores, list(scorers or self.scorers))
 
 
+def first_entities(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The first ``n`` values of a key in its order."""
+    return rows.select(key).distinct().orderBy(key).limit(n)
+
+
+def strongest(records: DataFrame, value: str, *by: str) -> DataFrame:
+    """The record of each group whose value lies furthest from 0."""
+    return records.where(F.col(value).isNotNull()).groupBy(*by).agg(F.max_by(F.struct("*"), F.abs(value)).alias("r")).select("r.*")
+
+
 def _entity(*more: str) -> Column:
     return F.concat_ws(ENTITY, "player_id", *[F.col(c).cast("string") for c in more])
 
@@ -133,7 +146,7 @@ def run(mart: DataFrame, recipes: dict[str, tuple[str, ...]], design: str = "hel
 def report(mart: DataFrame, recipes: dict[str, tuple[str, ...]], design: str = "heldout", settings: Settings = DEFAULT, rate: float | None = None, **options: object) -> DataFrame:
     """A campaign's cell statistics, one row for each mechanism, severity and scorer, at the bars that ``rate`` of clean rows reach."""
     mart = written(mart, "mart")
-    clean = Clean(mart, settings, options.pop("metrics", None), bool(options.pop("forest", False)))
+    clean = Clean(mart, settings, options.pop("metrics", None), bool(options.pop("forest", False)), options.pop("players", None))
     records = written(run(mart, recipes, design, settings, clean=clean, **options), "records")
     return evaluation.cell_statistics(evaluation.with_bars(records, clean.bars(rate)), "mechanism", "severity", "scorer")
 

@@ -180,6 +180,11 @@ def run(checks: list[Check]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def first_failures(check: Check, n: int = 20) -> DataFrame:
+    """The first failing rows in the order of their columns, to look at."""
+    return check.failing.orderBy(*check.failing.columns).limit(n)
+
+
 def enforce(checks: list[Check]) -> DataFrame:
     """The report, computed once; an error check with failing rows stops it."""
     found = run(checks).collect()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ast
 import hashlib
 import json
 import time
 import uuid
+from pathlib import Path
+from types import ModuleType
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,3 +40,45 @@ def read_stamped(spark: SparkSession, path: str, stamp: str) -> DataFrame:
     if found["stamp"] != stamp:
         raise ValueError(f"{path} was made from other inputs; make it again")
     return spark.read.parquet(f"{path}/{found['folder']}")
+
+
+def ordered_hash(df: DataFrame, *keys: str) -> str:
+    """A hash of all rows in the order of their keys, with the columns in theirs: moving a row's values to another key changes it.
+
+    Each row is hashed with its keys, and the sum of two such hashes over all rows stands for the sequence, so nothing is sorted.
+    """
+    told = F.xxhash64(F.lit(1), *keys, *df.columns).cast("decimal(38,0)"), F.xxhash64(F.lit(2), *df.columns, *keys).cast("decimal(38,0)")
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(f"h{i}") for i, h in enumerate(told)]).first()
+    return hashlib.sha256(json.dumps([df.columns, list(keys), one["n"], str(one["h0"]), str(one["h1"])]).encode()).hexdigest()
+
+
+def code_hash(*modules: ModuleType) -> str:
+    """A hash of what modules do: neither comments nor docstrings nor layout change it."""
+    out = hashlib.sha256()
+    for module in modules:
+        tree = ast.parse(Path(module.__file__).read_text())
+        for node in ast.walk(tree):
+            body = getattr(node, "body", None)
+            if isinstance(body, list) and body and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
+                del body[0]
+        out.update(ast.dump(tree).encode())
+    return out.hexdigest()[:16]
+
+
+def write_provenance(spark: SparkSession, path: str, current: dict[str, str]) -> None:
+    """What decides a table's contents (inputs, versions, code), beside it."""
+    spark.createDataFrame([(json.dumps(current, sort_keys=True), time.time_ns())], "provenance string, at long").coalesce(1).write.mode("append").parquet(f"{path}/provenance")
+
+
+def stale(spark: SparkSession, path: str, current: dict[str, str]) -> list[str]:
+    """Why a table isn't what would be written now; nothing if it is, or if there is no table yet. What can't be read vouches for nothing."""
+    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+        return []
+    try:
+        previous = json.loads(spark.read.parquet(f"{path}/provenance").agg(F.max_by("provenance", "at").alias("last")).first()["last"])
+    except AnalysisException:
+        return ["written before provenance was recorded"]
+    except Exception:  # noqa: BLE001: whatever keeps it from being read
+        return ["the provenance can't be read"]
+    return [f"{k}: {previous.get(k)} -> {v}" for k, v in current.items() if previous.get(k) != v]

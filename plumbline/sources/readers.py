@@ -71,6 +71,12 @@ def raw_events(matches: DataFrame) -> DataFrame:
     )
 
 
+def acting_frame(events: DataFrame, attacks_left: F.Column) -> DataFrame:
+    """Places turned so that the acting team always attacks to the right: where it attacks left, both axes are mirrored. Unknown places stay so."""
+    axes = [c for c in ("start_x", "start_y", "end_x", "end_y") if c in events.columns]
+    return events.withColumns({c: F.when(F.coalesce(attacks_left, F.lit(False)), 1.0 - F.col(c)).otherwise(F.col(c)) for c in axes})
+
+
 def qualifiers(**kinds: str) -> F.Column:
     """``Kind:VALUE`` texts of the columns that hold a value."""
     parts = [F.concat(F.lit(f"{kind}:"), F.col(column).cast("string")) for kind, column in kinds.items()]

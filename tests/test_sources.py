@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.engine import Engine
-from plumbline.functions.columns import decode_unicode_escapes
+from plumbline.functions.columns import close, decode_unicode_escapes
 from plumbline.operators import quality, sequence, staging, stamp
 from plumbline.sources import readers
 from plumbline.streaming import ingest
@@ -126,6 +126,72 @@ def test_stamps(spark, tmp_path):
         stamp.read_stamped(spark, str(tmp_path / "t"), h)
 
 
+def test_ordered_hash(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    h = stamp.ordered_hash(a, "k")
+    assert h == stamp.ordered_hash(a.orderBy(F.desc("k")).repartition(3), "k")
+    assert h != stamp.ordered_hash(spark.createDataFrame([(1, "y"), (2, "x")], a.schema), "k") and h != stamp.ordered_hash(a.select("v", "k"), "k")
+
+
+def test_code_hash_takes_no_note_of_prose(tmp_path):
+    from types import ModuleType
+
+    def of(text):
+        m = ModuleType("m")
+        m.__file__ = str(tmp_path / "m.py")
+        (tmp_path / "m.py").write_text(text)
+        return stamp.code_hash(m)
+
+    assert of("def f(x):\n    return x + 1\n") == of('"""Doc."""\n\ndef f(x):\n    """Other."""\n    # why\n    return x + 1\n') != of("def f(x):\n    return x + 2\n")
+
+
+def test_provenance_reasons(spark, tmp_path):
+    path, now = str(tmp_path / "t"), {"data": "a1", "code": "c1"}
+    assert stamp.stale(spark, path, now) == []
+    spark.range(1).write.parquet(f"{path}/data")
+    assert stamp.stale(spark, path, now) == ["written before provenance was recorded"]
+    stamp.write_provenance(spark, path, now)
+    assert stamp.stale(spark, path, now) == [] and stamp.stale(spark, path, now | {"code": "c2"}) == ["code: c1 -> c2"]
+
+
+def test_data_root(monkeypatch):
+    from plumbline.config import data_root
+
+    monkeypatch.delenv("PLUMBLINE_DATA", raising=False)
+    assert data_root("PLUMBLINE_DATA", None, "/cache/") == "/cache" and data_root("PLUMBLINE_DATA", "/project", "/cache") == "/project"
+    monkeypatch.setenv("PLUMBLINE_DATA", "/env")
+    assert data_root("PLUMBLINE_DATA", "/project") == "/env"
+    monkeypatch.delenv("PLUMBLINE_DATA")
+    with pytest.raises(LookupError, match="set PLUMBLINE_DATA"):
+        data_root("PLUMBLINE_DATA")
+
+
+def test_close_numbers(spark):
+    rows = [(1.0, 1.0 + 1e-9, True), (1.0, 1.1, False), (None, None, True), (float("nan"), None, True), (None, 1.0, False), (0.0, 1e-9, True), (float("inf"), float("inf"), True)]
+    df = spark.createDataFrame(rows, "a double, b double, want boolean")
+    assert df.where(close(F.col("a"), F.col("b")) != F.col("want")).count() == 0
+
+
+def test_acting_frame(spark):
+    df = spark.createDataFrame([(0.25, 0.5, None, True), (0.25, 0.5, 0.9, False), (0.25, 0.5, 0.9, None)], "start_x double, start_y double, end_x double, left boolean")
+    assert [tuple(r)[:3] for r in readers.acting_frame(df, F.col("left")).collect()] == [(0.75, 0.5, None), (0.25, 0.5, 0.9), (0.25, 0.5, 0.9)]
+
+
+def test_tables_of_other_layouts(spark, tmp_path):
+    spark.createDataFrame([(1, "a")], "k int, v string").write.parquet(str(tmp_path / "p" / "one.parquet"))
+    spark.createDataFrame([(2, 0.5)], "k int, w double").write.parquet(str(tmp_path / "p" / "two.parquet"))
+    assert {tuple(r) for r in readers.event_files(spark, str(tmp_path / "p" / "*")).select("k", "v", "w").collect()} == {(1, "a", None), (2, None, 0.5)}
+    (tmp_path / "t.csv").write_text("id,name\n7,x\n")
+    assert tuple(readers.lookup(spark, str(tmp_path / "t.csv"), "id int, name string").first()) == (7, "x")
+    flags = spark.createDataFrame([("CROSS", True), (None, False)], "kind string, late boolean")
+    assert [r[0] for r in flags.select(readers.qualifiers(Pass="kind", Late="late")).collect()] == [["Pass:CROSS", "Late:true"], []]
+
+
+def test_first_failures(spark):
+    check = quality.Check("c", spark.range(50).orderBy(F.desc("id")))
+    assert [r["id"] for r in quality.first_failures(check, 3).collect()] == [0, 1, 2]
+
+
 def test_enforce_stops_on_errors_only(spark):
     some, none = spark.range(2), spark.range(0)
     assert quality.enforce([quality.Check("w", some, "warn"), quality.Check("e", none)]).count() == 2
