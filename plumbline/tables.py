@@ -29,3 +29,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replaced(df: DataFrame, name: str, old: DataFrame) -> DataFrame:
+    """``df``, written, in place of an earlier table that it was made from, which goes."""
+    new = written(df, name)
+    for folder in {f.rpartition("/")[0] for f in old.inputFiles()}:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return new
