@@ -1,14 +1,15 @@
 """Shards of near equal bytes by histogram sort.
 
-Rows are ordered by a 63-bit key: the text's crc32, then a hash of the id, so equal texts lie
-together and a hot text still splits between ids. Rounds of exact counting (bytes and rows below
-candidate boundaries, summed over all partitions) subdivide the intervals that hold a splitter or too
-many rows, until every splitter is within tolerance of its share. Only then do rows move, once.
+Rows are ordered by a 63-bit key, the text's crc32 and a hash of the id, then by a tie of 32 bits, drawn for each row and
+kept. So equal texts lie together, a hot text splits between ids, and a hot row that repeats splits between its repeats, which
+are the same whichever goes where. Rounds of exact counting (bytes and rows below candidate boundaries, summed over all
+partitions) subdivide the intervals that hold a splitter or too many rows, until every splitter is within tolerance of its
+share. Only then do rows move, once.
 
 Law: ``bytes``. A splitter falls between two texts when such a boundary is within tolerance, and
 inside a group of equal texts otherwise; shard sizes then differ from the mean by a row or by the
 tolerance. Null texts have size 1. Null ids and repeated rows count as rows like any other. An empty
-table gives an empty result.
+table gives an empty result. Other columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -24,32 +25,42 @@ from plumbline.llm.frames import exchange_partitions, written
 TOLERANCE = 0.001
 #: Parts that an interval is cut into each round.
 FAN_OUT = 16
-_TEXT_BITS = 31
-_TOP = 1 << 63
+_ID_BITS, _TIE_BITS = 31, 32
+_TOP = 1 << (63 + _TIE_BITS)
 
 
-def _interval(key: Column, probes: list[int]) -> Column:
-    """The number of probes at or below the key."""
-    bounds = np.array(probes, np.int64)
+def _interval(key: Column, tie: Column, probes: list[int]) -> Column:
+    """The number of probes at or below the key and tie."""
+    keys = np.array([p >> _TIE_BITS for p in probes], np.int64)
+    ties = np.array([p & ((1 << _TIE_BITS) - 1) for p in probes], np.int64)
+    distinct = np.unique(keys)
+
+    def joined(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """Numbers in the order of keys and ties, as far as the probes tell them apart."""
+        at = np.searchsorted(distinct, key)
+        same = distinct[np.minimum(at, max(0, len(distinct) - 1))] == key if len(distinct) else np.zeros(len(key), bool)
+        return ((2 * at + same) << _TIE_BITS) | np.where(same, tie, 0)
+
+    bounds = joined(keys, ties)
 
     @F.pandas_udf("int")
-    def place(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, keys.to_numpy(np.int64), "right").astype(np.int32))
+    def place(key: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, joined(key.to_numpy(np.int64), tie.to_numpy(np.int64)), "right").astype(np.int32))
 
-    return place(key)
+    return place(key, tie)
 
 
 def _counted(keys: DataFrame, probes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and rows of each of the ``len(probes) + 1`` intervals."""
     size, rows = np.zeros(len(probes) + 1, np.int64), np.zeros(len(probes) + 1, np.int64)
-    for r in keys.groupBy(_interval(F.col("key"), probes).alias("at")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect():
+    for r in keys.groupBy(_interval(F.col("key"), F.col("tie"), probes).alias("at")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect():
         size[r["at"]], rows[r["at"]] = r["size"], r["n"]
     return size, rows
 
 
 def _cuts(low: int, high: int) -> list[int]:
-    """New probes inside (low, high): between texts while the interval holds several, else between ids."""
-    step = 1 << _TEXT_BITS if high - low > 1 << _TEXT_BITS else 1
+    """New probes inside (low, high): between texts while the interval holds several, else between ids, else between ties."""
+    step = next((1 << bits for bits in (_ID_BITS + _TIE_BITS, _TIE_BITS) if high - low > 1 << bits), 1)
     first, last = low // step + 1, (high - 1) // step
     if last < first:
         return []
@@ -85,8 +96,9 @@ def sharded(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str
     """One row per input row: ``doc_id``, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard`` (null under this law)."""
     body = F.coalesce(F.col(text), F.lit("")).cast("binary")
     rows = docs.select(F.col(doc_id).alias("doc_id"), (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"))
-    key = F.shiftleft(F.col("text_crc32"), _TEXT_BITS).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1)))
-    keys = written(rows.withColumn("key", key), "shard-keys")
+    key = F.shiftleft(F.col("text_crc32"), _ID_BITS).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << _ID_BITS) - 1)))
+    tie = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << _TIE_BITS) - 1))
+    keys = written(rows.withColumn("key", key).withColumn("tie", tie), "shard-keys")
     at_once = max(100, -(-keys.count() // exchange_partitions(docs.sparkSession)))
     probes, ends, counts = splitters(keys, shards, tolerance, at_once)
     before = np.concatenate([[0], np.cumsum(counts)])
@@ -95,8 +107,8 @@ def sharded(docs: DataFrame, shards: int = 16, doc_id: str = "doc_id", text: str
     places = docs.sparkSession.createDataFrame(
         [(i, int(shard_of[i]), int(before[i] - before[first[shard_of[i]]])) for i in range(len(counts))], "at int, shard int, base long"
     )
-    order = Window.partitionBy("at").orderBy("key", "doc_id", "size")
-    placed = keys.withColumn("at", _interval(F.col("key"), probes)).withColumn("rank", F.row_number().over(order))
+    order = Window.partitionBy("at").orderBy("key", "tie")
+    placed = keys.withColumn("at", _interval(F.col("key"), F.col("tie"), probes)).withColumn("rank", F.row_number().over(order))
     return placed.join(F.broadcast(places), "at").select(
         "doc_id",
         "size",
