@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from plumbline.llm.frames import written
+from plumbline.llm.frames import replaced, written
 
 #: Edges that a task contracts at once.
 _AT_ONCE = 1 << 20
@@ -66,11 +66,12 @@ def _least(edges: DataFrame) -> DataFrame:
     return edges.join(least, "u")
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    """The edges, written, with their number and sums of two hashes of them, whatever their order."""
+def _written(edges: DataFrame, old: DataFrame | None = None) -> tuple[DataFrame, tuple]:
+    """The edges, written in place of the old ones, with their number and sums of two hashes of them, whatever their order."""
     seen = Observation()
     a, b = (F.sum(F.xxhash64(*c).cast("decimal(38,0)")) for c in (("u", "v"), ("v", "u")))
-    edges = written(edges.observe(seen, F.count(F.lit(1)).alias("n"), a.alias("a"), b.alias("b")), "edges")
+    observed = edges.observe(seen, F.count(F.lit(1)).alias("n"), a.alias("a"), b.alias("b"))
+    edges = written(observed, "edges") if old is None else replaced(observed, "edges", old)
     found = seen.get
     return edges, (found["n"], found["a"], found["b"])
 
@@ -89,7 +90,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         small = _least(down)
         new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
-        new, after = _written(new)
+        new, after = _written(new, edges)
         if after == before:
             return new.select(F.col("u").alias("node"), F.col("v").alias("root")).union(new.select(F.col("v"), F.col("v"))).distinct()
         edges, before = new, after

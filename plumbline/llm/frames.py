@@ -1,10 +1,9 @@
-"""Small helpers that the operators share: tables in the shared folder, Arrow batches in slices, fits on bounded samples."""
+"""Small helpers that the operators share: Arrow batches in slices, fits on bounded samples, and those of ``tables``."""
 
 from __future__ import annotations
 
 import ctypes
 import pickle
-import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 from pathlib import Path
@@ -16,8 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where intermediate tables go when the session names no shared folder (as in tests).
-FALLBACK_DIR = "/tmp/checkpoints"
+from plumbline.tables import replaced, shared_dir, written
+
+__all__ = ["PLACES", "SLICE_ROWS", "exchange_partitions", "fitted", "fold", "one_blas_thread", "place", "replaced", "shared_dir", "sliced", "written"]
 
 #: Rows of a slice at most, whatever the session's size of Arrow batches.
 SLICE_ROWS = 1 << 15
@@ -25,21 +25,6 @@ SLICE_ROWS = 1 << 15
 PLACES = 1 << 40
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Cuts lineage: a lost executor costs the tasks that ran on it, not the plan before this point.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(folds)
