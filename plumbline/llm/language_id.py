@@ -7,7 +7,9 @@ features against them feed one-versus-rest kernel ridge regression, and a batch
 two matrix products.
 
 The fit takes at most ``PER_LANGUAGE`` texts of each language. Null languages aren't learnt. A null text
-or one without a letter gets ``und`` and score 0; so does every text if nothing could be learnt.
+or one without a letter gets ``und`` and score 0; so does every text if nothing could be learnt. Of languages
+of equal score the first by name is predicted. Repeated rows are predicted alike and learnt once; an empty
+table gives an empty result. Other columns of the input, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -15,13 +17,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.frames import sliced
+from plumbline.llm.frames import PLACES, fitted, one_blas_thread, place, sliced
 
 #: Bounds of the fit: labelled texts of each language, and landmarks in all.
 PER_LANGUAGE, LANDMARKS = 300, 64
@@ -96,21 +97,13 @@ class Classifier:
         return e / e.sum(1, keepdims=True)
 
 
-def sample(docs: DataFrame, text: str, lang: str, key: Column, most: int) -> pd.DataFrame:
-    """At most ``most`` texts with a letter of each language, those of least hash of ``key``."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    place = F.pmod(F.xxhash64(key), F.lit(1 << 20))
-    counts = {r[0]: r[1] for r in docs.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
-    if not counts:
-        return pd.DataFrame({"text": [], "lang": []})
-    share = F.create_map([F.lit(x) for k, n in counts.items() for x in (k, min(1 << 20, 1 + int((1 << 20) * 1.3 * most / n)))])
-    found = usable.where(place < share[F.col(lang)]).select(F.col(text).alias("text"), F.col(lang).alias("lang"), place.alias("place")).toPandas()
-    return found.sort_values(["place", "text"]).groupby("lang").head(most)
-
-
 def fit(docs: DataFrame, key: Column, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Classifier:
-    found = sample(docs, text, lang, key, per_language)
-    return Classifier([t.encode() for t in found["text"]], list(found["lang"]))
+    """Learn, in one task, from at most ``per_language`` distinct texts with a letter of each language, those of least hash of ``key``."""
+    rows = docs.select(place(key).alias("place"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull())
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    share = F.create_map([F.lit(x) for k, n in counts.items() for x in (k, 1.3 * per_language / n)])[F.col("lang")] if counts else F.lit(0.0)
+    usable = rows.where((F.col("place") <= share * PLACES) & F.col("text").rlike(r"\p{L}"))
+    return fitted(usable, "lang", dict.fromkeys(sorted(counts), per_language), lambda t: Classifier([x.encode() for x in t["text"].to_pylist()], t["lang"].to_pylist()))
 
 
 def predict(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,6 +113,7 @@ def predict(docs: DataFrame, model: Classifier, doc_id: str = "doc_id", text: st
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_blas_thread()
         known = shared.value
         names = np.array([*known.languages, "und"], object)
         for batch in sliced(batches, "text", _SLICE):

@@ -6,7 +6,7 @@ stand-in for all others are what a gated recurrent network (``gru.py``) predicts
 stand-in has the probability of its count among those words, plus one, with one more place for all
 unseen ones.
 
-1.  Counts of words are summed in blocks of their 64-bit hashes; those of the ``SHARED`` most frequent go to all tasks.
+1.  Counts of words are summed in blocks of their 64-bit hashes; those of the most frequent, at most ``SHARED``, go to all tasks.
 2.  Texts become rows of slices: their documents' word numbers, and the hashes of words that not all tasks know.
     No text is read again.
 3.  The network trains on every training document once, in ``ROUNDS`` rounds. A round's documents are dealt by a
@@ -101,21 +101,47 @@ def _binaries(plain: dict[str, np.ndarray], **packed: tuple[np.ndarray, np.ndarr
     return pa.RecordBatch.from_arrays(columns, [*plain, *packed])
 
 
+def _octave(n: np.ndarray) -> np.ndarray:
+    """Counts in steps of a 64th of an octave; small ones each have a step of their own."""
+    return np.floor(np.log2(n) * 64).astype(np.int32)
+
+
 def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """The ``SHARED`` most frequent words and their counts, the number of all words, and of all distinct ones."""
+    """At most ``SHARED`` of the most frequent words with their counts, in order, the number of all words, and of all distinct ones.
 
-    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A histogram of counts, of a few thousand rows at most, tells from which step on all words of a step fit.
+    """
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("counts").to_pylist():
+                n = np.frombuffer(data, "<i8")
+                step, of = np.unique(_octave(n), return_inverse=True)
+                words, total = np.bincount(of), np.zeros(len(step), np.int64)
+                np.add.at(total, of, n)
+                yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(words.astype(np.int64)), pa.array(total)], ["step", "words", "total"])
+
+    found = counts.select("counts").mapInArrow(steps, "step int, words long, total long").groupBy("step").agg(F.sum("words").alias("words"), F.sum("total").alias("total")).collect()
+    least, kept = None, 0
+    for r in sorted(found, key=lambda r: -r["step"]):
+        kept += r["words"]
+        if kept > SHARED:
+            break
+        least = r["step"]
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, n in zip(*(batch.column(c).to_pylist() for c in ("words", "counts")), strict=True):
                 word, n = np.frombuffer(w, "<i8"), np.frombuffer(n, "<i8")
-                top = np.lexsort((word, -n))[:SHARED]
-                rest = pa.array(np.append(np.zeros(len(top), np.int64), n.sum()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(word[top], len(word))), pa.array(np.append(n[top], 0)), rest], ["word", "n", "total"])
-
-    rows = counts.mapInArrow(unpacked, "word long, n long, total long")
-    total = rows.where("total > 0").agg(F.sum("total").alias("n"), F.sum("word").alias("v")).first()
-    top = rows.where("n > 0").orderBy(F.desc("n"), "word").limit(SHARED).select("word", "n").toPandas()
-    return top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total["n"] or 0, total["v"] or 0
+                some = _octave(n) >= least
+                yield pa.RecordBatch.from_arrays([pa.array(word[some]), pa.array(n[some])], ["word", "n"])
+
+    total, distinct = (sum(r[c] for r in found) for c in ("total", "words"))
+    if least is None:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), total, distinct
+    top = counts.select("words", "counts").mapInArrow(chosen, "word long, n long").toPandas()
+    order = np.lexsort((top["word"], -top["n"]))
+    return top["word"].to_numpy(np.int64)[order].view(np.uint64), top["n"].to_numpy(np.int64)[order], total, distinct
 
 
 class Known:
