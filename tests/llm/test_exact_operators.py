@@ -4,6 +4,7 @@ import base64
 import hashlib
 import re
 import string
+import zlib
 from itertools import combinations
 
 import public_tokenizers
@@ -180,7 +181,8 @@ def test_byte_bpe_equals_the_library(docs, empty):
 def test_sharding(docs, empty, shards):
     found = sharding.sharded(docs, shards).collect()
     assert len(found) == len(ROWS) and all(r["grown_shard"] is None and r["law"] == "bytes" for r in found)
-    assert sorted(r["size"] for r in found) == sorted(len((t or "").encode()) + 1 for _, t, *_ in ROWS)
+    sized = [(d, len(body) + 1, zlib.crc32(body)) for d, t, *_ in ROWS for body in [(t or "").encode()]]
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"]) for r in found), key=repr) == sorted(sized, key=repr)
     for s in {r["shard"] for r in found}:
         assert 0 <= s < shards and sorted(r["slot"] for r in found if r["shard"] == s) == list(range(sum(r["shard"] == s for r in found)))
     share, most = sum(r["size"] for r in found) / shards, max(r["size"] for r in found)
@@ -192,3 +194,70 @@ def test_sharding_splits_a_hot_text_evenly(spark):
     docs = spark.createDataFrame([(i, "same text" if i % 3 else f"text {i}") for i in range(3000)], "doc_id long, text string")
     sizes = [r["s"] for r in sharding.sharded(docs, 16).groupBy("shard").agg({"size": "sum"}).toDF("shard", "s").collect()]
     assert len(sizes) == 16 and max(sizes) - min(sizes) <= 0.01 * sum(sizes) / 16 + 20
+
+
+@pytest.mark.parametrize("hot", [7, None])
+def test_sharding_splits_repeated_rows_evenly(spark, hot):
+    docs = spark.createDataFrame([(hot, "same text")] * 1600 + [(100 + i, f"text {i:04}") for i in range(160)], "doc_id long, text string").repartition(3)
+    found = sharding.sharded(docs, 16).collect()
+    counts = [sum(r["shard"] == s for r in found) for s in range(16)]
+    assert min(counts) >= 109 and max(counts) <= 111
+    assert all(sorted(r["slot"] for r in found if r["shard"] == s) == list(range(n)) for s, n in enumerate(counts))
+
+
+@pytest.mark.parametrize("hot", [5, None])
+def test_exact_dedup_of_repeated_rows_and_null_ids(spark, hot):
+    """A row that repeats hundreds of times, in several partitions, and copies of it under other ids."""
+    rows = [(hot, "Same")] * 700 + [(i, "same") for i in range(100, 103)] + [(hot, "other")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = exact_dedup.membership(docs).collect()
+    assert len(found) == len(rows) and sum(r["kept"] for r in found) == 2
+    assert {(r["keep_id"], r["group_size"]) for r in found} == {(102, 703), (hot, 2)}
+    assert sorted(exact_dedup.deduplicated(docs).collect()) == sorted([(102, "same"), (hot, "other")])
+
+
+def test_components_by_brute_force(spark):
+    """Paths, stars and rings over more than one batch, with repeats and loops."""
+    import random
+
+    from plumbline.llm.components import components
+
+    rng = random.Random(4)
+    edges = [(i, i + 1) for i in range(0, 300)] + [(1000, 1000 + k) for k in range(50)] + [(2000 + i, 2000 + (i + 1) % 40) for i in range(40)] + [(-5, -5)] + [(rng.randrange(3000, 3400), rng.randrange(3000, 3400)) for _ in range(150)]
+    rng.shuffle(edges)
+    root = {}
+    find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
+    for a, b in edges:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges + edges[:30], "a long, b long").repartition(6)).collect()}
+    assert found == {x: find(x) for x in root}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_jaccard_join_of_large_arrow_batches(spark):
+    """More rows in one batch than a slice takes."""
+    from plumbline.llm.frames import SLICE_ROWS
+
+    n, before = 2 * SLICE_ROWS + 100, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(4 * n))
+    try:
+        docs = spark.range(n, numPartitions=1).selectExpr("id AS doc_id", "concat('w', id % 5000) AS text")
+        found = jaccard_join.clusters(docs)
+        assert found.where("n_shingles <> 1 OR component_id <> doc_id % 5000").count() == 0 and found.count() == n
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """A key with a third of all rows, null keys and repeated rows."""
+    from pyspark.sql import functions as F
+
+    from plumbline.llm.frames import fitted, place
+
+    rows = [(7, f"hot {i}") for i in range(400)] + [(None, "null")] * 300 + [(i, f"t{i}") for i in range(100, 500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sample = fitted(docs.select(place("doc_id").alias("place"), "text", F.lit("k").alias("kind")), "kind", {"k": 50}, lambda t: t["text"].to_pylist())
+    again = fitted(docs.repartition(1).select(place("doc_id").alias("place"), "text", F.lit("k").alias("kind")), "kind", {"k": 50}, lambda t: t["text"].to_pylist())
+    assert len(sample) == 50 and sample == again and sample.count("null") <= 1

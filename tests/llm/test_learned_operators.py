@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -127,6 +128,44 @@ def test_pii_base_spans(spark, table):
         assert set(pii.joined(base).split(",")) <= set(found[i]["spans"].split(","))
 
 
+def test_pii_adds_repeats_in_other_forms(table):
+    """Entities written once more in forms that no pattern takes, beside numbers of such forms that repeat nothing, in texts that weren't learnt."""
+    texts = [r["text"] for r in table.select("text").collect() if r["text"] and re.search("[0-9@]", r["text"])]
+    field, rng = pii.learn(texts[::2]), np.random.default_rng(5)
+    hits = wanted = right = added = 0
+    for text in texts[1::2]:
+        grown, more = pii.with_repeats(text, pii.base_spans(text), rng)
+        base = pii.base_spans(grown)
+        more = [m for m in more if not any(s < m[2] and m[0] < e for s, _, e in base)]
+        found = pii.added_spans(field, [grown], [base])[0]
+        overlap = lambda a, b: a[1] == b[1] and a[0] < b[2] and b[0] < a[2]
+        hits += sum(any(overlap(m, f) for f in found) for m in more)
+        right += sum(any(overlap(m, f) for m in more) for f in found)
+        wanted, added = wanted + len(more), added + len(found)
+    assert wanted > 20 and hits / wanted >= 0.8 and right / added >= 0.9
+
+
+def test_pii_of_odd_texts(spark, table, odd):
+    field = pii.fit(table, F.col("doc_id"))
+    found = pii.report(odd, field).collect()
+    assert len(found) == len(ODD) and all(r["spans"] == "" for r in found)
+    twice = spark.createDataFrame([(1, "a@b.org 10.0.0.1")] * 2, "doc_id long, text string")
+    assert len({r["spans"] for r in pii.report(twice, field).collect()}) == 1
+    assert pii.report(odd.limit(0), field).count() == 0
+    assert pii.report(odd, pii.fit(table.limit(0), F.col("doc_id"))).count() == len(ODD)
+
+
+@pytest.mark.parametrize("text", ["\u4e2d\u6587 7".replace(" ", "") * 100_000, "a@b.co," * 40_000, "1" * 300_000, "+1 (" * 20_000])
+def test_pii_takes_time_in_proportion_to_the_text(text):
+    field = pii.learn(["call +1 555 010 9999 or a@b.org"])
+    took = []
+    for part in (text[: len(text) // 4], text):
+        began = time.process_time()
+        pii.added_spans(field, [part], [pii.base_spans(part)])
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 1
+
+
 def test_gru_gradient_by_differences():
     rng = np.random.default_rng(0)
     w = {k: v.astype(np.float64) for k, v in gru.initial(np.arange(1, 70)[::-1]).items()}
@@ -137,7 +176,7 @@ def test_gru_gradient_by_differences():
     trainer._adam = lambda g: taken.update({k: v.copy() for k, v in g.items()})
     y = docs[0][:, None].astype(np.int64)
     x = np.concatenate([[[1]], y[:-1]])
-    trainer.window(x, y, np.array([[True]] + [[False]] * 5), np.zeros((1, gru.HIDDEN), np.float32))
+    trainer.window(x, y, np.array([[True]] + [[False]] * 5), np.zeros((gru.HIDDEN, 1), np.float32))
     for name in ("state", "class", "bias"):
         at = np.unravel_index(np.argmax(np.abs(taken[name])), taken[name].shape)
         up, down = ({k: v.copy() for k, v in w.items()} for _ in range(2))
@@ -164,12 +203,72 @@ def test_lm_base_score_by_brute_force(spark, table):
 
 def test_lm_trains_on_every_training_token(spark, table, monkeypatch):
     trained, averaged = [], lm_scoring._averaged
-    monkeypatch.setattr(lm_scoring, "_averaged", lambda weights: trained.append(averaged(weights)) or trained[-1])
+    monkeypatch.setattr(lm_scoring, "_averaged", lambda weights, blocks: trained.append(averaged(weights, blocks)) or trained[-1])
     docs = table.limit(150).select("doc_id", "text")
     want = lm_scoring.scored(docs, F.col("doc_id") % 5 != 0).first()["train_tokens"]
     assert sum(tokens for _, tokens in trained) == want > 0
 
 
+def log_probabilities(w, numbers):
+    """The network's natural logarithms of each number's probability, and their sums over all numbers, one token at a time."""
+    w = {k: v.astype(np.float64) for k, v in w.items()}
+    n, h, x, out, sums = gru.HIDDEN, np.zeros(gru.HIDDEN), 1, [], []
+    sigmoid, softmax = lambda v: 1 / (1 + np.exp(-v)), lambda v: np.exp(v - v.max()) / np.exp(v - v.max()).sum()
+    for y in numbers:
+        a, u = w["input"][x] + w["bias"], w["state"] @ h
+        z, r = sigmoid(a[:n] + u[:n]), sigmoid(a[n : 2 * n] + u[n : 2 * n])
+        new = np.tanh(a[2 * n :] + r * u[2 * n :])
+        h = new + z * (h - new)
+        of_class = softmax(w["class"] @ h + w["class_bias"])
+        words = [softmax(w["word"][c * gru.CLASS : (c + 1) * gru.CLASS] @ h + w["word_bias"][c * gru.CLASS : (c + 1) * gru.CLASS]) for c in range(len(of_class))]
+        p = np.concatenate([c * v for c, v in zip(of_class, words, strict=True)])
+        out.append(np.log(p[y]))
+        sums.append(p.sum())
+        x = y
+    return np.array(out), np.array(sums)
+
+
+def test_lm_score_by_brute_force(spark, table, monkeypatch):
+    """Documents longer than a window, in several blocks and slices, against a network that is run one token at a time; the same however rows lie."""
+    monkeypatch.setattr(lm_scoring, "BLOCK", 4000)
+    monkeypatch.setattr(lm_scoring, "VOCABULARY", 200)
+    monkeypatch.setattr(lm_scoring, "SHARED", 500)
+    held, train = [], lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda *a: held.append(train(*a)) or held[-1])
+    rows = [(r["doc_id"], r["text"]) for r in table.limit(150).collect()] + [(-1, None), (-2, ""), (None, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in lm_scoring.scored(docs.repartition(1), F.col("doc_id") % 5 != 0).collect()}
+    again = {r["doc_id"]: r for r in lm_scoring.scored(docs.repartition(4, "text"), F.col("doc_id") % 5 != 0).collect()}
+    assert all(found[d]["score"] == pytest.approx(again[d]["score"], rel=1e-6) for d in found)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = lambda t: re.findall("[^\x20\x09-\x0d]+", (t or "").translate(lower))
+    count = Counter(w for d, t in rows if d is not None and d % 5 for w in words(t))
+    from plumbline.llm.words import LOWER, SPACE, Words, in_word
+    import pyarrow as pa
+
+    hashed = dict(zip(count, Words(pa.array(list(count)), in_word(SPACE), LOWER).hashes().tolist(), strict=True))
+    top = sorted(count, key=lambda w: (-count[w], hashed[w] - (1 << 64) * (hashed[w] >= 1 << 63)))[:200]
+    number = {w: 2 + i for i, w in enumerate(top)}
+    rest = sum(n for w, n in count.items() if w not in number) + len(count) - len(top) + 1
+    w = held[0]
+    for d, t in [*rows[:25], *rows[-3:]]:
+        numbers = [number.get(x, 0) for x in words(t)] + [1]
+        logs, sums = log_probabilities(w, numbers)
+        assert np.allclose(sums, 1, atol=1e-6)
+        want = logs.sum() / math.log(10) + sum(math.log10((count[x] + 1) / rest) for x in words(t) if x not in number)
+        assert found[d]["score"] == pytest.approx(want, rel=2e-4)
+
+
+def test_lm_of_odd_tables(spark):
+    schema = "doc_id long, text string, word string, block int, slice long"
+    docs = spark.createDataFrame([(d, t, "w", 1, 2) for d, t in ODD if d != 5] + [(8, "b a b a", "w", 1, 2)] * 3, schema)
+    assert lm_scoring.scored(docs.limit(0), F.lit(True)).count() == 0
+    none = lm_scoring.scored(docs, F.lit(False)).collect()
+    assert len(none) == len(ODD) + 2 and {(r["train_tokens"], r["n_known"], r["base_score"]) for r in none} == {(0, 0, 0.0)}
+    found = lm_scoring.scored(docs, F.lit(True)).collect()
+    assert len({r["score"] for r in found if r["doc_id"] == 8}) == 1 and {r["n_tokens"] for r in found if r["doc_id"] in (1, 2, 3)} == {1}
+
+
 def test_lm_beats_the_base_on_held_out_documents(spark):
     found = queries.op5_lm_scoring(spark, SF).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert found["s"] > found["b"]
