@@ -1,28 +1,31 @@
-"""Toxicity by a support vector machine over a subsequence string kernel.
+"""Toxicity by a support vector machine over a subsequence string kernel, trained on labelled sentences.
 
 A text's units are its words, runs of single letters set apart (``i d i o t``) as one, and
 overlapping parts of very long words. The kernel of two units compares their weighted triples of
 letters in order within ``SPAN`` letters: a triple weighs ``DECAY`` to the letters it spans, other
 characters between letters don't count, and the cosine of the two sums is raised to ``POWER``. So an
-insult with inserted characters or gaps stays close to the plain one. A phrase is ``PHRASE`` neighbouring
-units, one phrase from each unit on; the kernel of two phrases is the sum over their pairs of units. Nystroem
-features against landmark units feed two linear support vector machines, one of units and one of phrases;
-a document is as toxic as its most toxic unit or phrase, each measured from its machine's cut.
+insult with inserted characters or gaps stays close to the plain one. A sentence ends at a word that ends in ``.``, ``!`` or ``?``,
+and at a line's end; one of more than ``PIECE`` units is read in overlapping pieces of so many, one from each unit on. The kernel
+of two pieces is the sum over their pairs of units. Nystroem features against landmark units feed two linear support vector
+machines, one of single units and one of sentences; a document is as toxic as its most toxic unit or sentence, each
+measured from its machine's cut.
 
 Learning units: those found in toxic documents far beyond chance are positive (witnesses), with
 variants that have characters inserted. Clean units that score highest join the negatives round by round.
 
-Learning phrases: of each toxic document the phrase that scores highest is positive, of each clean one that phrase
-and one at random are negative; at first units score by how far toxic documents hold them more often
-than clean ones, then by the machine. Each half of the documents has its own machine, the cut is
-that of least cost over the half a machine didn't see, and the mean of both is kept. A phrase of words that clean text
+Learning sentences: labels are those of whole documents, so of each toxic document the piece of a sentence that scores highest is
+positive; of each clean one that piece and one at random are negative. At first units score by how far toxic documents hold them
+more often than clean ones, then by the machine. Each half of the documents has its own machine, the cut is
+that of least cost over the half a machine didn't see, and the mean of both is kept. A sentence of words that clean text
 holds too is found if they lean to toxic documents one by one; not if only their meeting tells.
 
 A logistic curve maps margins to scores from 0 to 1, with the threshold at the margin of least cost
 over the sample's documents and the variants. The fit takes at most ``TOXIC`` and ``CLEAN`` labelled documents.
 
 Null and empty texts score like a text without units. Without labels of both kinds all score 0. A document
-with several labels counts as toxic if one says so; labels without a document and null labels aren't used.
+with several labels counts as toxic if one says so; labels without a document and null labels aren't used. Repeated rows are
+scored alike and learnt once; an empty table gives an empty result. Scores may tie; a score at the threshold is toxic. Other
+columns, whatever their names, play no part.
 """
 
 from __future__ import annotations
@@ -41,8 +44,8 @@ from plumbline.llm.words import SPACE, Words, in_word
 
 #: Bounds of the fit: labelled documents of each kind, and landmark units.
 TOXIC, CLEAN, LANDMARKS = 1500, 3000, 160
-#: Units of a phrase, and landmarks for phrases beside those of the units.
-PHRASE, PHRASE_LANDMARKS = 5, 40
+#: Units of a piece of a sentence, and landmarks for sentences beside those of the units.
+PIECE, SENTENCE_LANDMARKS = 5, 40
 SPAN, DECAY, POWER = 5, 0.7, 3
 THRESHOLD = 0.7
 #: What a share of clean documents refused weighs against the same share of toxic ones let through.
@@ -59,6 +62,9 @@ _AT_ONCE = 512
 #: Distinct units whose margins a task remembers.
 _REMEMBERED = 2_000_000
 _WORD_BYTE = in_word(SPACE)
+#: The bytes that end a sentence at the end of a word.
+_ENDS = np.zeros(256, bool)
+_ENDS[list(b".!?")] = True
 _BITS = 6
 _CLASS = np.zeros(256, np.int32)
 _CLASS[97:123] = np.arange(1, 27)
@@ -70,7 +76,7 @@ _TRIPLES = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 
 
 class Units:
-    """The units of a column of texts: byte ranges, their rows and 64-bit hashes."""
+    """The units of a column of texts: byte ranges, their rows and sentences, and 64-bit hashes."""
 
     def __init__(self, column: pa.Array):
         words = Words(pc.utf8_lower(column.cast(pa.string())), _WORD_BYTE)
@@ -80,12 +86,18 @@ class Units:
         joined = single.copy()
         joined[1:] &= single[:-1] & (row[1:] == row[:-1]) & (start[1:] == end[:-1] + 1)
         joined[:1] = False
+        begins = np.ones(len(start), bool)
+        if len(start):
+            lines = np.cumsum(words.data == 10, dtype=np.int32)
+            begins[1:] = (row[1:] != row[:-1]) | _ENDS[words.data[end[:-1] - 1]] | (lines[start[1:]] > lines[end[:-1] - 1])
+        joined &= ~begins
+        sentence = np.cumsum(begins)
         heads = np.flatnonzero(~joined)
         start, end, row = start[heads], np.maximum.reduceat(end, heads) if len(heads) else end, row[heads]
         parts = np.maximum(1, -(-(end - start - UNIT) // (UNIT // 2)) + 1)
         of = np.repeat(np.arange(len(parts)), parts)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts)
-        self.data, self.row = words.data, row[of]
+        self.data, self.row, self.sentence = words.data, row[of], sentence[heads][of]
         self.start = start[of] + nth * (UNIT // 2)
         self.end = np.minimum(self.start + UNIT, end[of])
         bounded = Words.__new__(Words)
@@ -101,6 +113,8 @@ class Units:
         out.data, out.hash = np.concatenate([p.data for p in parts]), np.concatenate([p.hash for p in parts])
         small = np.int32 if shift[-1] < 1 << 31 else np.int64
         out.row = np.concatenate([(p.row + k * rows).astype(small) for k, p in enumerate(parts)])
+        before = np.cumsum([0, *(int(p.sentence[-1]) if len(p.sentence) else 0 for p in parts)])
+        out.sentence = np.concatenate([(p.sentence + n).astype(small) for p, n in zip(parts, before, strict=False)])
         out.start = np.concatenate([(p.start + n).astype(small) for p, n in zip(parts, shift, strict=False)])
         out.end = np.concatenate([(p.end + n).astype(small) for p, n in zip(parts, shift, strict=False)])
         return out
@@ -210,18 +224,18 @@ def _variants(unit: bytes, rng: np.random.Generator) -> list[bytes]:
     return [v for v in out if len(v) <= UNIT]
 
 
-def _phrase_ends(row: np.ndarray) -> np.ndarray:
-    """Where the phrase that begins at each unit ends; rows are in order, and none crosses into the next."""
-    return np.minimum(np.arange(len(row)) + PHRASE, np.searchsorted(row, row, "right"))
+def _piece_ends(sentence: np.ndarray) -> np.ndarray:
+    """Where the piece that begins at each unit ends; sentences are in order, and no piece crosses into the next."""
+    return np.minimum(np.arange(len(sentence)) + PIECE, np.searchsorted(sentence, sentence, "right"))
 
 
-def _phrase_sums(row: np.ndarray, value: np.ndarray) -> np.ndarray:
+def _piece_sums(sentence: np.ndarray, value: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(value, dtype=np.float64)])
-    return total[_phrase_ends(row)] - total[:-1]
+    return total[_piece_ends(sentence)] - total[:-1]
 
 
 class Model:
-    """Margins of units and scores of documents; ``curve`` maps a margin to a score. ``weights`` and ``bias`` are those of units and of phrases."""
+    """Margins of units and scores of documents; ``curve`` maps a margin to a score. ``weights`` and ``bias`` are those of units and of sentences."""
 
     def __init__(self, kernel: Kernel | None, weights: np.ndarray | None, bias: tuple[float, float], curve: tuple[float, float]):
         self.kernel, self.weights, self.bias, self.curve = kernel, weights, bias, curve
@@ -231,7 +245,7 @@ class Model:
         return self.__dict__ | {"_hashes": np.zeros(0, np.uint64), "_values": np.zeros((0, 2), np.float32)}
 
     def documents(self, column: pa.Array) -> np.ndarray:
-        """The largest margin of each text's units and phrases; a text without any has the units' bias."""
+        """The largest margin of each text's units and sentences; a text without any has the units' bias."""
         units = Units(column)
         out = np.full(len(column), self.bias[0])
         if not len(units.hash):
@@ -247,7 +261,7 @@ class Model:
             order = np.argsort(hashes)
             self._hashes, self._values = hashes[order], np.concatenate([self._values, value[~known]])[order]
         np.maximum.at(out, units.row, value[of, 0] + self.bias[0])
-        np.maximum.at(out, units.row, _phrase_sums(units.row, value[of, 1]) + self.bias[1])
+        np.maximum.at(out, units.row, _piece_sums(units.sentence, value[of, 1]) + self.bias[1])
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -285,38 +299,38 @@ def _surprise(in_toxic: np.ndarray, in_clean: np.ndarray, base: float) -> np.nda
         return np.nan_to_num(n * (np.where(share > 0, share * np.log(share / base), 0) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - base)), 0)))
 
 
-def _phrase_machine(column: pa.Array, toxic: np.ndarray, half: np.ndarray, hashes: np.ndarray, letters: np.ndarray, kernel: Kernel, marks: np.ndarray, lean: np.ndarray) -> tuple[np.ndarray, float]:
+def _sentence_machine(column: pa.Array, toxic: np.ndarray, half: np.ndarray, hashes: np.ndarray, letters: np.ndarray, kernel: Kernel, marks: np.ndarray, lean: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights of the kernel's landmarks and a bias, 0 at the cut. ``lean`` has what each unit tells in each half, ``marks`` the landmarks' letters."""
     rng = np.random.default_rng(1)
     values, vectors = np.linalg.eigh(kernel(marks).astype(np.float64))
     root = (vectors / np.sqrt(np.maximum(values, 1e-4))).astype(np.float32)
 
     def highest(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Each document's highest phrase by its own half's values and one at random, as units (-1 beyond its end), and the highest sum by the other half's."""
-        best, other = (np.full((len(column), PHRASE), -1) for _ in range(2))
+        """Each document's highest piece of a sentence by its own half's values and one at random, as units (-1 beyond its end), and the highest sum by the other half's."""
+        best, other = (np.full((len(column), PIECE), -1) for _ in range(2))
         unseen = np.full(len(column), -np.inf)
         for i in range(0, len(column), 64):
             units = Units(column.slice(i, 64))
             if not len(units.hash):
                 continue
             unit, doc = np.searchsorted(hashes, units.hash), units.row + i
-            end = _phrase_ends(units.row)
-            sums = np.stack([_phrase_sums(units.row, value[unit, h]) for h in (0, 1)], 1)
+            end = _piece_ends(units.sentence)
+            sums = np.stack([_piece_sums(units.sentence, value[unit, h]) for h in (0, 1)], 1)
             at = np.arange(len(doc))
             np.maximum.at(unseen, doc, sums[at, 1 - half[doc]])
             for out, by in ((best, sums[at, half[doc]]), (other, rng.random(len(doc)))):
                 order = np.lexsort((-by, doc))
                 head = order[np.searchsorted(doc, np.unique(doc))]
-                place = head[:, None] + np.arange(PHRASE)
+                place = head[:, None] + np.arange(PIECE)
                 out[doc[head]] = np.where(place < end[head][:, None], unit[np.minimum(place, len(unit) - 1)], -1)
         return best, other, unseen
 
-    def features(phrases: np.ndarray) -> np.ndarray:
-        used, at = np.unique(phrases, return_inverse=True)
+    def features(pieces: np.ndarray) -> np.ndarray:
+        used, at = np.unique(pieces, return_inverse=True)
         found = kernel(letters[np.maximum(used, 0)]) @ root
         found[used < 0] = 0
-        at = at.reshape(phrases.shape)
-        return sum(found[at[:, k]] for k in range(PHRASE))
+        at = at.reshape(pieces.shape)
+        return sum(found[at[:, k]] for k in range(PIECE))
 
     value, negative = lean, []
     for _ in range(2):
@@ -368,20 +382,20 @@ def train(column: pa.Array, toxic: np.ndarray) -> Model:
         (t, c), (all_t, all_c) = count[:, h], (max(1, (k & (half == h)).sum()) for k in (toxic, ~toxic))
         lean[:, h] = np.where((surprise > beyond) & real, np.log((t + 0.5) / (all_t + 1)) - np.log((c + 0.5) / (all_c + 1)), 0)
     tells = np.flatnonzero((surprise > beyond) & real & (share > base))
-    tells = tells[np.argsort(-surprise[tells], kind="stable")][:PHRASE_LANDMARKS]
+    tells = tells[np.argsort(-surprise[tells], kind="stable")][:SENTENCE_LANDMARKS]
     halves = all((toxic & (half == h)).any() and (~toxic & (half == h)).any() for h in (0, 1))
     if not len(candidates) and not (len(tells) and halves):
         return none
     marks, unit_weights, bias, cut, slope = [], np.zeros(0, np.float32), -1.0, 0.0, 1.0
     if len(candidates):
         marks, unit_weights, bias, cut, slope = _unit_machine(column, toxic, units, first, letters, real, candidates, in_toxic, in_clean, rng)
-    phrase_weights, phrase_bias = np.zeros(len(marks), np.float32), -np.inf
+    sentence_weights, sentence_bias = np.zeros(len(marks), np.float32), -np.inf
     if len(tells) and halves:
         marks = marks + [units.text(first[i]) for i in tells]
         unit_weights = np.append(unit_weights, np.zeros(len(tells), np.float32))
-        phrase_weights, phrase_bias = _phrase_machine(column, toxic, half, distinct, letters, Kernel(marks), letters_of(marks), lean)
+        sentence_weights, sentence_bias = _sentence_machine(column, toxic, half, distinct, letters, Kernel(marks), letters_of(marks), lean)
     curve = slope, float(np.log(THRESHOLD / (1 - THRESHOLD))) - slope * cut
-    return Model(Kernel(marks), np.stack([unit_weights, phrase_weights], 1).astype(np.float32), (bias, phrase_bias + cut), curve)
+    return Model(Kernel(marks), np.stack([unit_weights, sentence_weights], 1).astype(np.float32), (bias, sentence_bias + cut), curve)
 
 
 def _unit_machine(
