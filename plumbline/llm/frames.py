@@ -82,7 +82,9 @@ def fitted(rows: DataFrame, kind: str, most: dict[Any, int], fit: Callable[[pa.T
         one_blas_thread()
         held = kept(batches)
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(held))], pa.binary())], ["model"])
+            model = pickle.dumps(fit(held))
+            del held
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     rows = rows.select("place", "text", kind)
     found = rows.mapInArrow(local, rows.schema).repartition(1).mapInArrow(last, "model binary").collect() if most else []

@@ -107,16 +107,27 @@ class Units:
     @classmethod
     def of(cls, column: pa.Array, rows: int = 64) -> Units:
         """The same units, found in slices of rows, which takes less memory at once."""
-        parts = [cls(column.slice(i, rows)) for i in range(0, len(column), rows)]
-        shift = np.cumsum([0, *(len(p.data) for p in parts)])
+        parts = []
+        for i in range(0, len(column), rows):
+            part = cls(column.slice(i, rows))
+            part.row += i
+            for field in ("row", "sentence", "start", "end"):
+                setattr(part, field, getattr(part, field).astype(np.int32))  # a part is small; sums below are not
+            parts.append(part)
         out = cls.__new__(cls)
-        out.data, out.hash = np.concatenate([p.data for p in parts]), np.concatenate([p.hash for p in parts])
-        small = np.int32 if shift[-1] < 1 << 31 else np.int64
-        out.row = np.concatenate([(p.row + k * rows).astype(small) for k, p in enumerate(parts)])
-        before = np.cumsum([0, *(int(p.sentence[-1]) if len(p.sentence) else 0 for p in parts)])
-        out.sentence = np.concatenate([(p.sentence + n).astype(small) for p, n in zip(parts, before, strict=False)])
-        out.start = np.concatenate([(p.start + n).astype(small) for p, n in zip(parts, shift, strict=False)])
-        out.end = np.concatenate([(p.end + n).astype(small) for p, n in zip(parts, shift, strict=False)])
+        shift = {"start": np.cumsum([0, *(len(p.data) for p in parts)]), "sentence": np.cumsum([0, *(int(p.sentence[-1]) if len(p.sentence) else 0 for p in parts)])}
+        shift["end"] = shift["start"]
+        small = np.int32 if shift["start"][-1] < 1 << 31 else np.int64
+        for field in ("data", "hash", "row", "sentence", "start", "end"):
+            add = shift.get(field, np.zeros(len(parts) + 1, np.int64))
+            moved = (getattr(p, field) if field not in shift else getattr(p, field).astype(small) + small(n) for p, n in zip(parts, add, strict=False))
+            size, at = sum(len(getattr(p, field)) for p in parts), 0
+            whole = np.empty(size, getattr(parts[0], field).dtype if field not in shift else small) if parts else np.zeros(0, np.int32)
+            for p, values in zip(parts, moved, strict=True):
+                whole[at : at + len(values)] = values
+                at += len(values)
+                delattr(p, field)
+            setattr(out, field, whole)
         return out
 
     def text(self, i: int) -> bytes:
@@ -370,7 +381,7 @@ def train(column: pa.Array, toxic: np.ndarray) -> Model:
     unit, doc = pairs // len(column), pairs % len(column)
     count = np.stack([[np.bincount(unit, (toxic[doc] == kind) & (half[doc] == h), len(distinct)) for h in (0, 1)] for kind in (True, False)])
     in_toxic, in_clean = count.sum(1)
-    del pairs, unit, doc, of, units.hash, units.row
+    del pairs, unit, doc, of, units.hash, units.row, units.sentence
     n, base = in_toxic + in_clean, toxic.mean()
     share, surprise = in_toxic / n, _surprise(in_toxic, in_clean, base)
     beyond = np.log(max(2, (n > 1).sum())) + 1
@@ -386,12 +397,13 @@ def train(column: pa.Array, toxic: np.ndarray) -> Model:
     halves = all((toxic & (half == h)).any() and (~toxic & (half == h)).any() for h in (0, 1))
     if not len(candidates) and not (len(tells) and halves):
         return none
+    telling = [units.text(first[i]) for i in tells]
     marks, unit_weights, bias, cut, slope = [], np.zeros(0, np.float32), -1.0, 0.0, 1.0
     if len(candidates):
-        marks, unit_weights, bias, cut, slope = _unit_machine(column, toxic, units, first, letters, real, candidates, in_toxic, in_clean, rng)
+        marks, unit_weights, bias, cut, slope = _unit_machine(column, toxic, units, distinct, first, letters, real, candidates, in_toxic, in_clean, rng)
     sentence_weights, sentence_bias = np.zeros(len(marks), np.float32), -np.inf
     if len(tells) and halves:
-        marks = marks + [units.text(first[i]) for i in tells]
+        marks = marks + telling
         unit_weights = np.append(unit_weights, np.zeros(len(tells), np.float32))
         sentence_weights, sentence_bias = _sentence_machine(column, toxic, half, distinct, letters, Kernel(marks), letters_of(marks), lean)
     curve = slope, float(np.log(THRESHOLD / (1 - THRESHOLD))) - slope * cut
@@ -399,7 +411,7 @@ def train(column: pa.Array, toxic: np.ndarray) -> Model:
 
 
 def _unit_machine(
-    column: pa.Array, toxic: np.ndarray, units: Units, first: np.ndarray, letters: np.ndarray, real: np.ndarray, candidates: np.ndarray, in_toxic: np.ndarray, in_clean: np.ndarray, rng: np.random.Generator
+    column: pa.Array, toxic: np.ndarray, units: Units, hashes: np.ndarray, first: np.ndarray, letters: np.ndarray, real: np.ndarray, candidates: np.ndarray, in_toxic: np.ndarray, in_clean: np.ndarray, rng: np.random.Generator
 ) -> tuple[list[bytes], np.ndarray, float, float, float]:
     """Landmarks, their weights, the bias, the margin of least cost and the curve's slope."""
     best = candidates[np.argsort(-in_toxic[candidates], kind="stable")]
@@ -418,6 +430,7 @@ def _unit_machine(
     hard = clean[np.argsort(-close, kind="stable")]
     rest = LANDMARKS - len(witness_text[: LANDMARKS * 3 // 4])
     marks = witness_text[: LANDMARKS * 3 // 4] + [units.text(first[i]) for i in hard[: rest // 2]] + [units.text(first[i]) for i in clean[: rest - rest // 2]]
+    del units.data, units.start, units.end, near
     kernel = Kernel(marks)
     values, vectors = np.linalg.eigh(kernel(letters_of(marks)).astype(np.float64))
     root = vectors / np.sqrt(np.maximum(values, 1e-4))
@@ -433,17 +446,23 @@ def _unit_machine(
         y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
         weight = np.concatenate([often / often.sum(), np.full(len(negative), 1 / len(negative))]) / 2
         w, bias = _svm(x, y, weight)
-        margin = near_marks @ (root @ w) + bias
+        margin = near_marks @ (root @ w).astype(np.float32) + bias
         worst = np.argsort(-margin, kind="stable")[:2000]
         grown = np.union1d(negative, watched[worst[margin[worst] > -0.8]])
         if len(grown) == len(negative):
             break
         negative = grown
     weights = (root @ w).astype(np.float32)
-    model = Model(kernel, np.stack([weights, np.zeros_like(weights)], 1), (bias, -np.inf), (1.0, 0.0))
-    margins = np.concatenate([model.documents(column.slice(i, 64)) for i in range(0, len(column), 64)])
+    at_positive = positive @ weights + bias
+    del near_marks, x, positive
+    # Each distinct unit once; the documents' units are found again, slice by slice, so that no more than a slice's are held.
+    value = np.concatenate([kernel(letters[i : i + 4096]) @ weights for i in range(0, len(letters), 4096)]) + bias
+    margins = np.full(len(column), bias)
+    for i in range(0, len(column), 64):
+        some = Units(column.slice(i, 64))
+        np.maximum.at(margins, some.row + i, value[np.searchsorted(hashes, some.hash)])
     slope = max(1.0, _logistic(margins, toxic.astype(float))[0])
-    cut = _cut(margins[toxic], margins[~toxic], positive @ weights + bias)
+    cut = _cut(margins[toxic], margins[~toxic], at_positive)
     return marks, weights, bias, cut, slope
 
 
