@@ -76,6 +76,11 @@ def overdispersion(long: DataFrame) -> DataFrame:
     return each.where("m >= 2").groupBy(*by).agg(F.least(F.greatest(part, F.lit(0.0)), F.lit(0.99)).alias("rho"))
 
 
+def _row_medians(x: np.ndarray) -> np.ndarray:
+    x, n = np.sort(x, 1), x.shape[1]
+    return (x[:, (n - 1) // 2] + x[:, n // 2]) / 2
+
+
 def scale_ratio(long: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """The ratio of ``informativeness`` for spreads, with each spread's variance by a bootstrap.
 
@@ -93,7 +98,7 @@ def scale_ratio(long: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
         step = max(1, 200_000 // len(x))
         for at in range(0, draws, step):
             d = rng.choice(x, (min(step, draws - at), len(x)))
-            m = np.median(np.abs(d - np.median(d, 1)[:, None]), 1)
+            m = _row_medians(np.abs(d - _row_medians(d)[:, None]))
             total, square = total + m.sum(), square + (m * m).sum()
         mean = total / draws
         mad = float(np.median(np.abs(x - np.median(x))))
@@ -343,8 +348,8 @@ def scored_rows(rows: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT
 def score(mart: DataFrame, rate: float | None = None, settings: Settings = DEFAULT, counters: Observation | None = None) -> DataFrame:
     """From the mart to flagged rows with their evidence.
 
-    ``counters`` observes how many values had the position's centre, a deviation of 0, or no residual, once the result is computed.
-    The prepared rows feed every estimator, so they are written first, and so are the hyperparameters.
+    ``counters`` observes how many values there are, and how many had the position's centre, a deviation of 0, or no residual.
+    The prepared rows feed every estimator, so they are written first, and so are the hyperparameters and the residuals.
     """
     rows = written(prepare(mart, settings), "prepared")
     long = long_form(rows, settings)
@@ -352,5 +357,6 @@ def score(mart: DataFrame, rate: float | None = None, settings: Settings = DEFAU
     if counters is not None:
         counts = {"values": F.count(F.lit(1)), "position_substituted": F.count_if("of_position"), "zero_mad_substituted": F.count_if("flat"), "unusable": F.count_if(F.col("z").isNull() & F.col("valued"))}
         found = found.observe(counters, *[c.alias(n) for n, c in counts.items()])
+    found = written(found, "residuals")
     scored = rows.where("is_scoreable").withColumn("baseline_matches", F.col("player_baseline_matches") - 1).join(wide_form(found, settings).drop("position_code"), ["player_id", "match_id"])
     return evidence(flag(scored, rate, settings), settings)
