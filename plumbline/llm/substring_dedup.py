@@ -14,7 +14,7 @@ Within a task's slice of documents, records that equal an earlier one are matche
 sent to a block: a passage of a third of all rows reaches its block once for each slice.
 
 Windows count as equal if 64 bits of the anchor and 64 bits of the window agree.
-Null texts have no words. Null ids come before all others. Rows of the same id are one document to the
+Null texts have no words. Null ids come before all others, and so do ids that aren't numbers, which count as null. Rows of the same id are one document to the
 order: at the same start neither is earlier, so repeated rows keep what a single one keeps.
 """
 
@@ -211,7 +211,7 @@ def _by_document(found: np.ndarray) -> pa.RecordBatch:
 def matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """For each document (``of_id``, and ``of_check``, the text's crc32) its ``matches``: arrays of ``MATCH`` in binaries."""
     blocks = exchange_partitions(docs.sparkSession)
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.crc32(F.col(text).cast("binary")).alias("check"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).try_cast("long").alias("id"), F.crc32(F.col(text).cast("binary")).alias("check"), F.col(text).alias("text"))
 
     def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", _SLICE):
@@ -261,7 +261,7 @@ def spans(found: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _with_matches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(int(_NO_ID))).alias("id"), F.crc32(F.col(text).cast("binary")).alias("check"))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(doc_id).try_cast("long"), F.lit(int(_NO_ID))).alias("id"), F.crc32(F.col(text).cast("binary")).alias("check"))
     found = matches(docs, doc_id, text)
     return rows.join(found, (rows["id"] == found["of_id"]) & (rows["check"] == found["of_check"]), "left").select("row", "matches")
 

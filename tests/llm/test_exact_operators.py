@@ -261,3 +261,9 @@ def test_samples_are_bounded_whatever_repeats(spark):
     sample = fitted(docs.select(place("doc_id").alias("place"), "text", F.lit("k").alias("kind")), "kind", {"k": 50}, lambda t: t["text"].to_pylist())
     again = fitted(docs.repartition(1).select(place("doc_id").alias("place"), "text", F.lit("k").alias("kind")), "kind", {"k": 50}, lambda t: t["text"].to_pylist())
     assert len(sample) == 50 and sample == again and sample.count("null") <= 1
+
+
+def test_substring_dedup_of_ids_that_are_no_numbers(spark):
+    """They count as null, so they are one document at the start of the order: equal starts are no repeats, later ones are."""
+    docs = spark.createDataFrame([("a", PASSAGE), ("b", PASSAGE), ("7", f"x {PASSAGE}")], "doc_id string, text string")
+    assert {(r["doc_id"], r["n_removed"]) for r in substring_dedup.report(docs).collect()} == {("a", 0), ("b", 0), ("7", 30)}
