@@ -5,7 +5,8 @@ from __future__ import annotations
 import ctypes
 import pickle
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
+from operator import and_
 from pathlib import Path
 from typing import Any
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from plumbline.tables import replaced, shared_dir, written
 
-__all__ = ["PLACES", "SLICE_ROWS", "exchange_partitions", "fitted", "fold", "one_blas_thread", "place", "replaced", "shared_dir", "sliced", "written"]
+__all__ = ["PLACES", "SLICE_ROWS", "exchange_partitions", "fitted", "fold", "joined", "one_blas_thread", "place", "replaced", "shared_dir", "sliced", "written"]
 
 #: Rows of a slice at most, whatever the session's size of Arrow batches.
 SLICE_ROWS = 1 << 15
@@ -30,6 +31,13 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(folds)
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` where nulls equal each other; the left side's keys stay."""
+    right = right.withColumnsRenamed({k: f"{k} right" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"{k} right")) for k in keys]
+    return left.join(right, reduce(and_, same), how).drop(*[f"{k} right" for k in keys])
+
+
 def exchange_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
