@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT, Settings
+from plumbline.operators import selection
 
 #: What separates an entity's player from what else names it (see ``campaign``); a seed depends on the player alone.
 ENTITY = "\x01"
@@ -321,13 +322,15 @@ def _isolation(x: np.ndarray, own: np.ndarray, pool: Pool | None, space: Space,
     return score, (score - of_rows.mean()) / spread if spread > 0 else np.nan, share
 
 
-def production_bars(scores: DataFrame, columns: list[str], rate: float = DEFAULT.flag_rate) -> DataFrame:
+def production_bars(scores: DataFrame, columns: list[str], rate: float = DEFAULT.flag_rate, bound: int = selection.BOUND) -> DataFrame:
     """The value of each scorer that ``rate`` of all rows reach, in one pass; nulls don't count. Scorers without the others' forests are refused."""
     forests = [c for c in SCORES if c.startswith("forest") and "fraction" not in c]
     given = [c for c in forests if c in scores.columns]
     if any(c in forests for c in columns) and len(given) != len(forests):
         raise ValueError(f"of the forests' scores only {', '.join(given)} are there")
-    return scores.agg(*[F.percentile(c, F.lit(1 - rate)).alias(c) for c in columns])
+    long = scores.select(F.inline(F.array(*[F.struct(F.lit(c).alias("scorer"), F.col(c).cast("double").alias("score")) for c in columns])))
+    bars = selection.quantiles(long, ["scorer"], "score", {"bar": 1 - rate}, bound)
+    return bars.agg(*[F.max(F.when(F.col("scorer") == c, F.col("bar"))).alias(c) for c in columns])
 
 
 def position_nus(rows: DataFrame, columns: list[str]) -> DataFrame:

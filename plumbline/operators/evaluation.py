@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators import selection
+from plumbline.tables import joined
+
 
 def auc(rows: DataFrame, score: str, hot: str, *by: str) -> DataFrame:
     """The chance that a hot row scores above a reference row, ties half; per group of ``by``.
@@ -26,7 +29,7 @@ def with_bars(records: DataFrame, bars: dict[str, float], scorer: str = "scorer"
     return records.withColumn("bar", F.create_map(*[x for s, b in bars.items() for x in (F.lit(s), F.lit(b))])[F.col(scorer)])
 
 
-def cell_statistics(records: DataFrame, *by: str) -> DataFrame:
+def cell_statistics(records: DataFrame, *by: str, bound: int = selection.BOUND) -> DataFrame:
     """Per cell: what was planted, what of it was caught, and what happened to the targets' other rows.
 
     ``records`` has ``clean`` and ``after`` scores, the ``bar``, ``is_target``, ``bit``, ``clipped``, ``short``, ``allocated``, ``achieved`` and
@@ -58,12 +61,12 @@ def cell_statistics(records: DataFrame, *by: str) -> DataFrame:
         F.count_if(~target & hit).alias("_after"),
         F.count_if(~target & (F.abs(change) > 1e-9)).alias("contaminated"),
         n_other.alias("n_other"),
-        F.median(F.when(~target & (F.abs(change) > 1e-9), change)).alias("shift"),
         F.stddev_samp(F.when(~target, F.col("clean"))).alias("_spread"),
     )
     paired = records.where(target & F.col("clean").isNotNull())
     both = paired.select(*by, F.col("clean").alias("s"), F.lit(False).alias("hot")).union(paired.select(*by, F.col("after").alias("s"), F.lit(True).alias("hot")))
-    told = stats.join(auc(both, "s", "hot", *by), list(by), "left")
+    shift = selection.median(records.where(~target & (F.abs(change) > 1e-9)).select(*by, change.alias("change")), list(by), "change", "shift", bound)
+    told = joined(joined(stats, auc(both, "s", "hot", *by), list(by), "left"), shift, list(by), "left")
     share = lambda part, whole: F.col(part) / F.nullif(F.col(whole).cast("double"), F.lit(0.0))
     single, measurable = ~F.col("_composed"), F.col("_measured") > 0
     return told.select(

@@ -1,12 +1,14 @@
 """How unusual a row is for its own entity: leave-one-out residuals, shrunk towards the position.
 
 Everything runs in long form, one row for each (player, match, metric), so that all metrics share one
-pass. An entity's values of a metric meet once, as an array, from which a few order statistics go back to
-its rows: a leave-one-out median takes at most three values, and so does the deviation around each.
+pass. Of an entity's values of a metric a few order statistics (``selection``) go back to its rows: a leave-one-out
+median takes at most three values, and so does the deviation around each.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -15,7 +17,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.config import DEFAULT, PROPORTIONS, Settings
 from plumbline.functions.columns import first_largest, mean_of, nulls_skipped
-from plumbline.tables import written
+from plumbline.operators import selection
+from plumbline.tables import joined, written
 
 KEYS = ("player_id", "match_id", "position_code")
 
@@ -47,12 +50,13 @@ def long_form(rows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return rows.select(*KEYS, F.inline(F.array(*map(of, settings.metrics))))
 
 
-def position_baselines(long: DataFrame) -> DataFrame:
+def position_baselines(long: DataFrame, bound: int = selection.BOUND) -> DataFrame:
     """Median and median absolute deviation of each metric in each position, and the pooled rate."""
     by = ["position_code", "metric"]
-    centres = long.groupBy(*by).agg(F.median("x").alias("pool_median"), (F.sum("k") / F.nullif(F.sum("n"), F.lit(0.0))).alias("pool_rate"))
-    spread = long.join(F.broadcast(centres.select(*by, "pool_median")), by).groupBy(*by).agg(F.median(F.abs(F.col("x") - F.col("pool_median"))).alias("pool_mad"))
-    return centres.join(spread, by)
+    rates = long.groupBy(*by).agg((F.sum("k") / F.nullif(F.sum("n"), F.lit(0.0))).alias("pool_rate"))
+    centres = selection.median(long, by, "x", "pool_median", bound)
+    away = joined(long, F.broadcast(centres), by).withColumn("away", F.abs(F.col("x") - F.col("pool_median")))  # a row for each position and metric
+    return joined(joined(centres, rates, by), selection.median(away, by, "away", "pool_mad", bound), by)
 
 
 def informativeness(long: DataFrame) -> DataFrame:
@@ -76,9 +80,75 @@ def overdispersion(long: DataFrame) -> DataFrame:
     return each.where("m >= 2").groupBy(*by).agg(F.least(F.greatest(part, F.lit(0.0)), F.lit(0.99)).alias("rho"))
 
 
-def _row_medians(x: np.ndarray) -> np.ndarray:
-    x, n = np.sort(x, 1), x.shape[1]
-    return (x[:, (n - 1) // 2] + x[:, n // 2]) / 2
+#: The draws' arithmetic is modulo this prime, where a fifth power never repeats a value.
+PRIME = (1 << 31) - 1
+#: Values that a block of draws takes at most, all draws together; a larger entity has more blocks.
+DRAWN = 1 << 22
+
+
+def drawn(seed: int, draws: np.ndarray, n: int) -> np.ndarray:
+    """Which of ``n`` values each draw takes, n times each: one row for each draw.
+
+    A pick is a share of the prime, from the seed, the draw and the pick's number by two fifth powers: whole numbers that any engine works out alike.
+    """
+    fifth = lambda v: (v * v % PRIME) ** 2 % PRIME * v % PRIME
+    mixed = fifth((seed + draws[:, None] * 1_000_003 + np.arange(n, dtype=np.int64)[None, :] * 7_919) % PRIME)
+    return fifth((mixed * 16_807 + seed) % PRIME) * n // PRIME
+
+
+def _bootstrap(values: np.ndarray, counts: np.ndarray, seed: int, draws: np.ndarray) -> np.ndarray:
+    """The median absolute deviation of each draw from values in ascending order, each as often as its count.
+
+    A draw is how often each distinct value was taken, so what is sorted is the distances of distinct values, not the draw.
+    """
+    n = int(counts.sum())
+    ends = np.cumsum(counts)
+    taken = np.zeros((len(draws), len(values)), np.int64)
+    at = np.searchsorted(ends, drawn(seed, draws, n), side="right")
+    np.add.at(taken, (np.arange(len(draws))[:, None], at), 1)
+    centre = _middle(np.broadcast_to(values, taken.shape), taken, n)
+    away = np.abs(values[None, :] - centre[:, None])
+    order = np.argsort(away, axis=1, kind="stable")
+    return _middle(np.take_along_axis(away, order, 1), np.take_along_axis(taken, order, 1), n)
+
+
+def _middle(values: np.ndarray, taken: np.ndarray, n: int) -> np.ndarray:
+    """The median of each row of ascending values that are taken so often."""
+    below, row = np.cumsum(taken, axis=1), np.arange(len(taken))
+    low, high = ((below >= k).argmax(1) for k in ((n + 1) // 2, n // 2 + 1))
+    return (values[row, low] + values[row, high]) / 2
+
+
+def bootstrap_spreads(long: DataFrame, settings: Settings = DEFAULT, bound: int = selection.BOUND) -> DataFrame:
+    """For each entity of at least three values: their number ``n``, their median absolute deviation ``mad`` and its variance ``v`` over the draws.
+
+    Equal values travel as one with their number. Each block of an entity's draws is a group of its own, so a large entity spreads over as many tasks
+    as it has blocks; blocks send back the sum and the square sum of their deviations.
+    """
+    by, draws = ["position_code", "metric", "player_id"], settings.bootstrap_draws
+    counted = long.where(F.col("x").isNotNull()).groupBy(*by, "x").agg(F.count(F.lit(1)).alias("c"))
+    sized = counted.groupBy(*by).agg(F.sum("c").alias("n")).where("n >= 3")
+    blocks = F.least(F.greatest(F.ceil(F.col("n") * draws / DRAWN), F.lit(1)), F.lit(draws)).cast("int")
+    dealt = joined(counted, sized.withColumn("blocks", blocks), by).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, first = pdf.sort_values("x"), pdf.iloc[0]
+        mine = np.arange(int(first["block"]), draws, int(first["blocks"]), dtype=np.int64)
+        x, c, total, square = pdf["x"].to_numpy(float), pdf["c"].to_numpy(np.int64), 0.0, 0.0
+        seed = int(hashlib.md5(f"{first['player_id']}:{first['metric']}".encode()).hexdigest()[:7], 16)
+        step = max(1, DRAWN // 8 // int(first["n"]))
+        for at in range(0, len(mine), step):
+            m = _bootstrap(x, c, seed, mine[at : at + step])
+            total, square = total + m.sum(), square + (m * m).sum()
+        return pd.DataFrame({**{k: [first[k]] for k in by}, "n": [first["n"]], "total": [total], "square": [square]})
+
+    kinds = dict(long.dtypes)
+    parts = dealt.groupBy(*by, "block").applyInPandas(of_block, ", ".join(f"{k} {kinds[k]}" for k in by) + ", n long, total double, square double")
+    mean = F.sum("total") / draws
+    spread = parts.groupBy(*by).agg(F.first("n").alias("n"), ((F.sum("square") / draws - mean * mean) * draws / (draws - 1)).alias("v"))
+    own = selection.median(long, by, "x", "centre", bound)
+    away = joined(long.where(F.col("x").isNotNull()), own, by).withColumn("away", F.abs(F.col("x") - F.col("centre")))
+    return joined(spread, selection.median(away, by, "away", "mad", bound), by)
 
 
 def scale_ratio(long: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -86,29 +156,8 @@ def scale_ratio(long: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
     Draws depend on the entity and metric alone, not on how rows are dealt.
     """
-    draws = settings.bootstrap_draws
-
-    def spread(pdf: pd.DataFrame) -> pd.DataFrame:
-        import zlib
-
-        x = np.sort(pdf["x"].to_numpy(float))
-        first = pdf.iloc[0]
-        rng = np.random.default_rng(zlib.crc32(f"{first['player_id']}:{first['metric']}".encode()))
-        total = square = 0.0
-        step = max(1, 200_000 // len(x))
-        for at in range(0, draws, step):
-            d = rng.choice(x, (min(step, draws - at), len(x)))
-            m = _row_medians(np.abs(d - _row_medians(d)[:, None]))
-            total, square = total + m.sum(), square + (m * m).sum()
-        mean = total / draws
-        mad = float(np.median(np.abs(x - np.median(x))))
-        return pd.DataFrame({"position_code": [first["position_code"]], "metric": [first["metric"]], "mad": [mad], "v": [(square / draws - mean * mean) * draws / (draws - 1)], "n": [len(x)]})
-
-    by = ["position_code", "metric"]
-    rows = long.where(F.col("x").isNotNull()).withColumn("size", F.count(F.lit(1)).over(Window.partitionBy(*by, "player_id"))).where("size >= 3")
-    each = rows.groupBy(*by, "player_id").applyInPandas(spread, "position_code string, metric string, mad double, v double, n long")
     between = F.greatest(F.var_samp("mad") - F.avg("v"), F.lit(0.0))
-    return each.groupBy(*by).agg((between / F.nullif(F.avg(F.col("n") * F.col("v")), F.lit(0.0))).alias("scale_ratio"))
+    return bootstrap_spreads(long, settings).groupBy("position_code", "metric").agg((between / F.nullif(F.avg(F.col("n") * F.col("v")), F.lit(0.0))).alias("scale_ratio"))
 
 
 def hyperparameters(long: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
@@ -123,14 +172,6 @@ def own_weight(n: Column, ratio: Column) -> Column:
     return F.when(ratio.isNull(), 1.0).otherwise(ratio * n / (ratio * n + 1.0))
 
 
-def _order_statistics(values: Column) -> Column:
-    """The three values around an array's middle, for ``_without``."""
-    s, n = F.array_sort(values), F.size(values)
-    k = F.floor((n + 1) / 2).cast("int")  # 1-based; of an even number the lower middle
-    at = lambda i: F.when((i >= 1) & (i <= n), F.get(s, F.greatest(i, F.lit(1)) - 1))
-    return F.struct(n.alias("n"), at(k - 1).alias("before"), at(k).alias("middle"), at(k + 1).alias("after"))
-
-
 def _without(stats: Column, x: Column) -> Column:
     """The median of the values but for one ``x`` of them."""
     even = stats["n"] % 2 == 0
@@ -140,7 +181,7 @@ def _without(stats: Column, x: Column) -> Column:
     return F.when(stats["n"] > 1, F.when(even, F.when(x <= stats["middle"], stats["after"]).otherwise(stats["middle"])).otherwise(odd))
 
 
-def leave_one_out(long: DataFrame, pool: DataFrame | None = None) -> DataFrame:
+def leave_one_out(long: DataFrame, pool: DataFrame | None = None, bound: int = selection.BOUND) -> DataFrame:
     """Median ``centre`` and deviation ``mad`` of an entity's other values of the metric, the centre shrunk towards the pool.
 
     ``pool`` has ``position_code``, ``metric``, ``pool_median`` and ``ratio``; without it nothing is shrunk.
@@ -151,28 +192,26 @@ def leave_one_out(long: DataFrame, pool: DataFrame | None = None) -> DataFrame:
         pooled = rows.withColumns({"pool_median": F.lit(None).cast("double"), "ratio": F.lit(None).cast("double")})
     else:
         pooled = rows.join(F.broadcast(pool.select("position_code", "metric", "pool_median", "ratio")), ["position_code", "metric"], "left")
-    groups = pooled.groupBy(*by).agg(F.collect_list("x").alias("xs"), F.first("pool_median").alias("pool_median"), F.first("ratio").alias("ratio"))
-    groups = groups.withColumn("s", _order_statistics(F.col("xs")))
-    w = own_weight((F.size("xs") - 1).cast("double"), F.col("ratio"))
+    of_group = pooled.groupBy(*by).agg(F.first("pool_median").alias("pool_median"), F.first("ratio").alias("ratio"))
+    groups = joined(selection.around_middle(rows, by, "x", bound).select(*by, F.struct("n", "before", "middle", "after").alias("s")), of_group, by)
+    w = own_weight((F.col("s.n") - 1).cast("double"), F.col("ratio"))
     shrunk = lambda m: F.when(w == 1.0, m).otherwise(w * m + (1 - w) * F.col("pool_median"))
+    # Whatever its value, a row left out lies below, at or above the middle, so an entity has three centres at most.
     probes = {"low": F.col("s.middle") - 1, "at": F.col("s.middle"), "high": F.col("s.middle") + 1}
-    centres = {f"c_{k}": shrunk(_without(F.col("s"), v)) for k, v in probes.items()}
-    groups = groups.withColumns(centres | {"weight": w})
-    for k in probes:
-        groups = groups.withColumn(f"d_{k}", _order_statistics(_deviations(f"c_{k}")))
-    groups = groups.drop("xs")
+    groups = groups.withColumns({f"c_{k}": shrunk(_without(F.col("s"), v)) for k, v in probes.items()} | {"weight": w}).drop("pool_median", "ratio")
+    each = F.array(*[F.struct(F.lit(k).alias("probe"), F.abs(F.col("x") - F.col(f"c_{k}")).alias("away")) for k in probes])
+    away = joined(rows.select(*by, "x"), groups.select(*by, *[f"c_{k}" for k in probes]), by).select(*by, F.inline(each))
+    spread = selection.around_middle(away, [*by, "probe"], "away", bound).groupBy(*by)
+    spread = spread.agg(*[F.max(F.when(F.col("probe") == k, F.struct("n", "before", "middle", "after"))).alias(f"d_{k}") for k in probes])
+    groups = joined(groups, spread, by, "left")
     # A value at the middle of an even number counts as one of the lower half.
     x, middle, even = F.col("x"), F.col("s.middle"), F.col("s.n") % 2 == 0
     pick = lambda p: F.when(x > middle, F.col(f"{p}_high")).when((x < middle) | even, F.col(f"{p}_low")).otherwise(F.col(f"{p}_at"))
-    found = rows.join(groups.drop("pool_median", "ratio"), by)
+    found = joined(rows, groups, by)
     found = found.withColumn("centre", pick("c")).withColumn("d", pick("d")).withColumn("others", F.col("s.n") - 1)
     return found.withColumn("mad", _without(F.col("d"), F.abs(x - F.col("centre")))).select(*rows.columns, "others", "weight", "centre", "mad")
 
 
-def _deviations(centre: str) -> Column:
-    return F.transform("xs", lambda x: F.abs(x - F.col(centre)))
-
-
 def leave_one_out_sigma(long: DataFrame) -> DataFrame:
     """``sigma``: distance from the mean of the entity's other values in their standard deviations."""
     w = Window.partitionBy("player_id", "metric")
@@ -319,12 +358,12 @@ def wide_form(found: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return rows.withColumns({"max_abs_z": nulls_skipped(F.array_max, z), "mean_abs_z": nulls_skipped(mean_of, z), "metrics_scored": nulls_skipped(F.size, z)})
 
 
-def flag(rows: DataFrame, rate: float | None = None, settings: Settings = DEFAULT) -> DataFrame:
+def flag(rows: DataFrame, rate: float | None = None, settings: Settings = DEFAULT, bound: int = selection.BOUND) -> DataFrame:
     """``is_flagged`` rows at or above the quantile that leaves ``rate`` of rows (``flag_threshold``), with the metric that drives each."""
     rate = settings.flag_rate if rate is None else rate
     if not 0 < rate < 1:
         raise ValueError(f"rate is {rate}; it must lie between 0 and 1")
-    bar = rows.agg(F.percentile("max_abs_z", F.lit(1 - rate)).alias("flag_threshold"))
+    bar = selection.quantiles(rows, [], "max_abs_z", {"flag_threshold": 1 - rate}, bound)
     driver = first_largest(list(settings.metrics), [F.abs(f"z_{m}") for m in settings.metrics])
     weights = F.create_map(*[x for m in settings.metrics for x in (F.lit(m), F.col(f"weight_{m}"))])
     rows = rows.crossJoin(F.broadcast(bar))  # one row

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT, Settings
+from plumbline.operators import selection
 
 Columns = dict[str, np.ndarray]
 #: (columns, spreads, doses, draws) -> changed columns, and where the dose was cut short.
@@ -325,7 +326,7 @@ def target_choices(scores: DataFrame, scorers: list[str]) -> DataFrame:
     """
     long = scores.select("player_id", "match_id", F.inline(F.array(*[F.struct(F.lit(s).alias("scorer"), F.col(s).alias("score")) for s in scorers])))
     seen = long.where(F.col("score").isNotNull())
-    middle = seen.groupBy("player_id", "scorer").agg(F.median("score").alias("middle"))
+    middle = selection.median(seen, ["player_id", "scorer"], "score", "middle")
     near = seen.join(middle, ["player_id", "scorer"]).groupBy("player_id", "scorer").agg(F.min(F.struct(F.abs(F.col("score") - F.col("middle")), "match_id"))["match_id"].alias("match_id"))
     each = scores.select("player_id").distinct().withColumn("scorer", F.explode(F.array(*map(F.lit, scorers))))
     first = near.where(F.col("scorer") == scorers[0]).select("player_id", F.col("match_id").alias("fallback"))

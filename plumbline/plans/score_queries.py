@@ -64,7 +64,7 @@ def overdispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scale_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return residuals.scale_ratio(A.orders_long(spark, sf_dir))
+    return _rounded(residuals.scale_ratio(A.orders_long(spark, sf_dir)))
 
 
 def beta_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,6 +260,9 @@ _RAW_SQL = "r AS (SELECT player_id, match_id, position_code, k / n AS x, quantit
 _RES_SQL = """z AS (SELECT player_id, match_id, position_code, (x - avg(x) OVER w) / stddev_samp(x) OVER w AS zx, (quantity - avg(quantity) OVER w) / stddev_samp(quantity) OVER w AS zq
     FROM r WINDOW w AS (PARTITION BY position_code))"""
 
+#: A fifth power of ``v`` modulo the prime of the draws.
+_FIFTH = "(((v * v % {0}) * (v * v % {0})) % {0} * v % {0})".format(residuals.PRIME)
+
 ORACLE_SQL = {
     "prepare": f"""WITH {MART_SQL}, b AS (SELECT *, least(minutes_played, regulation_minutes) AS e,
             CASE WHEN NOT coalesce(has_mirrored_positions, false) THEN touches_in_defensive_third END AS t FROM fm WHERE minutes_played >= 20 AND NOT (match_has_missing_substitution AND CAST(match_id AS INT) % 3 = 0)),
@@ -279,6 +282,14 @@ ORACLE_SQL = {
         FROM ol LEFT JOIN lo USING (player_id, match_id)""",
     "informativeness": f"""WITH {A.ORDERS_SQL}, e AS (SELECT position_code, player_id, avg(x) AS m, var_samp(x) AS v, count(*) AS n FROM ol GROUP BY ALL HAVING count(*) >= 2)
         SELECT position_code, 'price' AS metric, round(greatest(var_samp(m) - avg(v / n), 0) / avg(v), 6) AS ratio FROM e GROUP BY ALL""",
+    "scale_ratio": f"""WITH {A.ORDERS_SQL}, en AS (SELECT position_code, player_id, list(x ORDER BY x)::DOUBLE[] AS xs, count(*) AS n, CAST('0x' || md5(player_id || ':price')[1:7] AS BIGINT) AS seed FROM ol GROUP BY ALL HAVING count(*) >= 3),
+        pk AS (SELECT *, list_transform(range(n), lambda i: (seed + b * 1000003 + i * 7919) % {residuals.PRIME}) AS p FROM en, range(2000) AS t(b)),
+        mx AS (SELECT * REPLACE (list_transform(p, lambda v: ({_FIFTH} * 16807 + seed) % {residuals.PRIME}) AS p) FROM pk),
+        dr AS (SELECT position_code, player_id, n, list_transform(p, lambda v: xs[{_FIFTH} * n // {residuals.PRIME} + 1]) AS d FROM mx),
+        ce AS (SELECT *, list_aggregate(d, 'median') AS m FROM dr), ds AS (SELECT position_code, player_id, n, list_aggregate(list_transform(d, lambda v: abs(v - m)), 'median') AS mad FROM ce),
+        va AS (SELECT position_code, player_id, any_value(n) AS n, var_samp(mad) AS v FROM ds GROUP BY ALL),
+        ow AS (SELECT position_code, player_id, list_aggregate(list_transform(xs, lambda v: abs(v - list_aggregate(xs, 'median'))), 'median') AS mad FROM en)
+        SELECT position_code, 'price' AS metric, round(greatest(var_samp(mad) - avg(v), 0) / nullif(avg(n * v), 0), 6) AS scale_ratio FROM va JOIN ow USING (position_code, player_id) GROUP BY position_code""",
     "overdispersion": f"""WITH {A.QUARTERS_SQL}, e AS (SELECT position_code, player_id, var_samp(k / n) AS v, sum(k) / sum(n) AS p, avg(1 / n) AS inv, count(*) AS m FROM sq WHERE n > 0 GROUP BY ALL)
         SELECT position_code, 'returned' AS metric, round(least(greatest(sum(v - p * (1 - p) * inv) / nullif(sum(p * (1 - p) * (1 - inv)), 0), 0), 0.99::DOUBLE), 6) AS rho FROM e WHERE m >= 2 GROUP BY ALL""",
     "flagged": f"""WITH {_SCORES_SQL}, mx AS (SELECT *, greatest(robust, plain) AS z FROM cs), bar AS (SELECT quantile_cont(z, 0.98) AS bar FROM mx)

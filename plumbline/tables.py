@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import cache
+from functools import cache, reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @cache
@@ -24,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(context.applicationId) if single else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` where nulls equal each other; the left side's keys stay."""
+    if not keys:
+        return left.join(right, how=how) if how in ("inner", "left") else left.join(right, F.lit(True), how)
+    right = right.withColumnsRenamed({k: f"{k} right" for k in keys})
+    found = left.join(right, reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k} right")) for k in keys]), how)
+    return found if how in ("left_semi", "left_anti") else found.drop(*[f"{k} right" for k in keys])
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
