@@ -2,83 +2,109 @@
 
 from __future__ import annotations
 
-import ast
 import hashlib
 import json
-import time
-import uuid
+from collections.abc import Iterator
 from pathlib import Path
-from types import ModuleType
+from types import CodeType, ModuleType
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.commits import Table
 
-def content_hash(df: DataFrame, *keys: str) -> str:
-    """A hash of all rows whatever their order; repeated keys are refused, since then a row has no name."""
-    columns = sorted(df.columns)
-    hashed = df.select(F.struct(*keys).alias("k"), F.xxhash64(*columns).cast("decimal(38,0)").alias("h"))
-    one = hashed.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("keys"), F.sum("h").alias("total")).first()
-    if one["n"] != one["keys"]:
-        raise ValueError(f"{one['n'] - one['keys']} rows repeat a key of {', '.join(keys)}")
-    return hashlib.sha256(json.dumps([columns, one["n"], str(one["total"])]).encode()).hexdigest()
+_NESTED = ("array", "map", "struct", "variant")
 
 
-def write_stamped(df: DataFrame, path: str, stamp: str) -> None:
-    """The table in a folder of its own, then the stamp that names it: a reader sees the old table with the old stamp, or the new with the new."""
-    folder = f"data-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{folder}")
-    # Written whole or not at all: one row in one file, which the writer puts in place last.
-    row = df.sparkSession.createDataFrame([(stamp, folder, time.time_ns())], "stamp string, folder string, at long")
-    row.coalesce(1).write.mode("append").parquet(f"{path}/stamp")
+def _row_hashes(df: DataFrame, columns: list[str]) -> list[Column]:
+    """Two independent hashes of a row. Each column goes in with its place and with whether it is null, since a hash of several columns passes over nulls; nested values go in as JSON that names theirs."""
 
+    def parts(place: int, name: str) -> list[Column]:
+        value = F.col(f"`{name}`")
+        if df.schema[name].dataType.typeName() in _NESTED:
+            value = F.to_json(F.struct(value), {"ignoreNullFields": "false"})
+        return [F.lit(place), F.col(f"`{name}`").isNull(), value]
+
+    told = [x for place, name in enumerate(columns) for x in parts(place, name)]
+    return [F.xxhash64(F.lit(field), *told).cast("decimal(38,0)") for field in (1, 2)]
 
-def read_stamped(spark: SparkSession, path: str, stamp: str) -> DataFrame:
-    """The table that was written last, if its inputs had this stamp."""
-    found = spark.read.parquet(f"{path}/stamp").agg(F.max_by(F.struct("stamp", "folder"), "at").alias("last")).first()["last"]
-    if found["stamp"] != stamp:
-        raise ValueError(f"{path} was made from other inputs; make it again")
-    return spark.read.parquet(f"{path}/{found['folder']}")
+
+def _digest(df: DataFrame, columns: list[str], *more: Column) -> tuple[str, dict]:
+    sums = [F.sum(h).alias(f"_sum{i}") for i, h in enumerate(_row_hashes(df, columns))]
+    one = df.agg(F.count(F.lit(1)).alias("_rows"), *sums, *more).first().asDict()
+    return hashlib.sha256(json.dumps([columns, one["_rows"], str(one["_sum0"]), str(one["_sum1"])]).encode()).hexdigest(), one
+
+
+def content_hash(df: DataFrame, *keys: str) -> str:
+    """A hash of all rows, whatever the order of rows and columns; repeated keys are refused, since then a row has no name."""
+    found, one = _digest(df, sorted(df.columns), F.count_distinct(F.struct(*keys)).alias("_keys"))
+    if one["_rows"] != one["_keys"]:
+        raise ValueError(f"{one['_rows'] - one['_keys']} rows repeat a key of {', '.join(keys)}")
+    return found
 
 
 def ordered_hash(df: DataFrame, *keys: str) -> str:
-    """A hash of all rows in the order of their keys, with the columns in theirs: moving a row's values to another key changes it.
+    """A hash of all rows by the order of their keys, with the columns in theirs: moving a row's values to another key changes it.
 
-    Each row is hashed with its keys, and the sum of two such hashes over all rows stands for the sequence, so nothing is sorted.
+    A row is hashed whole, key and values together, so the set of rows stands for the sequence and nothing is sorted.
     """
-    told = F.xxhash64(F.lit(1), *keys, *df.columns).cast("decimal(38,0)"), F.xxhash64(F.lit(2), *df.columns, *keys).cast("decimal(38,0)")
-    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(h).alias(f"h{i}") for i, h in enumerate(told)]).first()
-    return hashlib.sha256(json.dumps([df.columns, list(keys), one["n"], str(one["h0"]), str(one["h1"])]).encode()).hexdigest()
+    found, _ = _digest(df, [*keys, *[c for c in df.columns if c not in keys]])
+    return hashlib.sha256(json.dumps([found, df.columns, list(keys)]).encode()).hexdigest()
 
 
 def code_hash(*modules: ModuleType) -> str:
-    """A hash of what modules do: neither comments nor docstrings nor layout change it."""
+    """A hash of what modules compile to. Comments, layout and docstrings leave no trace in it, nor do assertions; another Python may compile otherwise."""
+
+    def told(code: CodeType) -> Iterator[str]:
+        yield repr((code.co_code.hex(), code.co_names, code.co_varnames, code.co_freevars, code.co_cellvars, code.co_argcount, code.co_kwonlyargcount, code.co_flags, code.co_exceptiontable.hex()))
+        for value in code.co_consts:
+            if isinstance(value, CodeType):
+                yield from told(value)
+            else:
+                # A set's order may differ from run to run.
+                yield repr((type(value).__name__, sorted(map(repr, value)) if isinstance(value, frozenset) else value))
+
     out = hashlib.sha256()
     for module in modules:
-        tree = ast.parse(Path(module.__file__).read_text())
-        for node in ast.walk(tree):
-            body = getattr(node, "body", None)
-            if isinstance(body, list) and body and isinstance(body[0], ast.Expr) and isinstance(body[0].value, ast.Constant) and isinstance(body[0].value.value, str):
-                del body[0]
-        out.update(ast.dump(tree).encode())
+        for part in told(compile(Path(module.__file__).read_text(), "module", "exec", dont_inherit=True, optimize=2)):
+            out.update(part.encode())
     return out.hexdigest()[:16]
 
 
+def write_stamped(df: DataFrame, path: str, stamp: str) -> None:
+    """Make ``df`` the table at ``path``, with the stamp of what it was made from."""
+    Table(df.sparkSession, path).replace(df, stamp)
+
+
+def read_stamped(spark: SparkSession, path: str, stamp: str) -> DataFrame:
+    """The last table, if its inputs had this stamp."""
+    table = Table(spark, path)
+    last = table.last()
+    if last.stamp != stamp:
+        raise ValueError(f"{path} was made from other inputs; make it again")
+    return table.read(last.number)
+
+
 def write_provenance(spark: SparkSession, path: str, current: dict[str, str]) -> None:
-    """What decides a table's contents (inputs, versions, code), beside it."""
-    spark.createDataFrame([(json.dumps(current, sort_keys=True), time.time_ns())], "provenance string, at long").coalesce(1).write.mode("append").parquet(f"{path}/provenance")
+    """What decides a table's contents (inputs, versions, code), in a commit of its own."""
+    Table(spark, path).record(current)
+
+
+def provenance_changes(spark: SparkSession, path: str, current: dict[str, str]) -> DataFrame:
+    """``key``, ``recorded`` and ``now`` where what is recorded differs from ``current``: of keys on both sides, or on one."""
+    table = lambda of, name: spark.createDataFrame(list(of.items()), f"key string, {name} string")
+    both = table(Table(spark, path).last().provenance or {}, "recorded").join(table(current, "now"), "key", "full_outer")
+    return both.where(~F.col("recorded").eqNullSafe(F.col("now")))
 
 
 def stale(spark: SparkSession, path: str, current: dict[str, str]) -> list[str]:
-    """Why a table isn't what would be written now; nothing if it is, or if there is no table yet. What can't be read vouches for nothing."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
+    """One line for each key whose provenance changed; none for a table that doesn't exist. Provenance that is lacking or can't be read is a change itself."""
+    table = Table(spark, path)
+    if not table.exists():
         return []
     try:
-        previous = json.loads(spark.read.parquet(f"{path}/provenance").agg(F.max_by("provenance", "at").alias("last")).first()["last"])
-    except AnalysisException:
-        return ["written before provenance was recorded"]
-    except Exception:  # noqa: BLE001: whatever keeps it from being read
-        return ["the provenance can't be read"]
-    return [f"{k}: {previous.get(k)} -> {v}" for k, v in current.items() if previous.get(k) != v]
+        known = table.last().provenance is not None
+        changes = provenance_changes(spark, path, current).orderBy("key").collect() if known else []
+    except Exception as e:  # noqa: BLE001: any failure counts
+        return [f"the provenance can't be read ({type(e).__name__})"]
+    return [f"{r['key']}: {r['recorded']} -> {r['now']}" for r in changes] if known else ["written before provenance was recorded"]
