@@ -43,7 +43,8 @@ class Settings:
     bootstrap_draws: int = 2000
     trees: int = 50
     borrow_cap: int = 256
-    forest_rows: int = 1024
+    #: Rows of an entity that its forests train on at most; None for all.
+    forest_rows: int | None = 1024
     min_spread_rows: int = 4
     seed: int = 20260823
     severities: tuple[float, ...] = (0.0, 1.0, 1.5, 3.0)

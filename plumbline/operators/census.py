@@ -2,7 +2,7 @@
 
 An entity's means and products are sums over its complete rows, so each row gets the fit of the others by taking its own
 match's part from them: no entity's rows meet in one place. Position-wide fits, few and small, go to all tasks.
-Isolation forests, which need rows, train on at most ``forest_rows`` of an entity's own. Scores depend on keys, not on how rows are dealt.
+Isolation forests, which need rows, train on at most ``forest_rows`` of an entity's own, or on all of them where that is off. Scores depend on keys, not on how rows are dealt.
 """
 
 from __future__ import annotations
@@ -75,43 +75,121 @@ def distances(x: np.ndarray, centre: np.ndarray, covariance: np.ndarray) -> np.n
     return out
 
 
+class Trees:
+    """Isolation trees as flat arrays, all grown together, a level at a time.
+
+    A node's children are 2k + 1 and 2k + 2. ``draws`` holds, for each tree and node, the share of the columns and of the range where it is cut, so
+    trees that are given the same draws differ only by their rows.
+    """
+
+    def __init__(self, rows: np.ndarray, members: np.ndarray, draws: np.ndarray):
+        """``members``: the rows of each tree by number, -1 for none; a tree needs two."""
+        count, size = members.shape
+        self.depth = max(1, int(np.ceil(np.log2(max(2, size)))))
+        nodes = (1 << self.depth + 1) - 1
+        self.column = np.full((count, nodes), -1, np.int16)
+        self.cut, self.length = np.zeros((count, nodes)), np.zeros((count, nodes))
+        tree, at = np.nonzero(members >= 0)
+        row, node = members[tree, at], np.zeros(len(tree), np.int64)
+        for level in range(self.depth + 1):
+            if not len(tree):
+                break
+            key = tree * nodes + node
+            order = np.argsort(key, kind="stable")
+            tree, row, node, key = tree[order], row[order], node[order], key[order]
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            held = np.diff(np.append(begin, len(key)))
+            values = rows[row]
+            low, high = np.minimum.reduceat(values, begin), np.maximum.reduceat(values, begin)
+            spread = high > low
+            open_ = spread.any(1) & (level < self.depth)
+            t, k = tree[begin], node[begin]
+            self.length[t, k] = level + _paths(held)
+            # The share of the columns that vary, counted from the first.
+            nth = np.floor(draws[t, k, 0] * spread.sum(1)).astype(np.int64)
+            chosen = np.argmax(np.cumsum(spread, 1) == (nth + 1)[:, None], 1)
+            each = np.arange(len(begin))
+            cut = low[each, chosen] + draws[t, k, 1] * (high - low)[each, chosen]
+            self.column[t[open_], k[open_]], self.cut[t[open_], k[open_]] = chosen[open_], cut[open_]
+            whose = np.repeat(each, held)
+            goes = open_[whose]
+            right = values[np.arange(len(row)), chosen[whose]] >= cut[whose]
+            node = (2 * node + 1 + right)[goes]
+            tree, row = tree[goes], row[goes]
+
+    def lengths(self, x: np.ndarray, tree: np.ndarray) -> np.ndarray:
+        """The path of each row of ``x`` in the tree of the same place."""
+        node, each = np.zeros(len(x), np.int64), np.arange(len(x))
+        for _ in range(self.depth):
+            column = self.column[tree, node]
+            node = np.where(column >= 0, 2 * node + 1 + (x[each, column] >= self.cut[tree, node]), node)
+        return self.length[tree, node]
+
+
+def _paths(n: np.ndarray) -> np.ndarray:
+    """Mean depth of an unsuccessful search among n."""
+    many = np.maximum(n, 3).astype(float)
+    return np.where(n < 2, 0.0, np.where(n == 2, 1.0, 2 * (np.log(many - 1) + 0.5772156649015329) - 2 * (many - 1) / many))
+
+
+#: Rows that one group asks about where an entity's training rows aren't bounded.
+_ASKED = 1024
+#: Rows of a tree, and how many rows of all trees together are grown or followed at once.
+SAMPLE, _AT_ONCE = 256, 1 << 20
+
+
+def _drawn(count: int, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order in which each tree takes rows, and its draws."""
+    order = np.argsort(np.random.default_rng([seed, 1]).random((trees, count)), axis=1)
+    return order, np.random.default_rng([seed, 2]).random((trees, 4 * SAMPLE, 2))
+
+
+def isolated(x: np.ndarray, left_out: np.ndarray, rows: np.ndarray, trees: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``x`` its score among ``rows`` but those that it leaves out, and the mean and spread of these rows' own scores.
+
+    Each row of ``left_out`` marks as many rows. All forests share the order in which trees take rows, and their draws. So a tree is the same for all
+    rows of ``x`` that leave out none of its sample; for the others it is grown again with the next rows in order.
+    """
+    n, kept = len(x), len(rows) - int(left_out[0].sum())
+    size = min(SAMPLE, kept)
+    order, draws = _drawn(len(rows), trees, seed)
+    norm = trees * max(1e-9, float(_paths(np.array([size]))[0]))
+    base = Trees(rows, order[:, :size], draws)
+    every = np.arange(trees)
+    of_row = base.lengths(np.repeat(rows, trees, 0), np.tile(every, len(rows))).reshape(len(rows), trees)
+    of_x = base.lengths(np.repeat(x, trees, 0), np.tile(every, n)).reshape(n, trees)
+    own, total = of_x.copy(), np.broadcast_to(of_row.sum(1), (n, len(rows))).copy()
+    sampled = np.zeros((trees, len(rows)), bool)
+    np.put_along_axis(sampled, order[:, :size], True, 1)
+    who, which = np.nonzero(left_out.astype(np.float32) @ sampled.T.astype(np.float32) > 0)
+    step = max(1, _AT_ONCE // max(size, len(rows)))
+    for at in range(0, len(who), step):
+        i, t = who[at : at + step], which[at : at + step]
+        allowed = np.take_along_axis(~left_out[i], order[t], 1)
+        first = np.argsort(~allowed, axis=1, kind="stable")[:, :size]
+        again = Trees(rows, np.take_along_axis(order[t], first, 1), draws[t])
+        each = np.arange(len(i))
+        own[i, t] = again.lengths(x[i], each)
+        paths = again.lengths(np.tile(rows, (len(i), 1)), np.repeat(each, len(rows))).reshape(len(i), len(rows))
+        np.add.at(total, i, paths - of_row[:, t].T)
+    scores = np.where(left_out, 0.0, 2.0 ** (-total / norm))
+    mean = scores.sum(1) / kept
+    spread = np.sqrt(np.where(left_out, 0.0, (scores - mean[:, None]) ** 2).sum(1) / max(1, kept - 1))
+    return 2.0 ** (-own.sum(1) / norm), mean, spread
+
+
 class IsolationForest:
     """Random axis-parallel splits; rows that few splits isolate score high (towards 1)."""
 
     def __init__(self, rows: np.ndarray, trees: int, seed: int):
-        rng = np.random.default_rng(seed)
-        size = min(256, len(rows))
-        self.depth = max(1, int(np.ceil(np.log2(max(2, size)))))
-        self.size = size
-        self.trees = [self._grow(rows[rng.choice(len(rows), size, replace=False)], 0, rng) for _ in range(trees)]
-
-    def _grow(self, rows: np.ndarray, depth: int, rng: np.random.Generator) -> tuple:
-        spread = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) > 1 else []
-        if depth >= self.depth or not len(spread):
-            return (depth + _path(len(rows)),)
-        c = int(rng.choice(spread))
-        cut = rng.uniform(rows[:, c].min(), rows[:, c].max())
-        left = rows[:, c] < cut
-        return c, cut, self._grow(rows[left], depth + 1, rng), self._grow(rows[~left], depth + 1, rng)
+        self.size = min(SAMPLE, len(rows))
+        order, draws = _drawn(len(rows), trees, seed)
+        self.trees, self.count = Trees(rows, order[:, : self.size], draws), trees
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """Scores of the rows of ``x``."""
-        total = np.zeros(len(x))
-        for tree in self.trees:
-            waiting = [(tree, np.arange(len(x)))]
-            while waiting:
-                node, at = waiting.pop()
-                if len(node) == 1:
-                    total[at] += node[0]
-                    continue
-                left = x[at, node[0]] < node[1]
-                waiting += [(branch, part) for branch, part in ((node[2], at[left]), (node[3], at[~left])) if len(part)]
-        return 2 ** (-total / len(self.trees) / max(1e-9, _path(self.size)))
-
-
-def _path(n: int) -> float:
-    """Mean depth of an unsuccessful search among n."""
-    return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+        paths = self.trees.lengths(np.repeat(x, self.count, 0), np.tile(np.arange(self.count), len(x))).reshape(len(x), self.count)
+        return 2.0 ** (-paths.mean(1) / max(1e-9, float(_paths(np.array([self.size]))[0])))
 
 
 @dataclass
@@ -265,15 +343,16 @@ def score_census(rows: DataFrame, columns: list[str], forest: bool = False, sett
 def _forests(complete: DataFrame, queries: DataFrame, shared: Broadcast, settings: Settings, keys: list[str]) -> DataFrame:
     """Isolation of the queries among their entity's other rows, borrowed rows included.
 
-    An entity's rows are dealt to groups of about ``forest_rows``; with each group goes the same sample of as many of its rows.
+    An entity's rows are dealt to groups of about ``forest_rows``; with each group goes the same sample of as many of its rows, or all of them where ``forest_rows`` is off.
     """
-    bound = settings.forest_rows
+    bound, whole = settings.forest_rows or _ASKED, settings.forest_rows is None
     values = [c for s in shared.value for c in s.columns]
     sized = queries.groupBy("player_id").agg(F.ceil(F.count(F.lit(1)) / bound).cast("int").alias("_groups"))
     dealt = queries.join(sized, "player_id").withColumn("_group", F.pmod(F.xxhash64("match_id"), "_groups").cast("int"))
-    place = F.pmod(F.xxhash64("match_id", F.lit(1)), F.lit(_PLACES))
-    counted = complete.groupBy("player_id").agg(F.count(F.lit(1)).alias("_all"))
-    kept = complete.select("player_id", "match_id", *values).join(counted, "player_id").where(place <= bound / F.col("_all") * _PLACES)
+    kept = complete.select("player_id", "match_id", *values)
+    if not whole:
+        place = F.pmod(F.xxhash64("match_id", F.lit(1)), F.lit(_PLACES))
+        kept = kept.join(complete.groupBy("player_id").agg(F.count(F.lit(1)).alias("_all")), "player_id").where(place <= bound / F.col("_all") * _PLACES)
     sample = kept.join(sized, "player_id").withColumn("_group", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1))).select("player_id", "match_id", *values, "_group")
 
     def isolate(key: tuple, asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
@@ -282,13 +361,11 @@ def _forests(complete: DataFrame, queries: DataFrame, shared: Broadcast, setting
         seed = zlib.crc32(str(key[0]).split(ENTITY)[0].encode())
         for space in shared.value:
             x, train = asked[space.columns].to_numpy(float), own[space.columns].to_numpy(float)
-            whole = ~np.isnan(train).any(1)
-            train, matches = train[whole], own["match_id"].to_numpy()[whole]
-            found = np.full((len(x), 3), np.nan)
-            for i in range(len(x)):
-                position = asked["position_code"].iloc[i]
-                pool = _position_of(space, None if pd.isna(position) else position)
-                found[i] = _isolation(x[i], train[matches != asked["match_id"].iloc[i]], pool, space, seed, settings)
+            complete_rows = ~np.isnan(train).any(1)
+            train, matches = train[complete_rows], own["match_id"].to_numpy()[complete_rows]
+            left_out = asked["match_id"].to_numpy()[:, None] == matches[None, :]
+            positions = [None if pd.isna(p) else p for p in asked["position_code"]]
+            found = _isolation(x, left_out, train, positions, space, seed, settings)
             for k, name in enumerate((f"forest{space.name}", f"forest{space.name}_norm", f"forest{space.name}_own_fraction")):
                 out[name] = found[:, k]
         return out
@@ -299,27 +376,36 @@ def _forests(complete: DataFrame, queries: DataFrame, shared: Broadcast, setting
     return dealt.groupBy("player_id", "_group").cogroup(sample.groupBy("player_id", "_group")).applyInPandas(isolate, schema)
 
 
-def _isolation(x: np.ndarray, own: np.ndarray, pool: Pool | None, space: Space, seed: int, settings: Settings) -> tuple[float, float, float]:
-    """A row's score, the same in standard deviations of the training rows' scores, and the share of these that are the entity's own."""
-    seen = ~np.isnan(x)
-    if pool is None and (space.name == "" or len(own) < 2):
-        return (np.nan,) * 3
-    if len(own) >= 2:
-        rows, lacking = own, 0
-        if pool is not None:
-            lacking = min(2 ** int(seen.sum()) - len(own), settings.borrow_cap - len(own), len(pool.rows))
-        if lacking > 0:
-            rows = np.vstack([own, pool.rows[np.random.default_rng(seed).choice(len(pool.rows), lacking, replace=False)]])
-        share = len(own) / len(rows)
-    else:
-        # Of the position's own fit, residuals count all rows as its own, raw values none.
-        rows, share = pool.rows, 1.0 if space.name else 0.0
-    if seen.sum() < 2 or len(rows) < 2:
-        return np.nan, np.nan, share
-    trees = IsolationForest(rows[:, seen], settings.trees, 0)
-    score, of_rows = float(trees.score(x[seen][None])[0]), trees.score(rows[:, seen])
-    spread = of_rows.std(ddof=1)
-    return score, (score - of_rows.mean()) / spread if spread > 0 else np.nan, share
+def _isolation(x: np.ndarray, left_out: np.ndarray, own: np.ndarray, positions: list[str | None], space: Space, seed: int, settings: Settings) -> np.ndarray:
+    """Of each row the score, the same in standard deviations of the training rows' scores, and the share of these that are the entity's own.
+
+    Rows that see the same columns, borrow from the same pool and leave out as many rows have one training set but for what they leave out, and are told together.
+    """
+    found = np.full((len(x), 3), np.nan)
+    seen, others = ~np.isnan(x), left_out.shape[1] - left_out.sum(1)
+    alike: dict[tuple, list[int]] = {}
+    for i, position in enumerate(positions):
+        alike.setdefault((seen[i].tobytes(), int(others[i]), position), []).append(i)
+    for (_, left, position), rows in alike.items():
+        mask, pool, at = seen[rows[0]], _position_of(space, position), np.array(rows)
+        if pool is None and (space.name == "" or left < 2):
+            continue
+        if left >= 2:
+            lacking = 0 if pool is None else max(0, min(2 ** int(mask.sum()) - left, settings.borrow_cap - left, len(pool.rows)))
+            borrowed = pool.rows[np.random.default_rng(seed).choice(len(pool.rows), lacking, replace=False)] if lacking else own[:0]
+            train, out, share = np.vstack([own, borrowed]), np.hstack([left_out[at], np.zeros((len(at), lacking), bool)]), left / (left + lacking)
+        else:
+            # Of the position's own fit, residuals count all rows as its own, raw values none.
+            train, out, share = pool.rows, np.zeros((len(at), len(pool.rows)), bool), 1.0 if space.name else 0.0
+        found[at, 2] = share
+        if mask.sum() < 2 or len(train) - int(out[0].sum()) < 2:
+            continue
+        for low in range(0, len(at), _ASKED):
+            part = slice(low, low + _ASKED)
+            score, mean, spread = isolated(x[at[part]][:, mask], out[part], train[:, mask], settings.trees, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                found[at[part], 0], found[at[part], 1] = score, np.where(spread > 0, (score - mean) / spread, np.nan)
+    return found
 
 
 def production_bars(scores: DataFrame, columns: list[str], rate: float = DEFAULT.flag_rate, bound: int = selection.BOUND) -> DataFrame:
