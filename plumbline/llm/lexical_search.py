@@ -12,7 +12,7 @@ A term is a maximal run of ASCII letters, digits and other characters beyond ASC
 a bitmap of fixed size sifts words while texts are read, and a join on the terms themselves decides. Scores are 64-bit integers throughout.
 
 A null text has no terms, and neither does one of blanks and signs. Query rows that repeat count once; texts of one query id make one query together, and so do
-those of a null id. Documents that repeat wholly (id and text) are each ranked; of equal scores the least id comes first, a null id last. Empty tables give an empty
+those of a null id. Documents that repeat are each ranked; of equal scores the least id comes first, a null id last. Empty tables give an empty
 result. Other columns are left aside, whatever their names.
 """
 
@@ -22,8 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, LongType, StructField, StructType
 
 from plumbline.llm.frames import exchange_partitions, joined, sliced, written
 from plumbline.llm.words import LOWER, Words, in_word, mixed
@@ -37,7 +40,8 @@ _LENGTH, _SCALE = 75, 1_000_000_000
 #: The ASCII bytes that end a term.
 _ENDS = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
 _SLICE = 1 << 22
-_POSTING = "term binary, doc_id {}, content long, tf long, n long"
+#: Documents of a block as a power of two, queries that are added up at once, and lists of the queries that go out together.
+_BLOCK_BITS, _QUERIES, _LISTS = 13, 256, 1 << 17
 
 
 def _place(hashes: np.ndarray) -> np.ndarray:
@@ -98,37 +102,37 @@ def _sieve(terms: DataFrame) -> bytes:
 
 
 def _raw(docs: DataFrame, sieve: bytes, doc_id: str, text: str) -> DataFrame:
-    """Postings of words that the sieve lets through; a row without a term has, for some documents together, how many have terms (``tf``) and how many terms (``n``)."""
+    """Postings of words that the sieve lets through, with a ``key`` for each row of documents; a row without a term has, for some documents together, how many have terms (``tf``) and how many terms (``n``)."""
     kind = docs.schema[doc_id].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(sieve)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(held.value, np.uint8), bitorder="little").view(bool)
+        begin = TaskContext.get().partitionId() << 33
         for batch in sliced(batches, "text", _SLICE):
             words = Words(batch.column("text"), in_word(_ENDS), LOWER)
             at, tf = _counted(words, np.flatnonzero(bits[_place(words.hashes())]))
-            row = pa.array(words.row()[at])
-            arrays = [_spelled(words, at), batch.column("doc_id").take(row), batch.column("content").take(row), pa.array(tf), pa.array(words.count[row.to_numpy()])]
+            row = words.row()[at]
+            arrays = [_spelled(words, at), pa.array(begin + row), batch.column("doc_id").take(pa.array(row)), pa.array(tf), pa.array(words.count[row])]
             totals = [[None], [None], [None], [int((words.count > 0).sum())], [len(words)]]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, pa.array(t, a.type)]) for a, t in zip(arrays, totals, strict=True)], ["term", "doc_id", "content", "tf", "n"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([a, pa.array(t, a.type)]) for a, t in zip(arrays, totals, strict=True)], ["term", "key", "doc_id", "tf", "n"])
+            begin += batch.num_rows
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("content"))
-    return rows.mapInArrow(run, _POSTING.format(kind))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"term binary, key long, doc_id {kind}, tf long, n long")
 
 
-def postings(docs: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``term``, ``doc_id``, ``content`` (which tells documents of one id apart), ``copies`` and ``s``, what the term adds to a score; written in ranges of (term, s)."""
-    raw = written(_raw(docs, _sieve(terms), doc_id, text), "raw_postings")
+def postings(raw: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term``, ``key`` and ``s``, what the term adds to a score; written in ranges of (term, s)."""
     totals = raw.where("term is null").agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     n_docs, n_terms = totals["docs"], max(totals["terms"], 1)
     raw = raw.where("term is not null")
     held_by = raw.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(terms.select("term").distinct(), "term", "left_semi")
     weight = F.floor(1000 * F.log((F.lit(2.0) * n_docs + 2) / (F.lit(2.0) * F.col("df") + 1))).cast("long")
     m = F.lit(100 - _LENGTH).cast("long") + F.expr(f"({_LENGTH}L * n * {n_docs}L) div {n_terms}L")
-    found = raw.groupBy("term", "doc_id", "content", "tf", "n").agg(F.count(F.lit(1)).alias("copies")).join(held_by, "term")
-    found = found.withColumn("m", m).withColumn("s", weight * F.expr(f"({_SCALE}L * tf) div (1000 * tf + 8 * m)"))
-    found = found.where("s > 0").select("term", "doc_id", "content", "copies", "s")
-    return written(found.repartitionByRange(exchange_partitions(docs.sparkSession), "term", F.col("s").desc()).sortWithinPartitions("term", F.col("s").desc()), "postings")
+    found = raw.join(written(held_by, "frequencies"), "term").withColumn("m", m)
+    found = found.select("term", "key", (weight * F.expr(f"({_SCALE}L * tf) div (1000 * tf + 8 * m)")).alias("s")).where("s > 0")
+    return written(found.repartitionByRange(exchange_partitions(raw.sparkSession), "term", F.col("s").desc()).sortWithinPartitions("term", F.col("s").desc()), "postings")
 
 
 def _kth(sums: DataFrame, best: int) -> DataFrame:
@@ -137,36 +141,111 @@ def _kth(sums: DataFrame, best: int) -> DataFrame:
     return sums.withColumn("rank", rank).where(F.col("rank") <= best).groupBy("item_id").agg(F.when(F.count(F.lit(1)) >= best, F.min("sum")).otherwise(0).alias("bound"))
 
 
+def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block as one table; rows come in the order of their blocks."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            part = batch.slice(a, b - a)
+            if held and part.num_rows and held[-1].column("block")[0] != part.column("block")[0]:
+                yield pa.Table.from_batches(held)
+                held = []
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _fetched(index: DataFrame, wanted: list[Row], item_type: DataType, best: int) -> DataFrame:
+    """Second-phase sums of each query of ``wanted`` (its lists with their thresholds) where they may still matter.
+
+    Postings travel once, not once for each query, to the block of documents that they belong to; there each list's part at or over a query's
+    threshold is added up. What is sent on are sums that, with all that thresholds may have left out, reach the best ones met so far in the task.
+    """
+    spark = index.sparkSession
+    items = sorted({r["item_id"] for r in wanted}, key=lambda i: (i is not None, i))
+    number = {i: k for k, i in enumerate(items)}
+    spelled = sorted({bytes(r["term"]) for r in wanted})
+    of_term: list[list[tuple[int, int, int]]] = [[] for _ in spelled]
+    at = {t: k for k, t in enumerate(spelled)}
+    lists, bound = np.ones(len(items), np.int64), np.zeros(len(items), np.int64)
+    for r in wanted:
+        of_term[at[bytes(r["term"])]].append((number[r["item_id"]], r["q"], r["least"]))
+        lists[number[r["item_id"]]], bound[number[r["item_id"]]] = r["lists"], r["bound"]
+    least = spark.createDataFrame([(t, min(x[2] for x in of_term[k])) for t, k in at.items()], "term binary, any long")
+    held = spark.sparkContext.broadcast((spelled, of_term, lists, bound))
+    kind = index.schema["key"].dataType.simpleString()
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, wants, lists, bound = held.value
+        values, top = pa.array(names, pa.binary()), np.zeros((len(lists), best), np.int64)
+        for block in _whole_blocks(batches):
+            term = pc.index_in(block["term"].combine_chunks(), values).to_numpy()
+            keys, doc = np.unique(block["key"].to_numpy(), return_inverse=True)
+            s = block["s"].to_numpy()
+            order = np.lexsort((-s, term))
+            term, doc, s = term[order], doc[order], s[order]
+            present, begin = np.unique(term, return_index=True)
+            slices = list(zip(present.tolist(), begin.tolist(), [*begin[1:].tolist(), len(term)], strict=True))
+            for low in range(0, len(lists), _QUERIES):
+                high = min(low + _QUERIES, len(lists))
+                total, found = np.zeros((high - low, len(keys)), np.int64), np.zeros((high - low, len(keys)), np.int32)
+                for t, a, b in slices:
+                    for item, q, threshold in wants[t]:
+                        if low <= item < high:
+                            k = a + int(np.searchsorted(-s[a:b], -threshold, "right"))
+                            total[item - low, doc[a:k]] += q * s[a:k]
+                            found[item - low, doc[a:k]] += 1
+                for i in range(high - low):
+                    item, some = low + i, np.flatnonzero(found[i])
+                    mine = total[i, some]
+                    top[item] = np.sort(np.concatenate([top[item], mine]))[-best:]
+                    may = mine * lists[item] + (lists[item] - found[i, some]) * bound[item] >= top[item, 0] * lists[item]
+                    if may.any():
+                        rows = some[may]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), item)), pa.array(keys[rows]), pa.array(mine[may]), pa.array(found[i, rows].astype(np.int64))], ["number", "key", "sum", "found"])
+
+    taken = index.join(least, "term").where(F.col("s") >= F.col("any")).select("term", "key", "s", F.shiftright("key", _BLOCK_BITS).alias("block"))
+    dealt = taken.repartition(exchange_partitions(spark), "block").sortWithinPartitions("block")
+    told = dealt.mapInArrow(sums, f"number long, key {kind}, sum long, found long")
+    named = {r["item_id"]: (r["lists"], r["bound"]) for r in wanted}
+    schema = StructType([StructField("number", LongType()), StructField("item_id", item_type), StructField("lists", LongType()), StructField("bound", LongType())])
+    return told.join(spark.createDataFrame([(number[i], i, *named[i]) for i in items], schema), "number").drop("number")
+
+
 def search(docs: DataFrame, queries: DataFrame, best: int = BEST, doc_id: str = "doc_id", text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
     """``item_id``, ``rank`` from 1, ``doc_id`` and ``score`` of the ``best`` documents of each query that score above 0."""
     terms = written(query_terms(queries, query_id, query_text), "query_terms")
-    index = postings(docs, terms, doc_id, text)
-    document = ["item_id", "doc_id", "content"]
+    raw = written(_raw(docs, _sieve(terms), doc_id, text), "raw_postings")
+    index = postings(raw, terms)
 
     # 1. Heads. The limit on the rank works in each task before the exchange, so a long list sends few rows.
-    at_head = F.row_number().over(Window.partitionBy("term").orderBy(F.col("s").desc(), "doc_id", "content"))
-    heads = index.withColumn("at", at_head).where(F.col("at") <= best).drop("at")
-    sums = heads.join(terms, "term").groupBy(*document).agg(F.sum(F.col("q") * F.col("s")).alias("sum"))
+    at_head = F.row_number().over(Window.partitionBy("term").orderBy(F.col("s").desc(), "key"))
+    heads = written(index.withColumn("at", at_head).where(F.col("at") <= best).drop("at"), "heads")
+    # A list without postings asks for nothing.
+    terms = written(terms.join(heads.select("term").distinct(), "term", "left_semi"), "lists")
+    sums = heads.join(terms, "term").groupBy("item_id", "key").agg(F.sum(F.col("q") * F.col("s")).alias("sum"))
     lists = terms.groupBy("item_id").agg(F.count(F.lit(1)).alias("lists"))
     bounded = joined(lists, _kth(sums, best), ["item_id"], "left").select("item_id", "lists", F.coalesce("bound", F.lit(0)).alias("bound"))
     # A posting is taken if q * s * lists reaches the bound, so nothing is rounded.
-    wanted = written(joined(terms, bounded, ["item_id"]).withColumn("least", F.expr("(bound + q * lists - 1) div (q * lists)")), "wanted")
-
-    # 2. What reaches the threshold, first by the least threshold of any query on the list, then by each query's own.
-    least = wanted.groupBy("term").agg(F.min("least").alias("any"))
-    taken = index.join(least, "term").where(F.col("s") >= F.col("any")).drop("any").join(wanted, "term").where(F.col("s") >= F.col("least"))
-    seen = taken.groupBy(*document).agg(F.sum(F.col("q") * F.col("s")).alias("sum"), F.count(F.lit(1)).alias("found"), F.first("lists").alias("lists"), F.first("bound").alias("bound"))
+    wanted = joined(terms, bounded, ["item_id"]).withColumn("least", F.expr("(bound + q * lists - 1) div (q * lists)"))
+
+    # 2. What reaches the thresholds, for blocks of queries.
+    blocked = written(wanted.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-terms.count() // _LISTS)))).cast("int")), "wanted")
+    seen = None
+    for block in range(max(1, -(-terms.count() // _LISTS))):
+        found = _fetched(index, blocked.where(F.col("block") == block).collect(), blocked.schema["item_id"].dataType, best)
+        seen = found if seen is None else seen.unionByName(found)
     seen = written(seen, "seen")
     second = _kth(seen, best).withColumnRenamed("bound", "second")
     most = F.col("sum") * F.col("lists") + (F.col("lists") - F.col("found")) * F.col("bound")
-    left = joined(seen, second, ["item_id"]).where(most >= F.col("second") * F.col("lists"))
-    left = written(left.select(*document), "candidates")
+    left = written(joined(seen, second, ["item_id"]).where(most >= F.col("second") * F.col("lists")).select("item_id", "key"), "candidates")
 
     # 3. Exact scores.
-    looked = joined(joined(left, terms, ["item_id"]), index, ["term", "doc_id", "content"])
-    scores = looked.groupBy(*document).agg(F.sum(F.col("q") * F.col("s")).alias("score"), F.max("copies").alias("copies"))
-    order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "content")
-    # Documents that repeat take as many ranks; no more are needed than there are ranks.
-    few = scores.withColumn("at", F.row_number().over(order)).where(F.col("at") <= best)
-    each = few.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(best)).cast("int"))))
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("item_id", "rank", "doc_id", "score")
+    looked = joined(left, terms, ["item_id"]).join(index, ["term", "key"])
+    scores = written(looked.groupBy("item_id", "key").agg(F.sum(F.col("q") * F.col("s")).alias("score")), "scores")
+    names = raw.where("term is not null").select("key", "doc_id").join(scores.select("key").distinct(), "key", "left_semi").distinct()
+    order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last(), "key")
+    return scores.join(names, "key").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= best).select("item_id", "rank", "doc_id", "score")
