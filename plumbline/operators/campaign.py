@@ -1,15 +1,14 @@
-"""Injection campaigns: plant changes in chosen rows, score them again, and record what each scorer saw.
+"""Injection campaigns: changes in chosen rows, the scores before and after, one record for each scorer.
 
-One job covers all conditions: targets times recipes times severities are rows, not runs. Fits come from clean rows only. By design
-
-- ``heldout``: only the changed rows are scored, against what their entity's clean rows say, as if the match came after the
-  detector was built. A row's criteria don't depend on the row itself, so they are the clean ones and are joined, not computed again.
-- ``persistent``: the changed row stays in the history, so all rows of its entity are scored against it. Each target and condition
-  makes an entity of its own, a copy of the player's rows with one changed, so all of them go through the same estimators at once.
+Targets, recipes and severities are columns of one table, so a campaign is one job and not a loop over runs; hyperparameters and pools are those of the clean pass.
+``heldout`` joins each changed row to the criteria that the clean pass wrote for it, since these come from the entity's other rows alone. ``persistent``
+gives each target and condition a name of its own in ``player_id``, under which the entity's rows with the one changed go through the estimators side by side.
 """
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,18 +29,28 @@ class Clean:
     def __init__(self, mart: DataFrame, settings: Settings = DEFAULT, metrics: list[str] | None = None, forest: bool = False, players: int | None = None):
         """With ``players`` only the first so many by id are scored and targeted; fits take all rows."""
         self.settings, self.forest = settings, forest
-        self.metrics = list(metrics if metrics is not None else settings.metrics)
         self.rows = written(residuals.prepare(mart, settings), "prepared")
         self.long = residuals.long_form(self.rows, settings)
         self.fitted = written(residuals.hyperparameters(self.long, settings), "fitted")
         self.criteria = written(residuals.criteria(self.long, self.fitted, settings), "criteria")
         z = residuals.wide_form(residuals.against(self.criteria), settings).drop("position_code")
         self.scored = written(self.rows.where("is_scoreable").join(z, _KEYS), "scored")
-        self.spaces = census.spaces(self.scored, self.metrics, settings)
+        self._fit_to = self.scored
         if players is not None:
             self.scored = self.scored.join(F.broadcast(first_entities(self.scored, "player_id", players)), "player_id", "left_semi")
+        self._see(metrics)
+
+    def _see(self, metrics: list[str] | None) -> None:
+        self.metrics = list(metrics if metrics is not None else self.settings.metrics)
+        self.spaces = census.spaces(self._fit_to, self.metrics, self.settings)
         self.scores = written(self.scored_as(self.scored, self.scored), "scores")
 
+    def seeing(self, metrics: list[str]) -> Clean:
+        """The same pass where multivariate scorers see other metrics: residuals and what they are held against stay, pools and scores are made anew."""
+        other = copy(self)
+        other._see(metrics)
+        return other
+
     @property
     def scorers(self) -> tuple[str, ...]:
         return SCORERS + (FORESTS if self.forest else ())
@@ -66,11 +75,6 @@ def first_entities(rows: DataFrame, key: str, n: int) -> DataFrame:
     return rows.select(key).distinct().orderBy(key).limit(n)
 
 
-def strongest(records: DataFrame, value: str, *by: str) -> DataFrame:
-    """The record of each group whose value lies furthest from 0."""
-    return records.where(F.col(value).isNotNull()).groupBy(*by).agg(F.max_by(F.struct("*"), F.abs(value)).alias("r")).select("r.*")
-
-
 def _entity(*more: str) -> Column:
     return F.concat_ws(ENTITY, "player_id", *[F.col(c).cast("string") for c in more])
 
@@ -145,8 +149,10 @@ def run(mart: DataFrame, recipes: dict[str, tuple[str, ...]], design: str = "hel
 
 def report(mart: DataFrame, recipes: dict[str, tuple[str, ...]], design: str = "heldout", settings: Settings = DEFAULT, rate: float | None = None, **options: object) -> DataFrame:
     """A campaign's cell statistics, one row for each mechanism, severity and scorer, at the bars that ``rate`` of clean rows reach."""
-    mart = written(mart, "mart")
-    clean = Clean(mart, settings, options.pop("metrics", None), bool(options.pop("forest", False)), options.pop("players", None))
+    clean = options.pop("clean", None)
+    if clean is None:
+        mart = written(mart, "mart")
+        clean = Clean(mart, settings, options.pop("metrics", None), bool(options.pop("forest", False)), options.pop("players", None))
     records = written(run(mart, recipes, design, settings, clean=clean, **options), "records")
     return evaluation.cell_statistics(evaluation.with_bars(records, clean.bars(rate)), "mechanism", "severity", "scorer")
 
@@ -159,11 +165,13 @@ def arms(metrics: list[str]) -> dict[str, list[str]]:
 def sweep(mart: DataFrame, recipes: dict[str, tuple[str, ...]], settings: Settings = DEFAULT, chosen: dict[str, list[str]] | None = None, rate: float | None = None, forest: bool = True) -> DataFrame:
     """Cell statistics of a held-out campaign under each feature set, as one table with ``arm`` and ``metrics``.
 
-    A narrower set halves what forests borrow, so rates compare between scorers of an arm, not between arms.
+    The clean pass is made once: a set decides what multivariate scorers see, not the residuals. A narrower set halves what forests borrow, so rates
+    compare between scorers of an arm, not between arms.
     """
-    mart, out = written(mart, "mart"), None
+    mart, out, clean = written(mart, "mart"), None, None
     for name, metrics in (chosen or arms(list(settings.metrics))).items():
-        found = report(mart, recipes, "heldout", settings, rate, metrics=metrics, forest=forest).select(F.lit(name).alias("arm"), F.lit(len(metrics)).alias("metrics"), "*")
+        clean = Clean(mart, settings, metrics, forest) if clean is None else clean.seeing(metrics)
+        found = report(mart, recipes, "heldout", settings, rate, clean=clean).select(F.lit(name).alias("arm"), F.lit(len(metrics)).alias("metrics"), "*")
         out = found if out is None else out.unionByName(found)
     if out is None:
         raise ValueError("there is no feature set to sweep")
