@@ -109,7 +109,8 @@ def _octave(n: np.ndarray) -> np.ndarray:
 def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
     """At most ``SHARED`` of the most frequent words with their counts, in order, the number of all words, and of all distinct ones.
 
-    A histogram of counts, of a few thousand rows at most, tells from which step on all words of a step fit.
+    A histogram of counts, of a few thousand rows at most, tells from which step on all words of a step fit. Of the step that doesn't fit, the words of
+    least hash take the places that are left, so equal counts, however many, fill the vocabulary all the same.
     """
 
     def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,26 +123,31 @@ def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]
                 yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(words.astype(np.int64)), pa.array(total)], ["step", "words", "total"])
 
     found = counts.select("counts").mapInArrow(steps, "step int, words long, total long").groupBy("step").agg(F.sum("words").alias("words"), F.sum("total").alias("total")).collect()
-    least, kept = None, 0
+    edge, room, kept, limit = -1, 0, 0, 0  # a step, its places, and the greatest hash that may take one
     for r in sorted(found, key=lambda r: -r["step"]):
-        kept += r["words"]
-        if kept > SHARED:
+        if kept + r["words"] > SHARED:
+            edge, room = r["step"], SHARED - kept
+            limit = min((1 << 64) - 1, int((1.1 * room + 64) / r["words"] * 2.0**64))
             break
-        least = r["step"]
+        kept += r["words"]
 
     def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, n in zip(*(batch.column(c).to_pylist() for c in ("words", "counts")), strict=True):
                 word, n = np.frombuffer(w, "<i8"), np.frombuffer(n, "<i8")
-                some = _octave(n) >= least
+                step = _octave(n)
+                some = (step > edge) | ((step == edge) & (word.view(np.uint64) <= np.uint64(limit)))
                 yield pa.RecordBatch.from_arrays([pa.array(word[some]), pa.array(n[some])], ["word", "n"])
 
     total, distinct = (sum(r[c] for r in found) for c in ("total", "words"))
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), total, distinct
     top = counts.select("words", "counts").mapInArrow(chosen, "word long, n long").toPandas()
-    order = np.lexsort((top["word"], -top["n"]))
-    return top["word"].to_numpy(np.int64)[order].view(np.uint64), top["n"].to_numpy(np.int64)[order], total, distinct
+    word, n = top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    at_edge = np.flatnonzero(_octave(n) == edge) if len(n) else np.zeros(0, np.int64)
+    stays = np.ones(len(n), bool)
+    stays[at_edge[np.argsort(word[at_edge].view(np.uint64), kind="stable")[room:]]] = False
+    word, n = word[stays], n[stays]
+    order = np.lexsort((word, -n))
+    return word[order].view(np.uint64), n[order], total, distinct
 
 
 class Known:
