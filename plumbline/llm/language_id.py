@@ -98,8 +98,8 @@ class Classifier:
 
 
 def fit(docs: DataFrame, key: Column, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Classifier:
-    """Learn, in one task, from at most ``per_language`` distinct texts with a letter of each language, those of least hash of ``key``."""
-    rows = docs.select(place(key).alias("place"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull())
+    """Learn, in one task, from at most ``per_language`` distinct texts with a letter of each language, those of least hash of ``key`` and text."""
+    rows = docs.select(place(key, F.col(text)).alias("place"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where(F.col("lang").isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     share = F.create_map([F.lit(x) for k, n in counts.items() for x in (k, 1.3 * per_language / n)])[F.col("lang")] if counts else F.lit(0.0)
     usable = rows.where((F.col("place") <= share * PLACES) & F.col("text").rlike(r"\p{L}"))
