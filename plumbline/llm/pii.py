@@ -375,8 +375,8 @@ def learn(texts: list[str]) -> Field:
 
 
 def fit(docs: DataFrame, key: Column, text: str = "text", most: int = SAMPLE) -> Field:
-    """Learn, in one task, from the base labels of at most ``most`` distinct texts that hold a digit or ``@``, those of least hash of ``key``."""
-    usable = docs.select(place(key).alias("place"), F.col(text).alias("text"), F.lit("text").alias("kind")).where(F.col("text").rlike("[0-9@]"))
+    """Learn, in one task, from the base labels of at most ``most`` distinct texts that hold a digit or ``@``, those of least hash of ``key`` and text."""
+    usable = docs.select(place(key, F.col(text)).alias("place"), F.col(text).alias("text"), F.lit("text").alias("kind")).where(F.col("text").rlike("[0-9@]"))
     n = usable.count()
 
     def learnt(sample: pa.Table) -> Field:
