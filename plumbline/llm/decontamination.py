@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.fm_index import FMIndex
-from plumbline.llm.frames import sliced
+from plumbline.llm.frames import replaced, sliced, written
 from plumbline.llm.words import LOWER, NOT_WORD, Words, in_word
 
 WINDOW = 13
@@ -117,7 +117,13 @@ def spans(
         F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
         F.array().cast("array<string>").alias("items"),
     )
+    windows = table = None
     for items in _blocks(benchmark, item_id, item_text, block_bytes):
+        if windows is not None:
+            # No task holds two blocks of the benchmark, and a block that is done is given back.
+            found = written(found, "spans") if table is None else replaced(found, "spans", table)
+            table = found
+            windows.destroy()
         windows = docs.sparkSession.sparkContext.broadcast(Windows(items, window))
 
         def search(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
