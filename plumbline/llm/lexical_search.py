@@ -5,7 +5,7 @@ term's list spreads over many files. The three phases run for all queries at onc
 
 1. the heads, the k largest contributions of each list, are added up; the k-th best partial sum of a query is its first lower bound;
 2. a query with t lists takes from each of them every posting that adds at least bound / t; the k-th best sum of what was taken is the second bound, and a
-   document whose sum, with less than bound / t from each list it wasn't found in, can't reach that is out;
+   document is out whose sum can't reach that with less than bound / t, and no more than the list's head, from each list it wasn't found in;
 3. exact scores of the documents left are looked up in all lists of the query.
 
 A term is a maximal run of ASCII letters, digits and other characters beyond ASCII, with only A-Z lowered. Postings are kept for terms that some query has;
@@ -159,10 +159,11 @@ def _whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def _fetched(index: DataFrame, wanted: list[Row], item_type: DataType, best: int) -> DataFrame:
-    """Second-phase sums of each query of ``wanted`` (its lists with their thresholds) where they may still matter.
+    """The candidates (``item_id``, ``key``) of each query of ``wanted``, its lists with their thresholds.
 
     Postings travel once, not once for each query, to the block of documents that they belong to; there each list's part at or over a query's
-    threshold is added up. What is sent on are sums that, with all that thresholds may have left out, reach the best ones met so far in the task.
+    threshold is added up. The best sums of each task give the query's second bound. What is sent on then are documents whose sum reaches that bound together
+    with what each list that they weren't found in may hold at most: less than the threshold, and no more than its head.
     """
     spark = index.sparkSession
     items = sorted({r["item_id"] for r in wanted}, key=lambda i: (i is not None, i))
@@ -170,17 +171,20 @@ def _fetched(index: DataFrame, wanted: list[Row], item_type: DataType, best: int
     spelled = sorted({bytes(r["term"]) for r in wanted})
     of_term: list[list[tuple[int, int, int]]] = [[] for _ in spelled]
     at = {t: k for k, t in enumerate(spelled)}
-    lists, bound = np.ones(len(items), np.int64), np.zeros(len(items), np.int64)
+    # Of each query: its lists, its first bound, and the most that all lists may hold below their thresholds; the last times lists, so that nothing is rounded.
+    lists, bound, below = (np.zeros(len(items), np.int64) for _ in range(3))
     for r in wanted:
-        of_term[at[bytes(r["term"])]].append((number[r["item_id"]], r["q"], r["least"]))
-        lists[number[r["item_id"]]], bound[number[r["item_id"]]] = r["lists"], r["bound"]
+        i = number[r["item_id"]]
+        of_term[at[bytes(r["term"])]].append((i, r["q"], r["least"]))
+        lists[i], bound[i] = r["lists"], r["bound"]
+        below[i] += min(r["bound"], r["q"] * r["head"] * r["lists"])
     least = spark.createDataFrame([(t, min(x[2] for x in of_term[k])) for t, k in at.items()], "term binary, any long")
-    held = spark.sparkContext.broadcast((spelled, of_term, lists, bound))
-    kind = index.schema["key"].dataType.simpleString()
+    held = spark.sparkContext.broadcast((spelled, of_term))
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, wants, lists, bound = held.value
-        values, top = pa.array(names, pa.binary()), np.zeros((len(lists), best), np.int64)
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """A query's number, documents, sums and in how many lists they were found, block by block."""
+        names, wants = held.value
+        values = pa.array(names, pa.binary())
         for block in _whole_blocks(batches):
             term = pc.index_in(block["term"].combine_chunks(), values).to_numpy()
             keys, doc = np.unique(block["key"].to_numpy(), return_inverse=True)
@@ -199,20 +203,33 @@ def _fetched(index: DataFrame, wanted: list[Row], item_type: DataType, best: int
                             total[item - low, doc[a:k]] += q * s[a:k]
                             found[item - low, doc[a:k]] += 1
                 for i in range(high - low):
-                    item, some = low + i, np.flatnonzero(found[i])
-                    mine = total[i, some]
-                    top[item] = np.sort(np.concatenate([top[item], mine]))[-best:]
-                    may = mine * lists[item] + (lists[item] - found[i, some]) * bound[item] >= top[item, 0] * lists[item]
-                    if may.any():
-                        rows = some[may]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), item)), pa.array(keys[rows]), pa.array(mine[may]), pa.array(found[i, rows].astype(np.int64))], ["number", "key", "sum", "found"])
+                    some = np.flatnonzero(found[i])
+                    if len(some):
+                        yield low + i, keys[some], total[i, some], found[i, some].astype(np.int64)
+
+    def best_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.zeros((len(lists), best), np.int64)
+        for item, _, sums, _ in added(batches):
+            top[item] = np.sort(np.concatenate([top[item], sums]))[-best:]
+        item, _ = np.nonzero(top)
+        yield pa.RecordBatch.from_arrays([pa.array(item), pa.array(top[top > 0])], ["item_id", "sum"])
 
     taken = index.join(least, "term").where(F.col("s") >= F.col("any")).select("term", "key", "s", F.shiftright("key", _BLOCK_BITS).alias("block"))
     dealt = taken.repartition(exchange_partitions(spark), "block").sortWithinPartitions("block")
-    told = dealt.mapInArrow(sums, f"number long, key {kind}, sum long, found long")
-    named = {r["item_id"]: (r["lists"], r["bound"]) for r in wanted}
-    schema = StructType([StructField("number", LongType()), StructField("item_id", item_type), StructField("lists", LongType()), StructField("bound", LongType())])
-    return told.join(spark.createDataFrame([(number[i], i, *named[i]) for i in items], schema), "number").drop("number")
+    # One number for each query.
+    second = np.zeros(len(items), np.int64)
+    for r in _kth(dealt.mapInArrow(best_sums, "item_id long, sum long"), best).collect():
+        second[r["item_id"]] = r["bound"]
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for item, keys, sums, found in added(batches):
+            may = keys[sums * lists[item] + below[item] - found * bound[item] >= second[item] * lists[item]]
+            if len(may):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(may), item)), pa.array(may)], ["number", "key"])
+
+    schema = StructType([StructField("number", LongType()), StructField("item_id", item_type)])
+    names = spark.createDataFrame([(k, i) for i, k in number.items()], schema)
+    return dealt.mapInArrow(candidates, "number long, key long").join(names, "number").drop("number")
 
 
 def search(docs: DataFrame, queries: DataFrame, best: int = BEST, doc_id: str = "doc_id", text: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
@@ -225,7 +242,7 @@ def search(docs: DataFrame, queries: DataFrame, best: int = BEST, doc_id: str =
     at_head = F.row_number().over(Window.partitionBy("term").orderBy(F.col("s").desc(), "key"))
     heads = written(index.withColumn("at", at_head).where(F.col("at") <= best).drop("at"), "heads")
     # A list without postings asks for nothing.
-    terms = written(terms.join(heads.select("term").distinct(), "term", "left_semi"), "lists")
+    terms = written(terms.join(heads.groupBy("term").agg(F.max("s").alias("head")), "term"), "lists")
     sums = heads.join(terms, "term").groupBy("item_id", "key").agg(F.sum(F.col("q") * F.col("s")).alias("sum"))
     lists = terms.groupBy("item_id").agg(F.count(F.lit(1)).alias("lists"))
     bounded = joined(lists, _kth(sums, best), ["item_id"], "left").select("item_id", "lists", F.coalesce("bound", F.lit(0)).alias("bound"))
@@ -234,14 +251,11 @@ def search(docs: DataFrame, queries: DataFrame, best: int = BEST, doc_id: str =
 
     # 2. What reaches the thresholds, for blocks of queries.
     blocked = written(wanted.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(max(1, -(-terms.count() // _LISTS)))).cast("int")), "wanted")
-    seen = None
+    left = None
     for block in range(max(1, -(-terms.count() // _LISTS))):
         found = _fetched(index, blocked.where(F.col("block") == block).collect(), blocked.schema["item_id"].dataType, best)
-        seen = found if seen is None else seen.unionByName(found)
-    seen = written(seen, "seen")
-    second = _kth(seen, best).withColumnRenamed("bound", "second")
-    most = F.col("sum") * F.col("lists") + (F.col("lists") - F.col("found")) * F.col("bound")
-    left = written(joined(seen, second, ["item_id"]).where(most >= F.col("second") * F.col("lists")).select("item_id", "key"), "candidates")
+        left = found if left is None else left.unionByName(found)
+    left = written(left, "candidates")
 
     # 3. Exact scores.
     looked = joined(left, terms, ["item_id"]).join(index, ["term", "key"])
