@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,8 +50,8 @@ def count_if_any(flag: Column) -> Column:
 
 
 def has_recorded_position(event_type: Column, set_piece: Column) -> Column:
-    """Whether an event of this kind records where it started."""
-    return ~set_piece.eqNullSafe(F.lit("GOAL_KICK")) & ~event_type.isin("GOALKEEPER") & ~event_type.startswith("GENERIC")
+    """Whether an event of this kind records where it started; staging and its check both ask here."""
+    return ~set_piece.eqNullSafe(F.lit("GOAL_KICK")) & ~event_type.isin("GOALKEEPER", "GENERIC:generic")
 
 
 def middle(values: Column) -> Column:
@@ -77,10 +76,6 @@ def mean_of(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(values).cast("double"), F.lit(0.0))
 
 
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conditions, F.lit(True))
-
-
 def close(a: Column, b: Column, relative: float = 1e-5, absolute: float = 1e-8) -> Column:
     """Whether two numbers are equal but for rounding; two unknown ones (null or not a number) are, one isn't."""
     unknown = lambda x: x.isNull() | F.isnan(x)

@@ -95,10 +95,8 @@ def _rescored_history(clean: Clean, mart: DataFrame, changed: DataFrame) -> Data
     """All rows of the targets' players, each target and condition with a history that holds its change."""
     settings, condition = clean.settings, ["target", "recipe", "severity"]
     named = changed.withColumn("target", F.col("match_id"))
-    whole = mart.join(named.select("player_id", *condition), "player_id")
-    others = whole.where(F.col("match_id") != F.col("target"))
-    columns = [*mart.columns, *condition]
-    rows = others.select(*columns).unionByName(named.select(*columns)).withColumn("player_id", _entity(*condition)).drop(*condition)
+    whole = mart.join(named.select("player_id", *condition), "player_id").select(*mart.columns, *condition)
+    rows = scenario.patched(whole, named, "player_id", "match_id", *condition).withColumn("player_id", _entity(*condition)).drop(*condition)
     prepared = residuals.prepare(rows, settings)
     scored = written(residuals.scored_rows(written(prepared, "histories"), clean.fitted, settings), "histories-scored")
     found = clean.scored_as(scored, scored)

@@ -78,6 +78,12 @@ def cell_statistics(records: DataFrame, *by: str, bound: int = selection.BOUND)
     )
 
 
+def strongest(records: DataFrame, value: str, *by: str) -> DataFrame:
+    """The record of each group whose value lies furthest from 0; of equals the one that is last in the order of its columns."""
+    held = records.where(F.col(value).isNotNull()).select(*by, F.struct(F.abs(value).alias("size"), F.struct("*").alias("record")).alias("r"))
+    return held.groupBy(*by).agg(F.max("r").alias("r")).select("r.record.*")
+
+
 def census_rates(scores: DataFrame, bars: dict[str, float]) -> DataFrame:
     """The share of rows at or over each scorer's bar."""
     return scores.agg(*[F.avg((F.col(c) >= b).cast("double")).alias(c) for c, b in bars.items()])

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from plumbline.functions.columns import has_recorded_position
+
 
 @dataclass(frozen=True)
 class Check:
@@ -20,6 +22,9 @@ class Check:
     severity: str = "error"
 
 
+#: Registers of a sketch as a power of two: an error of about 1.04 / sqrt(2 ** bits), here 0.8 %.
+SKETCH_BITS = 14
+
 CHECKS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -137,14 +142,46 @@ def relationship_profile(parent: DataFrame, key: str, child: DataFrame, fk: str)
     return each.groupBy("children").agg(F.count(F.lit(1)).alias("parents"))
 
 
+@register_check
 def all_null_columns(profile: DataFrame) -> DataFrame:
+    """Columns of a profile without a value, in tables that have rows."""
     return profile.where("n_rows > 0 AND non_null = 0")
 
 
+@register_check
 def escaped_columns(profile: DataFrame) -> DataFrame:
+    """Columns of a profile where characters are still written as escapes."""
     return profile.where("escaped > 0")
 
 
+@register_check
+def recorded_positions(events: DataFrame) -> DataFrame:
+    """Events that lack a place though their kind records one, or have one though it doesn't."""
+    return events.where(has_recorded_position(F.col("event_type"), F.col("set_piece_type")) == F.col("start_x").isNull())
+
+
+def profile_parts(df: DataFrame, name: str, *part: str) -> DataFrame:
+    """A profile of each part of a table (a file, a day), with a sketch of the distinct values that can be merged: one row for each part and column.
+
+    A new part costs its own rows only; ``merged_profile`` puts parts together.
+    """
+    flat = [(c, k) for c, k in df.dtypes if not k.startswith(("map", "array", "struct")) and c not in part]
+
+    def of(c: str, kind: str) -> Column:
+        escapes = F.count(F.when(F.instr(F.col(c), "\\u") > 0, 1)) if kind == "string" else F.lit(0).cast("long")
+        sketch = F.hll_sketch_agg(F.col(c).cast("string"), SKETCH_BITS)
+        return F.struct(F.lit(c).alias("column"), F.count(c).alias("non_null"), escapes.alias("escaped"), sketch.alias("sketch"))
+
+    one = df.groupBy(*part).agg(F.count(F.lit(1)).alias("n_rows"), F.array(*[of(c, k) for c, k in flat]).alias("columns"))
+    return one.select(*part, F.lit(name).alias("model"), "n_rows", F.inline("columns"))
+
+
+def merged_profile(parts: DataFrame) -> DataFrame:
+    """The profile of all parts together; the distinct values are estimated from the union of their sketches."""
+    found = parts.groupBy("model", "column").agg(F.sum("n_rows").alias("n_rows"), F.sum("non_null").alias("non_null"), F.sum("escaped").alias("escaped"), F.hll_union_agg("sketch").alias("sketch"))
+    return found.select("model", "n_rows", "column", "non_null", F.hll_sketch_estimate("sketch").alias("distinct_approx"), "escaped")
+
+
 def unreadable(files: DataFrame, schema: str) -> DataFrame:
     """Files (``path``, ``value``) whose text isn't JSON (``broken``; null and empty texts are), or holds literal escapes.
 

@@ -310,7 +310,8 @@ def criteria(long: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT) -
         p.alias("p"),
         F.coalesce("rho", F.lit(0.0)).alias("rho"),
         "weight",
-        (F.col("own_centre").isNull() & F.col("x").isNotNull()).alias("of_position"),
+        (F.col("others") == 0).alias("of_position"),
+        ((F.col("n") > 0) & (p > 0) & (p < 1)).alias("binomial"),
         (F.coalesce(F.when(ws == 1.0, F.col("own_mad")).otherwise(ws * F.col("own_mad") + (1 - ws) * F.col("pool_mad")), "pool_mad") == 0).alias("flat"),
     )
 
@@ -346,7 +347,7 @@ def residuals(long: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT,
     """
     if only is not None:
         long = long.where(F.col("metric").isin(*only))
-    found = against(criteria(long, fitted, settings)).select(*KEYS, "metric", "z", "sigma", "weight", "of_position", "flat", F.col("x").isNotNull().alias("valued"))
+    found = against(criteria(long, fitted, settings)).select(*KEYS, "metric", "z", "sigma", "weight", "of_position", "binomial", "flat", F.col("x").isNotNull().alias("valued"))
     return found if only is None or carried is None else found.unionByName(carried.where(~F.col("metric").isin(*only)))
 
 
@@ -387,14 +388,16 @@ def scored_rows(rows: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT
 def score(mart: DataFrame, rate: float | None = None, settings: Settings = DEFAULT, counters: Observation | None = None) -> DataFrame:
     """From the mart to flagged rows with their evidence.
 
-    ``counters`` observes how many values there are, and how many had the position's centre, a deviation of 0, or no residual.
+    ``counters`` observes the rows that baselines are made of (``own_rows``, ``baseline_rows``), and of all rows and metrics how many there are, how many had no other value of
+    the entity and so the position's centre, how many values a deviation of 0, how many a count's tail for residual, and how many values none.
     The prepared rows feed every estimator, so they are written first, and so are the hyperparameters and the residuals.
     """
     rows = written(prepare(mart, settings), "prepared")
     long = long_form(rows, settings)
     found = residuals(long, written(hyperparameters(long, settings), "fitted"), settings)
     if counters is not None:
-        counts = {"values": F.count(F.lit(1)), "position_substituted": F.count_if("of_position"), "zero_mad_substituted": F.count_if("flat"), "unusable": F.count_if(F.col("z").isNull() & F.col("valued"))}
+        own = F.count(F.lit(1)) / F.lit(len(settings.metrics))
+        counts = {"own_rows": own.cast("long"), "baseline_rows": own.cast("long"), "values": F.count(F.lit(1)), "binomial_rows": F.count_if("binomial"), "position_substituted": F.count_if("of_position"), "zero_mad_substituted": F.count_if("flat"), "unusable": F.count_if(F.col("z").isNull() & F.col("valued"))}
         found = found.observe(counters, *[c.alias(n) for n, c in counts.items()])
     found = written(found, "residuals")
     scored = rows.where("is_scoreable").withColumn("baseline_matches", F.col("player_baseline_matches") - 1).join(wide_form(found, settings).drop("position_code"), ["player_id", "match_id"])

@@ -401,7 +401,9 @@ def _changed(pdf: pd.DataFrame, names: tuple[str, ...], numbers: list[str], part
     return out
 
 
-def patched(mart: DataFrame, changed: DataFrame) -> DataFrame:
-    """The mart with the changed rows in place of their own; a null that a change made stays null."""
-    keep = mart.join(changed.select("player_id", "match_id"), ["player_id", "match_id"], "left_anti")
-    return keep.unionByName(changed.select(*mart.columns))
+def patched(rows: DataFrame, changed: DataFrame, *keys: str) -> DataFrame:
+    """The rows with the changed ones in place of those of equal keys; a null that a change made stays null."""
+    others = [c for c in rows.columns if c not in keys]
+    patch = changed.select(*keys, F.struct(*others).alias("_patch"))
+    found = rows.join(patch, list(keys), "left")
+    return found.select(*[c if c in keys else F.when(F.col("_patch").isNotNull(), F.col(f"_patch.{c}")).otherwise(F.col(c)).alias(c) for c in rows.columns])

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.plans import check_queries, log_queries, nested_queries, score_queries
+from plumbline.plans import check_queries, log_queries, nested_queries, score_queries, source_queries
 
 FLAGSHIP = "mart"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (log_queries, nested_queries, check_queries, score_queries):
+for _module in (log_queries, nested_queries, check_queries, score_queries, source_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
