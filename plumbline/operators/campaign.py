@@ -2,7 +2,7 @@
 
 Targets, recipes and severities are columns of one table, so a campaign is one job and not a loop over runs; hyperparameters and pools are those of the clean pass.
 ``heldout`` joins each changed row to the criteria that the clean pass wrote for it, since these come from the entity's other rows alone. ``persistent``
-gives each target and condition a name of its own in ``player_id``, under which the entity's rows with the one changed go through the estimators side by side.
+sends each condition as its changed row to the entity's rows and takes the old row's values out of their sums and order and the new one's in.
 """
 
 from __future__ import annotations
@@ -91,17 +91,47 @@ def _rescored_alone(clean: Clean, changed: DataFrame) -> DataFrame:
     return clean.scored_as(rows, clean.scored, "recipe", "severity").withColumn("target", F.col("match_id"))
 
 
-def _rescored_history(clean: Clean, mart: DataFrame, changed: DataFrame) -> DataFrame:
-    """All rows of the targets' players, each target and condition with a history that holds its change."""
+#: Rows of an entity whose conditions are worked out where the entity's rows meet.
+ENTITY_ROWS = 1 << 16
+
+
+def _rescored_history(clean: Clean, mart: DataFrame, changed: DataFrame, bound: int = ENTITY_ROWS) -> DataFrame:
+    """All rows of the targets' players, under each target and condition with the target's row replaced by the changed one.
+
+    Entities of more than ``bound`` rows, which shouldn't meet in one task, go the longer way: each condition as an entity of its own through all estimators.
+    """
+    large = clean.rows.groupBy("player_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bound).select("player_id")
+    if not large.limit(1).count():
+        return _rescored_by_replacement(clean, changed)
+    small = _rescored_by_replacement(clean, changed.join(large, "player_id", "left_anti"))
+    return small.unionByName(_rescored_copies(clean, mart, changed.join(large, "player_id", "left_semi")).select(*small.columns))
+
+
+def _rescored_by_replacement(clean: Clean, changed: DataFrame) -> DataFrame:
+    settings, condition = clean.settings, ["target", "recipe", "severity"]
+    named = written(residuals.derived(changed.withColumn("target", F.col("match_id")), settings), "changed")
+    found = residuals.against(residuals.replaced_criteria(clean.rows, named, clean.fitted, condition, settings))
+    # Each condition is an entity by name from here on, since distances are taken among its own rows.
+    entity = _entity(*condition)
+    z = residuals.wide_form(found.withColumn("player_id", entity), settings).drop("position_code")
+    rows = clean.rows.where("is_scoreable").join(named.select("player_id", *condition), "player_id")
+    rows = scenario.patched(rows, named, "player_id", "match_id", *condition).withColumn("player_id", entity).drop(*condition)
+    return _as_conditions(clean, written(rows.join(z, _KEYS), "histories-scored"))
+
+
+def _as_conditions(clean: Clean, scored: DataFrame) -> DataFrame:
+    found = clean.scored_as(scored, scored)
+    part = F.split("player_id", ENTITY)
+    return found.withColumns({"target": part[1], "recipe": part[2], "severity": part[3].cast("double")}).withColumn("player_id", part[0])
+
+
+def _rescored_copies(clean: Clean, mart: DataFrame, changed: DataFrame) -> DataFrame:
     settings, condition = clean.settings, ["target", "recipe", "severity"]
     named = changed.withColumn("target", F.col("match_id"))
     whole = mart.join(named.select("player_id", *condition), "player_id").select(*mart.columns, *condition)
     rows = scenario.patched(whole, named, "player_id", "match_id", *condition).withColumn("player_id", _entity(*condition)).drop(*condition)
     prepared = residuals.prepare(rows, settings)
-    scored = written(residuals.scored_rows(written(prepared, "histories"), clean.fitted, settings), "histories-scored")
-    found = clean.scored_as(scored, scored)
-    part = F.split("player_id", ENTITY)
-    return found.withColumns({"target": part[1], "recipe": part[2], "severity": part[3].cast("double")}).withColumn("player_id", part[0])
+    return _as_conditions(clean, written(residuals.scored_rows(written(prepared, "histories"), clean.fitted, settings), "histories-scored"))
 
 
 def run(mart: DataFrame, recipes: dict[str, tuple[str, ...]], design: str = "heldout", settings: Settings = DEFAULT, metrics: list[str] | None = None, forest: bool = False, scorers: tuple[str, ...] | None = None, clean: Clean | None = None) -> DataFrame:

@@ -287,7 +287,11 @@ def criteria(long: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT) -
     n, s, q = F.count("x").over(w) - F.col("x").isNotNull().cast("int"), F.sum("x").over(w) - F.coalesce("x", F.lit(0.0)), F.sum(F.col("x") * F.col("x")).over(w) - F.coalesce(F.col("x") * F.col("x"), F.lit(0.0))
     k_others, n_others = F.sum("k").over(w) - F.coalesce("k", F.lit(0.0)), F.sum("n").over(w) - F.coalesce("n", F.lit(0.0))
     sized = sized.withColumns({"others": n, "s": s, "q": q, "k_others": k_others, "n_others": n_others})
-    rows = sized.join(own, keys, "left").join(pool, by, "left")
+    return _held(sized.join(own, keys, "left").join(pool, by, "left"), settings)
+
+
+def _held(rows: DataFrame, settings: Settings, *carry: str) -> DataFrame:
+    """What each row is held against, from the number, sums and squares of its entity's other values, their median and deviation, and the position's values."""
     ws = own_weight(F.col("rows").cast("double"), F.col("scale_ratio"))
     mad = F.coalesce(F.when(ws == 1.0, F.col("own_mad")).otherwise(ws * F.col("own_mad") + (1 - ws) * F.col("pool_mad")), "pool_mad")
     mad = F.when(mad == 0, F.col("pool_mad")).otherwise(mad)
@@ -299,6 +303,7 @@ def criteria(long: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT) -
     p = F.coalesce(F.when(weight == 1.0, rate).otherwise(weight * rate + (1 - weight) * F.col("pool_rate")), "pool_rate")
     return rows.select(
         *KEYS,
+        *carry,
         "metric",
         "x",
         "k",
@@ -316,6 +321,90 @@ def criteria(long: DataFrame, fitted: DataFrame, settings: Settings = DEFAULT) -
     )
 
 
+def _without_each(stats: tuple[np.ndarray, ...], x: np.ndarray) -> np.ndarray:
+    """The median of each row's values but for one ``x`` of them; ``stats`` are their number and the values before, at and after the middle."""
+    n, before, middle, after = (s[:, None] for s in stats)
+    odd = np.where(x < middle, (middle + after) / 2, np.where(x > middle, (before + middle) / 2, (before + after) / 2))
+    return np.where(n > 1, np.where(n % 2 == 0, np.where(x <= middle, after, middle), odd), np.nan)
+
+
+def _around_middle(v: np.ndarray) -> tuple[np.ndarray, ...]:
+    s, n, row = np.sort(v, axis=1), (~np.isnan(v)).sum(1), np.arange(len(v))
+    k = (n + 1) // 2
+    at = lambda i: np.where((i >= 1) & (i <= n), s[row, np.clip(i - 1, 0, v.shape[1] - 1)], np.nan)
+    return n, at(k - 1), at(k), at(k + 1)
+
+
+def leave_each_out(v: np.ndarray, pool: float, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``leave_one_out`` for many histories of one entity, a row each: centre, deviation and weight of every place. ``pool`` and ``ratio`` may be not a number."""
+    stats = _around_middle(v)
+    n, middle = stats[0], stats[2]
+    others = (n - 1).astype(float)
+    w = np.ones(len(n)) if np.isnan(ratio) else ratio * others / (ratio * others + 1.0)
+    probes = []
+    for probe in (middle - 1, middle, middle + 1):
+        m = _without_each(stats, probe[:, None])[:, 0]
+        probes.append(m if np.isnan(ratio) else np.where(w == 1.0, m, w * m + (1 - w) * pool))
+    x, mid, even = v, middle[:, None], (n % 2 == 0)[:, None]
+    which = np.where(x > mid, 2, np.where((x < mid) | even, 0, 1))
+    centre, spread = np.full(v.shape, np.nan), np.full(v.shape, np.nan)
+    for k, c in enumerate(probes):
+        mine = (which == k) & ~np.isnan(v)
+        if mine.any():
+            away = np.abs(v - c[:, None])
+            centre = np.where(mine, c[:, None], centre)
+            spread = np.where(mine, _without_each(_around_middle(away), away), spread)
+    return centre, spread, np.where(np.isnan(v), np.nan, w[:, None])
+
+
+def replaced_criteria(rows: DataFrame, changed: DataFrame, fitted: DataFrame, condition: list[str], settings: Settings = DEFAULT) -> DataFrame:
+    """``criteria`` of all rows of an entity under each condition, which replaces one of its rows, ``target``, by the changed one: keys and ``condition`` besides.
+
+    A condition travels as its one changed row. It meets the entity's rows once, in the task that holds them, where the old values go out of the sums and the
+    order and the new ones come in; histories aren't copied. Conditions of an entity are taken in blocks of bounded size.
+    """
+    proportions = [c for pair in PROPORTIONS.values() for c in pair]
+    used = list(dict.fromkeys([*settings.metrics, *[c for c in proportions if c in rows.columns]]))
+    history = rows.select(*KEYS, *[F.col(c).cast("double") for c in used]).join(changed.select("player_id").distinct(), "player_id", "left_semi")
+    swaps = changed.select("player_id", *condition, *[F.col(c).cast("double") for c in used])
+    given = {(r["position_code"], r["metric"]): (r["pool_median"], r["ratio"]) for r in fitted.select("position_code", "metric", "pool_median", "ratio").collect()}
+    kinds = dict(changed.dtypes) | dict(rows.dtypes)
+    numbers = ["x", "k", "n", "rows", "others", "s", "q", "k_others", "n_others", "own_centre", "own_mad", "weight"]
+
+    def told(held: pd.DataFrame, swapped: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values("match_id", ignore_index=True)
+        place = {m: i for i, m in enumerate(held["match_id"])}
+        swapped = swapped[swapped["target"].isin(place)].sort_values(condition, ignore_index=True)
+        out, n = [], len(held)
+        step = max(1, (1 << 18) // max(n, 1))
+        for low in range(0, len(swapped), step):
+            part = swapped.iloc[low : low + step]
+            each, at = np.arange(len(part)), np.array([place[t] for t in part["target"]])
+
+            def values(c: str, part=part, each=each, at=at) -> np.ndarray:
+                v = np.tile(held[c].to_numpy(float), (len(part), 1))
+                v[each, at] = part[c].to_numpy(float)
+                return v
+
+            for metric in settings.metrics:
+                v = values(metric)
+                some, flat = ~np.isnan(v), np.nan_to_num(v)
+                pool, ratio = given.get((held["position_code"].iloc[0], metric), (None, None))
+                centre, spread, weight = leave_each_out(v, np.nan if pool is None else pool, np.nan if ratio is None else ratio)
+                k, m = (values(c) for c in PROPORTIONS[metric]) if metric in PROPORTIONS else (np.full(v.shape, np.nan),) * 2
+                rest = lambda a: np.nansum(a, 1)[:, None] - np.nan_to_num(a)
+                columns = [v, k, m, np.full(v.shape, n - 1.0), some.sum(1)[:, None] - some, flat.sum(1)[:, None] - flat, (flat**2).sum(1)[:, None] - flat**2, rest(k), rest(m), centre, spread, weight]
+                frame = {c: np.tile(held[c].to_numpy(object), len(part)) for c in KEYS} | {c: np.repeat(part[c].to_numpy(object), n) for c in condition}
+                out.append(frame | {"metric": np.full(v.size, metric, object)} | {name: c.ravel() for name, c in zip(numbers, columns, strict=True)})
+        return pd.DataFrame({c: np.concatenate([o[c] for o in out]) if out else np.zeros(0) for c in [*KEYS, *condition, "metric", *numbers]})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*KEYS, *condition]) + ", metric string, " + ", ".join(f"{c} double" for c in numbers)
+    found = history.groupBy("player_id").cogroup(swaps.groupBy("player_id")).applyInPandas(told, schema)
+    found = found.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in numbers})
+    pool = F.broadcast(fitted.select("position_code", "metric", "pool_median", "pool_mad", "pool_rate", "ratio", "rho", "scale_ratio"))
+    return _held(found.drop("ratio").join(pool, ["position_code", "metric"], "left"), settings, *condition)
+
+
 def against(rows: DataFrame) -> DataFrame:
     """``z``, ``sigma`` and ``weight`` of values ``x`` (``k`` of ``n`` for proportions) held against their criteria.
 

@@ -402,8 +402,8 @@ def _changed(pdf: pd.DataFrame, names: tuple[str, ...], numbers: list[str], part
 
 
 def patched(rows: DataFrame, changed: DataFrame, *keys: str) -> DataFrame:
-    """The rows with the changed ones in place of those of equal keys; a null that a change made stays null."""
-    others = [c for c in rows.columns if c not in keys]
+    """The rows with the changed ones in place of those of equal keys, in the columns that both have; a null that a change made stays null."""
+    others = [c for c in rows.columns if c not in keys and c in changed.columns]
     patch = changed.select(*keys, F.struct(*others).alias("_patch"))
     found = rows.join(patch, list(keys), "left")
-    return found.select(*[c if c in keys else F.when(F.col("_patch").isNotNull(), F.col(f"_patch.{c}")).otherwise(F.col(c)).alias(c) for c in rows.columns])
+    return found.select(*[c if c not in others else F.when(F.col("_patch").isNotNull(), F.col(f"_patch.{c}")).otherwise(F.col(c)).alias(c) for c in rows.columns])
