@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline.config import DEFAULT, Settings
 from plumbline.operators import selection
+from plumbline.tables import written
 
 #: What separates an entity's player from what else names it (see ``campaign``); a seed depends on the player alone.
 ENTITY = "\x01"
@@ -307,6 +308,10 @@ def score_census(rows: DataFrame, columns: list[str], forest: bool = False, sett
     rows the position's fit stands in, or that of all rows (raw values only); a row without any isn't scored. ``asked`` rows
     are scored in place of ``rows``, against the other matches' ``rows`` of their entity; ``fitted`` gives the pools. ``carry`` are columns of ``asked`` that tell its rows apart.
     """
+    if fitted is None:
+        # Pools, sums, forests and the rows themselves all read these.
+        needed = [*KEYS, *columns, *[f"z_{c}" for c in columns if f"z_{c}" in rows.columns], *(carry if asked is None else ())]
+        rows = written(rows.select(*dict.fromkeys(needed)), "census-rows")
     shared = rows.sparkSession.sparkContext.broadcast(fitted if fitted is not None else spaces(rows, columns, settings))
     keys, named = ["player_id", "match_id", *carry], [*KEYS, *carry]
     queries = (asked if asked is not None else rows).select(*named, *[F.col(c).cast("double") for s in shared.value for c in s.columns])

@@ -17,13 +17,21 @@ def _own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, one beside the warehouse's tables, or, with a single machine, one of its own."""
+    """The folder that ``spark.checkpoint.dir`` names. Where it is unset, one beside the warehouse's tables, or, with a single machine, one of its own.
+
+    On a cluster whose warehouse lies on a local path there is no shared folder to find, and each executor would write to its own disk: that is refused.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     single = context.master == "local" or context.master.startswith("local[")
-    return _own_dir(context.applicationId) if single else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+    if single:
+        return _own_dir(context.applicationId)
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if warehouse.startswith(("file:", "/")):
+        raise RuntimeError(f"the warehouse {warehouse} is a local path; set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse}/_intermediate"
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
