@@ -151,13 +151,14 @@ def bootstrap_spreads(long: DataFrame, settings: Settings = DEFAULT, bound: int
     return joined(spread, selection.median(away, by, "away", "mad", bound), by)
 
 
-def scale_ratio(long: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """The ratio of ``informativeness`` for spreads, with each spread's variance by a bootstrap.
+def scale_ratio(long: DataFrame, settings: Settings = DEFAULT, digits: int | None = None) -> DataFrame:
+    """The ratio of ``informativeness`` for spreads, with each spread's variance by a bootstrap; rounded if ``digits`` are given.
 
     Draws depend on the entity and metric alone, not on how rows are dealt.
     """
     between = F.greatest(F.var_samp("mad") - F.avg("v"), F.lit(0.0))
-    return bootstrap_spreads(long, settings).groupBy("position_code", "metric").agg((between / F.nullif(F.avg(F.col("n") * F.col("v")), F.lit(0.0))).alias("scale_ratio"))
+    ratio = between / F.nullif(F.avg(F.col("n") * F.col("v")), F.lit(0.0))
+    return bootstrap_spreads(long, settings).groupBy("position_code", "metric").agg((ratio if digits is None else F.round(ratio, digits)).alias("scale_ratio"))
 
 
 def hyperparameters(long: DataFrame, settings: Settings = DEFAULT) -> DataFrame:

@@ -64,7 +64,7 @@ def overdispersion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scale_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(residuals.scale_ratio(A.orders_long(spark, sf_dir)))
+    return residuals.scale_ratio(A.orders_long(spark, sf_dir), digits=6)
 
 
 def beta_binomial(spark: SparkSession, sf_dir: str) -> DataFrame:
