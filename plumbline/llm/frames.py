@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import pickle
 from collections.abc import Callable, Iterator
 from functools import cache, reduce
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline.tables import replaced, shared_dir, written
 
-__all__ = ["PLACES", "SLICE_ROWS", "exchange_partitions", "fitted", "fold", "joined", "one_blas_thread", "place", "replaced", "shared_dir", "sliced", "written"]
+__all__ = ["PLACES", "SLICE_ROWS", "exchange_partitions", "fitted", "fold", "joined", "lean", "one_blas_thread", "place", "replaced", "shared_dir", "sliced", "written"]
 
 #: Rows of a slice at most, whatever the session's size of Arrow batches.
 SLICE_ROWS = 1 << 15
@@ -100,6 +101,29 @@ def fitted(rows: DataFrame, kind: str, most: dict[Any, int], fit: Callable[[pa.T
     return pickle.loads(found[0]["model"]) if found else fit(pa.table({k: pa.array([], t) for k, t in types.items()}))
 
 
+@cache
+def _own_pages() -> ctypes.CDLL | None:
+    """This worker's C library, told to give arrays of 1 MB and more pages of their own, which go back as soon as they are freed; None where it isn't glibc's."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        return libc
+    except (OSError, AttributeError):
+        return None
+
+
+def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches from a worker that keeps no freed memory: not while it runs, nor when it waits for its next task beside others."""
+    libc = _own_pages()
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if libc is not None:
+            libc.malloc_trim(0)
+
+
 @cache
 def one_blas_thread() -> None:
     """Keep this worker's matrix products on its own core: Spark runs a task on each, and more threads would only wait for one another."""

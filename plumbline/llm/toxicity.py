@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.frames import PLACES, fitted, one_blas_thread, place, sliced
+from plumbline.llm.frames import PLACES, fitted, lean, one_blas_thread, place, sliced
 from plumbline.llm.words import SPACE, Words, in_word
 
 #: Bounds of the fit: labelled documents of each kind, and landmark units.
@@ -503,4 +503,4 @@ def accepted(docs: DataFrame, model: Model, text: str = "text", threshold: float
         for batch in sliced(batches, text, _SLICE):
             yield batch.filter(pa.array(shared.value.scores(batch.column(text)) < threshold))
 
-    return docs.mapInArrow(below, docs.schema)
+    return docs.mapInArrow(lambda batches: lean(below(batches)), docs.schema)
