@@ -23,10 +23,11 @@ def tagged(tag: int) -> Column:
 def sequenced(events: DataFrame) -> DataFrame:
     """Events with their host's type and, for events of their own, what comes next in the period.
 
-    Children share their host's moment and would hide its successor, so they are windowed apart and get nulls.
+    Children share their host's moment and would hide its successor, so they stay out of the windows and get nulls; only they meet their hosts in a
+    join, so the other events aren't moved for it.
     """
     own = F.col("parent_event_id").isNull()
-    w = Window.partitionBy("match_id", "period_id", own).orderBy("seconds_into_period", "source_index")
+    w = Window.partitionBy("match_id", "period_id").orderBy("seconds_into_period", "source_index")
     after = w.rowsBetween(1, Window.unboundedFollowing)
     ahead = {
         "next_action_team": F.first(F.when(F.col("event_type").isin(*DELIBERATE), F.col("team_id")), ignorenulls=True).over(after),
@@ -34,10 +35,12 @@ def sequenced(events: DataFrame) -> DataFrame:
         "restart_type": F.lead("set_piece_type", 2).over(w),
         "restart_team": F.lead("team_id", 2).over(w),
     }
-    windowed = events.select("*", *[F.when(own, c).alias(n) for n, c in ahead.items()])
+    windowed = events.where(own).select("*", *[c.alias(n) for n, c in ahead.items()], F.lit(None).cast("string").alias("host_event_type"))
+    kinds = {f.name: f.dataType for f in windowed.schema}
+    children = events.where(~own).select("*", *[F.lit(None).cast(kinds[n]).alias(n) for n in ahead])
     hosts = events.select(F.col("match_id").alias("host_match"), F.col("event_id").alias("host_id"), F.col("event_type").alias("host_event_type"))
-    # Only children need the lookup; a null parent matches no host.
-    return windowed.join(hosts, (F.col("match_id") == F.col("host_match")) & (F.col("parent_event_id") == F.col("host_id")), "left").drop("host_match", "host_id")
+    told = children.join(hosts, (F.col("match_id") == F.col("host_match")) & (F.col("parent_event_id") == F.col("host_id")), "left").drop("host_match", "host_id")
+    return windowed.unionByName(told)
 
 
 def action_type(settings: Settings = DEFAULT) -> Column:
