@@ -14,48 +14,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import byte_bpe, decontamination, exact_dedup, jaccard_join, toxicity
-from plumbline.llm.frames import fold, shared_dir
+from plumbline.llm.frames import bounded_batches, fold, shared_dir
 from plumbline.llm.queries import VOCABULARY
 
 
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 1000
-
-
-def _bounded_batches(spark: SparkSession) -> None:
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
-
-
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the model learns from the labelled ones outside the held-out fold."""
-    _bounded_batches(spark)
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.accepted(docs, toxicity.fit(docs, labels, fold("doc_id", 3) != 1))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
-    _bounded_batches(spark)
+    bounded_batches(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that near-duplicate links connect, the document with the least doc_id stays."""
-    _bounded_batches(spark)
+    bounded_batches(spark)
     return jaccard_join.representatives(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents contaminated with benchmark passages go."""
-    _bounded_batches(spark)
+    bounded_batches(spark)
     return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digests that show the round trip."""
-    _bounded_batches(spark)
+    bounded_batches(spark)
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, with_ids=True)
 
 

@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 
 from plumbline.tables import replaced, shared_dir, written
 
-__all__ = ["PLACES", "SLICE_ROWS", "exchange_partitions", "fitted", "fold", "joined", "lean", "one_blas_thread", "place", "replaced", "shared_dir", "sliced", "written"]
+__all__ = ["BATCH_ROWS", "PLACES", "SLICE_ROWS", "bounded_batches", "exchange_partitions", "fitted", "fold", "joined", "lean", "one_blas_thread", "place", "replaced", "shared_dir", "sliced", "written"]
 
+#: Rows of an Arrow batch at most, where documents may be long.
+BATCH_ROWS = 1000
 #: Rows of a slice at most, whatever the session's size of Arrow batches.
 SLICE_ROWS = 1 << 15
 #: Places that a sample's hash has; a share of them bounds what is sent on.
@@ -43,6 +45,13 @@ def exchange_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold at most ``BATCH_ROWS`` rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``limit`` bytes of ``column`` (one row at least) and ``SLICE_ROWS`` rows."""
     for batch in batches:

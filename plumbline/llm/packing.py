@@ -8,7 +8,7 @@ documents. Where no choice fills a window, the longest length left is cut to fil
 window lacks can't be filled by anything: it is cut into sequences whose sizes are powers of two, which need no padding either.
 
 The plan is a few thousand rows; documents find their windows in it by the rank among documents of their length. Ranks come from counts: each task
-numbers its own documents by length while it tokenises, and what earlier tasks counted is added by a join.
+numbers its own documents by length while it tokenises, and what earlier tasks counted is added by a join that hashes the counts and sorts no ids.
 
 A null text is empty and has the closing id only. Rows with equal ids or equal texts, and rows with a null id, are documents of their own. An
 empty table gives no pieces. Other columns are left aside, whatever their names. A text of any length is cut like all others.
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.frames import sliced, written
+from plumbline.llm.frames import bounded_batches, lean, sliced, written
 from plumbline.llm.words import LOWER, SPACE, Words, in_word
 
 #: Ids of a window.
@@ -36,7 +36,7 @@ WINDOW = 4096
 #: The id that closes each document.
 CLOSE = 2
 #: Bytes of text that are tokenised at once, and bytes of ids that are dealt out at once.
-_SLICE, _DEALT = 1 << 22, 1 << 23
+_SLICE, _DEALT = 1 << 20, 1 << 21
 #: Words that a worker remembers the ids of.
 _KNOWN = 1 << 21
 
@@ -256,7 +256,7 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, close: int = CLO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task = _encoder(path), TaskContext.get().partitionId()
         seen, whole = np.zeros(window, np.int64), 0
-        for batch in sliced(batches, "text", _SLICE):
+        for batch in sliced(lean(batches), "text", _SLICE):
             ids, bound = encoder.encode(batch.column("text"), close)
             n = np.diff(bound)
             rest, windows = n % window, n // window
@@ -272,6 +272,7 @@ def tokenised(docs: DataFrame, path: str, window: int = WINDOW, close: int = CLO
             columns = [batch.column("doc_id"), data, n, np.full(len(n), task, np.int32), rest.astype(np.int32), rank, before]
             yield pa.RecordBatch.from_arrays([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], ["doc_id", "ids", "n", "task", "remainder", "rank", "whole"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, ids binary, n long, task int, remainder int, rank long, whole long")
 
@@ -285,12 +286,13 @@ def packed(docs: DataFrame, path: str, window: int = WINDOW, close: int = CLOSE,
     runs, sequences, store = plan.runs, plan.sequences, _stored(path, close)
     earlier = Window.partitionBy("remainder").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("task", "remainder", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-    ranked = rows.join(base, ["task", "remainder"], "left")
+    ranked = rows.join(base.hint("shuffle_hash"), ["task", "remainder"], "left")
     ranked = ranked.select("doc_id", "ids", "n", "task", "remainder", (F.coalesce("base", F.lit(0)) + F.col("rank")).alias("rank"), "whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dealt = Plan(window, sequences, runs)
-        for batch in sliced(batches, "ids", _DEALT):
+        _encoder.cache_clear()  # what this worker tokenised with isn't needed beside the ids
+        for batch in sliced(lean(batches), "ids", _DEALT):
             at, out, taken = [], [], []
             columns = (batch.column(c).to_pylist() for c in ("ids", "n", "task", "remainder", "rank", "whole"))
             for i, (ids, n, task, rest, rank, whole) in enumerate(zip(*columns, strict=True)):

@@ -75,6 +75,14 @@ def test_packing_of_repeated_rows_and_of_nothing(spark):
     assert packing.packed(spark.createDataFrame([], schema), PATH).count() == 0
 
 
+def test_packing_hashes_counts_and_sorts_no_ids(spark):
+    """Sorts of all ids beside workers that held on to freed memory took an executor's 3 GB."""
+    docs = spark.createDataFrame([(i, "some words " * i) for i in range(50)], "doc_id long, text string")
+    plan = packing.packed(docs, PATH)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_fill_comes_as_near_as_any_choice(seed):
     rng = random.Random(seed)
