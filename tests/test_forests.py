@@ -54,6 +54,19 @@ def test_equals_the_recursive_form(n, borrowed, each):
     assert np.allclose(found, recursive(rows[asked], left_out, rows, 7, 0))
 
 
+@pytest.mark.parametrize(("n", "own", "d", "digits"), [(28, 28, 2, 1), (65, 27, 6, 9), (9, 9, 3, 0)])
+def test_groups_are_told_together(n, own, d, digits):
+    """Groups of as many rows equal the recursive form one by one, with ties and with rows that were changed."""
+    rng, groups = np.random.default_rng(n), []
+    for _ in range(3):
+        rows = np.round(rng.normal(size=(n, d)), digits)
+        asked = rng.integers(0, own, 5)
+        x = rows[asked] + np.array([0, 0, 1, 3, -3])[:, None]
+        groups.append((x, asked[:, None] == np.arange(n)[None, :], rows))
+    for group, found in zip(groups, census.isolated_each(groups, 7, 0), strict=True):
+        assert np.allclose(found, recursive(*group, 7, 0))
+
+
 def test_ranks_of_independent_forests_agree():
     """Forests with draws of their own order rows alike."""
     rng = np.random.default_rng(5)
