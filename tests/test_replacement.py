@@ -56,6 +56,19 @@ def test_equals_copies_of_whole_histories(both):
             assert (got[c] == want[c]).all()
 
 
+def test_histories_are_never_made_long(both):
+    """One row leaves the tasks for each row and condition, with its changed values; small entities don't meet in a few tasks because they are few bytes."""
+    rows, clean, changed = both
+    condition = ["target", "recipe", "severity"]
+    named = residuals.derived(changed.withColumn("target", F.col("match_id")), CAMPAIGN)
+    found = residuals.replaced(clean.rows, named, clean.fitted, condition, CAMPAIGN)
+    each = clean.rows.where("is_scoreable").groupBy("player_id").count()
+    assert found.rdd.getNumPartitions() >= 4
+    assert found.count() == named.join(each, "player_id").agg(F.sum("count")).first()[0]
+    met = found.where("match_id = target").join(named.select("player_id", *condition, F.col("passes_per_90").alias("want")), ["player_id", *condition])
+    assert met.count() == named.join(clean.rows.where("is_scoreable"), ["player_id", "match_id"], "left_semi").count() == met.where("passes_per_90 <=> want").count()
+
+
 def test_large_entities_go_by_copies(both):
     """A player above the bound doesn't meet in one task, and its records are the same."""
     rows, clean, changed = both
